@@ -1,0 +1 @@
+"""Nothing here: every operator of this engine answers over tables at rest."""
