@@ -124,13 +124,12 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "la
     good = good.where("q = 1 AND unknown = 0").select("doc_id")
     f = features.where("NOT base_failed").select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), *METRICS)
     hits = [F.count_if(F.col(m) >= c).alias(f"k_{m}_{i}") for m, grid in METRICS.items() for i, c in enumerate(grid)]
-    counts = f.join(good, "doc_id").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *hits)
+    counts = materialize(f.join(good, "doc_id").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *hits), "holdouts")
     trials = ", ".join(f"named_struct('metric', '{m}', 'cutoff', {c!r}e0, 'k', k_{m}_{i})" for m, grid in METRICS.items() for i, c in enumerate(grid))
     tests = counts.selectExpr("stratum", "n", f"inline(array({trials}))")
     share = alpha / len(METRICS)
-    level = delta / sum(map(len, METRICS.values()))
-    strata = counts.agg(F.count(F.lit(1)).alias("n_strata"))
-    passed = tests.crossJoin(strata).withColumn("p", binomial_cdf("k", "n", share)).where(F.col("p") <= F.lit(level) / F.col("n_strata"))
+    level = delta / sum(map(len, METRICS.values())) / max(counts.count(), 1)
+    passed = tests.withColumn("p", binomial_cdf("k", "n", share)).where(F.col("p") <= level)
     cuts = [F.min(F.when(F.col("metric") == m, F.col("cutoff"))).alias(f"cut_{m}") for m in METRICS]
     return passed.groupBy("stratum").agg(*cuts)
 
