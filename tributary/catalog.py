@@ -1,4 +1,547 @@
-"""The registered queries and their SQL."""
+"""The registered queries: each applies operators to derived views, with the SQL it is held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from tributary.operators import demographics as demo
+from tributary.operators import graph, membership, pressure, quality, scoring, snap, spatial
+from tributary.operators.components import connected_components
+from tributary.plans.views import Views, with_clause
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of Views under its name, with the oracle's SQL over the same views."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = with_clause(sql)
+        return f
+
+    return add
+
+
+def r(x: str, digits: int = 4) -> str:
+    """Rounding that both engines do alike."""
+    return f"floor(({x})*1e{digits} + 0.5001e0)/1e{digits}"
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
+    return df.withColumns({n: F.expr(r(n, digits)) for n in names})
+
+
+# graph
+
+_TREE = """WITH t AS (SELECT basin, node_id AS node, 0 AS lev FROM net WHERE r = 1
+  UNION ALL SELECT t.basin, e.u, t.lev + 1 FROM t JOIN edge e ON e.v = t.node)
+SELECT basin AS site, CAST(count(*) - 1 AS BIGINT) AS n_pipes, CAST(max(lev) AS BIGINT) AS max_depth FROM t GROUP BY basin HAVING count(*) > 1"""
+
+
+@query(_TREE)
+def trace_upstream_tree(v: Views) -> DataFrame:
+    t = graph.trace_upstream(v("edge"), v("net").where("r = 1").selectExpr("basin AS site", "node_id AS node"))
+    return t.groupBy("site").agg(F.count(F.lit(1)).alias("n_pipes"), F.max("depth").cast("long").alias("max_depth"))
+
+
+@query("""WITH t AS (SELECT basin, node_id AS node FROM net WHERE r = 1 UNION SELECT t.basin, e.u FROM t JOIN edge_cyc e ON e.v = t.node)
+SELECT t.basin AS site, count(*) AS n_pipes, count(DISTINCT e.u) AS n_heads FROM t JOIN edge_cyc e ON e.v = t.node GROUP BY t.basin""")
+def trace_upstream_cyclic(v: Views) -> DataFrame:
+    t = graph.trace_upstream(v("edge_cyc"), v("net").where("r = 1").selectExpr("basin AS site", "node_id AS node"))
+    return t.groupBy("site").agg(F.count(F.lit(1)).alias("n_pipes"), F.count_distinct("u").alias("n_heads"))
+
+
+_COMP = """both_ways AS (SELECT u, v FROM edge_frag UNION SELECT v, u FROM edge_frag),
+reach AS (SELECT u AS node, u AS other FROM both_ways UNION SELECT reach.node, b.v FROM reach JOIN both_ways b ON b.u = reach.other),
+comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+
+
+@query(f"WITH {_COMP} SELECT node, component FROM comp")
+def weak_components(v: Views) -> DataFrame:
+    return connected_components(v("edge_frag")).select("node", "component")
+
+
+@query(f"""WITH {_COMP} SELECT c.component, n_nodes, n_edges FROM (SELECT component, count(*) AS n_nodes FROM comp GROUP BY component) c
+JOIN (SELECT component, count(*) AS n_edges FROM edge_frag JOIN comp ON node = u GROUP BY component) e ON e.component = c.component""")
+def component_sizes(v: Views) -> DataFrame:
+    return graph.component_edges(v("edge_frag"))
+
+
+@query(f"""WITH {_COMP}, sized AS (SELECT component, count(*) AS n FROM edge_frag JOIN comp ON node = u GROUP BY component)
+SELECT pidx FROM edge_frag JOIN comp ON node = u JOIN sized ON sized.component = comp.component WHERE n <= 3""")
+def small_dangling(v: Views) -> DataFrame:
+    return graph.dangling_edges(v("edge_frag"), 3)
+
+
+_SCC = """reach AS (SELECT u AS a, v AS b FROM edge_cyc UNION SELECT reach.a, e.v FROM reach JOIN edge_cyc e ON e.u = reach.b),
+scc AS (SELECT x.a AS node, min(x.b) AS scc FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a)"""
+
+
+@query(f"WITH {_SCC} SELECT node, scc FROM scc")
+def scc_members(v: Views) -> DataFrame:
+    return graph.strong_components(v("edge_cyc"))
+
+
+@query(f"""WITH {_SCC}, touch AS (SELECT pidx, scc FROM edge_cyc JOIN scc ON node = u UNION SELECT pidx, scc FROM edge_cyc JOIN scc ON node = v)
+SELECT s.scc, n_nodes, n_pipes, CASE WHEN n_nodes > 6 THEN 'large_cycle' ELSE 'directed_cycle' END AS flag
+FROM (SELECT scc, count(*) AS n_nodes FROM scc GROUP BY scc) s JOIN (SELECT scc, count(*) AS n_pipes FROM touch GROUP BY scc) t ON t.scc = s.scc""")
+def cycle_class(v: Views) -> DataFrame:
+    return graph.cycle_flags(v("edge_cyc"), 6)
+
+
+_ROLES = """deg AS (SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree
+  FROM (SELECT u AS node, 0 AS i, 1 AS o FROM edge_cyc UNION ALL SELECT v, 1, 0 FROM edge_cyc) x GROUP BY node),
+role AS (SELECT *, CASE WHEN in_degree = 0 THEN 'source' WHEN out_degree = 0 THEN 'sink' ELSE 'junction' END AS role FROM deg)"""
+
+
+@query(f"WITH {_ROLES} SELECT node, in_degree, out_degree, role FROM role")
+def node_roles(v: Views) -> DataFrame:
+    return graph.roles(v("edge_cyc"))
+
+
+@query(f"WITH {_ROLES} SELECT role, count(*) AS n, max(in_degree) AS max_in FROM role GROUP BY role")
+def degree_summary(v: Views) -> DataFrame:
+    return graph.roles(v("edge_cyc")).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.max("in_degree").alias("max_in"))
+
+
+@query("""WITH g AS (SELECT u, v, count(*) AS n FROM multi GROUP BY u, v)
+SELECT CAST(sum(n) AS BIGINT) AS n_edges, CAST(coalesce(sum(n) FILTER (u = v), 0) AS BIGINT) AS n_self_loops, CAST(sum(n - 1) AS BIGINT) AS n_parallel FROM g""")
+def parallel_and_self_loops(v: Views) -> DataFrame:
+    return graph.multiplicity(v("multi"))
+
+
+# distance joins and snapping
+
+_D = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))"
+
+
+@query(f"SELECT a.id AS a_id, b.id AS b_id, {r(_D)} AS dist FROM pt a JOIN pt b ON a.id < b.id AND {_D} <= 10")
+def snap_pairs(v: Views) -> DataFrame:
+    return rounded(spatial.self_pairs(v("pt"), 10.0), "dist")
+
+
+@query(f"SELECT a.id AS a_id, b.id AS b_id, {r(_D)} AS dist FROM pt a JOIN pt b ON a.id < b.id AND {_D} <= 25 AND {_D} > 10")
+def snap_gap_band(v: Views) -> DataFrame:
+    return rounded(spatial.self_pairs(v("pt"), 25.0, above=10.0), "dist")
+
+
+_EP = """ep AS (SELECT 2*pidx AS ep, pidx, fid, sx AS x, sy AS y, true AS s FROM pipe UNION ALL SELECT 2*pidx+1, pidx, fid, ex, ey, false FROM pipe),
+l1 AS (SELECT a.ep AS u, b.ep AS v FROM ep a JOIN ep b ON a.ep <> b.ep AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 1),
+r1 AS (SELECT ep AS node, ep AS other FROM ep UNION SELECT r1.node, l1.v FROM r1 JOIN l1 ON l1.u = r1.other),
+p1 AS (SELECT node AS ep, min(other) AS f FROM r1 GROUP BY node),
+c1 AS (SELECT f, avg(x) AS x, avg(y) AS y, bool_or(s) AS hs, bool_or(NOT s) AS he FROM ep JOIN p1 ON p1.ep = ep.ep GROUP BY f),
+l2 AS (SELECT a.f AS u, b.f AS v FROM c1 a JOIN c1 b ON a.f <> b.f AND a.hs <> a.he AND b.hs <> b.he AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 400),
+r2 AS (SELECT f AS node, f AS other FROM c1 UNION SELECT r2.node, l2.v FROM r2 JOIN l2 ON l2.u = r2.other),
+p2 AS (SELECT node AS f, min(other) AS final FROM r2 GROUP BY node),
+nodes AS (SELECT ep, dense_rank() OVER (ORDER BY final) - 1 AS node_id FROM p1 JOIN p2 ON p2.f = p1.f)"""
+
+
+def _snapped(v: Views) -> tuple[DataFrame, DataFrame]:
+    ep = snap.endpoints(v("pipe"))
+    return ep, snap.snap_endpoints(ep, 1.0, 20.0)
+
+
+@query(f"WITH {_EP} SELECT ep AS ep_idx, CAST(node_id AS BIGINT) AS node_id FROM nodes")
+def snap_clusters(v: Views) -> DataFrame:
+    return _snapped(v)[1]
+
+
+@query(f"""WITH {_EP} SELECT CAST(node_id AS BIGINT) AS node_id, {r("avg(x)")} AS x, {r("avg(y)")} AS y, count(DISTINCT pidx) AS n_pipes,
+string_agg(DISTINCT fid, ',' ORDER BY fid) AS fids, CASE WHEN bool_or(s) AND bool_or(NOT s) THEN 'junction' WHEN bool_or(s) THEN 'start' ELSE 'end' END AS role
+FROM ep JOIN nodes ON nodes.ep = ep.ep GROUP BY node_id""")
+def node_layer(v: Views) -> DataFrame:
+    return rounded(snap.node_layer(*_snapped(v)).withColumn("fids", F.array_join(F.array_sort("fids"), ",")), "x", "y")
+
+
+@query(f"WITH {_EP} SELECT a.node_id AS u, b.node_id AS v, a.ep // 2 AS pidx FROM nodes a JOIN nodes b ON a.ep % 2 = 0 AND b.ep = a.ep + 1")
+def build_graph(v: Views) -> DataFrame:
+    return snap.build_edges(v("pipe"), _snapped(v)[1])
+
+
+@query(f"WITH {_EP} SELECT u AS a_id, v AS b_id FROM l2 WHERE u < v")
+def end_node_repair(v: Views) -> DataFrame:
+    ep = snap.endpoints(v("pipe"))
+    one = snap._clusters(ep, spatial.self_pairs(ep, 1.0, "ep_idx"), "ep_idx")
+    return spatial.self_pairs(snap.pure_ends(snap._summary(ep.join(one, "ep_idx"), "first")), 20.0, "first").select("a_id", "b_id")
+
+
+@query(f"""WITH d AS (SELECT a.id AS a_id, b.id AS b_id, {_D} AS dist FROM pt a JOIN pt b ON a.id % 10 = 0 AND b.id % 10 <> 0 AND {_D} <= 60)
+SELECT a_id, arg_min(b_id, (dist, b_id)) AS b_id, {r("min(dist)")} AS dist FROM d GROUP BY a_id""")
+def nearest_node_bounded(v: Views) -> DataFrame:
+    return rounded(spatial.nearest(v("pt").where("id % 10 = 0"), v("pt").where("id % 10 <> 0"), 60.0), "dist")
+
+
+@query(f"""WITH d AS (SELECT a.id AS a_id, b.id AS node, {_D} AS dist, coalesce(k.n, 0) > 0 AS fed FROM pt a JOIN pt b ON a.id % 10 = 0 AND b.id % 10 <> 0 AND {_D} <= 60
+  LEFT JOIN (SELECT v, count(*) AS n FROM edge GROUP BY v) k ON k.v = b.id)
+SELECT a_id, coalesce(arg_min(node, (dist, node)) FILTER (fed), arg_min(node, (dist, node))) AS node FROM d GROUP BY a_id""")
+def false_headwater_guard(v: Views) -> DataFrame:
+    """The nearest node in tolerance that something drains to; the plain nearest if none does."""
+    near = spatial.within(v("pt").where("id % 10 = 0"), v("pt").where("id % 10 <> 0"), 60.0)
+    fed = v("edge").select(F.col("v").alias("b_id"), F.lit(True).alias("fed")).distinct()
+    d = near.join(fed, "b_id", "left")
+    best = F.coalesce(F.min(F.when(F.col("fed"), F.struct("dist", "b_id"))), F.min(F.struct("dist", "b_id")))
+    return d.groupBy("a_id").agg(best.alias("m")).select("a_id", F.col("m.b_id").alias("node"))
+
+
+_T = "greatest(0e0, least(1e0, ((p.x-s.sx)*(s.ex-s.sx)+(p.y-s.sy)*(s.ey-s.sy))/nullif((s.ex-s.sx)*(s.ex-s.sx)+(s.ey-s.sy)*(s.ey-s.sy),0e0)))"
+
+
+@query(f"""WITH t AS (SELECT p.id AS p_id, s.pidx AS s_id, p.x, p.y, s.sx, s.sy, s.ex, s.ey, {_T} AS t,
+  sqrt((s.ex-s.sx)*(s.ex-s.sx)+(s.ey-s.sy)*(s.ey-s.sy)) AS len FROM pt p JOIN pipe s ON s.pidx % 5 = 0),
+d AS (SELECT *, sqrt((x-sx-t*(ex-sx))*(x-sx-t*(ex-sx))+(y-sy-t*(ey-sy))*(y-sy-t*(ey-sy))) AS dist, t*len AS along FROM t)
+SELECT p_id, s_id, {r("dist")} AS dist, {r("along")} AS along FROM d WHERE dist < 2 AND along > 10 AND len - along > 10""")
+def midspan_candidates(v: Views) -> DataFrame:
+    """Points nearer than 2 to a pipe's inside, further than 10 from its ends along it."""
+    pipes = v("pipe").where("pidx % 5 = 0")
+    p = spatial.points_near_segments(v("pt"), pipes, 2.0, cell=100.0).where("dist < 2")
+    length = pipes.select(F.col("pidx").alias("s_id"), F.expr("sqrt((ex-sx)*(ex-sx)+(ey-sy)*(ey-sy))").alias("len"))
+    return rounded(p.join(length, "s_id").where("along > 10 AND len - along > 10").drop("len"), "dist", "along")
+
+
+# quality flags
+
+_CONFLICT = "up_inv > 0 AND dn_inv > 0 AND up_inv < dn_inv"
+
+
+@query(f"SELECT basin, count(*) AS n, {r('max(dn_inv - up_inv)')} AS worst FROM edge WHERE {_CONFLICT} GROUP BY basin")
+def invert_conflicts(v: Views) -> DataFrame:
+    c = quality.invert_conflicts(v("edge"))
+    return rounded(c.groupBy("basin").agg(F.count(F.lit(1)).alias("n"), F.max("rise").alias("worst")), "worst")
+
+
+@query(f"SELECT pidx, {r('slope')} AS slope FROM edge WHERE slope < 0 AND NOT ({_CONFLICT})")
+def negative_slope(v: Views) -> DataFrame:
+    return rounded(quality.slope_errors(v("edge")).select("pidx", "slope"), "slope")
+
+
+_NAMED = "CASE WHEN u % 11 = 0 THEN NULL ELSE u END AS frommh, CASE WHEN v % 13 = 0 THEN NULL ELSE v END AS tomh"
+
+
+@query(f"SELECT pidx FROM (SELECT pidx, {_NAMED} FROM edge) x WHERE frommh IS NULL OR tomh IS NULL")
+def missing_direction(v: Views) -> DataFrame:
+    return quality.missing_direction(v("edge").selectExpr("pidx", *_NAMED.split(", "))).select("pidx")
+
+
+@query(f"""WITH n AS (SELECT {_NAMED} FROM edge) SELECT node_id AS id FROM net
+WHERE NOT EXISTS (SELECT 1 FROM n WHERE frommh = node_id) AND NOT EXISTS (SELECT 1 FROM n WHERE tomh = node_id)""")
+def isolated_points(v: Views) -> DataFrame:
+    return quality.isolated(v("net").selectExpr("node_id AS id"), v("edge").selectExpr(*_NAMED.split(", ")), "id")
+
+
+@query(f"""WITH f AS (SELECT pidx, 'invert_conflict' AS t FROM edge WHERE {_CONFLICT} UNION SELECT pidx, 'slope' FROM edge WHERE slope < 0
+  UNION SELECT pidx, 'missing_direction' FROM (SELECT pidx, {_NAMED} FROM edge) x WHERE frommh IS NULL OR tomh IS NULL)
+SELECT pidx, string_agg(t, ', ' ORDER BY t) AS qa_flags, 'flagged' AS qa_status FROM f GROUP BY pidx""")
+def flag_rollup_per_edge(v: Views) -> DataFrame:
+    e = v("edge")
+    parts = {
+        "invert_conflict": quality.invert_conflicts(e).select("pidx"),
+        "slope": e.where("slope < 0").select("pidx"),
+        "missing_direction": quality.missing_direction(e.selectExpr("pidx", *_NAMED.split(", "))).select("pidx"),
+    }
+    flags = None
+    for name, d in parts.items():
+        d = d.withColumn("flag_type", F.lit(name))
+        flags = d if flags is None else flags.unionByName(d)
+    return quality.rollup(flags)
+
+
+_REASONS = [("status", "o_orderstatus = 'P'"), ("price", "o_totalprice < 50000"), ("priority", "contains(lower(o_orderpriority), 'low')"), ("key", "o_custkey % 7 = 0")]
+
+
+@query("SELECT CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in _REASONS) + " ELSE 'kept' END AS reason, count(*) AS n FROM orders GROUP BY 1")
+def drop_report(v: Views) -> DataFrame:
+    return quality.drop_report(v("orders"), [(n, F.expr(c)) for n, c in _REASONS])
+
+
+@query("""WITH w AS (SELECT DISTINCT concat(repeat('0', CAST(c_custkey % 3 AS INTEGER)), CAST(c_custkey % 400 AS VARCHAR(20))) AS wanted FROM customer),
+k AS (SELECT concat(repeat('0', CAST(s_suppkey % 2 AS INTEGER)), CAST(s_suppkey AS VARCHAR(20))) AS fid FROM supplier),
+c AS (SELECT wanted, (SELECT count(*) FROM k WHERE fid = wanted) AS n_exact, (SELECT count(*) FROM k WHERE CAST(fid AS BIGINT) = CAST(wanted AS BIGINT)) AS n_number FROM w)
+SELECT wanted, n_exact, n_number, CASE WHEN CASE WHEN n_exact > 0 THEN n_exact ELSE n_number END = 0 THEN 'not_found'
+  WHEN CASE WHEN n_exact > 0 THEN n_exact ELSE n_number END > 1 THEN 'ambiguous' ELSE 'ok' END AS status FROM c""")
+def facilityid_match(v: Views) -> DataFrame:
+    w = v("customer").selectExpr("concat(repeat('0', CAST(c_custkey % 3 AS INT)), CAST(c_custkey % 400 AS STRING)) AS wanted").distinct()
+    return quality.match_facilityid(w, v("supplier").selectExpr("concat(repeat('0', CAST(s_suppkey % 2 AS INT)), CAST(s_suppkey AS STRING)) AS fid"))
+
+
+_PATTERNS = [("steel", "plant"), ("brushed steel", "station"), ("tin", "plant"), ("copper", "terminal")]
+
+
+@query("""SELECT role, count(*) AS n FROM (SELECT CASE WHEN contains(lower(p_type), 'brushed steel') THEN 'station' WHEN contains(lower(p_type), 'copper') THEN 'terminal'
+  WHEN contains(lower(p_type), 'steel') THEN 'plant' WHEN contains(lower(p_type), 'tin') THEN 'plant' ELSE 'station' END AS role FROM part) x GROUP BY role""")
+def facility_roles(v: Views) -> DataFrame:
+    return v("part").groupBy(quality.facility_role("p_type", _PATTERNS).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# membership
+
+_VD = """sqrt(greatest(u.x0-p.sx, p.sx-u.x1, 0e0)*greatest(u.x0-p.sx, p.sx-u.x1, 0e0)
+  + greatest(u.y0-p.ey, p.sy-u.y1, 0e0)*greatest(u.y0-p.ey, p.sy-u.y1, 0e0))"""
+_NEAR = f"""near AS (SELECT u.uid, p.pidx, p.in_trace, p.sx, {_VD} AS dist FROM unit u JOIN vline p ON {_VD} <= 30*(1+1e-9)),
+cp AS (SELECT uid, min(dist) FILTER (in_trace) AS cp_din, min(dist) FILTER (NOT in_trace) AS cp_dout, arg_min(pidx, (dist, pidx)) FILTER (NOT in_trace) AS cp_fpidx,
+  coalesce(bool_or(dist = 0) FILTER (NOT in_trace), false) AS cp_cross FROM near GROUP BY uid HAVING min(dist) FILTER (in_trace) IS NOT NULL),
+fl AS (SELECT *, CASE WHEN cp_cross OR coalesce(cp_dout < cp_din, false) THEN 'review' WHEN cp_dout IS NOT NULL AND cp_din > 0 THEN 'warning' ELSE '' END AS cp_flag FROM cp)"""
+
+
+@query(f"SELECT DISTINCT u.uid FROM unit u JOIN vline p ON p.in_trace AND {_VD} <= 20")
+def served_units(v: Views) -> DataFrame:
+    return membership.served_units(v("unit"), v("vline").where("in_trace"), 20.0).select("uid")
+
+
+@query(f"WITH {_NEAR} SELECT uid, {r('cp_din')} AS cp_din, {r('cp_dout')} AS cp_dout, cp_fpidx, cp_cross, cp_flag FROM fl")
+def cp_metrics(v: Views) -> DataFrame:
+    return rounded(membership.competing(v("unit"), v("vline"), 30.0), "cp_din", "cp_dout")
+
+
+@query(f"WITH {_NEAR} SELECT cp_flag, count(*) AS n FROM fl GROUP BY cp_flag")
+def cp_flags(v: Views) -> DataFrame:
+    return membership.competing(v("unit"), v("vline"), 30.0).groupBy("cp_flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+_POS = "CASE WHEN uid % 3 = 0 THEN 'border' ELSE 'inner' END"
+
+
+@query(f"WITH {_NEAR} SELECT uid, {_POS} = 'border' AND cp_din > 0 AND cp_cross AS cp_excl FROM fl")
+def cp_exclude(v: Views) -> DataFrame:
+    return membership.exclude(membership.competing(v("unit"), v("vline"), 30.0).withColumn("cp_pos", F.expr(_POS))).select("uid", "cp_excl")
+
+
+_BUF = """buf AS (SELECT u.uid, p.in_trace, least(u.x1, p.sx+30) - greatest(u.x0, p.sx-30) AS ow, least(u.y1, p.ey+30) - greatest(u.y0, p.sy-30) AS oh FROM unit u JOIN vline p
+  ON least(u.x1, p.sx+30) > greatest(u.x0, p.sx-30) AND least(u.y1, p.ey+30) > greatest(u.y0, p.sy-30)),
+ar AS (SELECT uid, coalesce(max(ow*oh) FILTER (in_trace), 0e0) AS in_area, coalesce(max(ow*oh) FILTER (NOT in_trace), 0e0) AS out_area FROM buf GROUP BY uid)"""
+
+
+@query(f"WITH {_BUF} SELECT uid, {r('in_area')} AS in_area, {r('out_area')} AS out_area, CASE WHEN out_area > in_area THEN 'exclude' ELSE 'keep' END AS cp_asgn FROM ar")
+def buffer_assign(v: Views) -> DataFrame:
+    return rounded(membership.buffer_areas(v("unit"), v("vline"), 30.0), "in_area", "out_area")
+
+
+@query(f"WITH {_BUF} SELECT uid FROM ar WHERE NOT (({_POS}) = 'border' AND in_area / 2500e0 < 0.5e0 AND in_area < 1000)")
+def nick_gate(v: Views) -> DataFrame:
+    d = membership.buffer_areas(v("unit"), v("vline"), 30.0).withColumns({"cp_pos": F.expr(_POS), "cp_cover": F.col("in_area") / 2500, "cp_covar": F.col("in_area")})
+    return membership.nick_gate(d, 0.5, 1000.0).select("uid")
+
+
+@query(f"""WITH {_NEAR}, e AS (SELECT uid, arg_min(sx, (dist, pidx)) FILTER (in_trace) AS xi, arg_min(sx, (dist, pidx)) FILTER (NOT in_trace) AS xo FROM near GROUP BY uid)
+SELECT e.uid, {r("CASE WHEN xi <= xo THEN least(1e0, greatest(0e0, least(x1, (xi+xo)/2) - x0)/(x1-x0)) ELSE 1 - least(1e0, greatest(0e0, least(x1, (xi+xo)/2) - x0)/(x1-x0)) END")} AS cp_keep
+FROM e JOIN unit u ON u.uid = e.uid WHERE xi IS NOT NULL AND xo IS NOT NULL""")
+def equidistant_split(v: Views) -> DataFrame:
+    return rounded(membership.equidistant_share(v("unit"), v("vline"), 30.0), "cp_keep")
+
+
+@query("""WITH s AS (SELECT basin AS site, count(*) - 1 AS n_pipes, count(*) FILTER (inv > 5000) AS n_units, avg(CASE WHEN inv > 4000 THEN 1e0 ELSE 0e0 END) AS coverage, sum(r) * 1e0 AS acres FROM net GROUP BY basin)
+SELECT site, 'no_upstream_found' AS flag_type FROM s WHERE n_pipes = 0 UNION ALL SELECT site, 'low_population_match' FROM s WHERE n_pipes > 0 AND (n_units = 0 OR coverage < 0.5)
+UNION ALL SELECT site, 'large_catchment' FROM s WHERE n_pipes > 0 AND n_units > 0 AND acres > 500""")
+def site_flags(v: Views) -> DataFrame:
+    s = v("net").groupBy(F.col("basin").alias("site")).agg(
+        (F.count(F.lit(1)) - 1).alias("n_pipes"), F.count_if(F.col("inv") > 5000).alias("n_units"), F.avg(F.when(F.col("inv") > 4000, 1.0).otherwise(0.0)).alias("coverage"), (F.sum("r") * 1.0).alias("acres")
+    )
+    return membership.site_flags(s)
+
+
+# demographics
+
+_OV = "greatest(0e0, least({0}) - greatest({1}))"
+_WEIGHTS = """pu AS (SELECT p.pid, u.uid, p.x0 AS px0, p.y0 AS py0, p.x1 AS px1, p.y1 AS py1, u.x0 AS ux0, u.y0 AS uy0, u.x1 AS ux1, u.y1 AS uy1 FROM home p JOIN unit u
+  ON p.x0 < u.x1 AND u.x0 < p.x1 AND p.y0 < u.y1 AND u.y0 < p.y1),
+den AS (SELECT uid, sum((least(px1,ux1)-greatest(px0,ux0))*(least(py1,uy1)-greatest(py0,uy0))) AS denom FROM pu GROUP BY uid),
+us AS (SELECT s.sid, u.uid, s.x0, s.y0, s.x1, s.y1 FROM unit u JOIN site s ON s.x0 < u.x1 AND u.x0 < s.x1 AND s.y0 < u.y1 AND u.y0 < s.y1),
+num AS (SELECT sid, us.uid, sum(greatest(0e0, least(px1,ux1,x1)-greatest(px0,ux0,x0))*greatest(0e0, least(py1,uy1,y1)-greatest(py0,uy0,y0))) AS numer FROM us JOIN pu ON pu.uid = us.uid GROUP BY sid, us.uid),
+wt AS (SELECT us.sid, us.uid, CASE WHEN coalesce(denom, 0e0) <= 0 THEN 0e0 ELSE least(1e0, coalesce(numer, 0e0)/denom) END AS weight
+  FROM us LEFT JOIN num ON num.sid = us.sid AND num.uid = us.uid LEFT JOIN den ON den.uid = us.uid)"""
+
+
+def _weights(v: Views) -> DataFrame:
+    return demo.dasymetric_weights(v("unit"), v("home"), v("site"), "uid", "pid", "sid", 50.0)
+
+
+@query(f"WITH {_WEIGHTS} SELECT sid, uid, {r('weight')} AS weight FROM wt")
+def dasymetric_weights(v: Views) -> DataFrame:
+    return rounded(_weights(v), "weight")
+
+
+@query(f"""WITH {_WEIGHTS} SELECT sid, {r("coalesce(sum(weight*cnt),0e0)", 2)} AS population, count(*) FILTER (weight > 0) AS n_units,
+{r("sqrt(sum((weight*cnt*0.1e0)*(weight*cnt*0.1e0)))", 2)} AS moe FROM wt JOIN unit ON unit.uid = wt.uid GROUP BY sid""")
+def apportioned_counts(v: Views) -> DataFrame:
+    d = _weights(v).join(v("unit").select("uid", "cnt", (F.col("cnt") * 0.1).alias("moe")), "uid")
+    d = d.groupBy("sid").agg(demo.apportion("weight", "cnt").alias("population"), F.count_if(F.col("weight") > 0).alias("n_units"), demo.apportion_moe("weight", "moe").alias("moe"))
+    return rounded(d, "population", "moe", digits=2)
+
+
+@query(f"""WITH m AS (SELECT o_orderkey AS k, o_totalprice/10 AS num, CASE WHEN o_orderkey % 50 = 0 THEN 0e0 ELSE o_totalprice END AS den, (o_orderkey % 90)*1e0 AS mn, (o_orderkey % 700)*1e0 AS md FROM orders),
+q AS (SELECT *, mn*mn - (num/nullif(den,0e0))*(num/nullif(den,0e0))*md*md AS minus, mn*mn + (num/nullif(den,0e0))*(num/nullif(den,0e0))*md*md AS plus FROM m)
+SELECT k, {r("CASE WHEN den > 0 THEN sqrt(CASE WHEN minus >= 0 THEN minus ELSE plus END)/den END", 8)} AS moe FROM q""")
+def proportion_moe(v: Views) -> DataFrame:
+    m = v("orders").selectExpr("o_orderkey AS k", "o_totalprice/10 AS num", "CASE WHEN o_orderkey % 50 = 0 THEN 0e0 ELSE o_totalprice END AS den", "(o_orderkey % 90)*1e0 AS mn", "(o_orderkey % 700)*1e0 AS md")
+    return rounded(m.select("k", demo.proportion_moe(F.col("num"), F.col("den"), F.col("mn"), F.col("md")).alias("moe")), "moe", digits=8)
+
+
+_BINS = "CAST(c_nationkey AS BIGINT) AS site, floor(c_acctbal/2000)*2000e0 AS lo, CASE WHEN c_acctbal >= 8000 THEN NULL ELSE floor(c_acctbal/2000)*2000e0+2000 END AS hi"
+
+
+@query(f"""WITH b AS (SELECT {_BINS} FROM customer), g AS (SELECT site, lo, max(hi) AS hi, count(*)*1e0 AS n FROM b GROUP BY site, lo),
+c AS (SELECT *, sum(n) OVER (PARTITION BY site ORDER BY lo) AS cum, sum(n) OVER (PARTITION BY site) AS total FROM g),
+f AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY lo) AS rn FROM c WHERE cum >= total/2)
+SELECT site, {r("CASE WHEN hi IS NULL OR n = 0 THEN lo ELSE lo + (total/2-(cum-n))/n*(hi-lo) END")} AS median FROM f WHERE rn = 1""")
+def pooled_median(v: Views) -> DataFrame:
+    return rounded(demo.pooled_median(v("customer").selectExpr(*_BINS.split(", ", 2), "1e0 AS n")), "median")
+
+
+@query(f"""SELECT o_custkey % 25 AS site, count(*) AS n, {r("sum(o_totalprice*(0.25e0+o_orderkey%4*0.25e0))", 2)} AS total,
+{r("sum(o_totalprice*(0.25e0+o_orderkey%4*0.25e0))/sum(0.25e0+o_orderkey%4*0.25e0)", 2)} AS mean, {r("median(o_totalprice)", 2)} AS median FROM orders GROUP BY 1""")
+def property_stats(v: Views) -> DataFrame:
+    d = v("orders").selectExpr("o_custkey % 25 AS site", "o_totalprice AS val", "0.25e0+o_orderkey%4*0.25e0 AS weight")
+    return rounded(demo.property_stats(d), "total", "mean", "median", digits=2)
+
+
+@query(f"""SELECT substr(lpad(CAST(uid*7919 AS VARCHAR(20)), 15, '0'), 1, 12) AS group_id, count(*) AS n_blocks, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, {r("sum(cnt)", 2)} AS cnt FROM unit GROUP BY 1""")
+def block_to_group(v: Views) -> DataFrame:
+    return rounded(demo.block_groups(v("unit").withColumn("geoid", (F.col("uid") * 7919).cast("string")), "geoid", ("cnt",)), "cnt", digits=2)
+
+
+@query("""SELECT o_orderpriority AS use_desc, count(*) AS n, count(*) FILTER ((starts_with(o_orderpriority, '1') OR starts_with(o_orderpriority, '2') OR contains(o_orderpriority, 'LOW'))) AS n_res FROM orders GROUP BY 1""")
+def residential_mask(v: Views) -> DataFrame:
+    return v("orders").groupBy(F.col("o_orderpriority").alias("use_desc")).agg(F.count(F.lit(1)).alias("n"), F.count_if(demo.residential("o_orderpriority", ("1", "2"), ("LOW",))).alias("n_res"))
+
+
+@query(f"""SELECT s.sid, p.pid, {r("(least(p.x1,s.x1)-greatest(p.x0,s.x0))*(least(p.y1,s.y1)-greatest(p.y0,s.y0))/((p.x1-p.x0)*(p.y1-p.y0))")} AS fraction
+FROM parcel p JOIN site s ON p.x0 < s.x1 AND s.x0 < p.x1 AND p.y0 < s.y1 AND s.y0 < p.y1""")
+def served_parcels(v: Views) -> DataFrame:
+    return rounded(demo.clipped_fractions(v("parcel"), v("site"), "pid", "sid", 100.0).drop("area"), "fraction")
+
+
+# scoring
+
+_INTER = "(least(a.x1,b.x1)-greatest(a.x0,b.x0))*(least(a.y1,b.y1)-greatest(a.y0,b.y0))"
+
+
+@query(f"""SELECT a.sid AS a_id, b.uid AS b_id, {r(f"{_INTER}/((a.x1-a.x0)*(a.y1-a.y0)+2500e0-{_INTER})", 6)} AS iou
+FROM site a JOIN unit b ON a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""")
+def iou_boxes(v: Views) -> DataFrame:
+    return rounded(scoring.iou_boxes(v("site"), v("unit"), "sid", "uid", 100.0), "iou", digits=6)
+
+
+@query(f"""SELECT a.sid AS a_id, b.sid AS b_id, {r(_INTER)} AS overlap FROM site a JOIN site b ON a.sid < b.sid AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1""")
+def coincident_pairs(v: Views) -> DataFrame:
+    p = spatial.box_pairs(v("site"), v("site"), "sid", "sid", 400.0).where("a_id < b_id")
+    return rounded(p.select("a_id", "b_id", (F.col("ow") * F.col("oh")).alias("overlap")), "overlap")
+
+
+@query(f"SELECT method, sel_r, {r('median(iou)')} AS median_iou, {r('avg(iou)')} AS mean_iou, count(*) FILTER (iou >= 0.5) AS n_ge, count(*) AS n FROM sweep GROUP BY method, sel_r")
+def sweep_summary(v: Views) -> DataFrame:
+    return rounded(scoring.summarize(v("sweep"), ("method", "sel_r")), "median_iou", "mean_iou")
+
+
+_LOO = """h AS (SELECT DISTINCT site AS held FROM sweep),
+s AS (SELECT held, method, sel_r, median(iou) AS m, count(*) FILTER (iou >= 0.5) AS g FROM h JOIN sweep ON site <> held GROUP BY held, method, sel_r),
+b AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY m DESC, g DESC, method, sel_r) AS rn FROM s),
+w AS (SELECT held, b.method, b.sel_r, iou FROM b JOIN sweep k ON k.site = held AND k.method = b.method AND k.sel_r = b.sel_r WHERE rn = 1)"""
+
+
+@query(f"WITH {_LOO} SELECT held, method, sel_r, {r('iou')} AS iou FROM w")
+def loo_winners(v: Views) -> DataFrame:
+    return rounded(scoring.leave_one_out(v("sweep"), ("method", "sel_r")), "iou")
+
+
+@query(f"WITH {_LOO} SELECT method, sel_r, count(*) AS wins, {r('median(iou)')} AS median_iou FROM w GROUP BY method, sel_r")
+def loo_report(v: Views) -> DataFrame:
+    d = scoring.leave_one_out(v("sweep"), ("method", "sel_r")).groupBy("method", "sel_r")
+    return rounded(d.agg(F.count(F.lit(1)).alias("wins"), F.median("iou").alias("median_iou")), "median_iou")
+
+
+_REACHED = "c_nationkey % 5 AS site, c_custkey % 4 AS expected, CAST(floor(c_acctbal) AS BIGINT) % 4 AS basin"
+
+
+@query(f"""WITH t AS (SELECT {_REACHED} FROM customer WHERE c_acctbal > 0), k AS (SELECT site, basin, count(*) AS k FROM t GROUP BY site, basin),
+a AS (SELECT site, count(*) AS n, count(*) FILTER (expected = basin) AS h FROM t GROUP BY site)
+SELECT a.site, n, {r("h/(n*1e0)")} AS share, arg_min(basin, (-k, basin)) AS dominant, {r("max(k)/(n*1e0)")} AS dominant_share FROM a JOIN k ON k.site = a.site GROUP BY a.site, n, h""")
+def basin_capture(v: Views) -> DataFrame:
+    t = v("customer").where("c_acctbal > 0").selectExpr("c_nationkey % 5 AS site", "c_custkey % 4 AS expected", "CAST(floor(c_acctbal) AS BIGINT) % 4 AS basin")
+    return rounded(scoring.capture(t), "share", "dominant_share")
+
+
+@query("SELECT basin, node_id, inv FROM (SELECT *, row_number() OVER (PARTITION BY basin ORDER BY inv, node_id) AS rn FROM net WHERE inv > 0) x WHERE rn <= 12")
+def deepest_k(v: Views) -> DataFrame:
+    w = W.Window.partitionBy("basin").orderBy("inv", "node_id")
+    return v("net").where("inv > 0").withColumn("rn", F.row_number().over(w)).where("rn <= 12").select("basin", "node_id", "inv")
+
+
+@query(f"""WITH d AS (SELECT {_D} AS dist FROM pt a JOIN pt b ON a.id < b.id AND {_D} <= 25)
+SELECT {r("quantile_cont(dist, 0.5)")} AS p50, {r("quantile_cont(dist, 0.9)")} AS p90, {r("quantile_cont(dist, 0.99)")} AS p99 FROM d""")
+def gap_percentiles(v: Views) -> DataFrame:
+    d = spatial.self_pairs(v("pt"), 25.0)
+    return rounded(d.agg(*[F.percentile("dist", q).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.99)]), "p50", "p90", "p99")
+
+
+@query("""SELECT l_orderkey AS base_id, concat(CAST(l_orderkey AS VARCHAR(20)), '#', CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS VARCHAR(20))) AS partid FROM lineitem""")
+def exploded_parts(v: Views) -> DataFrame:
+    n = F.row_number().over(W.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1
+    return v("lineitem").select(F.col("l_orderkey").alias("base_id"), F.concat(F.col("l_orderkey").cast("string"), F.lit("#"), n.cast("string")).alias("partid"))
+
+
+# force mains
+
+_FM = """two AS (SELECT a AS u, b AS v FROM main UNION SELECT b, a FROM main),
+fr AS (SELECT u AS node, u AS other FROM two UNION SELECT fr.node, two.v FROM fr JOIN two ON two.u = fr.other),
+fc AS (SELECT node, min(other) AS comp FROM fr GROUP BY node),
+term AS (SELECT u AS node, comp FROM two JOIN fc ON node = u WHERE u <> v GROUP BY u, comp HAVING count(DISTINCT v) = 1),
+ends AS (SELECT comp, node, ((node*37)%600)*1e0 AS gap, (node%3) AS out_degree, node*10 AS gravity FROM term),
+cl AS (SELECT *, CASE WHEN gap <= 150 THEN 'connected' WHEN gap <= 400 THEN 'candidate' ELSE 'none' END AS contact,
+  CASE WHEN gap <= 150 THEN CASE WHEN out_degree > 0 THEN 'discharge' ELSE 'wetwell' END WHEN gap <= 400 THEN CASE WHEN out_degree > 0 THEN 'discharge?' ELSE 'wetwell?' END ELSE 'none' END AS classification FROM ends),
+vd AS (SELECT comp, count(*) FILTER (classification = 'wetwell') AS n_wet, count(*) FILTER (classification = 'discharge') AS n_dis, count(*) FILTER (contact <> 'connected') AS n_open FROM cl GROUP BY comp),
+ve AS (SELECT *, CASE WHEN n_dis > 1 THEN 'multi_discharge' WHEN n_dis = 1 AND n_wet >= 1 THEN 'resolved' WHEN n_dis = 1 THEN 'no_wetwell' WHEN n_wet >= 1 THEN 'no_discharge' ELSE 'unattached' END AS verdict FROM vd)"""
+
+
+def _classified(v: Views) -> DataFrame:
+    tagged = pressure.components(v("main"))
+    comp = tagged.select("comp", F.col("a").alias("node")).union(tagged.select("comp", "b")).distinct()
+    ends = pressure.termini(v("main")).join(comp, "node").selectExpr("comp", "node", "((node*37)%600)*1e0 AS gap", "(node%3) AS out_degree", "node*10 AS gravity")
+    return pressure.classify(ends, 150.0, 400.0)
+
+
+@query(f"WITH {_FM} SELECT node FROM term")
+def termini(v: Views) -> DataFrame:
+    return pressure.termini(v("main"))
+
+
+@query(f"""WITH {_FM}, ec AS (SELECT comp, count(*) AS n_edges FROM main JOIN fc ON node = a GROUP BY comp), nc AS (SELECT comp, count(*) AS n_nodes FROM fc GROUP BY comp)
+SELECT ec.comp, n_edges, n_nodes, n_edges - n_nodes + 1 AS n_cycles FROM ec JOIN nc ON nc.comp = ec.comp""")
+def cycle_rank(v: Views) -> DataFrame:
+    return pressure.cycle_rank(pressure.components(v("main")))
+
+
+@query(f"WITH {_FM} SELECT comp, n_wet, n_dis, n_open, verdict FROM ve")
+def verdicts(v: Views) -> DataFrame:
+    return pressure.verdicts(_classified(v))
+
+
+@query(f"""WITH {_FM} SELECT w.comp, w.gravity AS u, d.gravity AS v FROM cl w JOIN cl d ON d.comp = w.comp AND w.classification = 'wetwell' AND d.classification = 'discharge'
+JOIN ve ON ve.comp = w.comp AND verdict = 'resolved' WHERE w.gravity <> d.gravity""")
+def fm_edges(v: Views) -> DataFrame:
+    return pressure.main_edges(_classified(v))
+
+
+@query(f"""WITH {_FM}, t AS (SELECT comp, bool_and(coalesce(diameter < 40, false)) AS thin, sum(length_ft) AS len FROM main JOIN fc ON node = a GROUP BY comp), g AS (SELECT comp, min(gap) AS gap FROM ends GROUP BY comp)
+SELECT t.comp FROM t LEFT JOIN g ON g.comp = t.comp WHERE thin AND len < 3000 AND coalesce(gap, 1e300) > 10""")
+def stub_pruning(v: Views) -> DataFrame:
+    return pressure.small_stubs(pressure.components(v("main")), _classified(v).select("comp", "gap"), 40.0, 3000.0, 10.0)
+
+
+@query(f"""WITH {_FM} SELECT comp, node, contact, gap, CASE WHEN gap <= 25 THEN greatest(gap/2*1.25e0, 1e0) END AS radius_ft,
+CASE contact WHEN 'connected' THEN 2 WHEN 'candidate' THEN 0 ELSE 1 END AS rank FROM cl""")
+def review_queue(v: Views) -> DataFrame:
+    return pressure.review_queue(_classified(v))
+
+
+@query(f"""WITH d AS (SELECT a.id AS a_id, b.id AS b_id, {_D} AS dist FROM pt a JOIN pt b ON a.id % 50 = 0 AND b.id % 7 = 0 AND {_D} <= CASE WHEN a.id % 100 = 0 THEN 200 ELSE 80 END)
+SELECT a_id, arg_min(b_id, (dist, b_id)) AS b_id FROM d GROUP BY a_id""")
+def facility_match(v: Views) -> DataFrame:
+    """Nearest terminus of each facility, with a tolerance by its role."""
+    near = spatial.within(v("pt").where("id % 50 = 0"), v("pt").where("id % 7 = 0"), 200.0).where("dist <= CASE WHEN a_id % 100 = 0 THEN 200 ELSE 80 END")
+    return near.groupBy("a_id").agg(F.min(F.struct("dist", "b_id")).alias("m")).select("a_id", F.col("m.b_id").alias("b_id"))
