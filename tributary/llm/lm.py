@@ -11,7 +11,7 @@ its words and one end mark, a piece of its own.
 Steps: (1) tasks count words, summed by key over all documents; (2) piece counts
 are added up over the distinct training words; (3) each distinct word gets its
 training count and its lattice likelihood once; (4) documents look up the
-``head`` most frequent words (short ones: a bounded broadcast), and send their
+most frequent words (at most ``head``, short ones: a bounded broadcast), and send their
 other distinct words to a join by word; sums are taken per document. A word that
 many documents have is in the head, so the join has no hot key.
 
@@ -157,6 +157,23 @@ def with_likelihood(vocab: DataFrame, pieces: Pieces) -> DataFrame:
     return vocab.select("word", "train", "every").mapInArrow(run, "word binary, train long, every long, lattice double")
 
 
+def frequent(vocab: DataFrame, head: int, most_bytes: int = HEAD_BYTES) -> DataFrame:
+    """The short words above a count that at most ``head`` of them reach.
+
+    The count is found from a histogram over classes of counts (sixteenths of a
+    power of two), so what reaches the driver depends on head alone, not on how
+    many partitions the vocabulary has.
+    """
+    short = vocab.where(F.octet_length("word") <= most_bytes).withColumn("class", F.floor(F.log2("every") * 16))
+    left, least = head, None
+    for r in sorted(short.groupBy("class").count().collect(), reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["class"]
+    return short.where(F.lit(False) if least is None else F.col("class") >= least)
+
+
 def score_documents(docs: DataFrame, held_out: str = "held_out", pieces: str | None = None, prior: float = PRIOR, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
@@ -174,7 +191,7 @@ def score_documents(docs: DataFrame, held_out: str = "held_out", pieces: str | N
     discard(counted)
     total = vocab.where("train > 0").agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total.n + ends, total.v + (ends > 0)
-    first = vocab.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("every"), "word").limit(head)
+    first = frequent(vocab, head)
     base = lambda c: math.log10((c + 1) / (n + v + 1))
     table = {bytes(w): (int(c > 0), base(c), x) for w, c, x in first.select("word", "train", "lattice").toPandas().itertuples(index=False)}
     sent = spark.sparkContext.broadcast((table, (int(ends > 0), base(ends), model.end / LN10)))
