@@ -160,7 +160,11 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Ordinal:
     """Train on at most ``sample`` labelled documents of docs."""
-    picked = ratings(labels).where("rating BETWEEN 0 AND 2").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rated = ratings(labels).where("rating BETWEEN 0 AND 2")
+    # about twice the sample is drawn by the hash first, so that what meets in one place doesn't grow with the labels
+    share = min(1.0, 2 * sample / max(labels.count(), 1))
+    rated = rated.where(F.xxhash64("doc_id") <= int(2**63 * (2 * share - 1) - (share == 1)))
+    picked = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(lambda t: token_buckets(t, buckets))

@@ -16,8 +16,8 @@ is written otherwise.
 
 Training is piecewise and unsupervised by hand: base spans are the labels. It
 uses the candidate tokens of at most ``sample`` documents, those with the least
-hash of doc_id and text among all documents with candidates, and at most
-``doc_tokens`` tokens of each; this is the only place where a bound is set.
+hash of doc_id and text, drawn by another hash from OVERSAMPLE times as many, and
+at most ``doc_tokens`` tokens of each; this is the only place where a bound is set.
 Detection reads every text whole.
 
 Edge cases: a null text is empty and has no span; without any candidate in the
@@ -57,6 +57,8 @@ LABELS = len(KINDS) + 1
 BUCKETS = 1 << 14
 SAMPLE = 2_000
 DOC_TOKENS = 200
+#: Of the documents so many times ``sample`` are looked at, by a hash, so that what is sent to the driver doesn't grow.
+OVERSAMPLE = 20
 BELIEF = 0.9
 
 
@@ -239,7 +241,10 @@ def fit_field(docs: DataFrame, sample: int = SAMPLE, doc_tokens: int = DOC_TOKEN
                     packed.append(zlib.compress(pickle.dumps(g), 1))
             yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(packed, pa.binary())], ["at", "graph"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "at long, graph binary").orderBy("at", "graph").limit(sample).collect()
+    n = docs.count()
+    share = min(1.0, OVERSAMPLE * sample / max(n, 1))
+    some = docs.select("doc_id", "text").where(F.xxhash64("doc_id", "text") <= int(2**63 * (2 * share - 1) - (share == 1)))
+    rows = some.mapInArrow(run, "at long, graph binary").orderBy("at", "graph").limit(sample).collect()
     graphs = [pickle.loads(zlib.decompress(r.graph)) for r in rows]
     return Field.fit(graphs) if graphs else None
 
