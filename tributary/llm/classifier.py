@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.text import Memo, columns
+from tributary.llm.text import Memo, columns, hash_bound
 
 BUCKETS = 1 << 17
 SAMPLE = 8_000
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int =
     rated = ratings(labels).where("rating BETWEEN 0 AND 2")
     # about twice the sample is drawn by the hash first, so that what meets in one place doesn't grow with the labels
     share = min(1.0, 2 * sample / max(labels.count(), 1))
-    rated = rated.where(F.xxhash64("doc_id") <= int(2**63 * (2 * share - 1) - (share == 1)))
+    rated = rated.where(F.xxhash64("doc_id") <= hash_bound(share))
     picked = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

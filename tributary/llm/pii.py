@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.text import columns
+from tributary.llm.text import columns, hash_bound
 
 #: The kinds in their order, and what a match looks like.
 KINDS = ("email", "ip", "card", "phone")
@@ -243,7 +243,7 @@ def fit_field(docs: DataFrame, sample: int = SAMPLE, doc_tokens: int = DOC_TOKEN
 
     n = docs.count()
     share = min(1.0, OVERSAMPLE * sample / max(n, 1))
-    some = docs.select("doc_id", "text").where(F.xxhash64("doc_id", "text") <= int(2**63 * (2 * share - 1) - (share == 1)))
+    some = docs.select("doc_id", "text").where(F.xxhash64("doc_id", "text") <= hash_bound(share))
     rows = some.mapInArrow(run, "at long, graph binary").orderBy("at", "graph").limit(sample).collect()
     graphs = [pickle.loads(zlib.decompress(r.graph)) for r in rows]
     return Field.fit(graphs) if graphs else None

@@ -32,3 +32,8 @@ def columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
 def ascii_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text as UTF-8 with A-Z lower-cased."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def hash_bound(share: float) -> int:
+    """The signed 64-bit number that a share of evenly spread hashes doesn't exceed."""
+    return 2**63 - 1 if share >= 1 else int(2**63 * (2 * max(share, 0.0) - 1))
