@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tributary.functions import geo
 from tributary.operators import demographics as demo
 from tributary.operators import graph, membership, pressure, quality, scoring, snap, spatial
 from tributary.operators.components import connected_components
@@ -270,11 +271,11 @@ def facilityid_match(v: Views) -> DataFrame:
     return quality.match_facilityid(w, v("supplier").selectExpr("concat(repeat('0', CAST(s_suppkey % 2 AS INT)), CAST(s_suppkey AS STRING)) AS fid"))
 
 
-_PATTERNS = [("steel", "plant"), ("brushed steel", "station"), ("tin", "plant"), ("copper", "terminal")]
+_PATTERNS = [("a", "plant"), ("standard", "station"), ("promo", "terminal"), ("eco", "plant")]
 
 
-@query("""SELECT role, count(*) AS n FROM (SELECT CASE WHEN contains(lower(p_type), 'brushed steel') THEN 'station' WHEN contains(lower(p_type), 'copper') THEN 'terminal'
-  WHEN contains(lower(p_type), 'steel') THEN 'plant' WHEN contains(lower(p_type), 'tin') THEN 'plant' ELSE 'station' END AS role FROM part) x GROUP BY role""")
+@query("""SELECT role, count(*) AS n FROM (SELECT CASE WHEN contains(lower(p_type), 'standard') THEN 'station' WHEN contains(lower(p_type), 'promo') THEN 'terminal'
+  WHEN contains(lower(p_type), 'eco') THEN 'plant' WHEN contains(lower(p_type), 'a') THEN 'plant' ELSE 'station' END AS role FROM part) x GROUP BY role""")
 def facility_roles(v: Views) -> DataFrame:
     return v("part").groupBy(quality.facility_role("p_type", _PATTERNS).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -545,3 +546,14 @@ def facility_match(v: Views) -> DataFrame:
     """Nearest terminus of each facility, with a tolerance by its role."""
     near = spatial.within(v("pt").where("id % 50 = 0"), v("pt").where("id % 7 = 0"), 200.0).where("dist <= CASE WHEN a_id % 100 = 0 THEN 200 ELSE 80 END")
     return near.groupBy("a_id").agg(F.min(F.struct("dist", "b_id")).alias("m")).select("a_id", F.col("m.b_id").alias("b_id"))
+
+
+# projection
+
+_LAT, _LON = "33.9e0 + (c_custkey % 250) / 100e0", "-83.9e0 + (c_custkey % 830) / 100e0"
+
+
+@query("SELECT c_custkey AS id, " + ", ".join(f"{r(e, 2)} AS {n}" for e, n in zip(geo.lcc_sql(_LAT, _LON), "xy")) + " FROM customer")
+def lcc_projection(v: Views) -> DataFrame:
+    x, y = geo.lcc(_LAT, _LON)
+    return rounded(v("customer").select(F.col("c_custkey").alias("id"), x.alias("x"), y.alias("y")), "x", "y", digits=2)
