@@ -10,7 +10,8 @@ Training uses at most ``sample`` labelled documents, those with the least hash o
 doc_id (the bound is a parameter; scoring covers every document). A bucket that
 fewer than ``min_docs`` of them have is not used, so that single documents are
 not learned by heart, nor is a word bucket that more than MAX_SHARE of them have,
-so that long texts don't outweigh a telling word by common ones.
+so that long texts don't outweigh a telling word by common ones, nor one whose
+documents' mean rating is within LEAST_Z standard errors of the overall mean.
 
 Edge cases: labels with a null are ignored, and the lowest rating of a document
 counts; a null text has no features and gets the thresholds' own probabilities;
@@ -32,11 +33,12 @@ from pyspark.sql import functions as F
 from tributary.llm.text import Memo, columns, hash_bound
 
 BUCKETS = 1 << 17
-SAMPLE = 8_000
+SAMPLE = 12_000
 MIN_DOCS = 8
 MAX_SHARE = 0.1
+LEAST_Z = 4.0
 GRADES = 3
-TAIL = 0.5
+TAIL = 0.7
 SHAPE_SCALE = 4.0
 _EDGES = re.compile(r"^\W+|\W+$")
 
@@ -115,7 +117,7 @@ class Ordinal:
         return np.diff(np.concatenate([np.zeros((len(signal), 1)), below, np.ones((len(signal), 1))], axis=1), axis=1)
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, buckets: int = BUCKETS, min_docs: int = MIN_DOCS, rounds: int = 60, l2: float = 1e-4) -> Ordinal:
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, buckets: int = BUCKETS, min_docs: int = MIN_DOCS, least_z: float = LEAST_Z, rounds: int = 100, l2: float = 1e-5) -> Ordinal:
         """Penalised maximum likelihood."""
         sizes = np.array([len(r[0]) for r in rows], np.int64)
         col = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
@@ -123,6 +125,9 @@ class Ordinal:
         doc = np.repeat(np.arange(len(rows)), sizes)
         df = np.bincount(col, minlength=buckets)
         often = (df >= min_docs) & ((df <= MAX_SHARE * len(rows)) | (np.arange(buckets) >= buckets // 2))
+        if len(rows):  # how far the documents of a bucket depart from all in their mean rating, in standard errors
+            mean = np.bincount(col, y[doc], minlength=buckets) / np.maximum(df, 1)
+            often &= np.abs(mean - y.mean()) * np.sqrt(df) >= least_z * max(float(y.std()), 1e-9)
         col, val, doc = col[often[col]], val[often[col]], doc[often[col]]
         n = len(rows)
         if n == 0 or len(set(y.tolist())) < 2:
