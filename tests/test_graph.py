@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tributary.operators import graph
 from tributary.operators.components import connected_components
 
@@ -9,8 +11,11 @@ def edges(spark, pairs):
 
 
 def trace(spark, pairs, node):
-    t = graph.trace_upstream(edges(spark, pairs), spark.createDataFrame([(1, node)], "site long, node long"))
-    return sorted((r.pidx, r.depth) for r in t.collect())
+    """Of both ways, which must agree."""
+    target = spark.createDataFrame([(1, node)], "site long, node long")
+    few, many = (sorted((r.pidx, r.depth) for r in graph.trace_upstream(edges(spark, pairs), target, n).collect()) for n in (graph.SMALL_EDGES, 0))
+    assert few == many
+    return few
 
 
 def test_fork(spark):
@@ -29,7 +34,8 @@ def test_two_cycle_once(spark):
     assert [p for p, _ in trace(spark, [(1, 2), (2, 1), (2, 3)], 3)] == [0, 1, 2]
 
 
-def test_random_components_and_scc(spark):
+@pytest.mark.parametrize("small", [0, graph.SMALL_EDGES])
+def test_random_components_and_scc(spark, small):
     rng = random.Random(5)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)]
     reach = {n: {n} for p in pairs for n in p}
@@ -37,12 +43,12 @@ def test_random_components_and_scc(spark):
         for u, v in pairs:
             reach[u] |= reach[v]
     scc = {n: min(m for m in r if n in reach[m]) for n, r in reach.items() if sum(n in reach[m] for m in r) > 1}
-    assert {r.node: r.scc for r in graph.strong_components(edges(spark, pairs)).collect()} == scc
+    assert {r.node: r.scc for r in graph.strong_components(edges(spark, pairs), small).collect()} == scc
     lab = {n: n for n in reach}
     for _ in range(60):
         for u, v in pairs:
             lab[u] = lab[v] = min(lab[u], lab[v])
-    assert {r.node: r.component for r in connected_components(edges(spark, pairs)).collect()} == lab
+    assert {r.node: r.component for r in connected_components(edges(spark, pairs), small_edges=small).collect()} == lab
 
 
 def test_empty(spark):

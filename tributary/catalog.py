@@ -66,7 +66,7 @@ comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
 
 @query(f"WITH {_COMP} SELECT node, component FROM comp")
 def weak_components(v: Views) -> DataFrame:
-    return connected_components(v("edge_frag")).select("node", "component")
+    return connected_components(v("edge_frag"), small_edges=graph.SMALL_EDGES).select("node", "component")
 
 
 @query(f"""WITH {_COMP} SELECT c.component, n_nodes, n_edges FROM (SELECT component, count(*) AS n_nodes FROM comp GROUP BY component) c

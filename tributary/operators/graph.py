@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,10 @@ from tributary.operators.components import connected_components
 from tributary.session import discard, materialize
 
 
+#: Graphs of at most so many edges are traced from a broadcast table, and solved for components in one task.
+SMALL_EDGES = 1_000_000
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, in_degree, out_degree), parallel edges and self-loops counted."""
     ends = edges.select(F.col("u").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(edges.select("v", F.lit(1), F.lit(0)))
@@ -35,7 +42,7 @@ def multiplicity(edges: DataFrame) -> DataFrame:
 
 def component_edges(edges: DataFrame) -> DataFrame:
     """(component, n_nodes, n_edges) of the weak components."""
-    comp = connected_components(edges)
+    comp = connected_components(edges, small_edges=SMALL_EDGES)
     nodes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
     lines = edges.join(comp.withColumnRenamed("node", "u"), "u").groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"))
     return nodes.join(lines, "component", "left").select("component", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
@@ -43,18 +50,50 @@ def component_edges(edges: DataFrame) -> DataFrame:
 
 def dangling_edges(edges: DataFrame, most: int, pidx: str = "pidx") -> DataFrame:
     """pidx of the edges in weak components of at most ``most`` edges."""
-    comp = connected_components(edges)
+    comp = connected_components(edges, small_edges=SMALL_EDGES)
     tagged = edges.join(comp.withColumnRenamed("node", "u"), "u").select("component", pidx)
     small = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
     return tagged.join(small, "component", "left_semi").select(pidx)
 
 
-def trace_upstream(edges: DataFrame, targets: DataFrame) -> DataFrame:
+def _trace_small(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """The trace with the edge table broadcast: each task searches for its own sites."""
+    up = defaultdict(list)
+    for u, v, p in edges.select("u", "v", "pidx").collect():
+        up[v].append((u, p))
+    sent = edges.sparkSession.sparkContext.broadcast(dict(up))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for site, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                front, seen, depth, out = [target], {target}, 0, []
+                while front:
+                    depth, after = depth + 1, []
+                    for v in front:
+                        for u, p in sent.value.get(v, ()):
+                            out.append((site, u, v, p, depth))
+                            if u not in seen:
+                                seen.add(u)
+                                after.append(u)
+                    front = after
+                if out:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out))[:4]), pa.array([r[4] for r in out], pa.int32())], ["site", "u", "v", "pidx", "depth"])
+
+    rows = targets.select(F.col("site").cast("long"), F.col("node").cast("long")).distinct()
+    return rows.mapInArrow(run, "site long, u long, v long, pidx long, depth int")
+
+
+def trace_upstream(edges: DataFrame, targets: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     """(site, u, v, pidx, depth): every edge that drains to each target (site, node), for all sites at once.
 
     A breadth-first search against the edges; a node is expanded once a site, so
-    cycles end. An edge's depth is one more than its head's level.
+    cycles end. An edge's depth is one more than its head's level. At most
+    ``small_edges`` edges are broadcast, if each site has one target.
     """
+    edges = materialize(edges.select(*[F.col(c).cast("long") for c in ("u", "v", "pidx")]), "edges")
+    one_each = targets.groupBy("site").agg(F.count_distinct("node").alias("n")).where("n > 1").limit(1).count() == 0
+    if one_each and edges.limit(small_edges + 1).count() <= small_edges:
+        return _trace_small(edges, targets)
     frontier = materialize(targets.select("site", "node").distinct().withColumn("level", F.lit(0)), "front")
     seen = [frontier]
     up = edges.select("u", F.col("v").alias("node"))
@@ -104,14 +143,59 @@ def _trim(edges: DataFrame) -> DataFrame:
         n = left
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _scc_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tarjan's algorithm without recursion over all edges of a small graph."""
+    out: dict[int, list[int]] = defaultdict(list)
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out[a].append(b)
+    order: dict[int, int] = {}
+    low: dict[int, int] = {}
+    on, stack, found = set(), [], []
+    for start in list(out):
+        if start in order:
+            continue
+        work = [(start, iter(out.get(start, ())))]
+        order[start] = low[start] = len(order)
+        stack.append(start)
+        on.add(start)
+        while work:
+            node, it = work[-1]
+            for nxt in it:
+                if nxt not in order:
+                    order[nxt] = low[nxt] = len(order)
+                    stack.append(nxt)
+                    on.add(nxt)
+                    work.append((nxt, iter(out.get(nxt, ()))))
+                    break
+                if nxt in on:
+                    low[node] = min(low[node], order[nxt])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == order[node]:
+                    group = []
+                    while not group or group[-1] != node:
+                        group.append(stack.pop())
+                        on.discard(group[-1])
+                    if len(group) > 1:
+                        found += [(n, min(group)) for n in group]
+    cols = list(zip(*found)) or [(), ()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "scc"])
+
+
+def strong_components(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     """(node, scc): members of strongly connected components of two nodes or more; scc is the smallest member.
 
     Trimming removes all trees; what remains is coloured forwards by the largest
     node that reaches each node, and each colour's root collects, backwards
-    within its colour, its component. The rest goes on.
+    within its colour, its component. The rest goes on. At most ``small_edges``
+    edges are solved in one task instead.
     """
-    live = materialize(edges.select("u", "v").where("u <> v").distinct(), "live")
+    live = materialize(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), "live")
+    if live.limit(small_edges + 1).count() <= small_edges:
+        return live.coalesce(1).mapInArrow(_scc_one_task, "node long, scc long")
     found = []
     while True:
         live = _trim(live)

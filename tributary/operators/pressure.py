@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.operators.components import connected_components
+from tributary.operators.graph import SMALL_EDGES
 
 
 def components(mains: DataFrame) -> DataFrame:
     """mains (pidx, a, b, ...) with comp, the smallest cluster of the component."""
-    comp = connected_components(mains.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    comp = connected_components(mains.select(F.col("a").alias("u"), F.col("b").alias("v")), small_edges=SMALL_EDGES)
     return mains.join(comp.select(F.col("node").alias("a"), F.col("component").alias("comp")), "a")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tributary.operators.components import connected_components
+from tributary.operators.graph import SMALL_EDGES
 from tributary.operators.spatial import self_pairs, within
 from tributary.session import materialize
 
@@ -28,7 +29,7 @@ def endpoints(pipes: DataFrame) -> DataFrame:
 
 def _clusters(points: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """(key, first): the smallest key of the cluster that each point is merged into."""
-    comp = connected_components(pairs.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")))
+    comp = connected_components(pairs.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")), small_edges=SMALL_EDGES)
     return points.select(key).join(comp.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("component", key).alias("first"))
 
 
