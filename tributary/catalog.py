@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tributary.functions import geo
+from tributary.functions import geo, shapes
 from tributary.operators import demographics as demo
-from tributary.operators import graph, membership, pressure, quality, scoring, snap, spatial
+from tributary.operators import graph, membership, polygons, pressure, quality, scoring, snap, spatial
 from tributary.operators.components import connected_components
 from tributary.plans.views import Views, with_clause
 
@@ -173,18 +173,18 @@ def end_node_repair(v: Views) -> DataFrame:
     return spatial.self_pairs(snap.pure_ends(snap._summary(ep.join(one, "ep_idx"), "first")), 20.0, "first").select("a_id", "b_id")
 
 
-@query(f"""WITH d AS (SELECT a.id AS a_id, b.id AS b_id, {_D} AS dist FROM pt a JOIN pt b ON a.id % 10 = 0 AND b.id % 10 <> 0 AND {_D} <= 60)
+@query(f"""WITH d AS (SELECT a.id AS a_id, b.id AS b_id, {_D} AS dist FROM spt a JOIN pt b ON {_D} <= 60)
 SELECT a_id, arg_min(b_id, (dist, b_id)) AS b_id, {r("min(dist)")} AS dist FROM d GROUP BY a_id""")
 def nearest_node_bounded(v: Views) -> DataFrame:
-    return rounded(spatial.nearest(v("pt").where("id % 10 = 0"), v("pt").where("id % 10 <> 0"), 60.0), "dist")
+    return rounded(spatial.nearest(v("spt"), v("pt"), 60.0), "dist")
 
 
-@query(f"""WITH d AS (SELECT a.id AS a_id, b.id AS node, {_D} AS dist, coalesce(k.n, 0) > 0 AS fed FROM pt a JOIN pt b ON a.id % 10 = 0 AND b.id % 10 <> 0 AND {_D} <= 60
+@query(f"""WITH d AS (SELECT a.id AS a_id, b.id AS node, {_D} AS dist, coalesce(k.n, 0) > 0 AS fed FROM spt a JOIN pt b ON {_D} <= 60
   LEFT JOIN (SELECT v, count(*) AS n FROM edge GROUP BY v) k ON k.v = b.id)
 SELECT a_id, coalesce(arg_min(node, (dist, node)) FILTER (fed), arg_min(node, (dist, node))) AS node FROM d GROUP BY a_id""")
 def false_headwater_guard(v: Views) -> DataFrame:
     """The nearest node in tolerance that something drains to; the plain nearest if none does."""
-    near = spatial.within(v("pt").where("id % 10 = 0"), v("pt").where("id % 10 <> 0"), 60.0)
+    near = spatial.within(v("spt"), v("pt"), 60.0)
     fed = v("edge").select(F.col("v").alias("b_id"), F.lit(True).alias("fed")).distinct()
     d = near.join(fed, "b_id", "left")
     best = F.coalesce(F.min(F.when(F.col("fed"), F.struct("dist", "b_id"))), F.min(F.struct("dist", "b_id")))
@@ -195,12 +195,12 @@ _T = "greatest(0e0, least(1e0, ((p.x-s.sx)*(s.ex-s.sx)+(p.y-s.sy)*(s.ey-s.sy))/n
 
 
 @query(f"""WITH t AS (SELECT p.id AS p_id, s.pidx AS s_id, p.x, p.y, s.sx, s.sy, s.ex, s.ey, {_T} AS t,
-  sqrt((s.ex-s.sx)*(s.ex-s.sx)+(s.ey-s.sy)*(s.ey-s.sy)) AS len FROM pt p JOIN pipe s ON s.pidx % 5 = 0),
+  sqrt((s.ex-s.sx)*(s.ex-s.sx)+(s.ey-s.sy)*(s.ey-s.sy)) AS len FROM pt p CROSS JOIN pipe s),
 d AS (SELECT *, sqrt((x-sx-t*(ex-sx))*(x-sx-t*(ex-sx))+(y-sy-t*(ey-sy))*(y-sy-t*(ey-sy))) AS dist, t*len AS along FROM t)
 SELECT p_id, s_id, {r("dist")} AS dist, {r("along")} AS along FROM d WHERE dist < 2 AND along > 10 AND len - along > 10""")
 def midspan_candidates(v: Views) -> DataFrame:
     """Points nearer than 2 to a pipe's inside, further than 10 from its ends along it."""
-    pipes = v("pipe").where("pidx % 5 = 0")
+    pipes = v("pipe")
     p = spatial.points_near_segments(v("pt"), pipes, 2.0, cell=100.0).where("dist < 2")
     length = pipes.select(F.col("pidx").alias("s_id"), F.expr("sqrt((ex-sx)*(ex-sx)+(ey-sy)*(ey-sy))").alias("len"))
     return rounded(p.join(length, "s_id").where("along > 10 AND len - along > 10").drop("len"), "dist", "along")
@@ -540,14 +540,77 @@ def review_queue(v: Views) -> DataFrame:
     return pressure.review_queue(_classified(v))
 
 
-@query(f"""WITH d AS (SELECT a.id AS a_id, b.id AS b_id, {_D} AS dist FROM pt a JOIN pt b ON a.id % 50 = 0 AND b.id % 7 = 0 AND {_D} <= CASE WHEN a.id % 100 = 0 THEN 200 ELSE 80 END)
+@query(f"""WITH d AS (SELECT a.id AS a_id, b.id AS b_id, {_D} AS dist FROM spt a JOIN pt b ON {_D} <= a.tol)
 SELECT a_id, arg_min(b_id, (dist, b_id)) AS b_id FROM d GROUP BY a_id""")
 def facility_match(v: Views) -> DataFrame:
     """Nearest terminus of each facility, with a tolerance by its role."""
-    near = spatial.within(v("pt").where("id % 50 = 0"), v("pt").where("id % 7 = 0"), 200.0).where("dist <= CASE WHEN a_id % 100 = 0 THEN 200 ELSE 80 END")
+    near = spatial.within(v("spt"), v("pt"), 200.0).join(v("spt").selectExpr("id AS a_id", "tol"), "a_id").where("dist <= tol")
     return near.groupBy("a_id").agg(F.min(F.struct("dist", "b_id")).alias("m")).select("a_id", F.col("m.b_id").alias("b_id"))
 
 
+# polygons
+
+
+def _shapes(v: Views, name: str, key: str, to: str, *more: str) -> DataFrame:
+    shapes.register(v.spark)
+    return v(name).select(F.col(key).alias(to), *more, shapes.box().alias("geom"))
+
+
+@query("SELECT seg AS site, count(DISTINCT (x0, y0)) * 2500e0 AS area FROM unit GROUP BY seg")
+def dissolved_area(v: Views) -> DataFrame:
+    return polygons.dissolve(_shapes(v, "unit", "seg", "site"), "site").select("site", shapes.measure("area", "geom").alias("area"))
+
+
+@query("""WITH u AS (SELECT DISTINCT seg, x0, y0 FROM unit)
+SELECT seg AS site, block FROM u JOIN block b ON u.x0 >= b.x0 AND u.x0 < b.x1 AND u.y0 >= b.y0 AND u.y0 < b.y1 GROUP BY seg, block HAVING count(*) >= 2""")
+def block_fill(v: Views) -> DataFrame:
+    """Blocks of which a segment's units cover half or more."""
+    base = polygons.dissolve(_shapes(v, "unit", "seg", "site"), "site")
+    return polygons.qualifying_blocks(base, _shapes(v, "block", "block", "block"), 0.5).select("site", "block")
+
+
+@query("""WITH p AS (SELECT a.sid AS a, b.sid AS b, least(a.x1,b.x1)-greatest(a.x0,b.x0) AS ow, least(a.y1,b.y1)-greatest(a.y0,b.y0) AS oh,
+  CAST(a.y0=b.y0 AS INTEGER)+CAST(a.y1=b.y1 AS INTEGER) AS ny, CAST(a.x0=b.x0 AS INTEGER)+CAST(a.x1=b.x1 AS INTEGER) AS nx FROM site a JOIN site b ON a.sid < b.sid)
+SELECT a, b, ny*ow + nx*oh AS seam_ft, ow*oh AS overlap FROM p WHERE ow >= 0 AND oh >= 0""")
+def shared_seams(v: Views) -> DataFrame:
+    """Length of common boundary and common area of each pair of sites that meet."""
+    return polygons.seams(_shapes(v, "site", "sid", "site"), 0.0, 500.0)
+
+
+@query("""SELECT uid, pidx AS site FROM unit u JOIN vline p
+ON sqrt(pow(greatest(u.x0-p.sx, p.sx-u.x1, 0e0), 2) + pow(greatest(u.y0-greatest(p.sy,p.ey), least(p.sy,p.ey)-u.y1, 0e0), 2)) <= 30""")
+def units_in_buffers(v: Views) -> DataFrame:
+    """Units that the buffer of each pipe meets, by shapes."""
+    units = _shapes(v, "unit", "uid", "uid")
+    lines = v("vline").select("pidx", F.col("pidx").alias("site"), shapes.segment("sx", "sy", "sx", "ey").alias("geom"))
+    return polygons.served(units, lines, 30.0)
+
+
+@query()
+def delaunay_boundary(v: Views) -> DataFrame:
+    """Each segment's boundary: bridged by triangles with edges up to 120, holes filled."""
+    return _measured(polygons.boundary(_shapes(v, "unit", "seg", "site"), "delaunay", edge=120.0))
+
+
+@query()
+def closed_boundary(v: Views) -> DataFrame:
+    return _measured(polygons.boundary(_shapes(v, "unit", "seg", "site"), "morph_close", close=30.0))
+
+
+@query()
+def resolved_overlaps(v: Views) -> DataFrame:
+    return _measured(polygons.resolve_overlaps(_shapes(v, "site", "sid", "site"), 10.0))
+
+
+@query()
+def aligned_seams(v: Views) -> DataFrame:
+    return _measured(polygons.align_seams(_shapes(v, "site", "sid", "site"), 50.0))
+
+
+def _measured(d: DataFrame) -> DataFrame:
+    return rounded(d.select("site", shapes.measure("area", "geom").alias("area"), shapes.measure("parts", "geom").cast("long").alias("n_parts")), "area", digits=2)
+
+
 # projection
 
 _LAT, _LON = "33.9e0 + (c_custkey % 250) / 100e0", "-83.9e0 + (c_custkey % 830) / 100e0"

@@ -20,8 +20,8 @@ METHODS = ("morph_close", "hybrid", "concave", "blocks_dissolve", "block_fill",
 
 def _boxed(df: DataFrame, *keys: str) -> DataFrame:
     """keys and bounds; rows without geometry are left out."""
-    b = df.select(*keys, shapes.bounds("geom").alias("b")).where("b IS NOT NULL")
-    return b.select(*keys, *[F.col("b")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+    b = df.select(*keys, shapes.bounds("geom").alias("_bounds")).where("_bounds IS NOT NULL")
+    return b.select(*keys, *[F.col("_bounds")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
 
 
 def dissolve(df: DataFrame, by: str, cell: float = 1000.0, salts: int = 8) -> DataFrame:

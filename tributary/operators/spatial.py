@@ -56,9 +56,14 @@ def points_near_segments(points: DataFrame, segments: DataFrame, radius: float,
     """(p_id, s_id, dist, along) of points within radius of segments (sx, sy, ex, ey)."""
     size = cell or max(radius * 4, 1.0)
     s = segments.select(F.col(s_id).alias("s_id"), "sx", "sy", "ex", "ey")
-    lo = lambda a, b: F.least(a, b) - radius
-    hi = lambda a, b: F.greatest(a, b) + radius
-    s = _explode_cells(s, lo("sx", "ex"), lo("sy", "ey"), hi("sx", "ex"), hi("sy", "ey"), size)
+    s = s.withColumn("cx", F.explode(F.sequence(_cell(F.least("sx", "ex") - radius, size), _cell(F.greatest("sx", "ex") + radius, size))))
+    # in a column of cells only the heights that the segment has there
+    run = F.nullif(F.col("ex") - F.col("sx"), F.lit(0.0))
+    at = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("sx")) / run))
+    y = lambda t, else_: F.coalesce(F.col("sy") + t * (F.col("ey") - F.col("sy")), F.col(else_))
+    ya, yb = y(at(F.col("cx") * size - radius), "sy"), y(at((F.col("cx") + 1) * size + radius), "ey")
+    # a hair more than the radius, for rounding
+    s = s.withColumn("cy", F.explode(F.sequence(_cell(F.least(ya, yb) - radius * (1 + 1e-9), size), _cell(F.greatest(ya, yb) + radius * (1 + 1e-9), size))))
     p = points.select(F.col(p_id).alias("p_id"), F.col("x").alias("px"), F.col("y").alias("py")).withColumns({"cx": _cell("px", size), "cy": _cell("py", size)})
     dist, along = segment_projection(*(F.col(c) for c in ("px", "py", "sx", "sy", "ex", "ey")))
     return p.join(s, ["cx", "cy"]).select("p_id", "s_id", dist.alias("dist"), along.alias("along")).where(F.col("dist") <= radius)

@@ -18,13 +18,22 @@ VIEWS: dict[str, str] = {
     # in every fifth basin the root leads back to the last node
     "edge_cyc": """SELECT pidx, u, v, basin FROM edge UNION ALL SELECT a.node_id + 1000000, a.node_id, b.node_id, a.basin
       FROM net a JOIN mx ON mx.basin = a.basin JOIN net b ON b.basin = mx.basin AND b.r = mx.m WHERE a.r = 1 AND a.basin % 5 = 0""",
-    "edge_frag": "SELECT pidx, u, v, basin FROM edge WHERE pidx % 4 <> 0",
-    "multi": "SELECT l_suppkey % 40 AS u, l_partkey % 40 AS v FROM lineitem WHERE l_linenumber = 1",
+    # only edges between different segments conduct
+    "edge_frag": """SELECT e.pidx, e.u, e.v, e.basin FROM edge e JOIN customer a ON a.c_custkey = e.u JOIN customer b ON b.c_custkey = e.v
+      WHERE a.c_mktsegment <> b.c_mktsegment""",
+    "multi": "SELECT l_suppkey % 40 AS u, l_partkey % 40 AS v FROM lineitem",
     "pt": "SELECT c_custkey AS id, (c_acctbal+1000)/5.5e0 AS x, ((c_custkey*7919)%2003)*1e0 AS y FROM customer",
-    "pipe": """SELECT a.id AS pidx, concat('P', CAST(a.id AS VARCHAR(20))) AS fid, a.x AS sx, a.y AS sy, b.x AS ex, b.y AS ey
-      FROM pt a JOIN pt b ON b.id = a.id + 1 WHERE a.id % 3 <> 0""",
+    "spt": """SELECT s_suppkey AS id, (s_acctbal+1000)/5.5e0 AS x, ((s_suppkey*7919)%2003)*1e0 AS y,
+      CASE WHEN s_nationkey < 12 THEN 200e0 ELSE 80e0 END AS tol FROM supplier""",
+    # chains of customers of one nation, segment and balance bracket
+    "pipe": """SELECT id AS pidx, concat('P', CAST(id AS VARCHAR(20))) AS fid, x AS sx, y AS sy, ex, ey FROM (SELECT id, x, y,
+      lead(x) OVER (PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal/1000) ORDER BY id) AS ex,
+      lead(y) OVER (PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal/1000) ORDER BY id) AS ey
+      FROM pt JOIN customer ON c_custkey = id) chained WHERE ex IS NOT NULL""",
     "unit": """SELECT c_custkey AS uid, c_mktsegment AS seg, greatest(c_acctbal,0) AS cnt, (c_custkey%40)*50e0 AS x0,
       (CAST(floor(c_custkey/40e0) AS BIGINT)%40)*50e0 AS y0, (c_custkey%40)*50e0+50 AS x1, (CAST(floor(c_custkey/40e0) AS BIGINT)%40)*50e0+50 AS y1 FROM customer""",
+    "block": """SELECT DISTINCT CAST(floor(x0/100e0) AS BIGINT)*1000 + CAST(floor(y0/100e0) AS BIGINT) AS block, floor(x0/100e0)*100e0 AS x0,
+      floor(y0/100e0)*100e0 AS y0, floor(x0/100e0)*100e0+100 AS x1, floor(y0/100e0)*100e0+100 AS y1 FROM unit""",
     "parcel": """SELECT o_orderkey AS pid, o_orderpriority AS use_desc, o_totalprice AS val, ((o_orderkey*31)%2000)*1e0 AS x0, ((o_orderkey*57)%2000)*1e0 AS y0,
       ((o_orderkey*31)%2000)+10e0+(o_orderkey%20) AS x1, ((o_orderkey*57)%2000)+10e0+(o_orderkey%20) AS y1 FROM orders""",
     "home": "SELECT * FROM parcel WHERE use_desc NOT LIKE '5%'",
@@ -33,9 +42,9 @@ VIEWS: dict[str, str] = {
     "vline": """SELECT CAST(n_nationkey AS BIGINT) AS pidx, n_nationkey*75e0+20 AS sx, 100e0 AS sy, 1500e0+n_nationkey*10e0 AS ey, n_nationkey % 2 = 0 AS in_trace FROM nation""",
     "sweep": """SELECT CAST(l_suppkey%24 AS BIGINT) AS site, l_returnflag AS method, CAST(l_linenumber%2 AS BIGINT) AS sel_r, floor(avg(l_discount)*1e5+0.5e0)/1e4 AS iou
       FROM lineitem GROUP BY l_suppkey%24, l_returnflag, l_linenumber%2""",
-    # force mains between clusters of suppliers, thin ones without a diameter now and then
-    "main": """SELECT p_partkey AS pidx, p_partkey % 997 AS a, (p_partkey * 7) % 997 AS b, CASE WHEN p_size % 9 = 0 THEN NULL ELSE p_size * 1e0 END AS diameter,
-      p_retailprice AS length_ft FROM part WHERE p_partkey % 3 = 0""",
+    # force mains in runs of neighbouring parts, some without a diameter
+    "main": """SELECT p_partkey AS pidx, p_partkey AS a, p_partkey + p_size % 3 AS b, CASE WHEN p_size % 9 = 0 THEN NULL ELSE p_size * 1e0 END AS diameter,
+      p_retailprice AS length_ft FROM part""",
 }
 ORDER = list(VIEWS)
 
