@@ -77,10 +77,11 @@ def _trace_small(edges: DataFrame, targets: DataFrame) -> DataFrame:
                                 after.append(u)
                     front = after
                 if out:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out))[:4]), pa.array([r[4] for r in out], pa.int32())], ["site", "u", "v", "pidx", "depth"])
+                    kinds = (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["site", "u", "v", "pidx", "depth"])
 
-    rows = targets.select(F.col("site").cast("long"), F.col("node").cast("long")).distinct()
-    return rows.mapInArrow(run, "site long, u long, v long, pidx long, depth int")
+    rows = targets.select("site", F.col("node").cast("long")).distinct()
+    return rows.mapInArrow(run, f"site {targets.schema['site'].dataType.simpleString()}, u long, v long, pidx long, depth int")
 
 
 def trace_upstream(edges: DataFrame, targets: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
