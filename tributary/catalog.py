@@ -201,7 +201,7 @@ SELECT p_id, s_id, {r("dist")} AS dist, {r("along")} AS along FROM d WHERE dist
 def midspan_candidates(v: Views) -> DataFrame:
     """Points nearer than 2 to a pipe's inside, further than 10 from its ends along it."""
     pipes = v("pipe")
-    p = spatial.points_near_segments(v("pt"), pipes, 2.0, cell=100.0).where("dist < 2")
+    p = spatial.points_near_segments(v("pt"), pipes, 2.0).where("dist < 2")
     length = pipes.select(F.col("pidx").alias("s_id"), F.expr("sqrt((ex-sx)*(ex-sx)+(ey-sy)*(ey-sy))").alias("len"))
     return rounded(p.join(length, "s_id").where("along > 10 AND len - along > 10").drop("len"), "dist", "along")
 
