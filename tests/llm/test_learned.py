@@ -92,6 +92,34 @@ def test_decontamination(spark, sf, odd, none):
     assert decontaminate.contaminated_pairs(none, weird).count() == 0 and decontaminate.clean_documents(odd, weird.limit(0)).count() == 9
 
 
+@pytest.mark.parametrize("copies,others", [(1, 0), (12, 200), (40, 0)])
+def test_edited_copies_of_a_hot_item(spark, copies, others):
+    """Copies of an item, each 5th word replaced, are found beside many verbatim ones, in whatever table."""
+    item = [f"word{i}" for i in range(38)]
+    around = [f"lorem{i}" for i in range(20)]
+    rows = [(d, " ".join(around + item + around)) for d in range(copies)]
+    rows += [(1000 + k, " ".join(around + [f"zz{k}" if i % 5 == 4 else w for i, w in enumerate(item)] + around)) for k in range(5)]
+    rows += [(2000 + d, " ".join(around)) for d in range(others)] + [(3000 + d, " ".join(around + item[:5] + around)) for d in range(9)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    want = {(d, 7) for d, _ in rows if d < 2000}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(docs, items).collect()} == want
+    assert {r.doc_id for r in decontaminate.clean_documents(docs, items).collect()} == {d for d, _ in rows if d >= 2000}
+
+
+def test_passages_left_out_could_not_score():
+    import numpy as np
+
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(12)]
+    items = decontaminate.Items([(i, " ".join(rng.choices(vocab, k=rng.randint(1, 30)))) for i in range(20)])
+    docs = [np.array([items.vocab.get(w, 0) for w in rng.choices([*vocab, "x", "y"], k=rng.randint(1, 80))]) for _ in range(40)]
+    needs = np.maximum(items.lengths, np.minimum(2 * items.lengths, 16))
+    for ids in docs:
+        every, kept = items.passages(ids, 0 * needs), items.passages(ids, needs)
+        scores = [decontaminate.align(items.items[i][1], ids[None, a:b])[0][0] for i, a, b in every]
+        assert set(kept) >= {p for p, s in zip(every, scores) if s >= needs[p[0]]}
+
+
 def test_pii_patterns():
     patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 

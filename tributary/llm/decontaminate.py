@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are white-space tokens, lower-cased and without punctuation. A seed is an
-n-gram of a test item (the whole item if it is shorter). A first pass counts in
-how many documents each seed occurs; a seed is rare if that is at most
-``rare_share`` of the documents or at most the median of its item's seeds, so
-every item keeps half of its seeds however often it was copied. A second pass
-looks up the rare seeds in each document, opens a passage around each run of
-hits, and aligns the passage with the item locally on words (match +2, other
--1, gap -1). The score is the best alignment's share of a full match's; a pair
-is contaminated from ``threshold`` on, when it has the worth of ``least_words``
-matches (all words of a shorter item).
+n-gram of a test item (the whole item if it is shorter). Every seed is looked up
+in each document, however common it is: copies of an item make all of its seeds
+common, and an edited copy has but a few of them. A passage is opened around each
+run of hits and aligned with the item locally on words (match +2, other -1, gap
+-1). The score is the best alignment's share of a full match's; a pair is
+contaminated from ``threshold`` on, when it has the worth of ``least_words``
+matches (all words of a shorter item). A passage that shares too few words with
+the item for that, in any order, isn't aligned; nothing is lost by it.
 
 The test items are taken in blocks of at most ``block_items``, each broadcast
 and scanned against all documents, so memory stays bounded for any benchmark.
@@ -23,7 +22,7 @@ empty table gives no rows. Extra document columns pass through clean_documents()
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,6 @@ from tributary.llm.text import Memo
 SEED = 3
 THRESHOLD = 0.5
 LEAST_WORDS = 8
-RARE_SHARE = 0.001
 BLOCK_ITEMS = 50_000
 _PUNCT = re.compile(r"[\W_]+")
 
@@ -63,11 +61,14 @@ class Items:
                 places[tuple(ids[at : at + k])].append((len(self.items), at))
             self.items.append((item_id, np.array(ids, np.int64)))
         self.grams = sorted(places)
-        self.places = [places[g] for g in self.grams]
         self.base = len(self.vocab) + 1
-        self._index()
-
-    def _index(self) -> None:
+        where = [places[g] for g in self.grams]
+        self.n_places = np.array([len(w) for w in where], np.int64)
+        self.first_place = np.cumsum(self.n_places) - self.n_places
+        self.place_item, self.place_at = np.array([p for w in where for p in w], np.int64).reshape(-1, 2).T.copy()
+        self.lengths = np.array([len(w) for _, w in self.items], np.int64)
+        self.words = np.concatenate([w for _, w in self.items]) if self.items else np.zeros(0, np.int64)
+        self.first_word = np.cumsum(self.lengths) - self.lengths
         self.by_length = {}
         for k in {len(g) for g in self.grams}:
             seeds = np.array([i for i, g in enumerate(self.grams) if len(g) == k], np.int64)
@@ -81,18 +82,6 @@ class Items:
             code = (code * self.base + x) % 2**64
         return code
 
-    def rare(self, df: dict[int, int], n_docs: int, share: float = RARE_SHARE) -> None:
-        """Keep only the seeds that are rare in the corpus."""
-        own = defaultdict(list)
-        for seed, where in enumerate(self.places):
-            for item, _ in where:
-                own[item].append(df.get(seed, 0))
-        limit = {item: max(share * n_docs, float(np.median([c for c in x if c] or [0]))) for item, x in own.items()}
-        kept = [(g, [(i, at) for i, at in w if df.get(s, 0) <= limit[i]]) for s, (g, w) in enumerate(zip(self.grams, self.places))]
-        kept = [x for x in kept if x[1]]
-        self.grams, self.places = [x[0] for x in kept], [x[1] for x in kept]
-        self._index()
-
     def memo(self) -> Memo:
         """Raw token -> word id, 0 for words of no item, -1 for tokens without a letter or digit."""
         return Memo(lambda raw: self.vocab.get(w, 0) if (w := plain_word(raw)) else -1)
@@ -120,27 +109,55 @@ class Items:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(at), np.concatenate(seed)
 
-    def passages(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, from, to): stretches of the document that hits of an item point at."""
+    def passages(self, ids: np.ndarray, need: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, from, to): stretches of the document that hits of an item point at, and that could score need[item]."""
+        pos, seed = self.hits(ids)
+        if not len(pos):
+            return []
+        hit, slot = _ranges(self.first_place[seed], self.n_places[seed])
+        item, start = self.place_item[slot], pos[hit] - self.place_at[slot]
+        # a score is at most twice the words in common; first for the whole document
+        here = np.zeros(self.base, bool)
+        here[ids] = True
+        some, own = np.unique(item, return_inverse=True)
+        k, slot = _ranges(self.first_word[some], self.lengths[some])
+        can = 2 * np.bincount(k, here[self.words[slot]], minlength=len(some)) >= need[some]
+        item, start = item[can[own]], start[can[own]]
+        order = np.lexsort((start, item))
         starts = defaultdict(list)
-        for pos, seed in zip(*(x.tolist() for x in self.hits(ids))):
-            for item, at in self.places[seed]:
-                starts[item].append(pos - at)
+        for i, x in zip(item[order].tolist(), start[order].tolist()):
+            starts[i].append(x)
         out = []
-        for item, s in starts.items():
-            n = len(self.items[item][1])
+        here[:] = False
+        for i, s in starts.items():
+            words = self.items[i][1]
+            n = len(words)
             slack = n // 2 + 2
-            s.sort()
             first = prev = s[0]
             for x in [*s[1:], None]:
                 if x is not None and x - first <= n:
                     prev = x
                     continue
-                out.append((item, max(0, first - slack), min(len(ids), prev + n + slack)))
+                a, b = max(0, first - slack), min(len(ids), prev + n + slack)
                 first = prev = x
+                here[words] = True
+                common = here[ids[a:b]].sum()
+                here[words] = False
+                if 2 * common >= need[i]:
+                    here[ids[a:b]] = True
+                    common = here[words].sum()
+                    here[ids[a:b]] = False
+                    if 2 * common >= need[i]:
+                        out.append((i, a, b))
         return out
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, first[k] + 0 .. n[k] - 1) of every k, one after the other."""
+    k = np.repeat(np.arange(len(n)), n)
+    return k, np.arange(len(k)) - (np.cumsum(n) - n)[k] + first[k]
+
+
 def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score of the item with each row of word ids (padded with -2), and its last word + 1."""
     b, n = passages.shape
@@ -160,14 +177,16 @@ def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def align_passages(items: Items, docs: list[np.ndarray], threshold: float, least_words: int) -> list[tuple[int, int, float, int, int]]:
     """(document, item, score, first word, last word + 1) of the contaminated pairs, best passage each."""
+    n = items.lengths
+    needs = np.maximum(threshold * 2 * n, np.minimum(2 * n, 2 * least_words))
     by_item = defaultdict(list)
     for d, ids in enumerate(docs):
-        for item, a, b in items.passages(ids):
+        for item, a, b in items.passages(ids, needs):
             by_item[item].append((d, a, b))
     found: dict[tuple[int, int], tuple] = {}
     for item, where in by_item.items():
         item_id, words = items.items[item]
-        need = max(threshold * 2 * len(words), min(2 * len(words), 2 * least_words))
+        need = needs[item]
         where.sort(key=lambda x: x[2] - x[1])
         for at in range(0, len(where), 256):
             part = where[at : at + 256]
@@ -192,39 +211,23 @@ def _texts(batch: pa.RecordBatch, memo: Memo) -> Iterator[np.ndarray]:
         yield ids[ids >= 0]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, block_items: int, share: float) -> Iterator:
-    """A broadcast block of items at a time, with its rare seeds."""
-    spark = docs.sparkSession
+def _blocks(docs: DataFrame, benchmark: DataFrame, block_items: int) -> Iterator:
+    """A broadcast block of items at a time, with all its seeds."""
     n_blocks = -(-benchmark.count() // block_items)
     for k in range(n_blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else benchmark
         items = Items([tuple(r) for r in part.select(F.col("item_id").cast("long"), "text").collect()])
-        if not items.items:
-            continue
-        sent = spark.sparkContext.broadcast(items)
-
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            held, df, n = sent.value, Counter(), 0
-            memo = held.memo()
-            for batch in batches:
-                for ids in _texts(batch, memo):
-                    n += 1
-                    df.update(np.unique(held.hits(ids)[1]).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *df], pa.int64()), pa.array([n, *df.values()], pa.int64())], ["seed", "n"])
-
-        counts = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        df = {r.seed: r.n for r in counts.collect()}  # at most one row a seed of the block
-        items.rare(df, df.pop(-1, 0), share)
-        yield spark.sparkContext.broadcast(items)
+        if items.items:
+            yield docs.sparkSession.sparkContext.broadcast(items)
 
 
 def contaminated_pairs(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, rare_share: float = RARE_SHARE, block_items: int = BLOCK_ITEMS
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, block_items: int = BLOCK_ITEMS
 ) -> DataFrame:
     """One row per contaminated (document, item): doc_id, item_id, score (to 1), first_word, end_word."""
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for sent in _blocks(docs, benchmark, block_items, rare_share):
+    for sent in _blocks(docs, benchmark, block_items):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             memo = sent.value.memo()
@@ -240,10 +243,10 @@ def contaminated_pairs(
 
 
 def clean_documents(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, rare_share: float = RARE_SHARE, block_items: int = BLOCK_ITEMS
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, block_items: int = BLOCK_ITEMS
 ) -> DataFrame:
     """The documents without a contaminated pair, all columns, in one pass over each block of items."""
-    for sent in _blocks(docs, benchmark, block_items, rare_share):
+    for sent in _blocks(docs, benchmark, block_items):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             memo = sent.value.memo()
