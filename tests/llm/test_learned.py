@@ -169,6 +169,33 @@ def test_skip_edges_carry_a_label():
     assert field.beliefs([g | {"skip": []}])[0][-1].max() < 0.3
 
 
+def test_beliefs_run_until_they_settle():
+    """On a chain with evidence at one end, sum-product is exact: 1/n + (1 - 1/n) * r^distance."""
+    import numpy as np
+
+    n = pii.LABELS
+    text = "4111 1111 1111 1111" + " and 4111.1111.1111.1111" * 60
+    g = pii.nodes(text, pii.base_spans(text))
+    for coupling in (4.0, 8.0):
+        field = pii.Field(np.zeros((pii.BUCKETS, n)), np.zeros((n, n)), np.eye(n) * coupling)
+        r = (math.exp(coupling) - 1) / (math.exp(coupling) + n - 1)
+        got = field.beliefs([g | {"far": []}])[0][-60:, 2]
+        assert np.allclose(got, [1 / n + (1 - 1 / n) * r**d for d in range(1, 61)], atol=1e-3)
+        alone, both = field.beliefs([g])[0], field.beliefs([g, pii.nodes("x 1", [])])[0]
+        assert np.allclose(alone, both)
+
+
+def test_evidence_reaches_all_repeats():
+    import numpy as np
+
+    n = pii.LABELS
+    field = pii.Field(np.zeros((pii.BUCKETS, n)), np.zeros((n, n)), np.eye(n) * 4.0)
+    other = " and 4111.1111.1111.1111"
+    for text in ("4111 1111 1111 1111" + other * 300, other * 300 + " card 4111 1111 1111 1111", other * 90 + " card 4111 1111 1111 1111" + other * 90):
+        [(base, every)] = pii.detect([text], field)
+        assert len(base) == 1 and [k for k, _, _ in every] == [2] * (text.count("and") + 1)
+
+
 def test_quality_odd_rows(odd, none, labels):
     got = {r.doc_id: r for r in quality_rules.judge(odd, labels).collect()}
     assert got[1].n_words == 0 and got[1].base_failed and not got[1].kept and got[None].kept

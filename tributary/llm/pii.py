@@ -8,8 +8,11 @@ Labels are the four kinds and "other". Unary potentials come from hashed shape
 features by softmax regression; neighbouring tokens share a transition
 potential; and tokens of a document with the same content key (letters and
 digits only; of mostly-digit tokens the last nine digits) are linked along their
-occurrences by a skip potential. Base tokens are evidence. Loopy belief
-propagation runs over all documents of a batch at once; runs of tokens whose
+occurrences by a skip potential. Base tokens are evidence; every other occurrence
+is also linked to the nearest evidence of its key on both sides, so that distance
+doesn't matter. Loopy belief propagation runs over all documents of a batch at
+once, in each until its messages settle (in at most 100 rounds and four for each
+of its nodes, as loops may swing for ever); runs of tokens whose
 belief in one kind is at least ``belief`` and that meet no base span become added
 spans. So a number written once as the pattern has it is found again where it
 is written otherwise.
@@ -152,7 +155,15 @@ def nodes(text: str, spans: list[tuple[int, int, int]]) -> dict:
             if key in last:
                 skip.append((last[key], x))
             last[key] = x
-    return {"at": [places[i] for i in own], "x": [_features(tokens, i) for i in own], "y": kind, "chain": chain, "skip": skip}
+    far, near = [], set(skip)
+    for order in (range(len(own)), reversed(range(len(own)))):
+        sure: dict[str, int] = {}
+        for x in order:
+            if keys[x] and kind[x] != OTHER:
+                sure[keys[x]] = x
+            elif keys[x] in sure and (edge := (min(x, sure[keys[x]]), max(x, sure[keys[x]]))) not in near:
+                far.append(edge)
+    return {"at": [places[i] for i in own], "x": [_features(tokens, i) for i in own], "y": kind, "chain": chain, "skip": skip, "far": far}
 
 
 class Field:
@@ -190,8 +201,8 @@ class Field:
 
         return cls(w, pairs("chain"), pairs("skip"))
 
-    def beliefs(self, graphs: list[dict], rounds: int = 12) -> list[np.ndarray]:
-        """Label beliefs of every node by loopy sum-product over all graphs at once."""
+    def beliefs(self, graphs: list[dict], tol: float = 1e-5) -> list[np.ndarray]:
+        """Label beliefs of every node by loopy sum-product over all graphs at once, messages repeated while they or their sources change."""
         sizes = [len(g["x"]) for g in graphs]
         base = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
         if not base[-1]:
@@ -201,25 +212,30 @@ class Field:
         sure = np.nonzero(y != OTHER)[0]
         theta[sure] = -30.0
         theta[sure, y[sure]] = 0.0
-        edges = [(o + a, o + b, k) for g, o in zip(graphs, base) for k, name in enumerate(("chain", "skip")) for a, b in g[name]]
+        edges = [(o + a, o + b, k) for g, o in zip(graphs, base) for k, name in enumerate(("chain", "skip", "far")) for a, b in g[name]]
         if edges:
             e = np.array(edges, np.int64)
-            pot = np.stack([self.chain, self.skip])[e[:, 2]]
+            pot = np.stack([self.chain, self.skip, self.skip])[e[:, 2]]
             src, dst = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
             pot = np.concatenate([pot, pot.transpose(0, 2, 1)])  # pot[m, label of src, label of dst]
             back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
             msg = np.zeros((len(src), LABELS))
-            for _ in range(rounds):
-                total = theta.copy()
-                np.add.at(total, dst, msg)
-                out = (total[src] - msg[back])[:, :, None] + pot
+            left = np.repeat(100 + 4 * np.array(sizes), sizes)[src]  # rounds, by the size of the own graph
+            total, live, done = theta.copy(), np.arange(len(src)), 0
+            while len(live):
+                out = (total[src[live]] - msg[back[live]])[:, :, None] + pot[live]
                 top = out.max(axis=1, keepdims=True)
-                new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
-                new -= new.max(axis=1, keepdims=True)
-                done = np.abs(new - msg).max() < 1e-4
-                msg = 0.5 * msg + 0.5 * new if not done else new
-                if done:
-                    break
+                step = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
+                step -= step.max(axis=1, keepdims=True)
+                step -= msg[live]
+                moved = np.abs(step).max(axis=1) >= tol
+                step[moved] *= 0.5
+                msg[live] += step
+                np.add.at(total, dst[live], step)
+                done += 1
+                again, changed = np.zeros(len(src), bool), np.zeros(len(theta), bool)
+                again[live[moved]] = changed[dst[live[moved]]] = True
+                live = np.nonzero((again | changed[src]) & (left > done))[0]
             np.add.at(theta, dst, msg)
         p = np.exp(theta - theta.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
