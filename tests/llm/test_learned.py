@@ -196,6 +196,25 @@ def test_evidence_reaches_all_repeats():
         assert len(base) == 1 and [k for k, _, _ in every] == [2] * (text.count("and") + 1)
 
 
+def test_rare_candidates_train_the_field(spark):
+    """The draw is from documents with a candidate; in a long one distant repeats stay linked."""
+    few = spark.range(200_000).selectExpr("id AS doc_id", "CASE WHEN id % 20000 = 7 THEN 'call +1 (988) 555-2485 or 988.555.2485 now' ELSE 'no sign here' END AS text")
+    same = spark.range(5000).selectExpr("1L AS doc_id", "'call +1 (988) 555-2485 now' AS text")
+    for docs in (few, same):
+        assert pii.fit_field(docs, sample=3) is not None
+    text = " ".join(["10203040 word"] + [f"n{i} word" for i in range(3000)] + ["10203040 word 4 5 6"])
+    g = pii.nodes(text, [])
+    small = pii.thin(g, text, 200)
+    assert 150 < len(small["x"]) == len(small["y"]) <= 200
+    hot = " ".join(f"a{i} 10203040 b" for i in range(1000))
+    small = pii.thin(pii.nodes(hot, []), hot, 200)
+    assert len(small["x"]) <= 200 and len(small["skip"]) >= 20
+    whole = pii.nodes(text[:200], [])
+    assert pii.thin(whole, text[:200], 200)["skip"] == whole["skip"]
+    texts = [f"{k}0203040 w " + " w ".join(f"n{i}" for i in range(300)) + f" w {k}0203040" for k in range(1, 10)]
+    assert sum(len(pii.thin(pii.nodes(t, []), t, 200)["skip"]) for t in texts) >= 3
+
+
 def test_quality_odd_rows(odd, none, labels):
     got = {r.doc_id: r for r in quality_rules.judge(odd, labels).collect()}
     assert got[1].n_words == 0 and got[1].base_failed and not got[1].kept and got[None].kept

@@ -18,9 +18,11 @@ spans. So a number written once as the pattern has it is found again where it
 is written otherwise.
 
 Training is piecewise and unsupervised by hand: base spans are the labels. It
-uses the candidate tokens of at most ``sample`` documents, those with the least
-hash of doc_id and text, drawn by another hash from OVERSAMPLE times as many, and
-at most ``doc_tokens`` tokens of each; this is the only place where a bound is set.
+uses the candidate tokens of at most ``sample`` documents that have one, those with
+the least hash of doc_id and text, drawn by another hash from OVERSAMPLE times as
+many, and at most ``doc_tokens`` tokens of each, chosen by a hash of what they say,
+so that repeats stay together over the whole text; this is the only place where a
+bound is set.
 Detection reads every text whole.
 
 Edge cases: a null text is empty and has no span; without any candidate in the
@@ -34,6 +36,7 @@ import hashlib
 import pickle
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,8 +63,11 @@ LABELS = len(KINDS) + 1
 BUCKETS = 1 << 14
 SAMPLE = 2_000
 DOC_TOKENS = 200
-#: Of the documents so many times ``sample`` are looked at, by a hash, so that what is sent to the driver doesn't grow.
-OVERSAMPLE = 20
+#: Of the documents with a candidate so many times ``sample`` are looked at, by a hash, so that what is sent to the driver doesn't grow.
+OVERSAMPLE = 2
+#: In training, neighbours stay together up to so many, and one key has at most this part of a text's tokens.
+RUN = 16
+KEY_PART = 4
 BELIEF = 0.9
 
 
@@ -163,7 +169,41 @@ def nodes(text: str, spans: list[tuple[int, int, int]]) -> dict:
                 sure[keys[x]] = x
             elif keys[x] in sure and (edge := (min(x, sure[keys[x]]), max(x, sure[keys[x]]))) not in near:
                 far.append(edge)
-    return {"at": [places[i] for i in own], "x": [_features(tokens, i) for i in own], "y": kind, "chain": chain, "skip": skip, "far": far}
+    return {"at": [places[i] for i in own], "x": [_features(tokens, i) for i in own], "y": kind, "chain": chain, "skip": skip, "far": far, "key": keys}
+
+
+def thin(g: dict, text: str, most: int) -> dict:
+    """The graph for training, with at most ``most`` nodes from all over the text; equal keys are linked to the next one left."""
+    n = len(g["x"])
+    keep = range(n)
+    if n > most:
+        behind = {b for _, b in g["chain"]}
+        runs: list[list[int]] = []
+        for x in range(n):
+            if x in behind and len(runs[-1]) < min(RUN, most):
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        alike = defaultdict(list)
+        for run in runs:
+            alike[next((g["key"][x] for x in run if g["key"][x]), text[slice(*g["at"][run[0]])])].append(run)
+        picked: list[int] = []
+        for name in sorted(alike, key=lambda k: (zlib.crc32(k.encode("utf-8", "surrogatepass")), k)):
+            part = alike[name]
+            longest = max(map(len, part))
+            take = min(len(part), max(most // KEY_PART // longest, 1), (most - len(picked)) // longest)
+            picked += [x for i in range(take) for x in part[i * (len(part) - 1) // max(take - 1, 1)]]
+        keep = sorted(picked)
+    to = {x: i for i, x in enumerate(keep)}
+    last: dict[str, int] = {}
+    skip = []
+    for x in keep:
+        if key := g["key"][x]:
+            if key in last:
+                skip.append((to[last[key]], to[x]))
+            last[key] = x
+    chain = [(to[a], to[b]) for a, b in g["chain"] if a in to and b in to]
+    return {"x": [g["x"][x] for x in keep], "y": g["y"][list(keep)], "chain": chain, "skip": skip}
 
 
 class Field:
@@ -250,17 +290,20 @@ def fit_field(docs: DataFrame, sample: int = SAMPLE, doc_tokens: int = DOC_TOKEN
             order, packed = [], []
             for i, t in zip(ids, texts):
                 if t and _SIGN.search(t):
-                    g = nodes(t, base_spans(t))
-                    n = min(len(g["x"]), doc_tokens)
-                    g = {"x": g["x"][:n], "y": g["y"][:n]} | {k: [e for e in g[k] if max(e) < n] for k in ("chain", "skip")}
+                    g = thin(nodes(t, base_spans(t)), t, doc_tokens)
                     order.append(int.from_bytes(hashlib.blake2b(f"{i}:{t}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
                     packed.append(zlib.compress(pickle.dumps(g), 1))
             yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(packed, pa.binary())], ["at", "graph"])
 
-    n = docs.count()
+    own = docs.select("doc_id", "text").where(F.col("text").rlike(_SIGN.pattern))
+    n = own.count()
     share = min(1.0, OVERSAMPLE * sample / max(n, 1))
-    some = docs.select("doc_id", "text").where(F.xxhash64("doc_id", "text") <= hash_bound(share))
-    rows = some.mapInArrow(run, "at long, graph binary").orderBy("at", "graph").limit(sample).collect()
+    while True:
+        some = own.where(F.xxhash64("doc_id", "text") <= hash_bound(share))
+        rows = some.mapInArrow(run, "at long, graph binary").orderBy("at", "graph").limit(sample).collect()
+        if share >= 1 or len(rows) >= min(sample, n):
+            break
+        share = min(1.0, 20 * share)  # repeated rows have one hash
     graphs = [pickle.loads(zlib.decompress(r.graph)) for r in rows]
     return Field.fit(graphs) if graphs else None
 
