@@ -215,6 +215,18 @@ def test_rare_candidates_train_the_field(spark):
     assert sum(len(pii.thin(pii.nodes(t, []), t, 200)["skip"]) for t in texts) >= 3
 
 
+def test_short_values_are_linked():
+    import numpy as np
+
+    n = pii.LABELS
+    field = pii.Field(np.zeros((pii.BUCKETS, n)), np.zeros((n, n)), np.eye(n) * 4.0)
+    for base, again in (("10.0.0.1", "10-0-0-1"), ("(10.0.0.1)", "10/0/0/1,"), ("at=10.0.0.1", "10_0_0_1"), ("a@b.io", "a@b,io"), ("a@b.io", "<a@b/io>")):
+        text = f"here {base} and {again} or 10001 or 7-7 then"
+        [(own, every)] = pii.detect([text], field)
+        assert len(own) == 1 and len(every) == 2 and again.rstrip(",") in text[every[1][1] : every[1][2]], (base, every)
+    assert not pii.nodes("no span: 7-7 and 7-7 and 10-0-0-1", [])["skip"]
+
+
 def test_quality_odd_rows(odd, none, labels):
     got = {r.doc_id: r for r in quality_rules.judge(odd, labels).collect()}
     assert got[1].n_words == 0 and got[1].base_failed and not got[1].kept and got[None].kept

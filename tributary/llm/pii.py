@@ -8,7 +8,9 @@ Labels are the four kinds and "other". Unary potentials come from hashed shape
 features by softmax regression; neighbouring tokens share a transition
 potential; and tokens of a document with the same content key (letters and
 digits only; of mostly-digit tokens the last nine digits) are linked along their
-occurrences by a skip potential. Base tokens are evidence; every other occurrence
+occurrences by a skip potential. Values with fewer than seven letters and digits
+have a key only where a base span has the same groups of them, so that 10-0-0-1
+follows 10.0.0.1, and 10001 doesn't. Base tokens are evidence; every other occurrence
 is also linked to the nearest evidence of its key on both sides, so that distance
 doesn't matter. Loopy belief propagation runs over all documents of a batch at
 once, in each until its messages settle (in at most 100 rounds and four for each
@@ -118,6 +120,11 @@ def content_key(token: str) -> str:
     return plain if len(plain) >= 7 else ""
 
 
+def short_key(value: str) -> str:
+    """Of a value too short for content_key: its groups of letters and digits."""
+    return "" if content_key(value) else " ".join(_NOT_ALNUM.sub(" ", value).lower().split())
+
+
 def _shape(token: str) -> str:
     kinds = "".join("9" if "0" <= c <= "9" else "a" if c.isalpha() else c for c in token[:40])
     return re.sub(r"(.)\1+", r"\1\1", kinds)
@@ -146,6 +153,7 @@ def nodes(text: str, spans: list[tuple[int, int, int]]) -> dict:
     own = [i for i, t in enumerate(tokens) if _SIGN.search(t)]
     kind = np.full(len(own), OTHER, np.int64)
     keys = [content_key(tokens[i]) for i in own]
+    short: set[str] = set()
     if own:
         start, end = (np.array([places[i][k] for i in own]) for k in (0, 1))
         for k, a, b in reversed(spans):
@@ -153,6 +161,11 @@ def nodes(text: str, spans: list[tuple[int, int, int]]) -> dict:
             kind[first:behind] = k
             if behind - first > 1:  # a number over several tokens: its last one stands for it
                 keys[first:behind] = [""] * (behind - first - 1) + [content_key(text[a:b])]
+            if (key := short_key(text[a:b])) and behind > first:
+                keys[behind - 1] = key
+                short.add(key)
+    if short:
+        keys = [k or (s if (s := short_key(tokens[i])) in short else "") for k, i in zip(keys, own)]
     chain = [(x, x + 1) for x in range(len(own) - 1) if own[x + 1] == own[x] + 1]
     last: dict[str, int] = {}
     skip = []
