@@ -120,6 +120,25 @@ def test_passages_left_out_could_not_score():
         assert set(kept) >= {p for p, s in zip(every, scores) if s >= needs[p[0]]}
 
 
+def test_short_items():
+    """One edit is let pass from six words on; one or two words don't condemn a text that holds them."""
+    import numpy as np
+
+    lines = ["one", "two words", *(" ".join(f"w{n}x{i}" for i in range(n)) for n in (3, 5, 6, 8, 9))]
+    items = decontaminate.Items(list(enumerate(lines)))
+
+    def found(text: str) -> list[int]:
+        return [x[1] for x in decontaminate.align_passages(items, [np.array([items.vocab.get(w, 0) for w in text.split()], np.int64)], 0.5, 8)]
+
+    for k, line in enumerate(lines):
+        w = line.split()
+        assert found(line) == [k] and found(f"a b {line} c d") == [k] * (len(w) > 2)
+        for i in range(len(w)):
+            for new in ([*w[:i], "zz", *w[i + 1 :]], w[:i] + w[i + 1 :], [*w[:i], "zz", *w[i:]] if i else w[1:]):
+                assert found(" ".join(["a", *new, "b"])) == [k] * (len(w) >= 6)
+    assert found("a " + lines[5].replace("w8x2", "zz").replace("w8x5", "zz") + " b") == []
+
+
 def test_pii_patterns():
     patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 

@@ -7,7 +7,9 @@ common, and an edited copy has but a few of them. A passage is opened around eac
 run of hits and aligned with the item locally on words (match +2, other -1, gap
 -1). The score is the best alignment's share of a full match's; a pair is
 contaminated from ``threshold`` on, when it has the worth of ``least_words``
-matches (all words of a shorter item). A passage that shares too few words with
+matches. A shorter item needs all its words but for one edit, and with fewer than
+six, where an edit may leave no seed, all of them; an item of one or two words is
+only found in a document that has no other words. A passage that shares too few words with
 the item for that, in any order, isn't aligned; nothing is lost by it.
 
 The test items are taken in blocks of at most ``block_items``, each broadcast
@@ -178,11 +180,12 @@ def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def align_passages(items: Items, docs: list[np.ndarray], threshold: float, least_words: int) -> list[tuple[int, int, float, int, int]]:
     """(document, item, score, first word, last word + 1) of the contaminated pairs, best passage each."""
     n = items.lengths
-    needs = np.maximum(threshold * 2 * n, np.minimum(2 * n, 2 * least_words))
+    needs = np.maximum(threshold * 2 * n, np.minimum(2 * n - 3 * (n >= 2 * SEED), 2 * least_words))
     by_item = defaultdict(list)
     for d, ids in enumerate(docs):
         for item, a, b in items.passages(ids, needs):
-            by_item[item].append((d, a, b))
+            if n[item] >= SEED or len(ids) == n[item]:
+                by_item[item].append((d, a, b))
     found: dict[tuple[int, int], tuple] = {}
     for item, where in by_item.items():
         item_id, words = items.items[item]
