@@ -33,6 +33,22 @@ def test_classifier(spark, sf, odd, none, labels):
     assert all(model.thresholds[:-1] <= model.thresholds[1:])
 
 
+def test_telling_words_of_a_hot_source():
+    """Words of a third of the rows keep their weight if the ratings depart; common ones of all rows have none."""
+    import numpy as np
+
+    rng = random.Random(4)
+    half, memo = classifier.BUCKETS // 2, classifier.Memo(classifier.token_buckets)
+    rows, y = [], []
+    for d in range(3000):
+        bad = d % 3 == 0
+        rows.append(classifier.featurize(" ".join([*rng.choices([f"w{i}" for i in range(400)], k=20), "the", *(["vile", "nasty"] if bad else [])]), memo))
+        y.append(1 if bad else 2)
+    model = classifier.Ordinal.fit(rows, np.array(y))
+    vile, nasty, the = (classifier.token_buckets(w)[0] for w in ("vile", "nasty", "the"))
+    assert vile < half and model.weights[vile] < -1 and model.weights[nasty] < -1 and model.weights[the] == 0
+
+
 def test_lattice_by_enumeration():
     p = lm.Pieces(lm.default_pieces())
 

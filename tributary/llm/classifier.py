@@ -10,7 +10,9 @@ Training uses at most ``sample`` labelled documents, those with the least hash o
 doc_id (the bound is a parameter; scoring covers every document). A bucket that
 fewer than ``min_docs`` of them have is not used, so that single documents are
 not learned by heart, nor is a word bucket that more than MAX_SHARE of them have,
-so that long texts don't outweigh a telling word by common ones, nor one whose
+so that long texts don't outweigh a telling word by common ones, unless its
+documents' mean rating departs from the overall mean by LEAST_GAP standard
+deviations (a hot source's own words are telling, however many), nor one whose
 documents' mean rating is within LEAST_Z standard errors of the overall mean.
 
 Edge cases: labels with a null are ignored, and the lowest rating of a document
@@ -37,6 +39,7 @@ SAMPLE = 12_000
 MIN_DOCS = 8
 MAX_SHARE = 0.1
 LEAST_Z = 4.0
+LEAST_GAP = 0.5
 GRADES = 3
 TAIL = 0.7
 SHAPE_SCALE = 4.0
@@ -124,10 +127,11 @@ class Ordinal:
         val = np.concatenate([r[1] for r in rows]).astype(np.float64) if rows else np.zeros(0)
         doc = np.repeat(np.arange(len(rows)), sizes)
         df = np.bincount(col, minlength=buckets)
-        often = (df >= min_docs) & ((df <= MAX_SHARE * len(rows)) | (np.arange(buckets) >= buckets // 2))
-        if len(rows):  # how far the documents of a bucket depart from all in their mean rating, in standard errors
-            mean = np.bincount(col, y[doc], minlength=buckets) / np.maximum(df, 1)
-            often &= np.abs(mean - y.mean()) * np.sqrt(df) >= least_z * max(float(y.std()), 1e-9)
+        often = df >= min_docs
+        if len(rows):  # how far the documents of a bucket depart from all in their mean rating
+            gap = np.abs(np.bincount(col, y[doc], minlength=buckets) / np.maximum(df, 1) - y.mean()) / max(float(y.std()), 1e-9)
+            often &= (df <= MAX_SHARE * len(rows)) | (np.arange(buckets) >= buckets // 2) | (gap >= LEAST_GAP)
+            often &= gap * np.sqrt(df) >= least_z
         col, val, doc = col[often[col]], val[often[col]], doc[often[col]]
         n = len(rows)
         if n == 0 or len(set(y.tolist())) < 2:
