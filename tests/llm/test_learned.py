@@ -270,6 +270,31 @@ def test_quality_odd_rows(odd, none, labels):
     assert quality_rules.judge(none, labels).count() == 0 and quality_rules.filter_documents(odd, labels.limit(0)).count() > 0
 
 
+def plain_counts(text):
+    """The five counts by the contract's own words."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen, windows = set(), [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    often = Counter(windows)
+    for i, w in enumerate(windows):
+        if often[w] > 1:
+            seen |= set(range(i, i + 5))
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(seen)
+
+
+def test_quality_counts_of_random_texts(spark):
+    """Letters that look like escapes, form feeds and the other white space at ends, in blank lines and between."""
+    rng = random.Random(7)
+    fixed = ["fine stuff off", "f", "f\nf\ng", "a b c\x0c", "l1\n\x0c\n\x0c\nl2", "\x0b\x0c f u000b \x0c", "tnrv b t\tn", "\x85a\xa0b\u2028c\u3000", "🙂 é\u0301 ſ"]
+    texts = fixed + ["".join(rng.choices("ftnrvbu0c\\ \t\n\x0b\x0c\r#*é🙂\x1c\xa0", weights=[6] + [1] * 9 + [6, 2, 5, 3, 4, 2] + [1] * 6, k=rng.randint(0, 90))) for _ in range(2500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = quality_rules.base_features(docs).select("doc_id", *quality_rules.COUNTS, "base_failed").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = plain_counts(texts[r.doc_id])
+        assert tuple(r)[1:6] == want and r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]), repr(texts[r.doc_id])
+
+
 @pytest.mark.parametrize("k,n,p", [(0, 100, 0.05), (3, 200, 0.0125), (100, 5000, 0.03), (900, 100_000, 0.0125), (60, 100, 0.05)])
 def test_binomial_bound(spark, k, n, p):
     want = 1.0 if k >= n * p else sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))

@@ -14,7 +14,9 @@ Edge cases: a null text counts as no words (base_failed); a null language is a
 stratum of its own; labels that are null, repeated with the same value or of
 unknown documents are ignored, and a document with any label other than good
 doesn't count as good; equal rows are judged alike; an empty table gives an
-empty result; no labels mean no cutoffs. Extra input columns are not read.
+empty result; no labels mean no cutoffs; very long texts are read whole; a score
+that equals a cutoff is rejected. Extra input columns are not read; base_features()
+called directly replaces columns that bear its own names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from tributary.session import materialize
 
-WS = " \\t\\n\\u000b\\f\\r"
+#: The six white-space characters as a SQL literal, in which a form feed has no escape of its own.
+WS = " \\t\\n\\u000b\\u000c\\r"
 SYMBOLS = "#*$%&|<>"
 #: Metric -> cutoffs tried, ascending; a document scoring at or above a cutoff is rejected.
 METRICS: dict[str, tuple[float, ...]] = {
