@@ -26,11 +26,11 @@ def brute(fps, ids, radius=4):
 def test_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     text = dict(docs.select("doc_id", "text").toPandas().itertuples(index=False))
-    for block in (simhash.BLOCK, 7):  # 7: every range value of some size is split over tasks
-        got = simhash.near_duplicates(docs, block=block).toPandas().sort_values("doc_id")
+    for block, agree in ((simhash.BLOCK, None), (7, 1), (7, 2), (50, 3)):  # 7: every key of some size is split over tasks
+        got = simhash.near_duplicates(docs, block=block, agree=agree).toPandas().sort_values("doc_id")
         fps = [int(x, 16) for x in got.fingerprint]
-        if block == 7:
-            assert fps[:150] == [slow(text[i]) for i in got.doc_id[:150]]
+        if agree is None:
+            assert fps == [slow(text[i]) for i in got.doc_id]
         assert (brute(fps, got.doc_id.values) == got.component_id.values).all()
 
 
@@ -56,3 +56,33 @@ def test_odd_rows(odd, none):
     assert kept.columns == odd.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 6, 7]
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def test_any_link_agrees_on_a_key():
+    rng = np.random.default_rng(3)
+    for agree in (1, 2, 3, 4):
+        masks = simhash.masks(4, agree)
+        for _ in range(300):
+            bits = rng.choice(64, 4, replace=False).tolist()
+            assert any(all(not m >> b & 1 for b in bits) for m in masks)
+    assert [simhash.deal(n) for n in (10, 10**5, 10**8, 10**10)] == sorted(simhash.deal(n) for n in (10, 10**5, 10**8, 10**10))
+    assert simhash.deal(10**5) == 1 < simhash.deal(10**8)
+
+
+def test_one_id_with_several_texts(spark):
+    """A group is a group of texts: the copy of 1 under id 5 goes, the other text of 5 stays."""
+    t1, t2 = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, t1, "x"), (5, t1, "y"), (5, t2, "z"), (5, t2, "z"), (6, t2, "w"), (None, t2, "n"), (None, t2, "n"), (7, None, "e"), (7, "", "e"), (8, " ", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    assert simhash.keep_one(docs).columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "", r.source) for r in simhash.keep_one(docs).collect())
+    assert got == [(0, t2, "n"), (0, t2, "n"), (1, t1, "x"), (5, t2, "z"), (7, "", "e")]
+    comp = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert sorted((d or 0, c) for (d, _), c in comp.items()) == [(0, 5), (1, 1), (5, 1), (5, 5), (6, 5), (7, 7), (8, 7)]
+    lone = spark.createDataFrame([(None, t1), (None, t1)], "doc_id long, text string")
+    assert simhash.keep_one(lone).count() == 2 and {r.component_id for r in simhash.near_duplicates(lone).collect()} == {None}
+    saved, simhash.BROADCAST_ROWS = simhash.BROADCAST_ROWS, 0
+    try:
+        assert sorted((r.doc_id or 0, r.text or "", r.source) for r in simhash.keep_one(docs).collect()) == got
+    finally:
+        simhash.BROADCAST_ROWS = saved
