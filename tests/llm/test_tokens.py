@@ -21,6 +21,21 @@ def test_encoder_equals_library(enc, spark, sf):
     assert enc.encode(texts) == [direct(enc, t) for t in texts]
 
 
+def test_parts_are_cut_by_proof_only(enc):
+    """The tokenizer's own description decides; random plain texts then give the library's ids."""
+    import json
+    import random
+
+    d = json.loads(enc.tokenizer.to_str())
+    assert enc.by_parts
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", None), ("added_tokens", [{"content": "ab"}])):
+        assert not tokens.cuts_parts(json.dumps(d | {key: value}))
+    assert not tokens.cuts_parts(json.dumps(d | {"model": d["model"] | {"dropout": 0.1}}))
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdeABÀßéÿ ÷×0129.,!<|>-_ \t\n\x0b\x1c", k=rng.randint(0, 60))) for _ in range(4000)]
+    assert enc.encode(texts) == [direct(enc, t) for t in texts]
+
+
 def check_pieces(rows, want):
     """Each id in one piece, sequences gapless, and no padding but to 4096 or a power of two."""
     docs, seqs = {}, {}
@@ -89,9 +104,49 @@ def test_records_round_trip(enc, odd, none, tmp_path):
 
 def test_damage_is_seen(enc, spark, tmp_path):
     (m,) = records.write_shards(spark.createDataFrame([(1, "some words")], "doc_id long, text string"), str(tmp_path / "d"))
-    path = m["path"].removeprefix("file://")
+    path = m["path"].removeprefix("file:").replace("//", "/")
     raw = bytearray(open(path, "rb").read())
     raw[-6] ^= 1
     open(path, "wb").write(raw)
     with pytest.raises(ValueError):
         list(records.Shard(path))
+
+
+def test_query_of_binary_records(enc, spark, sf):
+    """Whole output against ids, starts and checksums taken text by text in order of doc_id."""
+    from tributary.llm import queries
+
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want, at = {}, 0
+    for i in sorted(text):
+        raw = direct(enc, text[i])
+        want[i] = (i, at, len(raw) // 4, zlib.crc32(raw))
+        at += len(raw) // 4
+    assert {r.doc_id: tuple(r)[:4] for r in queries.op6_binary_records(spark, sf).collect()} == want
+
+
+def test_folders_are_qualified_as_the_session_does(spark, tmp_path):
+    assert records.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    assert records.qualified(spark, f"file://{tmp_path}").startswith("file:/")
+    for uri in (f"file:{tmp_path}", f"file://{tmp_path}"):
+        assert records._open(uri)[1] == str(tmp_path)
+    conf = spark._jsc.hadoopConfiguration()
+    saved = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "viewfs://cluster/")
+        conf.set("fs.viewfs.mounttable.cluster.link./data", f"file://{tmp_path}")
+        assert records.qualified(spark, "/data/x") == "viewfs://cluster/data/x"
+    finally:
+        conf.set("fs.defaultFS", saved)
+
+
+def test_one_doc_id_in_many_rows(enc, spark, tmp_path):
+    """Rows of one id and of none are spread over shards by the hash of their text."""
+    docs = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE 7L END AS doc_id", "concat('word ', id) AS text").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # small shards would be joined
+    try:
+        manifest = records.write_shards(docs, str(tmp_path / "m"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(manifest) == int(spark.conf.get("spark.sql.shuffle.partitions")) and all(m["n_docs"] < 1500 for m in manifest)
+    assert sum(m["n_docs"] for m in manifest) == records.read_shards(spark, manifest).count() == 3000

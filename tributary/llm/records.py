@@ -14,10 +14,14 @@ record can be read alone: that is what shuffled reads use.
 
 A task writes under a name of its own and renames at the end, so a repeated or
 lost task leaves no half shard. Files are reached through pyarrow's filesystems
-(file, hdfs, s3, gs). Text is shuffled once, by range of doc_id.
+(file, hdfs, s3, gs); a folder without a scheme is one of the session's default
+file system, as it is for Spark. Text is shuffled once, by range of doc_id and the
+text's hash, so that many rows of one doc_id, or of none, are spread too.
 
 Edge cases: a null or empty text is the end id alone; null doc_ids come first;
-equal doc_ids are ordered by text; an empty table gives no rows.
+equal doc_ids are ordered by the hash of their text, then by text; repeated rows
+are written each; very long texts are one record each; an empty table gives no
+rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.text import columns
@@ -82,7 +86,14 @@ def _decode(body: bytes, width: int) -> tuple[int | None, np.ndarray]:
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """Filesystem and path of a qualified folder or file; Hadoop writes local ones as file:/x."""
+    return pafs.FileSystem.from_uri(f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme: of the session's default file system unless it names one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 class Shard:
@@ -125,6 +136,7 @@ class Shard:
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> list[dict]:
     """Encode and write docs; one manifest entry per shard, in order of doc_id."""
     path = tokenizer or default_tokenizer()
+    folder = qualified(docs.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -159,8 +171,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         row = [[shard], [f"{folder.rstrip('/')}/shard-{shard:06d}.rec"], [len(index)], [tokens], [offset]]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["shard", "path", "n_docs", "n_tokens", "n_bytes"])
 
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     rows = ranged.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long, n_bytes long").collect()
     manifest, start = [], 0
     for r in sorted(rows):
@@ -169,7 +181,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     return manifest
 
 
-def read_shards(spark, manifest: list[dict]) -> DataFrame:
+def read_shards(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     """Per record, from the files: doc_id, start, n_tokens, ids_crc32 (of unsigned 32-bit ids)."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not manifest:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable
@@ -20,6 +21,30 @@ def default_tokenizer() -> str:
 #: Lower-cased texts of these characters are cut into runs of letters, single digits and runs of marks.
 _PLAIN = re.compile(r"[\x09-\x0d\x20-&(-~ßà-öø-ÿ]*")
 _PARTS = re.compile(r"[a-zßà-öø-ÿ]+|[0-9]|[^\sa-zßà-öø-ÿ0-9]+")
+#: What a tokenizer must say of itself for that cut to be its own.
+_FOLDS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def cuts_parts(described: str) -> bool:
+    """Whether a tokenizer (its JSON text) encodes the parts of a plain text one by one.
+
+    True if it folds case, cuts exactly into letters, single digits and marks,
+    drops the rest, joins nothing over such cuts, and all its added tokens begin
+    with ``<|``. Plain texts hold no apostrophe, the only other thing it cuts at.
+    """
+    d = json.loads(described)
+    normalizer, pre, model = (d.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    return (
+        normalizer.get("normalizers") == _FOLDS
+        and pre.get("pretokenizers") == _SPLITS
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and all(t["content"].startswith("<|") for t in d.get("added_tokens", ()))
+    )
 
 
 class Encoder:
@@ -27,20 +52,19 @@ class Encoder:
 
     Such a tokenizer never joins ids over ASCII white space, so a text's ids are
     those of its words in a row, and each distinct word is encoded by the library
-    once while the cache holds it. Where the tokenizer ignores case and cuts
-    between letters, digits and marks, texts of plain characters without an
-    apostrophe are cut there too, as there are fewer such parts than words; the
-    first ``trials`` texts are also encoded whole, and one difference ends the
-    use of parts. add_special_tokens is off. A null text is empty.
+    once while the cache holds it. Where the tokenizer's own description shows that
+    it ignores case and cuts between letters, digits and marks (cuts_parts), texts of
+    plain characters without an apostrophe are cut there too, as there are fewer
+    such parts than words. add_special_tokens is off. A null text is empty.
     """
 
-    def __init__(self, path: str, end_id: int | None = END_ID, trials: int = 20, limit: int = 600_000):
+    def __init__(self, path: str, end_id: int | None = END_ID, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        self.trials, self.by_parts, self.limit = trials, True, limit
+        self.by_parts, self.limit = cuts_parts(self.tokenizer.to_str()), limit
         self.ids: dict[str, bytes] = {}
 
     @property
@@ -63,12 +87,7 @@ class Encoder:
         if not text:
             return []
         if self.by_parts and "<|" not in text and _PLAIN.fullmatch(low := text.lower()):
-            parts = _PARTS.findall(low)
-            if self.trials and len(text) < 20_000:
-                self.trials -= 1
-                self.by_parts = b"".join(self._batch(parts)) == np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            if self.by_parts:
-                return parts
+            return _PARTS.findall(low)
         return [w.decode("utf-8") for w in text.encode("utf-8", "replace").split()]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
