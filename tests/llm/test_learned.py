@@ -20,6 +20,52 @@ def test_language(spark, sf, odd, none):
     assert {r.lang_pred for r in langid.identify(odd, langid.fit(none)).collect()} == {"und"}
 
 
+def plain_ngrams(text):
+    """Bigrams and trigrams of the runs of letters, a space on both sides, letter by letter."""
+    out, run = [], ""
+    for c in f" {text.lower()} ":
+        if c.isalpha():
+            run += c
+        elif run:
+            out.append(run)
+            run = ""
+    s = " " + " ".join(out) + " "
+    return [s[i : i + n] for n in (2, 3) for i in range(len(s) - n + 1)] if out else []
+
+
+def plain_bucket(gram):
+    c = [ord(x) for x in gram]
+    if len(c) == 2:
+        h = (c[0] * 0x9E3779B1 + c[1] * 0x85EBCA77) * 0xC2B2AE3D
+    else:
+        h = (((c[0] * 0x27D4EB2F) ^ (c[1] * 0x165667B1 % 2**32)) % 2**32 + c[2] * 0x9E3779B1) * 0x85EBCA77
+    return h % 2**32 >> 32 - 15
+
+
+def test_language_query_by_plain_bayes(spark):
+    """The whole query, with n-grams and probabilities counted in dictionaries."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    n, docs = {}, Counter()
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            grams = plain_ngrams(r.text or "")
+            n.setdefault(r.lang, Counter()).update(map(plain_bucket, grams))
+            docs[r.lang] += bool(grams)
+    total = {g: sum(c.values()) for g, c in n.items()}
+    got = {r.doc_id: r for r in queries.op4_language_id(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        grams = Counter(map(plain_bucket, plain_ngrams(r.text or "")))
+        if not grams:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        score = {g: math.log(docs[g] / sum(docs.values())) + sum(k * math.log((n[g][b] + 0.1) / (total[g] + 0.1 * 2**15)) for b, k in grams.items()) for g in n}
+        best = max(score, key=lambda g: (score[g], [-ord(x) for x in g]))
+        assert got[r.doc_id].lang_pred == best
+        assert math.isclose(got[r.doc_id].score, 1 / sum(math.exp(x - score[best]) for x in score.values()), abs_tol=1e-3)
+
+
 def test_classifier(spark, sf, odd, none, labels):
     docs, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     got = classifier.score(docs, classifier.fit(docs, lab)).join(lab, "doc_id").collect()
@@ -33,6 +79,82 @@ def test_classifier(spark, sf, odd, none, labels):
     assert all(model.thresholds[:-1] <= model.thresholds[1:])
 
 
+def ordinal_case(n=60, k=7, seed=0):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x = rng.random((n, k)) * (rng.random((n, k)) < 0.5)
+    signal = x @ rng.normal(size=k) * 2 + rng.logistic(size=n)
+    y = np.digitize(signal, np.quantile(signal, [0.25, 0.6]))
+    doc, slot = np.nonzero(x)
+    return x, y, doc, slot, x[doc, slot]
+
+
+def plain_loss(v, x, y, l2):
+    """Each document's probability as a difference of two logistic curves, one by one."""
+    k = x.shape[1]
+    t = [v[k], v[k] + math.exp(v[k + 1])]
+    total = 0.0
+    for row, g in zip(x, y):
+        s = sum(a * b for a, b in zip(row, v[:k]))
+        below = [0.0] + [1 / (1 + math.exp(s - e)) for e in t] + [1.0]
+        total -= math.log(below[g + 1] - below[g])
+    return total / len(y) + l2 / 2 * sum(a * a for a in v[:k])
+
+
+def test_ordinal_gradient_by_differences():
+    import numpy as np
+
+    x, y, doc, slot, val = ordinal_case()
+    f = classifier.likelihood(doc, slot, val, y, x.shape[1], 0.01)
+    v = np.random.default_rng(1).normal(size=x.shape[1] + 2)
+    value, g = f(v)
+    assert math.isclose(value, plain_loss(v, x, y, 0.01), rel_tol=1e-12)
+    for i in range(len(v)):
+        e = np.zeros(len(v))
+        e[i] = 1e-6
+        assert math.isclose(g[i], (plain_loss(v + e, x, y, 0.01) - plain_loss(v - e, x, y, 0.01)) / 2e-6, rel_tol=1e-4, abs_tol=1e-7)
+
+
+def test_ordinal_optimum_by_another_way():
+    """Plain gradient descent in small steps ends at the same weights, thresholds and grades."""
+    import numpy as np
+
+    x, y, doc, slot, val = ordinal_case()
+    k, l2 = x.shape[1], 0.01
+    model = classifier.Ordinal.fit([(np.nonzero(r)[0], r[r > 0]) for r in x], y, buckets=2 * k, min_docs=1, least_z=0.0, rounds=500, l2=l2, max_share=1.0)
+    f = classifier.likelihood(doc, slot, val, y, k, l2)
+    v = np.concatenate([np.zeros(k), [-1.0, 0.0]])
+    for _ in range(30_000):
+        v = v - 0.5 * f(v)[1]
+    assert np.allclose(model.weights[:k], v[:k], atol=2e-2) and np.allclose(model.thresholds, [v[k], v[k] + math.exp(v[k + 1])], atol=2e-2)
+    got = model.grades(x @ model.weights[:k])
+    assert np.allclose(got.sum(axis=1), 1) and (got > 0).all()
+    for row, p in zip(x, got):
+        s = float(row @ model.weights[:k])
+        below = [0.0] + [1 / (1 + math.exp(s - t)) for t in model.thresholds] + [1.0]
+        assert np.allclose(p, np.diff(below))
+
+
+def test_classifier_bounds(spark):
+    """A doc_id in many rows trains once; both bounds hold, whatever the ratings."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('word', id % 7, ' some text ', id) AS text")
+    docs = docs.union(docs.where("doc_id < 40").crossJoin(spark.range(50).toDF("k")).selectExpr("doc_id", "concat(text, ' again ', k)"))
+    lab = spark.range(400).selectExpr("id AS doc_id", "CAST(id >= 40 AS INT) AS quality", "0 AS toxic")
+    seen = []
+    saved = classifier.Ordinal.fit
+    classifier.Ordinal.fit = classmethod(lambda cls, rows, y, *more: seen.append((rows, y)) or saved(rows, y, *more))
+    try:
+        for sample, mb in ((12_000, 200), (100, 200), (12_000, 0.01)):
+            classifier.fit(docs, lab, sample=sample, sample_mb=mb)
+    finally:
+        classifier.Ordinal.fit = saved
+    whole, some, small = seen
+    assert len(whole[0]) == 400 and sum(whole[1] == 1) == 40
+    assert len(some[0]) == 100 and 2 <= sum(some[1] == 1) <= 25
+    assert 50 < len(small[0]) < 250 and sum(a.nbytes // 2 + b.nbytes for a, b in small[0]) <= 0.01 * 2**20 + 8
+
+
 def test_telling_words_of_a_hot_source():
     """Words of a third of the rows keep their weight if the ratings depart; common ones of all rows have none."""
     import numpy as np

@@ -9,7 +9,8 @@ size; scoring gathers its rows for a batch's n-grams and sums them per document.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, as is
 every text if nothing was learned; documents without a language teach nothing;
-ties go to the language first in order of name; repeated rows count each time.
+ties go to the language first in order of name; repeated rows count each time; very
+long texts are read whole; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.text import columns
+from tributary.session import materialize
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.1
-MAX_MODEL_MB = 256
+#: Of a cell the driver holds three collected numbers, the counts, their logarithms and the matrix that is sent.
+CELL_BYTES = 48
+MAX_MODEL_MB = 512
 UNDETERMINED = "und"
 _LETTER: list[np.ndarray] = []
 
@@ -119,18 +123,15 @@ class Model:
 
 def fit(docs: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> Model:
     """Learn from all rows of docs that have a language; the model's size is checked before it is collected."""
-    counts = count_ngrams(docs, buckets)
-    from tributary.session import materialize
-
-    counts = materialize(counts, "ngrams")
-    langs = [r.lang for r in counts.select("lang").distinct().orderBy("lang").limit(MAX_MODEL_MB * (1 << 20) // (8 * buckets) + 1).collect()]
-    if len(langs) * buckets * 8 > MAX_MODEL_MB << 20:
+    counts = materialize(count_ngrams(docs, buckets), "ngrams")
+    langs = [r.lang for r in counts.select("lang").distinct().orderBy("lang").limit((MAX_MODEL_MB << 20) // (CELL_BYTES * buckets) + 1).collect()]
+    if len(langs) * buckets * CELL_BYTES > MAX_MODEL_MB << 20:
         raise ValueError(f"{len(langs)} languages x {buckets} buckets exceed {MAX_MODEL_MB} MB; use fewer buckets")
     n = np.zeros((len(langs), buckets))
     seen = np.zeros(len(langs))
-    table = counts.toPandas()
-    at = {x: i for i, x in enumerate(langs)}
-    row, col, val = table["lang"].map(at).to_numpy(int), table["bucket"].to_numpy(), table["n"].to_numpy()
+    code = F.array_position(F.lit(langs), F.col("lang")) - 1 if langs else F.lit(0)
+    table = counts.select(code.cast("int").alias("lang"), F.col("bucket").cast("int"), "n").toArrow()
+    row, col, val = (table.column(k).to_numpy() for k in range(3))
     n[row[col >= 0], col[col >= 0]] = val[col >= 0]
     seen[row[col < 0]] = val[col < 0]
     p = n + smoothing
