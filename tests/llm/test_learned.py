@@ -213,7 +213,8 @@ def test_decontamination(spark, sf, odd, none):
     text = {r.doc_id: plain(r.text) for r in docs.collect()}
     want = {(d, r.item_id) for r in items.collect() for d, t in text.items() if plain(r.text) in t}
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(docs, items).collect()} == want
-    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(docs, items, block_items=7).collect()} == want
+    for small in ({"block_items": 7}, {"block_bytes": 1500}):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(docs, items, **small).collect()} == want
     clean = decontaminate.clean_documents(docs, items)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == set(text) - {d for d, _ in want}
     rng = random.Random(1)
@@ -244,6 +245,29 @@ def test_edited_copies_of_a_hot_item(spark, copies, others):
     assert {r.doc_id for r in decontaminate.clean_documents(docs, items).collect()} == {d for d, _ in rows if d >= 2000}
 
 
+@pytest.mark.parametrize("share,least", [(0.12, 1.0), (0.2, 0.97), (0.25, 0.95), (0.3, 0.9)])
+def test_edited_items_of_the_benchmark(spark, sf, share, least):
+    """Random edits of all items: seeds find what a full alignment of every document finds."""
+    import numpy as np
+
+    rows = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    items, rng = decontaminate.Items(rows), random.Random(int(100 * share))
+    needs = np.maximum(items.lengths, np.minimum(2 * items.lengths - 3 * (items.lengths >= 6), 16))
+    docs = []
+    for _, text in rows * 3:
+        words = []
+        for w in text.split():
+            if rng.random() >= share:
+                words.append(w)
+            elif rng.random() < 0.7:
+                words += rng.choice([["zz"], ["zz", "yy"]])
+        line = [x for w in [f"a{i}" for i in range(30)] + words + [f"b{i}" for i in range(30)] if (x := decontaminate.plain_word(w))]
+        docs.append(np.array([items.vocab.get(w, 0) for w in line], np.int64))
+    want = {(d, items.items[i][0]) for d, ids in enumerate(docs) for i in range(len(items.items)) if decontaminate.align(items.items[i][1], ids[None, :])[0][0] >= needs[i]}
+    got = {(d, item) for d, item, *_ in decontaminate.align_passages(items, docs, 0.5, 8)}
+    assert got <= want and len(got) >= least * len(want) and len(want) >= 60
+
+
 def test_passages_left_out_could_not_score():
     import numpy as np
 

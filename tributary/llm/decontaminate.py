@@ -12,13 +12,15 @@ six, where an edit may leave no seed, all of them; an item of one or two words i
 only found in a document that has no other words. A passage that shares too few words with
 the item for that, in any order, isn't aligned; nothing is lost by it.
 
-The test items are taken in blocks of at most ``block_items``, each broadcast
-and scanned against all documents, so memory stays bounded for any benchmark.
-No document is shuffled.
+The test items are dealt by a hash into blocks of about ``block_items`` items or
+``block_bytes`` of text at most, each broadcast and scanned against all documents, so
+memory stays bounded for any benchmark. No document is shuffled.
 
 Edge cases: null or wordless items match nothing; null or empty documents match
-nothing; equal items are each reported; repeated rows are reported each; an
-empty table gives no rows. Extra document columns pass through clean_documents().
+nothing; equal items are each reported; repeated rows are reported each; of equally
+good alignments the first passage's counts; very long texts are aligned passage by
+passage; an empty table gives no rows. contaminated_pairs() reads doc_id and text
+only; extra document columns pass through clean_documents().
 """
 
 from __future__ import annotations
@@ -32,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.text import Memo
+from tributary.llm.text import Memo, slices
 
 SEED = 3
 THRESHOLD = 0.5
 LEAST_WORDS = 8
 BLOCK_ITEMS = 50_000
+BLOCK_BYTES = 8 << 20
 _PUNCT = re.compile(r"[\W_]+")
 
 
@@ -214,9 +217,10 @@ def _texts(batch: pa.RecordBatch, memo: Memo) -> Iterator[np.ndarray]:
         yield ids[ids >= 0]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, block_items: int) -> Iterator:
+def _blocks(docs: DataFrame, benchmark: DataFrame, block_items: int, block_bytes: int) -> Iterator:
     """A broadcast block of items at a time, with all its seeds."""
-    n_blocks = -(-benchmark.count() // block_items)
+    size = benchmark.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(-(-size.n // block_items), -(-size.bytes // block_bytes))
     for k in range(n_blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else benchmark
         items = Items([tuple(r) for r in part.select(F.col("item_id").cast("long"), "text").collect()])
@@ -225,16 +229,16 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, block_items: int) -> Iterator
 
 
 def contaminated_pairs(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, block_items: int = BLOCK_ITEMS
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """One row per contaminated (document, item): doc_id, item_id, score (to 1), first_word, end_word."""
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for sent in _blocks(docs, benchmark, block_items):
+    for sent in _blocks(docs, benchmark, block_items, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             memo = sent.value.memo()
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
                 rows = [(ids[d], *x) for d, *x in align_passages(sent.value, list(_texts(batch, memo)), threshold, least_words)]
                 cols = list(zip(*rows)) or [[]] * 5
@@ -246,14 +250,14 @@ def contaminated_pairs(
 
 
 def clean_documents(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, block_items: int = BLOCK_ITEMS
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """The documents without a contaminated pair, all columns, in one pass over each block of items."""
-    for sent in _blocks(docs, benchmark, block_items):
+    for sent in _blocks(docs, benchmark, block_items, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             memo = sent.value.memo()
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 hit = {d for d, *_ in align_passages(sent.value, list(_texts(batch, memo)), threshold, least_words)}
                 yield batch.filter(pa.array([d not in hit for d in range(batch.num_rows)], pa.bool_())) if hit else batch
 
