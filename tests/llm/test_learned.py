@@ -171,19 +171,87 @@ def test_telling_words_of_a_hot_source():
     assert vile < half and model.weights[vile] < -1 and model.weights[nasty] < -1 and model.weights[the] == 0
 
 
+def vocabulary():
+    """The vocabulary's pieces and Zipf weights, read afresh."""
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=lm.default_pieces())
+    ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i))]
+    ranked = {i: k for k, i in enumerate(sorted(range(sp.get_piece_size()), key=lambda i: -sp.get_score(i)))}
+    weight = {i: 1 / (ranked[i] + 2.7) for i in ids}
+    weight["end"] = max(weight.values())
+    total = sum(weight.values())
+    return sp, {k: w / total for k, w in weight.items()}
+
+
+def lattice(sp, weight, s):
+    """Probability of s as a sum over its cuts, prefix by prefix, in plain decimals."""
+    from decimal import Decimal
+
+    p = [Decimal(1)]
+    for j in range(1, len(s) + 1):
+        total = Decimal(0)
+        for i in range(max(0, j - 20), j):
+            k = sp.piece_to_id(s[i:j])
+            if k != sp.unk_id() and not sp.is_byte(k) and not sp.is_control(k):
+                total += p[i] * Decimal(weight[k])
+        if sp.piece_to_id(s[j - 1]) == sp.unk_id():
+            one = p[j - 1]
+            for b in s[j - 1].encode():
+                one *= Decimal(weight[sp.piece_to_id(f"<0x{b:02X}>")])
+            total += one
+        p.append(total)
+    return float(p[-1].ln())
+
+
 def test_lattice_by_enumeration():
+    sp, weight = vocabulary()
     p = lm.Pieces(lm.default_pieces())
+    text = {sp.id_to_piece(i): w for i, w in weight.items() if i != "end" and not sp.is_byte(i)}
 
     def every(s):
         if not s:
             return 1.0
-        total = sum(math.exp(p.lp[s[:k]]) * every(s[k:]) for k in range(1, len(s) + 1) if s[:k] in p.lp)
-        if s[0] not in p.lp:
-            total += math.exp(sum(p.logp[p.byte[b]] for b in s[0].encode())) * every(s[1:])
+        total = sum(text[s[:k]] * every(s[k:]) for k in range(1, len(s) + 1) if s[:k] in text)
+        if s[0] not in text:
+            total += math.prod(weight[sp.piece_to_id(f"<0x{b:02X}>")] for b in s[0].encode()) * every(s[1:])
         return total
 
     for w in ("a", "thering", "naïve", "x🙂y", "un"):
-        assert math.isclose(p.word(w), math.log(every(lm.SPACE + w)), rel_tol=1e-9)
+        assert math.isclose(p.word(w)[1], math.log(every(lm.SPACE + w)), rel_tol=1e-9)
+        assert math.isclose(lattice(sp, weight, lm.SPACE + w), math.log(every(lm.SPACE + w)), rel_tol=1e-9)
+    assert p.word("un") == (p.word("un")[1],) * 2  # without counts the vocabulary stands alone
+    assert math.isfinite(p.word("ab🙂" * 100_000)[0])
+
+
+def test_document_scores_by_hand(spark):
+    """All documents of sf0.001: weights mixed, and every word's cuts summed, without the operator."""
+    sf = "/root/testdata/sf0.001"
+    sp, weight = vocabulary()
+    docs = {r.doc_id: [w.decode() for w in re.findall(rb"[^\x20\x09-\x0d]+", (r.text or "").encode().lower())] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    train = [i for i in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(k for i in train for w in docs[i] for k in sp.encode(w))
+    c["end"] = len(train)
+    n = sum(c.values())
+    model = {k: 0.5 * w + 0.5 * c[k] / n for k, w in weight.items()}
+    known = {}
+
+    def word(w):
+        if w not in known:
+            known[w] = [lattice(sp, x, lm.SPACE + w) / math.log(10) for x in (model, weight)]
+        return known[w]
+
+    got = queries.op7_lattice_lm(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        for k, (have, x) in enumerate(((r.score, model), (r.vocab_score, weight))):
+            assert math.isclose(have, sum(word(w)[k] for w in docs[r.doc_id]) + math.log10(x["end"]), rel_tol=1e-9)
+
+
+def test_long_words_may_be_in_the_head(spark):
+    vocab = spark.createDataFrame([(b"x" * 5000, 900), (b"y", 800), *((b"w%d" % i, 3) for i in range(50))], "word binary, every long")
+    assert {len(r.word) for r in lm.frequent(vocab, 100).collect()} == {5000, 1, 2, 3}
+    assert lm.frequent(vocab, 10).count() == 0 and lm.frequent(vocab, 10, 1000).count() == 2
 
 
 def test_lm_scores(spark, sf, odd, none):

@@ -2,32 +2,35 @@
 
 The pieces are those of a public subword vocabulary (32 thousand, with bytes as
 a fallback). A word's probability is the sum over all its segmentations of the
-product of piece probabilities, by a forward recursion in log space. Piece
-weights are the vocabulary's own scores (merge ranks, read as Zipf weights) as a
-prior of ``prior`` pseudo-counts, updated by the pieces' counts in all training
-words as the vocabulary cuts them. A document's log probability is the sum over
-its words and one end mark, a piece of its own.
+product of piece probabilities, by a forward recursion in log space. The model's
+piece weights are half the vocabulary's own (``vocab_share``; its scores are merge
+ranks, read as Zipf weights) and half the pieces' share of all training words as the
+vocabulary cuts them, so the vocabulary weighs the same in a corpus of any size.
+vocab_score is the same likelihood by the vocabulary's weights alone. A document's
+log probability is the sum over its words and one end mark, a piece of its own.
 
 Steps: (1) tasks count words, summed by key over all documents; (2) piece counts
 are added up over the distinct training words; (3) each distinct word gets its
-training count and its lattice likelihood once; (4) documents look up the
-most frequent words (at most ``head``, short ones: a bounded broadcast), and send their
-other distinct words to a join by word; sums are taken per document. A word that
-many documents have is in the head, so the join has no hot key.
+training count and its lattice likelihoods once; (4) documents look up the
+most frequent words (at most ``head``, with HEAD_BYTES each on average: a bounded
+broadcast), and send their other distinct words to a join by word; sums are taken per
+document. A word that many documents have is in the head, so the join has no hot key.
 
 Words are non-white-space with A-Z lower-cased, as in the base score: sum of
 log10((c + 1) / (N + V + 1)) with c, N, V the token's count, all tokens and
 distinct tokens of the training documents; the end counts as a token.
 
 Edge cases: a null text is the end alone; a null doc_id belongs to whatever fold
-it gets; repeated rows are scored each; without training documents only the
-prior remains (N = V = 0); an empty table gives no rows.
+it gets; repeated rows are scored each; very long texts and words are read whole, with
+memory by the longest piece; words of equal frequency are in the head together or not
+at all; without training documents the vocabulary alone is the model (N = V = 0); an
+empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +44,7 @@ from tributary.session import discard, materialize
 
 HEAD = 150_000
 HEAD_BYTES = 64
-PRIOR = 10_000.0
+VOCAB_SHARE = 0.5
 FLUSH = 300_000
 LN10 = math.log(10.0)
 SPACE = "▁"
@@ -54,7 +57,7 @@ def default_pieces() -> str:
 
 
 class Pieces:
-    """Piece log probabilities (natural) and the lattice over them."""
+    """Piece log probabilities (natural), by the model and by the vocabulary alone, and the lattice over them."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -66,31 +69,58 @@ class Pieces:
         plain = np.array([not (sp.is_control(i) or sp.is_unknown(i)) for i in range(self.n)])
         rank = np.argsort(np.argsort(-score, kind="stable"), kind="stable")
         zipf = np.where(plain, 1.0 / (rank + 2.7), 0.0)
-        self.zipf = np.append(zipf, zipf.max())  # the end mark, as likely as the first piece at first
+        self.zipf = np.append(zipf, zipf.max())  # the end mark, as likely as the first piece
         self.zipf /= self.zipf.sum()
-        self.text = {sp.id_to_piece(i): i for i in range(self.n) if plain[i] and not sp.is_byte(i)}
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.longest = max(map(len, self.text))
-        self.set_counts(np.zeros(self.n + 1), PRIOR)
+        self.trie: dict = {}
+        self.longest = 1
+        for i in range(self.n):
+            if plain[i] and not sp.is_byte(i):
+                node, piece = self.trie, sp.id_to_piece(i)
+                for c in piece:
+                    node = node.setdefault(c, {})
+                node[""] = i
+                self.longest = max(self.longest, len(piece))
+        with np.errstate(divide="ignore"):
+            self.own = np.log(self.zipf).tolist()
+        self.set_counts(np.zeros(self.n + 1))
 
-    def set_counts(self, counts: np.ndarray, prior: float = PRIOR) -> None:
-        p = counts + prior * self.zipf
+    def set_counts(self, counts: np.ndarray, vocab_share: float = VOCAB_SHARE) -> None:
+        """Mix the vocabulary's weights with the pieces' shares of all counts; without counts they stand alone."""
+        total = counts.sum()
         with np.errstate(divide="ignore"):
-            self.logp = np.log(p / p.sum())
-        self.lp = {t: float(self.logp[i]) for t, i in self.text.items()}
-        self.end = float(self.logp[-1])
-
-    def word(self, word: str) -> float:
-        """Log probability of a word, summed over all its segmentations."""
-        s, lp, longest = SPACE + word, self.lp, self.longest
-        alpha = [0.0]
-        for j in range(1, len(s) + 1):
-            arcs = [alpha[i] + lp[x] for i in range(max(0, j - longest), j) if (x := s[i:j]) in lp]
-            if not arcs or s[j - 1] not in lp:
-                arcs.append(alpha[j - 1] + sum(float(self.logp[self.byte[b]]) for b in s[j - 1].encode("utf-8", "replace")))
-            top = max(arcs)
-            alpha.append(top if len(arcs) == 1 else top + math.log(sum([math.exp(a - top) for a in arcs])))
-        return alpha[-1]
+            self.logp = np.log(vocab_share * self.zipf + (1 - vocab_share) * counts / total).tolist() if total else list(self.own)
+        self.ends = self.logp[-1], self.own[-1]
+
+    def word(self, word: str) -> tuple[float, float]:
+        """Log probabilities of a word, summed over all its segmentations: by the model, by the vocabulary alone."""
+        s, logp, own = SPACE + word, self.logp, self.own
+        n = len(s)
+        ahead: deque[list] = deque([] for _ in range(self.longest + 1))  # arcs into the next places
+        a = b = 0.0
+        for i in range(n):
+            node, k, alone = self.trie, 0, False
+            while i + k < n and (node := node.get(s[i + k])) is not None:
+                k += 1
+                if (piece := node.get("")) is not None:
+                    ahead[k].append((a + logp[piece], b + own[piece]))
+                    alone = alone or k == 1
+            if not alone:  # no piece of this character: its bytes
+                raw = [self.byte[x] for x in s[i].encode("utf-8", "replace")]
+                ahead[1].append((a + sum(logp[x] for x in raw), b + sum(own[x] for x in raw)))
+            ahead.popleft()
+            ahead.append([])
+            arcs = ahead[0]
+            if len(arcs) == 1:
+                a, b = arcs[0]
+            else:
+                (a, b), exp = map(max, zip(*arcs)), math.exp
+                x = y = 0.0
+                for p, q in arcs:
+                    x += exp(p - a)
+                    y += exp(q - b)
+                a, b = a + math.log(x), b + math.log(y)
+        return a, b
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -144,38 +174,38 @@ def piece_counts(vocab: DataFrame, pieces: Pieces) -> np.ndarray:
 
 
 def with_likelihood(vocab: DataFrame, pieces: Pieces) -> DataFrame:
-    """vocab with lattice: the log10 probability of each word."""
+    """vocab with lattice and plain: the log10 probability of each word by the model and by the vocabulary alone."""
     sent = vocab.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         likelihood = sent.value.word
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            score = pa.array([likelihood(w.decode("utf-8", "replace")) / LN10 for w in words], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], ["word", "train", "every", "lattice"])
+            both = np.array([likelihood(w.decode("utf-8", "replace")) for w in batch.column(0).to_pylist()], np.float64).reshape(-1, 2) / LN10
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(both[:, 0]), pa.array(both[:, 1])], ["word", "train", "every", "lattice", "plain"])
 
-    return vocab.select("word", "train", "every").mapInArrow(run, "word binary, train long, every long, lattice double")
+    return vocab.select("word", "train", "every").mapInArrow(run, "word binary, train long, every long, lattice double, plain double")
 
 
-def frequent(vocab: DataFrame, head: int, most_bytes: int = HEAD_BYTES) -> DataFrame:
-    """The short words above a count that at most ``head`` of them reach.
+def frequent(vocab: DataFrame, head: int, word_bytes: int = HEAD_BYTES) -> DataFrame:
+    """The words above a count that at most ``head`` of them reach, with ``head * word_bytes`` bytes at most.
 
     The count is found from a histogram over classes of counts (sixteenths of a
     power of two), so what reaches the driver depends on head alone, not on how
     many partitions the vocabulary has.
     """
-    short = vocab.where(F.octet_length("word") <= most_bytes).withColumn("class", F.floor(F.log2("every") * 16))
-    left, least = head, None
-    for r in sorted(short.groupBy("class").count().collect(), reverse=True):
-        left -= r["count"]
-        if left < 0:
+    classed = vocab.withColumn("class", F.floor(F.log2("every") * 16))
+    left, room, least = head, head * word_bytes, None
+    size = classed.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word")).alias("bytes"))
+    for r in sorted(size.collect(), reverse=True):
+        left, room = left - r["n"], room - r["bytes"]
+        if left < 0 or room < 0:
             break
         least = r["class"]
-    return short.where(F.lit(False) if least is None else F.col("class") >= least)
+    return classed.where(F.lit(False) if least is None else F.col("class") >= least)
 
 
-def score_documents(docs: DataFrame, held_out: str = "held_out", pieces: str | None = None, prior: float = PRIOR, head: int = HEAD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
+def score_documents(docs: DataFrame, held_out: str = "held_out", pieces: str | None = None, vocab_share: float = VOCAB_SHARE, head: int = HEAD) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, vocab_score of every row of docs.
 
     Rows whose ``held_out`` column is true teach nothing.
     """
@@ -186,50 +216,51 @@ def score_documents(docs: DataFrame, held_out: str = "held_out", pieces: str | N
     counts = piece_counts(counted, model)
     ends = d.where("train").count()
     counts[-1] = ends
-    model.set_counts(counts, prior)
+    model.set_counts(counts, vocab_share)
     vocab = materialize(with_likelihood(counted, model), "vocab")
     discard(counted)
     total = vocab.where("train > 0").agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total.n + ends, total.v + (ends > 0)
-    first = frequent(vocab, head)
+    first = frequent(vocab, head).select("word", "train", "lattice", "plain")
     base = lambda c: math.log10((c + 1) / (n + v + 1))
-    table = {bytes(w): (int(c > 0), base(c), x) for w, c, x in first.select("word", "train", "lattice").toPandas().itertuples(index=False)}
-    sent = spark.sparkContext.broadcast((table, (int(ends > 0), base(ends), model.end / LN10)))
-    schema = "row long, doc_id long, held_out boolean, word binary, tf long, n_tokens long, n_known long, base double, score double"
-    names = [x.split()[0] for x in schema.split(", ")]
+    table = {bytes(w): (int(c > 0), base(c), x, y) for w, c, x, y in first.toPandas().itertuples(index=False)}
+    sent = spark.sparkContext.broadcast((table, (int(ends > 0), base(ends), *(x / LN10 for x in model.ends))))
+    kinds = {"row": "long", "doc_id": "long", "held_out": "boolean", "word": "binary", "tf": "long", "n_tokens": "long", "n_known": "long", "base": "double", "score": "double", "vocab": "double"}
+    arrow = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = sent.value
         row = TaskContext.get().partitionId() << 40
         for ids, held, texts in columns(batches, "doc_id", "held_out", "text"):
             for at in range(0, len(ids), 200):
-                out: list[list] = [[] for _ in names]
+                out: list[list] = [[] for _ in kinds]
                 for doc, h, t in zip(ids[at : at + 200], held[at : at + 200], texts[at : at + 200]):
                     words = ascii_words(t)
                     met = list(map(known.get, words))
-                    hits = np.array([x for x in met if x is not None], np.float64).reshape(-1, 3).sum(axis=0) + end
+                    hits = np.array([x for x in met if x is not None], np.float64).reshape(-1, 4).sum(axis=0) + end
                     # a key with a space is no word; it deals the documents' own rows evenly
-                    line = [row, doc, h, b" %d" % row, 0, len(words) + 1, int(hits[0]), float(hits[1]), float(hits[2])]
+                    line = [row, doc, h, b" %d" % row, 0, len(words) + 1, int(hits[0]), *hits[1:].tolist()]
                     rest = Counter(w for w, x in zip(words, met) if x is None)
                     for col, x in zip(out, line):
                         col.append(x)
                     m = len(rest)
-                    for col, x in zip(out, ([row] * m, [None] * m, [None] * m, rest.keys(), rest.values(), [0] * m, [0] * m, [0.0] * m, [0.0] * m)):
+                    for col, x in zip(out, ([row] * m, [None] * m, [None] * m, rest.keys(), rest.values(), [0] * m, [0] * m, *[[0.0] * m] * 3)):
                         col.extend(x)
                     row += 1
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(out, kinds.values())], list(kinds))
 
-    rows = d.select("doc_id", "held_out", "text").mapInArrow(run, schema)
-    tail = rows.join(vocab.select("word", "train", "lattice"), "word", "left")
+    rows = d.select("doc_id", "held_out", "text").mapInArrow(run, ", ".join(f"{k} {t}" for k, t in kinds.items()))
+    tail = rows.join(vocab.select("word", "train", "lattice", "plain"), "word", "left")
+    plus = lambda have, each: F.col(have) + F.col("tf") * F.coalesce(each, F.lit(0.0))
     got = tail.select(
         "row",
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.when(F.col("train") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        (F.col("base") + F.col("tf") * F.coalesce(F.log10((F.col("train") + 1) / F.lit(float(n + v + 1))), F.lit(0.0))).alias("base"),
-        (F.col("score") + F.col("tf") * F.coalesce("lattice", F.lit(0.0))).alias("score"),
+        plus("base", F.log10((F.col("train") + 1) / F.lit(float(n + v + 1)))).alias("base"),
+        plus("score", F.col("lattice")).alias("score"),
+        plus("vocab", F.col("plain")).alias("vocab"),
     )
     sums = got.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
@@ -239,5 +270,6 @@ def score_documents(docs: DataFrame, held_out: str = "held_out", pieces: str | N
         F.lit(n).cast("long").alias("train_tokens"),
         F.sum("base").alias("base_score"),
         F.sum("score").alias("score"),
+        F.sum("vocab").alias("vocab_score"),
     )
     return sums.drop("row")
