@@ -625,4 +625,13 @@ def test_urls_odd_rows(spark):
     got = sorted((r.page_id, r.blocked, r.n_rules, r.rule) for r in urls.judge(p, ev).collect())
     assert got == [(1, True, 2, "b.a.com/x")] * 2 + [(2, False, 0, None), (3, False, 0, None), (4, False, 0, None), (5, False, 0, None), (6, False, 0, None)]
     assert sorted((r.page_id, r.n_rules) for r in urls.judge(p, ev, broadcast_rules=0).collect()) == sorted((g[0], g[2]) for g in got)
+    extra = p.selectExpr("*", "'r' AS rule", "1 AS n_rules", "'h' AS host", "array('k') AS keys", "2 AS row")
+    assert sorted((r.page_id, r.blocked, r.n_rules, r.rule) for r in urls.judge(extra, ev).collect()) == got
+    deep = spark.createDataFrame([(1, "http://b.a.com/x" + "/y" * 50_000, 4)], p.schema)
+    assert [(r.n_rules, r.rule) for r in urls.judge(deep, ev).collect()] == [(2, "b.a.com/x")]
     assert urls.judge(p.limit(0), ev).count() == 0 and urls.judge(p, ev.limit(0)).where("blocked").count() == 0
+
+
+def test_the_list_covers_many_pages(spark, sf):
+    got = queries.op10_url_filters(spark, sf).collect()
+    assert 20 <= sum(r.blocked for r in got) <= len(got) - 20 and len({r.rule for r in got}) >= 10

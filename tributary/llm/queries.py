@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+from itertools import product
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import classifier, decontaminate, langid, lm, packing, pii, quality_rules, records, simhash, urls
 
-#: The dated list that op10 applies (rule, action, date).
-URL_EVENTS = (
+#: Entries of the dated list that op10 applies (rule, action, date).
+_KNOWN_EVENTS = (
     ("ads-track.example.com", "add", "2024-01-01"),
     ("adult-x.example.com", "add", "2024-01-01"),
     ("spam-farm.example.org", "add", "2024-02-15"),
@@ -17,11 +20,29 @@ URL_EVENTS = (
     ("cheap-pills.example.net", "add", "2024-04-20"),
     ("cheap-pills.example.net", "remove", "2024-06-01"),
     ("cheap-pills.example.net", "add", "2024-11-05"),
-    ("free-bets.example.com", "add", "2024-05-01"),
-    ("free-bets.example.net", "add", "2024-05-01"),
     ("tionsh.example.net/en", "add", "2024-07-01"),
     ("tionsh.example.net/en", "remove", "2024-07-15"),
 )
+_FIRST, _SECOND = ("ther", "thth", "tion"), ("an", "ble", "ed", "en", "er", "ha", "he", "in", "nt", "on", "or", "ou", "re", "sh", "st", "th", "tion", "wh")
+
+
+def _listed() -> tuple[tuple[str, str, str], ...]:
+    """The known entries and those of invented domains: each comes into force on a day of 2024, every third one ends, every sixth begins again."""
+    out = list(_KNOWN_EVENTS)
+    for i, (a, b, top) in enumerate(product(_FIRST, _SECOND, ("com", "net", "org"))):
+        if i % 4 == 3:
+            continue
+        rule = f"{a}{b}.example.{top}" + ("/en" if i % 8 == 0 else "")
+        day = date(2024, 1, 1) + timedelta(i * 37 % 250)
+        out.append((rule, "add", day.isoformat()))
+        if i % 3 == 0:
+            out.append((rule, "remove", (day + timedelta(60)).isoformat()))
+        if i % 6 == 0:
+            out.append((rule, "add", (day + timedelta(90)).isoformat()))
+    return tuple(out)
+
+
+URL_EVENTS = _listed()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
