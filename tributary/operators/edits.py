@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from tributary.functions.geo import line_length, substring
+from tributary.operators.snap import dense_ids
 
 
 def merge_cuts(cuts: DataFrame, tol: float) -> DataFrame:
@@ -27,9 +27,8 @@ def split_pipes(pipes: DataFrame, cuts: DataFrame, tol: float) -> DataFrame:
     whole = F.size("_cuts") == 0
     ends = ends.withColumn("coords", F.when(whole, F.col("coords")).otherwise(substring("coords", "_piece.a", "_piece.b")))
     top = pipes.agg((F.max("pidx") + 1).alias("n")).first()["n"] or 0
-    added = ends.where("_piece.i > 0").select(F.col("pidx").alias("parent"), F.col("_piece.i").alias("piece"))
-    w = W.Window.orderBy("parent", "piece")  # cuts only: tens of rows beside the network
-    ids = added.withColumn("new", F.row_number().over(w) - 1 + F.lit(top))
+    added = ends.where("_piece.i > 0").select(F.struct(F.col("pidx").alias("parent"), F.col("_piece.i").alias("piece")).alias("at"))
+    ids = dense_ids(added, "at").select("at.parent", "at.piece", (F.col("node_id") + F.lit(top)).alias("new"))
     out = ends.withColumn("parent", F.col("pidx")).withColumn("piece", F.col("_piece.i")).drop("cuts", "_len", "_cuts", "_piece")
     out = out.join(ids, ["parent", "piece"], "left").withColumn("pidx", F.coalesce("new", "pidx").cast("long")).drop("new")
     return out.select(*pipes.columns, "parent", "piece")

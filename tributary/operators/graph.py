@@ -40,9 +40,9 @@ def multiplicity(edges: DataFrame) -> DataFrame:
     )
 
 
-def component_edges(edges: DataFrame) -> DataFrame:
+def component_edges(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     """(component, n_nodes, n_edges) of the weak components."""
-    comp = connected_components(edges, small_edges=SMALL_EDGES)
+    comp = connected_components(edges, small_edges=small_edges)
     nodes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
     lines = edges.join(comp.withColumnRenamed("node", "u"), "u").groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"))
     return nodes.join(lines, "component", "left").select("component", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -28,17 +31,25 @@ def leave_one_out(sweep: DataFrame, combo: tuple[str, ...], site: str = "site")
     """(held, combo..., iou): the best combination on the other sites, and the held site's score with it.
 
     Best is by median, then sites at 0.5 or more, then combination order. A grid
-    that lacks a combination for a site raises.
+    that lacks a combination for a site raises. The median without one score
+    follows from the score's rank among all, so no site is joined with the others.
     """
     full = sweep.agg(F.count_distinct(site).alias("s"), F.count_distinct(*combo).alias("c"), F.count(F.lit(1)).alias("n")).first()
     if full.s * full.c != full.n:
         raise ValueError(f"incomplete grid: {full.n} rows for {full.s} sites and {full.c} combinations")
-    held = sweep.select(F.col(site).alias("held")).distinct()
-    others = sweep.join(F.broadcast(held) if full.s <= 10_000 else held, F.col(site) != F.col("held"))
-    s = others.groupBy("held", *combo).agg(F.median("iou").alias("m"), F.count_if(F.col("iou") >= 0.5).alias("g"))
-    w = W.Window.partitionBy("held").orderBy(F.desc("m"), F.desc("g"), *combo)
-    best = s.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("held", *combo)
-    return best.join(sweep.withColumnRenamed(site, "held"), ["held", *combo]).select("held", *combo, "iou")
+    n = full.s
+    rank = F.row_number().over(W.Window.partitionBy(*combo).orderBy("iou", site))
+    ranked = sweep.select(F.col(site).alias("held"), *combo, "iou", rank.alias("rank"))
+    # without one of n scores the middle ones have these ranks, one higher from the left-out one on
+    low, high = n // 2, (n + 1) // 2
+    at = lambda k: F.max(F.when(F.col("rank") == k, F.col("iou")))
+    middle = ranked.groupBy(*[F.col(c).alias(f"m_{c}") for c in combo]).agg(*[at(k).alias(f"v{k}") for k in sorted({low, low + 1, high, high + 1})], F.count_if(F.col("iou") >= 0.5).alias("ge"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in combo])
+    d = ranked.join(middle, same)
+    pick = lambda k: F.when(F.col("rank") <= k, F.col(f"v{k + 1}")).otherwise(F.col(f"v{k}"))
+    d = d.withColumns({"m": (pick(low) + pick(high)) / 2, "g": F.col("ge") - F.when(F.col("iou") >= 0.5, 1).otherwise(0)})
+    best = F.min_by(F.struct(*combo, "iou"), F.struct(-F.col("m"), -F.col("g"), *combo)).alias("best")
+    return d.groupBy("held").agg(best).select("held", "best.*")
 
 
 def capture(reached: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import window as W
 
 from tributary.operators.components import connected_components
 from tributary.operators.graph import SMALL_EDGES
-from tributary.operators.spatial import self_pairs, within
+from tributary.operators.spatial import close_pairs, self_pairs, within
 from tributary.session import materialize
 
 
@@ -27,9 +27,9 @@ def endpoints(pipes: DataFrame) -> DataFrame:
     return d.select((2 * F.col("pidx") + F.when(F.col("is_start"), 0).otherwise(1)).alias("ep_idx"), "pidx", "is_start", "fid", "x", "y")
 
 
-def _clusters(points: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+def _clusters(points: DataFrame, pairs: DataFrame, key: str, small_edges: int = SMALL_EDGES) -> DataFrame:
     """(key, first): the smallest key of the cluster that each point is merged into."""
-    comp = connected_components(pairs.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")), small_edges=SMALL_EDGES)
+    comp = connected_components(pairs.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")), small_edges=small_edges)
     return points.select(key).join(comp.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("component", key).alias("first"))
 
 
@@ -42,7 +42,7 @@ def pure_ends(clusters: DataFrame) -> DataFrame:
     return clusters.where("has_start <> has_end")
 
 
-def snap_endpoints(ep: DataFrame, tol: float, end_radius: float, manual: DataFrame | None = None) -> DataFrame:
+def snap_endpoints(ep: DataFrame, tol: float, end_radius: float, manual: DataFrame | None = None, small_edges: int = SMALL_EDGES) -> DataFrame:
     """(ep_idx, node_id): pass 1 merges endpoints within tol, pass 2 merges pass-1
     clusters of pure ends within end_radius, pass 3 applies manual snaps (x, y, radius).
 
@@ -50,9 +50,9 @@ def snap_endpoints(ep: DataFrame, tol: float, end_radius: float, manual: DataFra
     pass-1 centroids.
     """
     ep = materialize(ep, "endpoints")
-    one = materialize(_clusters(ep, self_pairs(ep, tol, "ep_idx"), "ep_idx"), "pass1")
+    one = materialize(_clusters(ep, close_pairs(ep, tol, "ep_idx"), "ep_idx", small_edges), "pass1")
     centre = materialize(_summary(ep.join(one, "ep_idx"), "first"), "pass1c")
-    merges = self_pairs(pure_ends(centre), end_radius, "first").select("a_id", "b_id")
+    merges = close_pairs(pure_ends(centre), end_radius, "first")
     if manual is not None:
         m = materialize(manual.select("x", "y", F.col("radius").cast("double").alias("radius")).withColumn("snap", F.monotonically_increasing_id()), "manual")
         widest = m.agg(F.max("radius")).first()[0]
@@ -62,7 +62,7 @@ def snap_endpoints(ep: DataFrame, tol: float, end_radius: float, manual: DataFra
             if bad := per.where("coalesce(n, 0) < 2").count():
                 raise ValueError(f"{bad} manual snaps meet fewer than two clusters")
             merges = merges.union(hit.join(per, "a_id").where("b_id <> low").select(F.col("low").alias("a_id"), "b_id"))
-    two = materialize(_clusters(centre, merges, "first").withColumnRenamed("first", "pass1").toDF("pass1", "final"), "pass2")
+    two = materialize(_clusters(centre, merges, "first", small_edges).withColumnRenamed("first", "pass1").toDF("pass1", "final"), "pass2")
     joined = one.withColumnRenamed("first", "pass1").join(two, "pass1").select("ep_idx", "final")
     # dense ids: number the nodes by ranges of their first endpoint, then shift by range
     return joined.join(dense_ids(two.select("final").distinct(), "final"), "final").select("ep_idx", "node_id")
@@ -88,9 +88,9 @@ def node_layer(ep: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.withColumn("role", role).drop("s", "e")
 
 
-def gap_band(points: DataFrame, tol: float, radius: float, key: str = "id") -> DataFrame:
-    """Pairs further apart than tol and at most radius, as distance of coordinates rounded to 2 places."""
-    p = points.withColumns({"x": F.bround("x", 2), "y": F.bround("y", 2)})
+def gap_band(layer: DataFrame, tol: float, radius: float, key: str = "node_id") -> DataFrame:
+    """Pairs of the node layer's pure starts and ends further apart than tol and at most radius, as distance of coordinates rounded to 2 places."""
+    p = layer.where("role <> 'junction'").withColumns({"x": F.bround("x", 2), "y": F.bround("y", 2)})
     return self_pairs(p, radius, key, above=tol)
 
 

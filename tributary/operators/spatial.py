@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.session import discard, materialize
+
 
 def _cell(c: str | Column, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(float(size)))
@@ -37,6 +42,47 @@ def nearest(a: DataFrame, b: DataFrame, radius: float, a_id: str = "id", b_id: s
     return p.groupBy("a_id").agg(best).select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.dist").alias("dist"))
 
 
+def close_pairs(points: DataFrame, radius: float, key: str = "id") -> DataFrame:
+    """Pairs (a_id, b_id) that link the same points together as all pairs within radius do: equal places are linked to their least key, and that one to other places."""
+    place = points.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.min(key).alias("rep"))
+    apart = self_pairs(place, radius, "rep").select("a_id", "b_id")
+    same = points.select(key, "x", "y").join(place, ["x", "y"]).where(F.col(key) != F.col("rep"))
+    return apart.unionByName(same.select(F.col("rep").alias("a_id"), F.col(key).alias("b_id")))
+
+
+def nearest_any(a: DataFrame, b: DataFrame, start: float, a_id: str = "id", b_id: str = "id") -> DataFrame:
+    """(a_id, b_id, dist): the nearest point of b of each of a, however far; ties go to the smallest b_id.
+
+    Rounds with growing radius settle the points that have one in reach. A round
+    first bounds the distance by the cells of b, an eighth of the radius wide, and
+    then measures the points of those cells only that may hold the nearest one.
+    """
+    pts = b.select(F.col(b_id).alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by")).where("bx IS NOT NULL AND by IS NOT NULL")
+    left = materialize(a.select(F.col(a_id).alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay")).where("ax IS NOT NULL AND ay IS NOT NULL"), "left")
+    kind = {f.name: f.dataType for f in left.schema} | {f.name: f.dataType for f in pts.schema}
+    found = [left.sparkSession.createDataFrame([], f"a_id {kind['a_id'].simpleString()}, b_id {kind['b_id'].simpleString()}, dist double")]
+    if pts.limit(1).count() == 0:
+        return found[0]
+    radius = float(start)
+    while left.limit(1).count():
+        size = radius / 8
+        half = size * math.sqrt(0.5) * (1 + 1e-9)
+        dealt = pts.withColumns({"cx": _cell("bx", size), "cy": _cell("by", size)})
+        cells = dealt.select("cx", "cy").distinct().select(F.struct("cx", "cy").alias("cell"), ((F.col("cx") + 0.5) * size).alias("x"), ((F.col("cy") + 0.5) * size).alias("y"))
+        near = within(left.select("a_id", F.col("ax").alias("x"), F.col("ay").alias("y")), cells, radius + half, "a_id", "cell")
+        least = near.groupBy("a_id").agg((F.min("dist") + half).alias("bound")).where(F.col("bound") <= radius)
+        some = near.join(least, "a_id").where(F.col("dist") - half <= F.col("bound")).select("a_id", "b_id.cx", "b_id.cy")
+        d = some.join(dealt, ["cx", "cy"]).join(left, "a_id")
+        dist = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
+        best = d.groupBy("a_id").agg(F.min(F.struct(dist.alias("dist"), "b_id")).alias("m")).select("a_id", "m.b_id", "m.dist")
+        found.append(materialize(best, "nearest"))
+        rest = materialize(left.join(found[-1], "a_id", "left_anti"), "left")
+        discard(left)
+        left = rest
+        radius *= 4
+    return reduce(DataFrame.unionByName, found)
+
+
 def segment_projection(px: Column, py: Column, sx: Column, sy: Column, ex: Column, ey: Column) -> tuple[Column, Column]:
     """(distance to the segment, distance along it of the nearest point)."""
     dx, dy = ex - sx, ey - sy
@@ -59,7 +105,7 @@ def points_near_segments(points: DataFrame, segments: DataFrame, radius: float,
     s = s.withColumn("cx", F.explode(F.sequence(_cell(F.least("sx", "ex") - radius, size), _cell(F.greatest("sx", "ex") + radius, size))))
     # in a column of cells only the heights that the segment has there
     run = F.nullif(F.col("ex") - F.col("sx"), F.lit(0.0))
-    at = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("sx")) / run))
+    at = lambda x: F.when(run.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("sx")) / run)))
     y = lambda t, else_: F.coalesce(F.col("sy") + t * (F.col("ey") - F.col("sy")), F.col(else_))
     ya, yb = y(at(F.col("cx") * size - radius), "sy"), y(at((F.col("cx") + 1) * size + radius), "ey")
     # a hair more than the radius, for rounding

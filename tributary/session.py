@@ -26,11 +26,13 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine), a temporary folder is
-    set as the checkpoint folder.
+    Where a local session names none (tests on one machine), a temporary folder is
+    set as the checkpoint folder; RuntimeError on a cluster.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tributary-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")

@@ -6,7 +6,9 @@ a small JSON file on the driver; tables are read by Spark.
 
 from __future__ import annotations
 
+import csv
 import datetime
+import io
 import json
 from collections.abc import Callable, Collection
 from pathlib import Path
@@ -77,7 +79,8 @@ def read_cached(spark: SparkSession, base: str, kind: str, manifest: str = "data
     book = read_manifest(Path(base) / manifest)
     if kind not in book:
         raise FileNotFoundError(f"no cached {kind} table")
-    path = (Path(base) / book[kind]["path"]).resolve().as_uri()
-    d = spark.read.csv(path, header=True)
+    # one county's table, on the driver's disk; executors needn't see it
+    header, *rows = csv.reader(io.StringIO((Path(base) / book[kind]["path"]).read_text(encoding="utf-8")))
+    d = spark.createDataFrame([tuple(x or None for x in r) for r in rows if r], ", ".join(f"`{c}` string" for c in header))
     number = "bigint" if kind == "decennial" else "double"
     return d.selectExpr(*[f"`{c}`" if c in ("GEOID", "GEOID20", "NAME") else f"try_cast(`{c}` AS {number}) AS `{c}`" for c in d.columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import math
 import re
 import zipfile
 from xml.etree import ElementTree
@@ -16,7 +17,6 @@ from tributary.operators.quality import facility_role
 from tributary.sources.decisions import decode
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-_PAIR = re.compile(r"\s*(-?\d+\.?\d*)\s*,\s*(-?\d+\.?\d*)\s*")
 
 
 def sheet_rows(raw: bytes) -> list[list[str]]:
@@ -43,11 +43,13 @@ def sheet_rows(raw: bytes) -> list[list[str]]:
     return rows
 
 
-def _degrees(text: str) -> float | None:
+def _degrees(*texts: str) -> list[float] | None:
+    """Two finite numbers, or None."""
     try:
-        return float(text)
+        both = [float(t) for t in texts]
     except ValueError:
         return None
+    return both if len(both) == 2 and all(map(math.isfinite, both)) else None
 
 
 def parse_facilities(rows: list[list[str]]) -> list[tuple[int, str, float, float]]:
@@ -60,22 +62,16 @@ def parse_facilities(rows: list[list[str]]) -> list[tuple[int, str, float, float
     lon = head.get("lon", head.get("long"))
     if "name" not in head or not ("coords" in head or ("lat" in head and lon is not None)):
         raise ValueError("a facility list needs Name, and Coords or lat and lon")
-    out = []
-    for n, row in enumerate(r for r in rows[1:] if any(c.strip() for c in r)):
-        cell = lambda i: row[i] if i < len(row) else ""
-        if "lat" in head and lon is not None:
-            pair = (_degrees(cell(head["lat"])), _degrees(cell(lon)))
-        else:
-            m = _PAIR.fullmatch(cell(head["coords"]))
-            pair = (float(m[1]), float(m[2])) if m else (None, None)
-        if None in pair:
-            raise ValueError(f"facility {cell(head['name'])!r}: coordinates can't be read")
-        if abs(pair[0]) > 90:
-            raise ValueError(f"facility {cell(head['name'])!r}: latitude beyond 90, is it lon, lat?")
-        out.append((n, cell(head["name"]), *pair))
-    if out and all(abs(a) > abs(b) for _, _, a, b in out):
+    columns = [head["lat"], lon] if "lat" in head and lon is not None else [head["coords"]]
+    filled = [row + [""] * len(head) for row in rows[1:] if any(c.strip() for c in row)]
+    places = [_degrees(*(part for c in columns for part in row[c].split(","))) for row in filled]
+    names = [row[head["name"]] for row in filled]
+    for name, place in zip(names, places):
+        if place is None or abs(place[0]) > 90:
+            raise ValueError(f"facility {name!r}: " + ("coordinates can't be read" if place is None else "latitude beyond 90, is it lon, lat?"))
+    if places and min(abs(lat) - abs(long) for lat, long in places) > 0:
         raise ValueError("every latitude is larger than its longitude, is it lon, lat?")
-    return out
+    return [(n, name, *place) for n, (name, place) in enumerate(zip(names, places))]
 
 
 def read_facilities(spark: SparkSession, path: str | None, patterns: list[tuple[str, str]]) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import sqlite3
 import struct
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,34 +28,37 @@ def add_header(wkb: bytes | None, srs_id: int) -> bytes | None:
 
 
 def _open(content: bytes) -> sqlite3.Connection:
-    f = tempfile.NamedTemporaryFile(suffix=".gpkg")
-    f.write(content)
-    f.flush()
-    db = sqlite3.connect(f"file:{f.name}?mode=ro", uri=True)
-    db.execute("SELECT count(*) FROM sqlite_master").fetchone()
-    out = sqlite3.connect(":memory:")
-    db.backup(out)
-    db.close()
-    f.close()
-    return out
+    """The database in memory, without a file."""
+    db = sqlite3.connect(":memory:")
+    db.deserialize(content)
+    return db
+
 
+def _ask(spark: SparkSession, path: str, question: str, *values: str) -> list[tuple]:
+    """Rows of text that a query finds in the file; a task reads the file, and only the answer leaves it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                rows = [[None if x is None else str(x) for x in r] for r in _open(content).execute(question, values)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["row"])
 
-def _content(spark: SparkSession, path: str) -> bytes:
-    return bytes(spark.read.format("binaryFile").load(path).select("content").first().content)
+    return [tuple(r.row) for r in spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row array<string>").collect()]
 
 
 def layers(spark: SparkSession, path: str) -> list[str]:
-    return [r[0] for r in _open(_content(spark, path)).execute("SELECT table_name FROM gpkg_contents ORDER BY table_name")]
+    return [r[0] for r in _ask(spark, path, "SELECT table_name FROM gpkg_contents ORDER BY table_name")]
 
 
-def read_layer(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    """The layer's columns, geometry as WKB in ``geom``. One task reads a file: SQLite files can't be split."""
-    db = _open(_content(spark, path))
-    geom = db.execute("SELECT column_name FROM gpkg_geometry_columns WHERE table_name = ?", (layer,)).fetchone()
-    info = db.execute(f'PRAGMA table_info("{layer}")').fetchall()
+def read_layer(spark: SparkSession, path: str, layer: str, where: str | None = None) -> DataFrame:
+    """The layer's columns, geometry as WKB in ``geom``; ``where`` is SQL that the file itself applies.
+
+    One task reads a file: SQLite files can't be split.
+    """
+    geom = (_ask(spark, path, "SELECT column_name FROM gpkg_geometry_columns WHERE table_name = ?", layer) or [None])[0]
+    info = _ask(spark, path, "SELECT cid, name, type FROM pragma_table_info(?)", layer)
     if not info:
         raise ValueError(f"no layer {layer!r} in {path}")
-    db.close()
     cols = [(r[1], "binary" if geom and r[1] == geom[0] else _KINDS.get(r[2].split("(")[0].upper(), "string")) for r in info]
     schema = ", ".join(f"`{'geom' if geom and c == geom[0] else c}` {k}" for c, k in cols)
     arrow = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string()}
@@ -65,7 +67,7 @@ def read_layer(spark: SparkSession, path: str, layer: str) -> DataFrame:
         names = ["geom" if geom and c == geom[0] else c for c, _ in cols]
         for batch in batches:
             for content in batch.column(0).to_pylist():
-                cur = _open(content).execute(f'SELECT {", ".join(chr(34) + c + chr(34) for c, _ in cols)} FROM "{layer}"')
+                cur = _open(content).execute(f'SELECT {", ".join(chr(34) + c + chr(34) for c, _ in cols)} FROM "{layer}"' + (f" WHERE {where}" if where else ""))
                 while rows := cur.fetchmany(5000):
                     values = [list(v) for v in zip(*rows)]
                     if geom:
