@@ -401,9 +401,49 @@ def property_stats(v: Views) -> DataFrame:
     return rounded(demo.property_stats(d), "total", "mean", "median", digits=2)
 
 
-@query(f"""SELECT substr(lpad(CAST(uid*7919 AS VARCHAR(20)), 15, '0'), 1, 12) AS group_id, count(*) AS n_blocks, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, {r("sum(cnt)", 2)} AS cnt FROM unit GROUP BY 1""")
+@query("""SELECT lpad(CAST(grp AS VARCHAR(20)), 12, '0') AS group_id, count(*) AS n_blocks, count(*) * 2500e0 AS area, floor(sum(p_all)*1e2 + 0.5001e0)/1e2 AS p_all FROM ublock GROUP BY grp""")
 def block_to_group(v: Views) -> DataFrame:
-    return rounded(demo.block_groups(v("unit").withColumn("geoid", (F.col("uid") * 7919).cast("string")), "geoid", ("cnt",)), "cnt", digits=2)
+    """Blocks merged to groups: counts, and the area of the merged shape."""
+    d = demo.block_groups(_shapes(v, "ublock", "geoid", "geoid", "p_all"), "geoid", ("p_all",))
+    return rounded(d.select("group_id", "n_blocks", shapes.measure("area", "geom").alias("area"), "p_all"), "p_all", digits=2)
+
+
+_SITE_DEMO = f"""bu AS (SELECT u.geoid, u.grp, p.pid, p.x0 AS px0, p.y0 AS py0, p.x1 AS px1, p.y1 AS py1, u.x0 AS ux0, u.y0 AS uy0, u.x1 AS ux1, u.y1 AS uy1
+  FROM home p JOIN ublock u ON p.x0 < u.x1 AND u.x0 < p.x1 AND p.y0 < u.y1 AND u.y0 < p.y1),
+bd AS (SELECT geoid, grp, sum((least(px1,ux1)-greatest(px0,ux0))*(least(py1,uy1)-greatest(py0,uy0))) AS denom FROM bu GROUP BY geoid, grp),
+bn AS (SELECT sid, geoid, grp, sum(greatest(0e0, least(px1,ux1,x1)-greatest(px0,ux0,x0))*greatest(0e0, least(py1,uy1,y1)-greatest(py0,uy0,y0))) AS numer
+  FROM bu JOIN site s ON s.x0 < ux1 AND ux0 < s.x1 AND s.y0 < uy1 AND uy0 < s.y1 GROUP BY sid, geoid, grp),
+bw AS (SELECT sid, bn.geoid, least(1e0, numer/denom) AS w FROM bn JOIN bd ON bd.geoid = bn.geoid WHERE denom > 0),
+gw AS (SELECT sid, grp, least(1e0, numer/denom) AS w FROM (SELECT sid, grp, sum(numer) AS numer FROM bn GROUP BY sid, grp) n JOIN (SELECT grp AS g, sum(denom) AS denom FROM bd GROUP BY grp) d ON g = grp WHERE denom > 0),
+pe AS (SELECT sid, sum(w*p_all) AS a, sum(w*p_a) AS ra, sum(w*p_h) AS eh FROM bw JOIN ublock ON ublock.geoid = bw.geoid GROUP BY sid),
+es AS (SELECT sid, count(*) FILTER (w > 0) AS n_block_groups, sum(w*pn) AS pn, sum(w*pd) AS pd, sqrt(sum(w*w*pnm*pnm)) AS pnm, sqrt(sum(w*w*pdm*pdm)) AS pdm,
+  sum(w*sn) AS sn, sum(w*sd) AS sd, sqrt(sum(w*w*snm*snm)) AS snm, sqrt(sum(w*w*sdm*sdm)) AS sdm, sum(w*i1) AS i1, sum(w*i2) AS i2, sum(w*i3) AS i3 FROM gw JOIN acs ON acs.grp = gw.grp GROUP BY sid),
+pv AS (SELECT sid, count(*) AS n_parcels, sum(f*val) AS total, sum(f*val)/sum(f) AS mean, median(val) AS med FROM (SELECT sid, val,
+  greatest(0e0, least(p.x1,s.x1)-greatest(p.x0,s.x0))*greatest(0e0, least(p.y1,s.y1)-greatest(p.y0,s.y0))/((p.x1-p.x0)*(p.y1-p.y0)) AS f
+  FROM parcel p JOIN site s ON p.x0 <= s.x1 AND s.x0 <= p.x1 AND p.y0 <= s.y1 AND s.y0 <= p.y1) x GROUP BY sid)"""
+_MOE = "100e0*sqrt(CASE WHEN {0}m*{0}m - ({0}/{1})*({0}/{1})*{1}m*{1}m >= 0 THEN {0}m*{0}m - ({0}/{1})*({0}/{1})*{1}m*{1}m ELSE {0}m*{0}m + ({0}/{1})*({0}/{1})*{1}m*{1}m END)/{1}"
+_MEDIAN = "CASE WHEN i1 >= t/2 THEN CASE WHEN i1 = 0 THEN 0e0 ELSE (t/2)/i1*10000 END WHEN i1+i2 >= t/2 THEN CASE WHEN i2 = 0 THEN 10000e0 ELSE 10000e0+(t/2-i1)/i2*15000 END ELSE 25000e0 END"
+_SPEC = demo.Spec("p_all", {"a": "p_a"}, demo.Rate(("pn",), ("pd",), ("pnm",), ("pdm",)), demo.Rate(("sn",), ("sd",), ("snm",), ("sdm",)), (("i1", 0, 10000), ("i2", 10000, 25000), ("i3", 25000, None)), {"h": "p_h"})
+
+
+def _even(x: str) -> str:
+    """Rounded to whole numbers; the views have no halves where it would matter."""
+    return f"CAST(floor({x} + 0.5e0) AS BIGINT)"
+
+
+@query(f"""WITH {_SITE_DEMO} SELECT s.sid AS site, {_even("coalesce(a, 0e0)")} AS population, {_even("coalesce(ra, 0e0)")} AS race_a, {r("100*ra/nullif(a,0e0)")} AS pct_a, {_even("coalesce(eh, 0e0)")} AS eth_h, {r("100*eh/nullif(a,0e0)")} AS pct_h,
+coalesce(n_block_groups, 0) AS n_block_groups, {_even("coalesce(pd, 0e0)")} AS poverty_universe, {_even("coalesce(pn, 0e0)")} AS poverty_below, {r("100*pn/nullif(pd,0e0)")} AS poverty_rate, {r(_MOE.format("pn", "pd"))} AS poverty_rate_moe,
+{_even("coalesce(sd, 0e0)")} AS total_households, {_even("coalesce(sn, 0e0)")} AS snap_households, {r("100*sn/nullif(sd,0e0)")} AS snap_rate, {r(_MOE.format("sn", "sd"))} AS snap_rate_moe,
+{r(f"CASE WHEN t > 0 THEN {_MEDIAN} END", 2)} AS median_income, CAST(NULL AS DOUBLE) AS median_income_moe, coalesce(n_parcels, 0) AS n_parcels, {r("total", 2)} AS prop_val_total, {r("mean", 2)} AS prop_val_mean, {r("med", 2)} AS prop_val_median
+FROM site s LEFT JOIN pe ON pe.sid = s.sid LEFT JOIN (SELECT *, i1+i2+i3 AS t FROM es) e ON e.sid = s.sid LEFT JOIN pv ON pv.sid = s.sid""")
+def site_demographics(v: Views) -> DataFrame:
+    """The flat record of every site: people from blocks, rates with margins and median income from groups, values from parcels."""
+    blocks = _shapes(v, "ublock", "geoid", "geoid", "p_all", "p_a", "p_h")
+    groups = demo.block_groups(blocks, "geoid").withColumnRenamed("group_id", "geoid")
+    groups = groups.join(v("acs").withColumn("geoid", F.lpad(F.col("grp").cast("string"), 12, "0")), "geoid")
+    d = demo.site_records(_shapes(v, "site", "sid", "site"), blocks, groups, _shapes(v, "home", "pid", "pid"), _shapes(v, "parcel", "pid", "pid", "val"), _SPEC, 200.0)
+    d = rounded(d, "pct_a", "pct_h", "poverty_rate", "poverty_rate_moe", "snap_rate", "snap_rate_moe")
+    return rounded(d, "median_income", "prop_val_total", "prop_val_mean", "prop_val_median", digits=2)
 
 
 @query("""SELECT o_orderpriority AS use_desc, count(*) AS n, count(*) FILTER ((starts_with(o_orderpriority, '1') OR starts_with(o_orderpriority, '2') OR contains(o_orderpriority, 'LOW'))) AS n_res FROM orders GROUP BY 1""")
@@ -494,16 +534,24 @@ fc AS (SELECT node, min(other) AS comp FROM fr GROUP BY node),
 term AS (SELECT u AS node, comp FROM two JOIN fc ON node = u WHERE u <> v GROUP BY u, comp HAVING count(DISTINCT v) = 1),
 ends AS (SELECT comp, node, ((node*37)%600)*1e0 AS gap, (node%3) AS out_degree, node*10 AS gravity FROM term),
 cl AS (SELECT *, CASE WHEN gap <= 150 THEN 'connected' WHEN gap <= 400 THEN 'candidate' ELSE 'none' END AS contact,
-  CASE WHEN gap <= 150 THEN CASE WHEN out_degree > 0 THEN 'discharge' ELSE 'wetwell' END WHEN gap <= 400 THEN CASE WHEN out_degree > 0 THEN 'discharge?' ELSE 'wetwell?' END ELSE 'none' END AS classification FROM ends),
-vd AS (SELECT comp, count(*) FILTER (classification = 'wetwell') AS n_wet, count(*) FILTER (classification = 'discharge') AS n_dis, count(*) FILTER (contact <> 'connected') AS n_open FROM cl GROUP BY comp),
-ve AS (SELECT *, CASE WHEN n_dis > 1 THEN 'multi_discharge' WHEN n_dis = 1 AND n_wet >= 1 THEN 'resolved' WHEN n_dis = 1 THEN 'no_wetwell' WHEN n_wet >= 1 THEN 'no_discharge' ELSE 'unattached' END AS verdict FROM vd)"""
+  CASE WHEN gap <= 150 THEN CASE WHEN out_degree > 0 THEN 'discharge' ELSE 'wetwell' END WHEN gap <= 400 THEN CASE WHEN out_degree > 0 THEN 'discharge?' ELSE 'wetwell?' END ELSE 'no_gravity_contact' END AS classification FROM ends),
+ml AS (SELECT comp, count(*) AS n_pipes, sum(length_ft) AS len FROM main JOIN fc ON node = a GROUP BY comp), mn AS (SELECT comp, count(*) AS n_clusters FROM fc GROUP BY comp),
+vc AS (SELECT comp, count(*) AS n_termini, count(*) FILTER (classification = 'discharge') AS n_discharge, count(*) FILTER (classification = 'wetwell') AS n_wetwell, count(*) FILTER (contact = 'candidate') AS n_candidate FROM cl GROUP BY comp),
+vd AS (SELECT ml.comp, n_pipes, floor(len*1e1+0.5001e0)/1e1 AS length_ft, n_clusters, n_pipes - n_clusters + 1 AS n_cycles, coalesce(n_termini, 0) AS n_termini, coalesce(n_discharge, 0) AS n_discharge, coalesce(n_wetwell, 0) AS n_wetwell, coalesce(n_candidate, 0) AS n_candidate
+  FROM ml JOIN mn ON mn.comp = ml.comp LEFT JOIN vc ON vc.comp = ml.comp),
+ve AS (SELECT *, CASE WHEN n_discharge = 0 AND n_wetwell = 0 THEN CASE WHEN n_candidate > 0 THEN 'unconnected_only' ELSE 'isolated' END WHEN n_discharge = 0 THEN 'no_discharge' WHEN n_discharge > 1 THEN 'multi_discharge'
+  WHEN n_wetwell = 0 THEN 'no_wetwell' ELSE 'resolved' END AS verdict FROM vd)"""
+
+
+def _mains(v: Views) -> DataFrame:
+    return pressure.components(v("main")).withColumn("fid", F.concat(F.lit("M"), F.col("pidx").cast("string")))
 
 
 def _classified(v: Views) -> DataFrame:
     tagged = pressure.components(v("main"))
     comp = tagged.select("comp", F.col("a").alias("node")).union(tagged.select("comp", "b")).distinct()
-    ends = pressure.termini(v("main")).join(comp, "node").selectExpr("comp", "node", "((node*37)%600)*1e0 AS gap", "(node%3) AS out_degree", "node*10 AS gravity")
-    return pressure.classify(ends, 150.0, 400.0)
+    made = ("comp", "node", "((node*37)%600)*1e0 AS gap", "CAST(node%3 AS BIGINT) AS out_degree", "node*10 AS gravity", "CAST(node%2 AS BIGINT) AS in_degree", "node*1e0 AS x", "node*2e0 AS y", "node*1e0+3 AS gravity_x", "node*2e0+4 AS gravity_y", "node*10 AS gravity_node", "'junction' AS gravity_role")
+    return pressure.classify(pressure.termini(v("main")).join(comp, "node").selectExpr(*made), 150.0, 400.0)
 
 
 @query(f"WITH {_FM} SELECT node FROM term")
@@ -517,9 +565,23 @@ def cycle_rank(v: Views) -> DataFrame:
     return pressure.cycle_rank(pressure.components(v("main")))
 
 
-@query(f"WITH {_FM} SELECT comp, n_wet, n_dis, n_open, verdict FROM ve")
+_VCOLS = "comp, n_pipes, n_clusters, n_termini, n_discharge, n_wetwell, n_candidate, n_cycles, length_ft, verdict"
+
+
+@query(f"WITH {_FM} SELECT {_VCOLS} FROM ve")
 def verdicts(v: Views) -> DataFrame:
-    return pressure.verdicts(_classified(v))
+    return pressure.verdicts(_classified(v), _mains(v)).select(*_VCOLS.split(", "))
+
+
+@query(f"""WITH {_FM}, t AS (SELECT sum(length_ft)/5280e0 AS a FROM ve) SELECT verdict, count(*) AS n, {r("sum(length_ft)/5280e0")} AS miles, {r("sum(length_ft)/5280e0/max(a)", 6)} AS share, verdict = 'resolved' AS settled FROM ve, t GROUP BY verdict""")
+def verdict_mileage(v: Views) -> DataFrame:
+    return rounded(rounded(pressure.mileage(pressure.verdicts(_classified(v), _mains(v))), "miles"), "share", digits=6)
+
+
+@query(f"WITH {_FM} SELECT comp, length_ft FROM ve WHERE verdict <> 'resolved' ORDER BY length_ft DESC, comp LIMIT 5")
+def longest_open_mains(v: Views) -> DataFrame:
+    """The five longest systems that are still open: a report of five rows."""
+    return pressure.longest_open(pressure.verdicts(_classified(v), _mains(v))).select("comp", "length_ft")
 
 
 @query(f"""WITH {_FM} SELECT w.comp, w.gravity AS u, d.gravity AS v FROM cl w JOIN cl d ON d.comp = w.comp AND w.classification = 'wetwell' AND d.classification = 'discharge'
@@ -528,6 +590,48 @@ def fm_edges(v: Views) -> DataFrame:
     return pressure.main_edges(_classified(v))
 
 
+_NAMES = """nm AS (SELECT node, arg_min(pidx, k) AS pidx, arg_min(which, k) AS which FROM (SELECT a AS node, pidx, 'start' AS which, 2*pidx AS k FROM main UNION ALL SELECT b, pidx, 'end', 2*pidx+1 FROM main) x GROUP BY node)"""
+
+
+@query(f"""WITH {_FM}, {_NAMES} SELECT w.comp, concat('FM:M', CAST(wn.pidx AS VARCHAR(20))) AS wetwell_pipe, concat('FM:M', CAST(dn.pidx AS VARCHAR(20))) AS discharge_pipe, w.node*1e0+3 AS wetwell_x, w.node*2e0+4 AS wetwell_y, d.node*1e0+3 AS discharge_x, d.node*2e0+4 AS discharge_y, n_pipes, length_ft, w.contact AS wetwell_contact, d.contact AS discharge_contact, '' AS note
+FROM cl w JOIN cl d ON d.comp = w.comp AND w.classification = 'wetwell' AND d.classification = 'discharge' JOIN ve ON ve.comp = w.comp AND verdict = 'resolved' JOIN nm wn ON wn.node = w.node JOIN nm dn ON dn.node = d.node""")
+def main_links(v: Views) -> DataFrame:
+    tagged, ends = _mains(v), _classified(v)
+    return pressure.main_links(ends, pressure.verdicts(ends, tagged), pressure.end_names(tagged))[0]
+
+
+@query(f"WITH {_FM} SELECT verdict, count(*) AS n, sum(n_pipes) AS n_pipes FROM ve WHERE verdict <> 'resolved' GROUP BY verdict")
+def skipped_mains(v: Views) -> DataFrame:
+    """Systems that aren't wired, by the verdict that says why."""
+    tagged, ends = _mains(v), _classified(v)
+    skipped = pressure.main_links(ends, pressure.verdicts(ends, tagged), pressure.end_names(tagged))[1]
+    return skipped.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("n_pipes").alias("n_pipes"))
+
+
+_REVIEW = f"""{_NAMES}, rv AS (SELECT CASE WHEN contact = 'none' THEN 'fm_no_gravity_contact' WHEN verdict IN ('no_discharge', 'no_wetwell', 'multi_discharge') THEN 'fm_direction_ambiguous' ELSE 'fm_junction_candidate' END AS flag_type,
+  concat('FM:M', CAST(nm.pidx AS VARCHAR(20))) AS pipe_id, which AS fm_end, cl.comp, verdict AS comp_verdict, classification, contact, gap AS dist_ft, cl.node*1e0+1.5e0 AS x, cl.node*2e0+2 AS y,
+  CASE WHEN gap <= 25 THEN greatest(gap/2*1.25e0, 1) END AS radius_ft, cl.node*1e0 AS fm_x FROM cl JOIN ve ON ve.comp = cl.comp JOIN nm ON nm.node = cl.node
+  UNION ALL SELECT 'fm_direction_ambiguous', concat('FM:M', CAST((SELECT min(pidx) FROM main JOIN fc ON node = a WHERE fc.comp = ve.comp) AS VARCHAR(20))), '', comp, verdict, 'ring', 'none', NULL, NULL, NULL, NULL, NULL FROM ve WHERE n_termini = 0)"""
+
+
+@query(f"WITH {_FM}, {_REVIEW} SELECT flag_type, pipe_id, fm_end, comp, comp_verdict, classification, contact, dist_ft, x, y, round_even(radius_ft, 2) AS radius_ft FROM rv")
+def main_review(v: Views) -> DataFrame:
+    """A question for each end and for each ring."""
+    tagged, ends = _mains(v), _classified(v)
+    d = pressure.review_rows(ends, pressure.verdicts(ends, tagged), tagged)
+    return d.select("flag_type", "pipe_id", "fm_end", "comp", "comp_verdict", "classification", "contact", "dist_ft", "x", "y", "radius_ft")
+
+
+@query(f"""WITH {_FM}, {_REVIEW}, st AS (SELECT *, CASE WHEN flag_type = 'fm_junction_candidate' AND dist_ft <= 60 THEN 'auto_accepted' WHEN CAST(fm_x AS BIGINT) % 5 = 0 THEN 'already_decided' END AS settled_as FROM rv)
+SELECT coalesce(settled_as, 'open') AS state, count(*) AS n FROM st GROUP BY 1""")
+def settled_reviews(v: Views) -> DataFrame:
+    """Questions that need not be asked: tight junctions, and ends decided before."""
+    tagged, ends = _mains(v), _classified(v)
+    prior = ends.where("node % 5 = 0").select((F.col("x") + 0.3).alias("fm_x"), F.col("y").alias("fm_y"), F.lit("seen").alias("note"))
+    open_, done = pressure.settle(pressure.review_rows(ends, pressure.verdicts(ends, tagged), tagged), prior, 60.0)
+    return open_.select(F.lit("open").alias("state")).union(done.select("settled_as")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH {_FM}, t AS (SELECT comp, bool_and(coalesce(diameter < 40, false)) AS thin, sum(length_ft) AS len FROM main JOIN fc ON node = a GROUP BY comp), g AS (SELECT comp, min(gap) AS gap FROM ends GROUP BY comp)
 SELECT t.comp FROM t LEFT JOIN g ON g.comp = t.comp WHERE thin AND len < 3000 AND coalesce(gap, 1e300) > 10""")
 def stub_pruning(v: Views) -> DataFrame:

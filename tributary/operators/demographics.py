@@ -6,11 +6,16 @@ with NULL is false.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tributary.functions import shapes
+from tributary.operators import polygons
 from tributary.operators.spatial import box_pairs
+from tributary.session import materialize
 
 
 def residential(use: str, prefixes: tuple[str, ...], tokens: tuple[str, ...], vacant: str = "VAC") -> Column:
@@ -104,7 +109,145 @@ def property_stats(served: DataFrame, site: str = "site", value: str = "val", we
     )
 
 
-def block_groups(blocks: DataFrame, geoid: str, counts: tuple[str, ...]) -> DataFrame:
-    """Blocks dissolved to groups by the first 12 digits: bounding box and summed counts."""
+def block_groups(blocks: DataFrame, geoid: str, counts: tuple[str, ...] = ()) -> DataFrame:
+    """(group_id, n_blocks, counts..., geom): blocks (geoid, geom) merged to groups by the first 12 digits of the zero-padded id."""
     key = F.substring(F.lpad(F.col(geoid), 15, "0"), 1, 12).alias("group_id")
-    return blocks.groupBy(key).agg(F.count(F.lit(1)).alias("n_blocks"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), *[F.sum(c).alias(c) for c in counts])
+    d = blocks.select(key, "geom", *counts)
+    sums = d.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_blocks"), *[F.sum(c).alias(c) for c in counts])
+    return sums.join(polygons.dissolve(d, "group_id"), "group_id", "left")
+
+
+def with_counts(blocks: DataFrame, decennial: DataFrame, acs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, groups): blocks (geoid, geom) with the decennial table by GEOID20, and their groups with the survey's by the zero-padded GEOID.
+
+    Blocks and groups without a row keep NULL counts.
+    """
+    b = blocks.select(F.lpad(F.col("geoid").cast("string"), 15, "0").alias("geoid"), "geom")
+    groups = block_groups(b, "geoid").withColumnRenamed("group_id", "geoid")
+    dec = decennial.withColumn("geoid", F.lpad(F.col("GEOID20").cast("string"), 15, "0")).drop("GEOID20", "NAME")
+    est = acs.withColumn("geoid", F.lpad(F.col("GEOID").cast("string"), 12, "0")).drop("GEOID", "NAME") if "GEOID" in acs.columns and "geoid" not in acs.columns else acs
+    return b.join(dec, "geoid", "left"), groups.join(est, "geoid", "left")
+
+
+def polygon_weights(units: DataFrame, homes: DataFrame, sites: DataFrame, cell: float = 500.0) -> DataFrame:
+    """(site, geoid, weight) of units (geoid, geom) that meet sites (site, geom), by residential parcels (pid, geom).
+
+    Residential area in unit and site over that in the unit, each a sum over
+    parcels; at most 1, and 0 for a unit without any.
+    """
+    u, h = units.select("geoid", "geom"), homes.select("pid", "geom")
+    part = polygons.overlaps(h, u, "pid", "geoid", cell)
+    part = part.select("pid", "geoid", shapes.two("intersection", "a_geom", "b_geom").alias("geom")).where("geom IS NOT NULL")
+    part = materialize(part.withColumn("area", shapes.measure("area", "geom")).where("area > 0"), "parts")
+    total = part.groupBy("geoid").agg(F.sum("area").alias("denom"))
+    us = polygons.overlaps(u, sites.select("site", "geom"), "geoid", "site", cell)
+    us = us.where(shapes.measure("intersects", "a_geom", "b_geom") == 1).select("geoid", "site")
+    inside = us.join(sites.select("site", F.col("geom").alias("s_geom")), "site").join(part, "geoid")
+    inside = inside.groupBy("site", "geoid").agg(F.sum(shapes.measure("shared", "geom", "s_geom")).alias("numer"))
+    d = us.join(inside, ["site", "geoid"], "left").join(total, "geoid", "left")
+    share = F.least(F.lit(1.0), F.coalesce("numer", F.lit(0.0)) / F.col("denom"))
+    return d.select("site", "geoid", F.when(F.col("denom") > 0, share).otherwise(0.0).alias("weight"))
+
+
+def clipped_parcels(parcels: DataFrame, sites: DataFrame, cell: float = 500.0) -> DataFrame:
+    """(site, pid, fraction) of parcels (pid, geom) that meet sites (site, geom): the part of each one's area inside, 0 to 1."""
+    p = polygons.overlaps(parcels.select("pid", "geom"), sites.select("site", "geom"), "pid", "site", cell)
+    p = p.where(shapes.measure("intersects", "a_geom", "b_geom") == 1)
+    part = F.coalesce(shapes.measure("shared", "a_geom", "b_geom"), F.lit(0.0)) / F.nullif(shapes.measure("area", "a_geom"), F.lit(0.0))
+    return p.select("site", "pid", F.least(F.lit(1.0), F.greatest(F.lit(0.0), part)).alias("fraction"))
+
+
+@dataclass(frozen=True)
+class Rate:
+    """Codes of a survey rate; margins are optional."""
+
+    num: tuple[str, ...]
+    den: tuple[str, ...]
+    num_moe: tuple[str, ...] = ()
+    den_moe: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Spec:
+    """What the columns of the census tables mean; income_bins are (code, lower, upper or None)."""
+
+    total_pop: str
+    race: dict[str, str]
+    poverty: Rate
+    snap: Rate
+    income_bins: tuple[tuple[str, float, float | None], ...]
+    ethnicity: dict[str, str] = field(default_factory=dict)
+    value: str = "val"
+
+
+def build_spec(settings: dict) -> Spec:
+    """The Spec of a settings file's part ``demographics``; a single code may stand for a list of one."""
+    roles = settings["roles"]
+    codes = lambda x: () if x is None else (x,) if isinstance(x, str) else tuple(x)
+    rate = lambda r: Rate(*(codes(r.get(k)) for k in ("num", "den", "num_moe", "den_moe")))
+    bins = tuple((code, float(lo), None if hi is None else float(hi)) for code, lo, hi in roles["income_bins"])
+    return Spec(roles["total_pop"], dict(roles["race"]), rate(roles["poverty"]), rate(roles["snap"]), bins, dict(roles.get("ethnicity") or {}), settings.get("property_value_col", "PARVAL"))
+
+
+def rate_columns(name: str, universe: str, below: str, r: Rate) -> tuple[list[Column], list[Column]]:
+    """(aggregates over weighted groups, columns of them) of a rate: its universe, its cases, the rate and its margin, both in percent."""
+    aggs = [apportion("weight", *r.num).alias(f"_{name}_n"), apportion("weight", *r.den).alias(f"_{name}_d"), apportion_moe("weight", *r.num_moe).alias(f"_{name}_nm"), apportion_moe("weight", *r.den_moe).alias(f"_{name}_dm")]
+    n, d, nm, dm = (F.col(f"_{name}_{k}") for k in ("n", "d", "nm", "dm"))
+    moe = 100 * proportion_moe(n, d, nm, dm) if r.num_moe and r.den_moe else F.lit(None).cast("double")
+    rate = 100 * n / F.nullif(d, F.lit(0.0))
+    return aggs, [F.bround(d).cast("long").alias(universe), F.bround(n).cast("long").alias(below), rate.alias(f"{name}_rate"), moe.alias(f"{name}_rate_moe")]
+
+
+def site_records(sites: DataFrame, blocks: DataFrame, groups: DataFrame, homes: DataFrame, parcels: DataFrame, spec: Spec, cell: float = 500.0) -> DataFrame:
+    """One flat record per site (site, geom), of all sites at once.
+
+    blocks and groups: (geoid, geom, codes...); homes: the residential parcels (pid,
+    geom); parcels: (pid, geom, value). Counts are rounded half to even; shares and
+    rates without a denominator are NULL; a median has no margin. Parcel values
+    count by the part of the parcel inside, their median as they are.
+    """
+    shapes.register(sites.sparkSession)
+    people = spec.race | spec.ethnicity
+    bw = polygon_weights(blocks, homes, sites, cell).join(blocks.drop("geom"), "geoid")
+    codes = {spec.total_pop, *people.values()}
+    b = bw.groupBy("site").agg(*[apportion("weight", c).alias(f"_{c}") for c in sorted(codes)])
+    total = F.col(f"_{spec.total_pop}")
+    cols = [F.bround(F.coalesce(total, F.lit(0.0))).cast("long").alias("population")]
+    for kind, part in (("race", spec.race), ("eth", spec.ethnicity)):
+        for label, code in part.items():
+            n = F.coalesce(F.col(f"_{code}"), F.lit(0.0))
+            cols += [F.bround(n).cast("long").alias(f"{kind}_{label}"), (100 * n / F.nullif(total, F.lit(0.0))).alias(f"pct_{label}")]
+    gw = materialize(polygon_weights(groups, homes, sites, cell).join(groups.drop("geom"), "geoid"), "groups")
+    pov, pov_cols = rate_columns("poverty", "poverty_universe", "poverty_below", spec.poverty)
+    snap, snap_cols = rate_columns("snap", "total_households", "snap_households", spec.snap)
+    g = gw.groupBy("site").agg(F.count_if(F.col("weight") > 0).alias("n_block_groups"), *pov, *snap)
+    row = lambda c, lo, hi: F.struct(F.lit(float(lo)).alias("lo"), F.lit(hi).cast("double").alias("hi"), (F.col("weight") * F.coalesce(F.col(c), F.lit(0))).cast("double").alias("n"))
+    bins = gw.select("site", F.explode(F.array(*[row(*x) for x in spec.income_bins])).alias("b")).select("site", "b.*")
+    income = pooled_median(bins).withColumnRenamed("median", "median_income")
+    inside = clipped_parcels(parcels, sites, cell).join(parcels.select("pid", F.col(spec.value).cast("string").try_cast("double").alias("val")), "pid")
+    w = F.when(F.col("val").isNotNull(), F.col("fraction"))
+    worth = inside.groupBy("site").agg(
+        F.count(F.lit(1)).alias("n_parcels"),
+        F.coalesce(F.sum(F.col("val") * F.col("fraction")), F.lit(0.0)).alias("prop_val_total"),
+        (F.sum(F.col("val") * F.col("fraction")) / F.nullif(F.sum(w), F.lit(0.0))).alias("prop_val_mean"),
+        F.median("val").alias("prop_val_median"),
+    )
+    own = [c for c in sites.columns if c != "geom"]
+    d = sites.select(*own).join(b, "site", "left").join(g, "site", "left").join(income, "site", "left").join(worth, "site", "left").fillna(0, ["n_block_groups", "n_parcels"])
+    zero = {f"_{k}_{x}": 0.0 for k in ("poverty", "snap") for x in ("n", "d", "nm", "dm")}
+    d = d.fillna(zero)
+    return d.select(*own, *cols, "n_block_groups", *pov_cols, *snap_cols, "median_income", F.lit(None).cast("double").alias("median_income_moe"), "n_parcels", "prop_val_total", "prop_val_mean", "prop_val_median")
+
+
+#: Names of the record's columns in a table with names of ten letters at most.
+SHORT_NAMES = {
+    "population": "pop", "n_block_groups": "n_bg", "pct_two_plus": "pct_2plus", "pct_hispanic": "pct_hisp", "median_income": "med_inc", "poverty_rate": "pov_rate",
+    "poverty_rate_moe": "pov_moe", "snap_rate_moe": "snap_moe", "prop_val_mean": "pval_mean", "prop_val_median": "pval_med",
+}
+
+
+def short_record(records: DataFrame, digits: int = 2) -> DataFrame:
+    """The record's headline columns with names of ten letters at most, numbers rounded half to even."""
+    keep = [c for c in records.columns if c in SHORT_NAMES or c == "site" or c in ("n_parcels", "snap_rate") or (c.startswith("pct_") and len(c) <= 10)]
+    kind = dict(records.dtypes)
+    return records.select(*[(F.bround(c, digits) if kind[c] == "double" else F.col(c)).alias(SHORT_NAMES.get(c, c)) for c in keep])

@@ -39,7 +39,14 @@ VIEWS: dict[str, str] = {
     "home": "SELECT * FROM parcel WHERE use_desc NOT LIKE '5%'",
     "site": """SELECT CAST(n_nationkey AS BIGINT) AS sid, (n_nationkey%5)*400e0 AS x0, CAST(floor(n_nationkey/5e0) AS BIGINT)*400e0 AS y0,
       (n_nationkey%5)*400e0+430 AS x1, CAST(floor(n_nationkey/5e0) AS BIGINT)*400e0+430 AS y1 FROM nation""",
-    "vline": """SELECT CAST(n_nationkey AS BIGINT) AS pidx, n_nationkey*75e0+20 AS sx, 100e0 AS sy, 1500e0+n_nationkey*10e0 AS ey, n_nationkey % 2 = 0 AS in_trace FROM nation""",
+    # lines from above to below all units, two foreign ones beside each traced one
+    "vline": "SELECT CAST(n_nationkey AS BIGINT) AS pidx, n_nationkey*35e0+20 AS sx, -200e0 AS sy, 2300e0 AS ey, n_nationkey % 3 = 0 AS in_trace FROM nation",
+    # block groups of two by two units, and estimates for them
+    "ublock": """SELECT concat(lpad(CAST(CAST(floor(x0/100e0) AS BIGINT)*1000 + CAST(floor(y0/100e0) AS BIGINT) AS VARCHAR(20)), 12, '0'), lpad(CAST(min(uid)%1000 AS VARCHAR(20)), 3, '0')) AS geoid,
+      CAST(floor(x0/100e0) AS BIGINT)*1000 + CAST(floor(y0/100e0) AS BIGINT) AS grp, x0, y0, x1, y1, sum(cnt) AS p_all,
+      sum(CASE WHEN seg = 'BUILDING' THEN cnt ELSE 0e0 END) AS p_a, sum(CASE WHEN seg < 'F' THEN cnt/2 ELSE cnt/5 END) AS p_h FROM unit GROUP BY x0, y0, x1, y1""",
+    "acs": """SELECT grp, (grp*7)%100*1e0 AS pn, 50e0+(grp*3)%200 AS pd, (grp*5)%40*1e0 AS pnm, (grp*11)%60*1e0 AS pdm, (grp*13)%90*1e0 AS sn, 20e0+(grp*17)%300 AS sd,
+      (grp*19)%300*1e0 AS snm, (grp*23)%60*1e0 AS sdm, (grp*29)%50*1e0 AS i1, (grp*31)%50*1e0 AS i2, (grp*37)%50*1e0 AS i3 FROM (SELECT DISTINCT grp FROM ublock) g""",
     "sweep": """SELECT CAST(l_suppkey%24 AS BIGINT) AS site, l_returnflag AS method, CAST(l_linenumber%2 AS BIGINT) AS sel_r, floor(avg(l_discount)*1e5+0.5e0)/1e4 AS iou
       FROM lineitem GROUP BY l_suppkey%24, l_returnflag, l_linenumber%2""",
     # force mains in runs of neighbouring parts, some without a diameter
