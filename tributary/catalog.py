@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from tributary.functions import geo, shapes
 from tributary.operators import demographics as demo
 from tributary.operators import graph, membership, polygons, pressure, quality, scoring, snap, spatial
 from tributary.operators.components import connected_components
+from tributary.plans import delineate
 from tributary.plans.views import Views, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -282,58 +285,125 @@ def facility_roles(v: Views) -> DataFrame:
 
 # membership
 
-_VD = """sqrt(greatest(u.x0-p.sx, p.sx-u.x1, 0e0)*greatest(u.x0-p.sx, p.sx-u.x1, 0e0)
-  + greatest(u.y0-p.ey, p.sy-u.y1, 0e0)*greatest(u.y0-p.ey, p.sy-u.y1, 0e0))"""
-_NEAR = f"""near AS (SELECT u.uid, p.pidx, p.in_trace, p.sx, {_VD} AS dist FROM unit u JOIN vline p ON {_VD} <= 30*(1+1e-9)),
-cp AS (SELECT uid, min(dist) FILTER (in_trace) AS cp_din, min(dist) FILTER (NOT in_trace) AS cp_dout, arg_min(pidx, (dist, pidx)) FILTER (NOT in_trace) AS cp_fpidx,
-  coalesce(bool_or(dist = 0) FILTER (NOT in_trace), false) AS cp_cross FROM near GROUP BY uid HAVING min(dist) FILTER (in_trace) IS NOT NULL),
-fl AS (SELECT *, CASE WHEN cp_cross OR coalesce(cp_dout < cp_din, false) THEN 'review' WHEN cp_dout IS NOT NULL AND cp_din > 0 THEN 'warning' ELSE '' END AS cp_flag FROM cp)"""
+_TO = "greatest(u.x0-{0}.sx, {0}.sx-u.x1, 0e0)"
+#: A quarter of the ring at a corner: the buffer of width 20 has 16 pieces a quadrant.
+_CORNER = repr(16 * 0.5 * 400 * math.sin(math.pi / 32)) + "e0"
+_CP = f"""nr AS (SELECT s.pidx AS site, u.uid, u.x0, u.x1, u.y0, l.pidx, l.sx, l.pidx = s.pidx AS own, {_TO.format("l")} AS dist
+  FROM vline s JOIN unit u ON s.in_trace AND {_TO.format("s")} <= 30 JOIN vline l ON {_TO.format("l")} <= 100),
+me AS (SELECT site, uid, x0, x1, y0, min(dist) FILTER (own) AS cp_din, min(dist) FILTER (NOT own AND dist <= 30) AS cp_dout, arg_min(pidx, (dist, pidx)) FILTER (NOT own AND dist <= 30) AS cp_fpidx,
+  coalesce(bool_or(dist = 0) FILTER (NOT own), false) AS cp_cross FROM nr GROUP BY site, uid, x0, x1, y0),
+iv AS (SELECT site, uid, 'sel' AS k, greatest(x0, sx-30) AS a, least(x1, sx+30) AS b FROM nr WHERE own AND dist <= 30
+  UNION ALL SELECT site, uid, CASE WHEN own THEN 'own' ELSE 'far' END, greatest(x0, sx-50), least(x1, sx+50) FROM nr WHERE dist <= 50),
+ca AS (SELECT site, uid, k, 50*sum(greatest(0e0, b - greatest(a, coalesce(reach, a)))) AS area
+  FROM (SELECT *, max(b) OVER (PARTITION BY site, uid, k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv) x GROUP BY site, uid, k),
+po AS (SELECT DISTINCT site, x0, y0 FROM me),
+nb AS (SELECT m.site, m.uid, count(*) FILTER (abs(p.x0-m.x0) + abs(p.y0-m.y0) = 50) AS sides, count(*) FILTER (abs(p.x0-m.x0) = 50 AND abs(p.y0-m.y0) = 50) AS corners
+  FROM me m JOIN po p ON p.site = m.site AND abs(p.x0-m.x0) <= 50 AND abs(p.y0-m.y0) <= 50 GROUP BY m.site, m.uid),
+m2 AS (SELECT me.*, CASE WHEN ((4-sides)*1000 + (4-corners)*{_CORNER})/(4000 + 4*{_CORNER}) > 0.3e0 THEN 'border' ELSE 'inner' END AS cp_pos,
+  CASE WHEN cp_cross OR coalesce(cp_dout < cp_din, false) THEN 'review' WHEN cp_dout IS NOT NULL AND cp_din > 0 THEN 'warning' ELSE '' END AS cp_flag,
+  coalesce(s.area, 0e0) AS sel, coalesce(o.area, 0e0) AS own_area, coalesce(f.area, 0e0) AS far_area FROM me JOIN nb ON nb.site = me.site AND nb.uid = me.uid
+  LEFT JOIN ca s ON s.site = me.site AND s.uid = me.uid AND s.k = 'sel' LEFT JOIN ca o ON o.site = me.site AND o.uid = me.uid AND o.k = 'own' LEFT JOIN ca f ON f.site = me.site AND f.uid = me.uid AND f.k = 'far'),
+m3 AS (SELECT *, cp_pos = 'border' AND ((cp_din > 0 AND cp_cross) OR (sel/2500 < 0.3e0 AND sel < 800)) AS cp_excl FROM m2),
+m4 AS (SELECT *, NOT cp_excl AND cp_pos = 'border' AND cp_cross AND cp_din = 0 AS split FROM m3),
+ce AS (SELECT site, uid, sum(greatest(0e0, least(x1, coalesce(hi, x1)) - greatest(x0, coalesce(lo, x0)))/50) FILTER (own) AS share
+  FROM (SELECT *, (sx + lag(sx) OVER w)/2 AS lo, (sx + lead(sx) OVER w)/2 AS hi FROM nr WINDOW w AS (PARTITION BY site, uid ORDER BY sx)) x GROUP BY site, uid),
+m5 AS (SELECT m4.*, CASE WHEN split THEN coalesce(share, 0e0) ELSE 1e0 END AS cp_keep FROM m4 JOIN ce ON ce.site = m4.site AND ce.uid = m4.uid),
+cp AS (SELECT *, CASE WHEN NOT cp_excl AND cp_flag <> '' AND cp_keep = 1 THEN CASE WHEN far_area > own_area THEN 'exclude' ELSE 'keep' END ELSE '' END AS cp_asgn FROM m5)"""
+_RULES = delineate.Settings(selection_radius=30.0, split_radius=100.0, assign_radius=50.0, border_ring=20.0, border_expose=0.3, nick_share=0.3, nick_area=800.0, split_step=10.0, cell=200.0)
+
+
+def _lines(v: Views) -> DataFrame:
+    shapes.register(v.spark)
+    return v("vline").select("pidx", shapes.segment("sx", "sy", "sx", "ey").alias("geom"))
+
 
+def _competing(v: Views) -> DataFrame:
+    """Served units of every traced line, each a site of its own, with all measures and rules."""
+    units, lines = _shapes(v, "unit", "uid", "uid"), _lines(v)
+    trace = v("vline").where("in_trace").select(F.col("pidx").alias("site"), "pidx")
+    served = polygons.served(units, trace.join(lines, "pidx"), 30.0, 200.0)
+    return delineate.annotate(units, lines, served, trace, lines.select("pidx").limit(0), _RULES)
 
-@query(f"SELECT DISTINCT u.uid FROM unit u JOIN vline p ON p.in_trace AND {_VD} <= 20")
+
+@query(f"SELECT DISTINCT u.uid, s.pidx AS site FROM unit u JOIN vline s ON s.in_trace AND {_TO.format('s')} <= 30")
 def served_units(v: Views) -> DataFrame:
-    return membership.served_units(v("unit"), v("vline").where("in_trace"), 20.0).select("uid")
+    lines = _lines(v).join(v("vline").where("in_trace").select("pidx"), "pidx").withColumn("site", F.col("pidx"))
+    return polygons.served(_shapes(v, "unit", "uid", "uid"), lines, 30.0, 200.0)
 
 
-@query(f"WITH {_NEAR} SELECT uid, {r('cp_din')} AS cp_din, {r('cp_dout')} AS cp_dout, cp_fpidx, cp_cross, cp_flag FROM fl")
+@query(f"WITH {_CP} SELECT site, uid, {r('cp_din')} AS cp_din, {r('cp_dout')} AS cp_dout, cp_fpidx, cp_cross, cp_flag FROM cp")
 def cp_metrics(v: Views) -> DataFrame:
-    return rounded(membership.competing(v("unit"), v("vline"), 30.0), "cp_din", "cp_dout")
+    return rounded(_competing(v).select("site", "uid", "cp_din", "cp_dout", "cp_fpidx", "cp_cross", "cp_flag"), "cp_din", "cp_dout")
 
 
-@query(f"WITH {_NEAR} SELECT cp_flag, count(*) AS n FROM fl GROUP BY cp_flag")
+@query(f"WITH {_CP} SELECT cp_flag, cp_pos, count(*) AS n FROM cp GROUP BY cp_flag, cp_pos")
 def cp_flags(v: Views) -> DataFrame:
-    return membership.competing(v("unit"), v("vline"), 30.0).groupBy("cp_flag").agg(F.count(F.lit(1)).alias("n"))
+    return _competing(v).groupBy("cp_flag", "cp_pos").agg(F.count(F.lit(1)).alias("n"))
 
 
-_POS = "CASE WHEN uid % 3 = 0 THEN 'border' ELSE 'inner' END"
+@query(f"WITH {_CP} SELECT site, uid, cp_pos, cp_excl FROM cp")
+def cp_exclude(v: Views) -> DataFrame:
+    return _competing(v).select("site", "uid", "cp_pos", "cp_excl")
 
 
-@query(f"WITH {_NEAR} SELECT uid, {_POS} = 'border' AND cp_din > 0 AND cp_cross AS cp_excl FROM fl")
-def cp_exclude(v: Views) -> DataFrame:
-    return membership.exclude(membership.competing(v("unit"), v("vline"), 30.0).withColumn("cp_pos", F.expr(_POS))).select("uid", "cp_excl")
+@query(f"WITH {_CP} SELECT site, uid, {r('sel')} AS cp_covar, {r('sel/2500')} AS cp_cover, sel/2500 < 0.3e0 AND sel < 800 AS nicked FROM cp WHERE cp_pos = 'border'")
+def nick_gate(v: Views) -> DataFrame:
+    d = _competing(v).where("cp_pos = 'border'").withColumn("nicked", membership.nicked(0.3, 800.0))
+    return rounded(d.select("site", "uid", "cp_covar", "cp_cover", "nicked"), "cp_covar", "cp_cover")
 
 
-_BUF = """buf AS (SELECT u.uid, p.in_trace, least(u.x1, p.sx+30) - greatest(u.x0, p.sx-30) AS ow, least(u.y1, p.ey+30) - greatest(u.y0, p.sy-30) AS oh FROM unit u JOIN vline p
-  ON least(u.x1, p.sx+30) > greatest(u.x0, p.sx-30) AND least(u.y1, p.ey+30) > greatest(u.y0, p.sy-30)),
-ar AS (SELECT uid, coalesce(max(ow*oh) FILTER (in_trace), 0e0) AS in_area, coalesce(max(ow*oh) FILTER (NOT in_trace), 0e0) AS out_area FROM buf GROUP BY uid)"""
+@query(f"WITH {_CP} SELECT site, uid, {r('cp_keep', 2)} AS cp_keep FROM cp WHERE split")
+def equidistant_split(v: Views) -> DataFrame:
+    """Units at the border that lines of both sides meet, and the part nearer to the trace."""
+    d = _competing(v).where("NOT cp_excl AND cp_pos = 'border' AND cp_cross AND cp_din = 0")
+    return rounded(d.select("site", "uid", "cp_keep"), "cp_keep", digits=2)
 
 
-@query(f"WITH {_BUF} SELECT uid, {r('in_area')} AS in_area, {r('out_area')} AS out_area, CASE WHEN out_area > in_area THEN 'exclude' ELSE 'keep' END AS cp_asgn FROM ar")
+@query(f"WITH {_CP} SELECT site, uid, cp_asgn FROM cp WHERE cp_flag <> ''")
 def buffer_assign(v: Views) -> DataFrame:
-    return rounded(membership.buffer_areas(v("unit"), v("vline"), 30.0), "in_area", "out_area")
+    return _competing(v).where("cp_flag <> ''").select("site", "uid", "cp_asgn")
 
 
-@query(f"WITH {_BUF} SELECT uid FROM ar WHERE NOT (({_POS}) = 'border' AND in_area / 2500e0 < 0.5e0 AND in_area < 1000)")
-def nick_gate(v: Views) -> DataFrame:
-    d = membership.buffer_areas(v("unit"), v("vline"), 30.0).withColumns({"cp_pos": F.expr(_POS), "cp_cover": F.col("in_area") / 2500, "cp_covar": F.col("in_area")})
-    return membership.nick_gate(d, 0.5, 1000.0).select("uid")
+@query(f"""WITH {_CP}, de AS (SELECT *, CASE WHEN cp_excl THEN 'exclude' WHEN cp_keep < 1 THEN 'split' ELSE cp_asgn END AS decision FROM cp WHERE cp_flag <> '')
+SELECT site, decision, count(*) AS n FROM de GROUP BY site, decision""")
+def unit_decisions(v: Views) -> DataFrame:
+    return membership.decisions(_competing(v)).groupBy("site", "decision").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_NEAR}, e AS (SELECT uid, arg_min(sx, (dist, pidx)) FILTER (in_trace) AS xi, arg_min(sx, (dist, pidx)) FILTER (NOT in_trace) AS xo FROM near GROUP BY uid)
-SELECT e.uid, {r("CASE WHEN xi <= xo THEN least(1e0, greatest(0e0, least(x1, (xi+xo)/2) - x0)/(x1-x0)) ELSE 1 - least(1e0, greatest(0e0, least(x1, (xi+xo)/2) - x0)/(x1-x0)) END")} AS cp_keep
-FROM e JOIN unit u ON u.uid = e.uid WHERE xi IS NOT NULL AND xo IS NOT NULL""")
-def equidistant_split(v: Views) -> DataFrame:
-    return rounded(membership.equidistant_share(v("unit"), v("vline"), 30.0), "cp_keep")
+@query(f"""WITH {_CP} SELECT site, uid, CASE cp_flag WHEN 'review' THEN 'review_required' ELSE 'warning' END AS severity, concat('unit ', CAST(uid AS VARCHAR(20)), ': ',
+CASE WHEN cp_cross THEN 'a foreign main crosses it' ELSE concat('a foreign main is ', CAST(CAST(cp_dout AS BIGINT) AS VARCHAR(20)), ' ft away, the nearest traced one ', CAST(CAST(cp_din AS BIGINT) AS VARCHAR(20)), ' ft') END, ' (P', CAST(cp_fpidx AS VARCHAR(20)), ')') AS description
+FROM cp WHERE cp_flag <> ''""")
+def competing_flags(v: Views) -> DataFrame:
+    names = v("vline").select("pidx", F.concat(F.lit("P"), F.col("pidx").cast("string")).alias("fid"))
+    return membership.competing_flags(_competing(v), names).select("site", "uid", "severity", "description")
+
+
+@query(f"""WITH {_CP} SELECT site, uid, CASE WHEN l.in_trace THEN concat('T', CAST(cp_fpidx AS VARCHAR(20))) ELSE '' END AS cp_owner FROM cp LEFT JOIN vline l ON l.pidx = cp_fpidx WHERE cp_flag <> ''""")
+def pipe_owners(v: Views) -> DataFrame:
+    """The other sites whose trace has the foreign pipe that a unit is contested by."""
+    trace = v("vline").where("in_trace").select(F.col("pidx").alias("site"), "pidx")
+    return membership.owners(_competing(v), trace, trace.select("site", F.concat(F.lit("T"), F.col("site").cast("string")).alias("name")))
+
+
+@query(f"""WITH {_CP}, al AS (SELECT site, count(*) AS n_units, count(*) FILTER (cp_excl) AS n_excluded, count(*) FILTER (split) AS n_split, count(*) FILTER (cp_asgn = 'exclude') AS n_assigned_out,
+  sum(CASE WHEN cp_excl OR cp_asgn = 'exclude' THEN 0e0 ELSE 2500*cp_keep END) AS kept FROM cp GROUP BY site)
+SELECT pidx AS site, 'ok' AS status, CAST(1 AS BIGINT) AS n_pipes, n_units, n_excluded, n_split, n_assigned_out, {r('kept', 0)} AS kept_area FROM vline JOIN al ON site = pidx WHERE in_trace
+UNION ALL SELECT -1, 'off_network', NULL, NULL, NULL, NULL, NULL, NULL""")
+def delineated_sites(v: Views) -> DataFrame:
+    """All sites from lines and targets to kept units; one target lies off the network."""
+    shapes.register(v.spark)
+    pipes = v("vline").select("pidx", F.concat(F.lit("P"), F.col("pidx").cast("string")).alias("fid"), "sx", F.col("ey").alias("sy"), F.col("sx").alias("ex"), F.col("sy").alias("ey"), shapes.segment("sx", "ey", "sx", "sy").alias("geom"))
+    targets = v("vline").where("in_trace").select(F.col("pidx").alias("site"), F.col("sx").alias("x"), (F.col("sy") - 3).alias("y"))
+    targets = targets.union(v.spark.createDataFrame([(-1, 1e6, 0.0)], "site long, x double, y double"))
+    s = replace(_RULES, method="blocks_dissolve", end_radius=1.0, target_radius=5.0, dangling_edges=0, grow_radius=1.0, seam_tol=0.0, bridge_gap=1.0)
+    out = delineate.delineate(pipes, targets, _shapes(v, "unit", "uid", "uid"), settings=s)
+    gone = F.col("cp_excl") | (F.col("cp_asgn") == "exclude")
+    units = out["units"].groupBy("site").agg(
+        F.count(F.lit(1)).alias("n_units"), F.count_if("cp_excl").alias("n_excluded"), F.count_if((~F.col("cp_excl")) & (F.col("cp_pos") == "border") & F.col("cp_cross") & (F.col("cp_din") == 0)).alias("n_split"),
+        F.count_if(F.col("cp_asgn") == "exclude").alias("n_assigned_out"), F.sum(F.when(gone, 0.0).otherwise(F.coalesce(shapes.measure("area", "kept"), F.lit(0.0)))).alias("kept_area"),
+    )
+    n = out["trace"].groupBy("site").agg(F.count(F.lit(1)).alias("n_pipes"))
+    return rounded(out["sites"].select("site", "status").join(n, "site", "left").join(units, "site", "left"), "kept_area", digits=0)
 
 
 @query("""WITH s AS (SELECT basin AS site, count(*) - 1 AS n_pipes, count(*) FILTER (inv > 5000) AS n_units, avg(CASE WHEN inv > 4000 THEN 1e0 ELSE 0e0 END) AS coverage, sum(r) * 1e0 AS acres FROM net GROUP BY basin)

@@ -1,98 +1,66 @@
-"""Which land units a trace serves, and the rules for units that another pipe competes for.
-
-Units are boxes (x0, y0, x1, y1) and pipes vertical segments (x, y0, y1), for
-which distances and overlaps have closed forms.
-"""
+"""Rules for land units that another pipe competes for, on the measures that plans.delineate.annotate adds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.operators.spatial import box_pairs, segment_box_distance
-
-
-def near_pipes(units: DataFrame, pipes: DataFrame, radius: float, unit_id: str = "uid", pipe_id: str = "pidx") -> DataFrame:
-    """(unit_id, pipe_id, dist) of pipes within radius of units, with a hair's tolerance so that exactly the radius counts."""
-    reach = radius * (1 + 1e-9)
-    boxes = pipes.select(pipe_id, F.col("sx").alias("x0"), F.least("sy", "ey").alias("y0"), F.col("sx").alias("x1"), F.greatest("sy", "ey").alias("y1"))
-    pairs = box_pairs(boxes, units, pipe_id, unit_id, max(4 * radius, 1.0), grow=reach).select(F.col("a_id").alias(pipe_id), F.col("b_id").alias(unit_id))
-    d = pairs.join(pipes.select(pipe_id, "sx", "sy", "ey"), pipe_id).join(units.select(unit_id, "x0", "y0", "x1", "y1"), unit_id)
-    dist = segment_box_distance(*(F.col(c) for c in ("sx", "sy", "ey", "x0", "y0", "x1", "y1")))
-    return d.select(unit_id, pipe_id, dist.alias("dist")).where(F.col("dist") <= reach)
 
+def exclude(annotated: DataFrame, share: float, floor_area: float) -> DataFrame:
+    """Add cp_excl: a border unit that the traced pipe doesn't touch and a foreign one crosses, or that the trace's buffer merely nicks."""
+    crossed = (F.col("cp_pos") == "border") & (F.col("cp_din") > 0) & F.col("cp_cross")
+    return annotated.withColumn("cp_excl", crossed | nicked(share, floor_area))
 
-def served_units(units: DataFrame, traced: DataFrame, radius: float, unit_id: str = "uid") -> DataFrame:
-    """Units that a traced pipe's buffer meets."""
-    return units.join(near_pipes(units, traced, radius, unit_id).where(F.col("dist") <= radius).select(unit_id).distinct(), unit_id, "left_semi")
 
+def nicked(share: float, floor_area: float) -> Column:
+    """A border unit of which the trace's buffer covers a small share and a small area."""
+    return F.coalesce((F.col("cp_pos") == "border") & (F.col("cp_cover") < share) & (F.col("cp_covar") < floor_area), F.lit(False))
 
-def competing(units: DataFrame, pipes: DataFrame, radius: float, unit_id: str = "uid") -> DataFrame:
-    """(unit_id, cp_din, cp_dout, cp_fpidx, cp_cross, cp_flag) for units near a traced pipe.
 
-    pipes has in_trace. cp_din and cp_dout are the distances of the nearest traced
-    and foreign pipe; cp_cross tells that a foreign pipe meets the unit. review:
-    crossed or nearer to a foreign pipe; warning: a foreign pipe in reach while the
-    traced one doesn't touch.
-    """
-    near = near_pipes(units, pipes, radius, unit_id).join(pipes.select("pidx", "in_trace"), "pidx")
-    inside, outside = F.col("in_trace"), ~F.col("in_trace")
-    d = near.groupBy(unit_id).agg(
-        F.min(F.when(inside, F.col("dist"))).alias("cp_din"),
-        F.min(F.when(outside, F.struct("dist", "pidx"))).alias("f"),
-        F.coalesce(F.bool_or(F.when(outside, F.col("dist") == 0)), F.lit(False)).alias("cp_cross"),
+def site_flags(sites: DataFrame) -> DataFrame:
+    """(site, flag_type) of sites (site, n_pipes, n_units, coverage, acres): early returns in the order given."""
+    flag = (
+        F.when(F.col("n_pipes") == 0, F.array(F.lit("no_upstream_found")))
+        .when(F.col("n_units") == 0, F.array(F.lit("low_population_match")))
+        .otherwise(F.array_compact(F.array(F.when(F.col("acres") > 500, "large_catchment"), F.when(F.col("coverage") < 0.5, "low_population_match"))))
     )
-    d = d.where("cp_din IS NOT NULL").select(unit_id, "cp_din", F.col("f.dist").alias("cp_dout"), F.col("f.pidx").alias("cp_fpidx"), "cp_cross")
-    review = F.col("cp_cross") | F.coalesce(F.col("cp_dout") < F.col("cp_din"), F.lit(False))
-    flag = F.when(review, "review").when(F.col("cp_dout").isNotNull() & (F.col("cp_din") > 0), "warning").otherwise("")
-    return d.withColumn("cp_flag", flag)
-
-
-def exclude(annotated: DataFrame) -> DataFrame:
-    """Add cp_excl: a border unit that the traced pipe doesn't touch and a foreign one crosses."""
-    return annotated.withColumn("cp_excl", (F.col("cp_pos") == "border") & (F.col("cp_din") > 0) & F.col("cp_cross"))
-
-
-def nick_gate(annotated: DataFrame, share: float, floor_area: float) -> DataFrame:
-    """Units that stay: not (border with a small covered share and a small covered area)."""
-    nick = (F.col("cp_pos") == "border") & (F.col("cp_cover") < share) & (F.col("cp_covar") < floor_area)
-    return annotated.where(~F.coalesce(nick, F.lit(False)))
+    return sites.select("site", F.explode(flag).alias("flag_type"))
 
 
-def buffer_areas(units: DataFrame, pipes: DataFrame, radius: float, unit_id: str = "uid") -> DataFrame:
-    """(unit_id, in_area, out_area, cp_asgn): each side's square-capped buffer area in the unit.
+def decisions(annotated: DataFrame) -> DataFrame:
+    """Contested units with what the rules decide: decision (exclude, split, keep or blank for a reviewer) and why.
 
-    One side's pipes may overlap in a unit; its area is that of the widest
-    coverage, by the least and greatest reach. exclude: more foreign than traced
-    area; a tie keeps.
+    An excluded unit comes before a cut one, and that before buffer areas.
     """
-    strips = pipes.select("pidx", "in_trace", (F.col("sx") - radius).alias("x0"), (F.least("sy", "ey") - radius).alias("y0"), (F.col("sx") + radius).alias("x1"), (F.greatest("sy", "ey") + radius).alias("y1"))
-    p = box_pairs(strips, units, "pidx", unit_id, max(4 * radius, 1.0)).where("ow > 0 AND oh > 0").join(strips.select(F.col("pidx").alias("a_id"), "in_trace"), "a_id")
-    side = lambda keep: F.coalesce(F.max(F.when(keep, F.col("ow") * F.col("oh"))), F.lit(0.0))
-    d = p.groupBy(F.col("b_id").alias(unit_id)).agg(side(F.col("in_trace")).alias("in_area"), side(~F.col("in_trace")).alias("out_area"))
-    return d.withColumn("cp_asgn", F.when(F.col("out_area") > F.col("in_area"), "exclude").otherwise("keep"))
+    cut = F.col("cp_keep") < 1.0
+    decision = F.when(F.col("cp_excl"), "exclude").when(cut, "split").otherwise(F.coalesce("cp_asgn", F.lit("")))
+    why = (
+        F.when(F.col("cp_excl"), "rule: at the border, and the trace hardly serves it")
+        .when(cut, F.format_string("rule: cut at equal distance, %.0f %% kept", 100 * F.col("cp_keep")))
+        .when(F.col("cp_asgn") == "exclude", "rule: foreign buffers cover more of it")
+        .when(F.col("cp_asgn") == "keep", "rule: the trace's buffers cover as much of it or more")
+        .otherwise("")
+    )
+    return annotated.where("cp_flag <> ''").withColumns({"decision": decision, "why": why})
 
 
-def equidistant_share(units: DataFrame, pipes: DataFrame, radius: float, unit_id: str = "uid") -> DataFrame:
-    """(unit_id, cp_keep): share of each box on the traced side of the midline.
+#: How grave a contested unit is.
+SEVERITY = {"review": "review_required", "warning": "warning"}
 
-    The midline lies between the nearest traced and the nearest foreign pipe
-    within radius; boxes without both are left out. The pipes span the boxes.
-    """
-    near = near_pipes(units, pipes, radius, unit_id).join(pipes.select("pidx", "in_trace", "sx"), "pidx")
-    best = lambda keep: F.min(F.when(keep, F.struct("dist", "pidx", "sx")))["sx"]
-    d = near.groupBy(unit_id).agg(best(F.col("in_trace")).alias("xi"), best(~F.col("in_trace")).alias("xo")).where("xi IS NOT NULL AND xo IS NOT NULL")
-    mid = (F.col("xi") + F.col("xo")) / 2
-    left = F.greatest(F.lit(0.0), F.least("x1", mid) - F.col("x0")) / (F.col("x1") - F.col("x0"))
-    left = F.least(F.lit(1.0), left)
-    return d.join(units.select(unit_id, "x0", "x1"), unit_id).select(unit_id, F.when(F.col("xi") <= F.col("xo"), left).otherwise(1 - left).alias("cp_keep"))
 
+def competing_flags(annotated: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(site, flag_type, severity, uid, description, geom): one flag for each contested unit; names (pidx, fid) names foreign pipes."""
+    d = annotated.where("cp_flag <> ''")
+    d = d.withColumn("fid", F.lit(None).cast("string")) if names is None else d.join(names.select(F.col("pidx").alias("cp_fpidx"), F.col("fid").cast("string").alias("fid")), "cp_fpidx", "left")
+    grave = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])[F.col("cp_flag")]
+    what = F.when(F.col("cp_cross"), "a foreign main crosses it").otherwise(F.format_string("a foreign main is %.0f ft away, the nearest traced one %.0f ft", "cp_dout", "cp_din"))
+    text = F.concat(F.lit("unit "), F.col("uid").cast("string"), F.lit(": "), what, F.lit(" ("), F.coalesce("fid", F.col("cp_fpidx").cast("string"), F.lit("?")), F.lit(")"))
+    return d.select("site", F.lit("competing_pipe").alias("flag_type"), grave.alias("severity"), "uid", text.alias("description"), "geom")
 
-def site_flags(sites: DataFrame) -> DataFrame:
-    """(site, flag_type) of sites (site, n_pipes, n_units, coverage, acres): early returns in the order given."""
-    flag = (
-        F.when(F.col("n_pipes") == 0, F.array(F.lit("no_upstream_found")))
-        .when(F.col("n_units") == 0, F.array(F.lit("low_population_match")))
-        .otherwise(F.array_compact(F.array(F.when(F.col("coverage") < 0.5, "low_population_match"), F.when(F.col("acres") > 500, "large_catchment"))))
-    )
-    return sites.select("site", F.explode(flag).alias("flag_type"))
+
+def owners(annotated: DataFrame, trace: DataFrame, names: DataFrame) -> DataFrame:
+    """(site, uid, cp_owner) of contested units: the names (site, name) of the other sites whose trace (site, pidx) has the nearest foreign pipe, in order, joined by semicolons; blank if none."""
+    held = trace.where("pidx IS NOT NULL").join(names.select("site", "name"), "site").groupBy(F.col("pidx").alias("cp_fpidx")).agg(F.collect_set("name").alias("all"))
+    d = annotated.where("cp_flag <> ''").select("site", "uid", "cp_fpidx").join(held, "cp_fpidx", "left").join(names.select("site", "name"), "site", "left")
+    rest = F.array_except(F.coalesce("all", F.array().cast("array<string>")), F.array(F.coalesce("name", F.lit(""))))
+    return d.select("site", "uid", F.array_join(F.array_sort(rest), "; ").alias("cp_owner"))

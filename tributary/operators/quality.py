@@ -46,12 +46,17 @@ def drop_report(df: DataFrame, reasons: list[tuple[str, Column]]) -> DataFrame:
     return df.groupBy(F.coalesce(first_reason(reasons), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def whole_number(name: str) -> Column:
+    """Text of digits without leading zeros, "0" for zeros only; NULL for other text."""
+    digits = F.ltrim(F.col(name), F.lit("0"))
+    return F.when(F.col(name).rlike(r"^\d+$"), F.when(digits == "", "0").otherwise(digits))
+
+
 def match_facilityid(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """(wanted, n_exact, n_number, status): exact text first, else as whole numbers without leading zeros."""
-    number = lambda c: F.when(F.col(c).rlike(r"^\d+$"), F.when(F.ltrim(F.col(c), F.lit("0")) == "", "0").otherwise(F.ltrim(F.col(c), F.lit("0"))))
-    k = known.select("fid", number("fid").alias("num"))
+    k = known.select("fid", whole_number("fid").alias("num"))
     exact = wanted.join(k.select("fid"), F.col("wanted") == F.col("fid")).groupBy("wanted").agg(F.count(F.lit(1)).alias("n_exact"))
-    loose = wanted.withColumn("num", number("wanted")).join(k.select("num"), "num").groupBy("wanted").agg(F.count(F.lit(1)).alias("n_number"))
+    loose = wanted.withColumn("num", whole_number("wanted")).join(k.select("num"), "num").groupBy("wanted").agg(F.count(F.lit(1)).alias("n_number"))
     d = wanted.join(exact, "wanted", "left").join(loose, "wanted", "left").na.fill(0)
     n = F.when(F.col("n_exact") > 0, F.col("n_exact")).otherwise(F.col("n_number"))
     return d.withColumn("status", F.when(n == 0, "not_found").when(n > 1, "ambiguous").otherwise("ok"))

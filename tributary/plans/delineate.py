@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions import shapes
-from tributary.operators import graph, membership, polygons, snap
-from tributary.operators.spatial import within
+from tributary.operators import graph, membership, polygons, quality, snap
+from tributary.operators.spatial import nearest_any, within
 from tributary.session import materialize
 
 ACRE = 43560.0
@@ -41,18 +41,61 @@ class Settings:
     cell: float = 500.0
 
 
+def locate_targets(targets: DataFrame, manholes: DataFrame, id_radius: float, radius: float) -> DataFrame:
+    """(site, x, y, radius, status) of targets (site, facilityid, x, y): the place and tolerance to look for a node with.
+
+    An id is looked up among manholes (fid, x, y), as text first and then as a whole
+    number; it stands for its place if it has one. Without an id x and y count. status
+    is NULL if there is a place, else not_found, ambiguous, no_place or no_target.
+    """
+    wanted = targets.where("facilityid IS NOT NULL AND trim(facilityid) <> ''").select(F.trim("facilityid").alias("wanted")).distinct()
+    found = quality.match_facilityid(wanted, manholes.select(F.col("fid").cast("string").alias("fid")).where("fid IS NOT NULL"))
+    known = manholes.where("fid IS NOT NULL").select(F.col("fid").cast("string").alias("fid"), F.col("x").alias("mx"), F.col("y").alias("my"))
+    exact = found.where("status = 'ok' AND n_exact > 0").join(known, F.col("wanted") == F.col("fid")).select("wanted", "mx", "my")
+    number = known.withColumn("num", quality.whole_number("fid")).where("num IS NOT NULL")
+    loose = found.where("status = 'ok' AND n_exact = 0").withColumn("num", quality.whole_number("wanted")).join(number, "num").select("wanted", "mx", "my")
+    place = found.select("wanted", "status").join(exact.union(loose), "wanted", "left")
+    d = targets.withColumn("wanted", F.nullif(F.trim("facilityid"), F.lit(""))).join(place.withColumnRenamed("status", "found"), "wanted", "left")
+    by_id = F.col("wanted").isNotNull()
+    x, y = (F.when(by_id, F.col(m)).otherwise(F.col(c)) for m, c in (("mx", "x"), ("my", "y")))
+    status = F.when(by_id & (F.col("found") != "ok"), F.col("found")).when(by_id & (F.col("mx").isNull() | F.col("my").isNull()), "no_place").when(x.isNull() | y.isNull(), "no_target")
+    return d.select("site", x.alias("x"), y.alias("y"), F.when(by_id, F.lit(float(id_radius))).otherwise(F.lit(float(radius))).alias("radius"), status.alias("status"))
+
+
 def resolve_targets(nodes: DataFrame, edges: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
-    """(site, node, snap_ft, status) of targets (site, x, y).
+    """(site, node, snap_ft, status) of targets (site, x, y), which may have a radius and a status of their own (locate_targets).
 
-    The nearest node within radius that something drains to, else the nearest;
-    ties go to the smallest node. status is ok, or off_network without a node.
+    The nearest node within the radius, unless nothing drains to it and something
+    does to another one there: then the nearest of those. Ties go to the smallest
+    node. status is ok, off_network without a node in reach (snap_ft then tells how
+    far the nearest is), or the target's own.
     """
-    near = within(targets, nodes, radius, "site", "node_id")
+    t = targets.withColumn("radius", F.lit(float(radius))) if "radius" not in targets.columns else targets
+    t = t if "status" in t.columns else t.withColumn("status", F.lit(None).cast("string"))
+    t = materialize(t.select("site", "x", "y", "radius", "status"), "wanted")
+    live = t.where("status IS NULL")
+    widest = live.agg(F.max("radius")).first()[0] or radius
+    near = within(live, nodes, widest, "site", "node_id").join(live.select(F.col("site").alias("a_id"), "radius"), "a_id").where("dist <= radius")
     near = near.join(edges.select(F.col("v").alias("b_id"), F.lit(True).alias("fed")).distinct(), "b_id", "left")
     at = F.struct("dist", "b_id")
     best = F.coalesce(F.min(F.when(F.col("fed"), at)), F.min(at)).alias("m")
-    hit = near.groupBy(F.col("a_id").alias("site")).agg(best).select("site", F.col("m.b_id").alias("node"), F.col("m.dist").alias("snap_ft"))
-    return targets.select("site").distinct().join(hit, "site", "left").withColumn("status", F.when(F.col("node").isNull(), "off_network").otherwise("ok"))
+    hit = materialize(near.groupBy(F.col("a_id").alias("site")).agg(best).select("site", F.col("m.b_id").alias("node"), F.col("m.dist").alias("snap_ft")), "hit")
+    far = nearest_any(live.join(hit, "site", "left_anti"), nodes, widest, "site", "node_id").select(F.col("a_id").alias("site"), F.col("dist").alias("far_ft"))
+    d = t.select("site", "status").distinct().join(hit, "site", "left").join(far, "site", "left")
+    return d.select("site", "node", F.coalesce("snap_ft", "far_ft").alias("snap_ft"), F.coalesce("status", F.when(F.col("node").isNull(), "off_network").otherwise("ok")).alias("status"))
+
+
+def nearest_targets(nodes: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
+    """(site, node, snap_ft, far): the nearest node of each target whatever its distance and whether anything drains to it; far beyond the radius."""
+    d = nearest_any(targets, nodes, radius, "site", "node_id")
+    return d.select(F.col("a_id").alias("site"), F.col("b_id").alias("node"), F.col("dist").alias("snap_ft"), (F.col("dist") > radius).alias("far"))
+
+
+def trace_sites(nodes: DataFrame, edges: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """(site, pidx_list, snap_ft, far) of every point (site, x, y): its pipes in order without links, an empty list for a headwater. For scoring: no site is left out."""
+    at = materialize(nearest_targets(nodes, points, radius), "points")
+    trace = graph.trace_upstream(edges, at.select("site", "node")).where("pidx IS NOT NULL").groupBy("site").agg(F.array_sort(F.collect_set("pidx")).alias("pidx_list"))
+    return at.join(trace, "site", "left").select("site", F.coalesce("pidx_list", F.array().cast("array<bigint>")).alias("pidx_list"), "snap_ft", "far")
 
 
 def annotate(units: DataFrame, lines: DataFrame, served: DataFrame, trace: DataFrame, ignored: DataFrame, s: Settings) -> DataFrame:
@@ -89,8 +132,7 @@ def annotate(units: DataFrame, lines: DataFrame, served: DataFrame, trace: DataF
     border = F.col("cp_pos") == "border"
     a = a.withColumn("cp_covar", F.when(border, F.coalesce(shapes.measure("shared", "geom", "select_by"), F.lit(0.0))))
     a = a.withColumn("cp_cover", F.when(border, F.col("cp_covar") / F.nullif(shapes.measure("area", "geom"), F.lit(0.0))).otherwise(1.0))
-    nick = F.coalesce(border & (F.col("cp_cover") < s.nick_share) & (F.col("cp_covar") < s.nick_area), F.lit(False))
-    a = membership.exclude(a).withColumn("cp_excl", F.col("cp_excl") | nick)
+    a = membership.exclude(a, s.nick_share, s.nick_area)
     split = ~F.col("cp_excl") & border & F.col("cp_cross") & (F.col("cp_din") == 0)
     a = a.withColumn("kept", F.when(split, shapes.nearer("geom", "own_lines", "foreign_lines", s.split_step)).otherwise(F.col("geom")))
     share = shapes.measure("area", "kept") / F.nullif(shapes.measure("area", "geom"), F.lit(0.0))

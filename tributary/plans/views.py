@@ -39,8 +39,8 @@ VIEWS: dict[str, str] = {
     "home": "SELECT * FROM parcel WHERE use_desc NOT LIKE '5%'",
     "site": """SELECT CAST(n_nationkey AS BIGINT) AS sid, (n_nationkey%5)*400e0 AS x0, CAST(floor(n_nationkey/5e0) AS BIGINT)*400e0 AS y0,
       (n_nationkey%5)*400e0+430 AS x1, CAST(floor(n_nationkey/5e0) AS BIGINT)*400e0+430 AS y1 FROM nation""",
-    # lines from above to below all units, two foreign ones beside each traced one
-    "vline": "SELECT CAST(n_nationkey AS BIGINT) AS pidx, n_nationkey*35e0+20 AS sx, -200e0 AS sy, 2300e0 AS ey, n_nationkey % 3 = 0 AS in_trace FROM nation",
+    # lines from above to below all units, unevenly spaced, every third one traced
+    "vline": "SELECT CAST(n_nationkey AS BIGINT) AS pidx, n_nationkey*55e0+20+(n_nationkey*7)%5*10 AS sx, -200e0 AS sy, 2300e0 AS ey, n_nationkey % 3 = 0 AS in_trace FROM nation",
     # block groups of two by two units, and estimates for them
     "ublock": """SELECT concat(lpad(CAST(CAST(floor(x0/100e0) AS BIGINT)*1000 + CAST(floor(y0/100e0) AS BIGINT) AS VARCHAR(20)), 12, '0'), lpad(CAST(min(uid)%1000 AS VARCHAR(20)), 3, '0')) AS geoid,
       CAST(floor(x0/100e0) AS BIGINT)*1000 + CAST(floor(y0/100e0) AS BIGINT) AS grp, x0, y0, x1, y1, sum(cnt) AS p_all,
