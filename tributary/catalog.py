@@ -12,9 +12,10 @@ from pyspark.sql import window as W
 
 from tributary.functions import geo, shapes
 from tributary.operators import demographics as demo
-from tributary.operators import graph, membership, polygons, pressure, quality, scoring, snap, spatial
+from tributary.operators import facilities, graph, membership, polygons, pressure, quality, scoring, snap, spatial
 from tributary.operators.components import connected_components
-from tributary.plans import delineate
+from tributary.operators import reports
+from tributary.plans import delineate, network, network_qa
 from tributary.plans.views import Views, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,8 +64,8 @@ def trace_upstream_cyclic(v: Views) -> DataFrame:
 
 
 _COMP = """both_ways AS (SELECT u, v FROM edge_frag UNION SELECT v, u FROM edge_frag),
-reach AS (SELECT u AS node, u AS other FROM both_ways UNION SELECT reach.node, b.v FROM reach JOIN both_ways b ON b.u = reach.other),
-comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+meets AS (SELECT u AS node, u AS other FROM both_ways UNION SELECT meets.node, b.v FROM meets JOIN both_ways b ON b.u = meets.other),
+comp AS (SELECT node, min(other) AS component FROM meets GROUP BY node)"""
 
 
 @query(f"WITH {_COMP} SELECT node, component FROM comp")
@@ -121,6 +122,42 @@ def parallel_and_self_loops(v: Views) -> DataFrame:
     return graph.multiplicity(v("multi"))
 
 
+# the ways for graphs beyond one task, held against the same SQL
+
+
+def variant(of: str):
+    """Register a function under its name with the SQL of another query."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        ORACLE_SQL[f.__name__] = ORACLE_SQL[of]
+        return f
+
+    return add
+
+
+@variant("trace_upstream_tree")
+def trace_tree_spread(v: Views) -> DataFrame:
+    t = graph.trace_upstream(v("edge"), v("net").where("r = 1").selectExpr("basin AS site", "node_id AS node"), small_edges=0)
+    return t.groupBy("site").agg(F.count(F.lit(1)).alias("n_pipes"), F.max("depth").cast("long").alias("max_depth"))
+
+
+@variant("trace_upstream_cyclic")
+def trace_cyclic_spread(v: Views) -> DataFrame:
+    t = graph.trace_upstream(v("edge_cyc"), v("net").where("r = 1").selectExpr("basin AS site", "node_id AS node"), small_edges=0)
+    return t.groupBy("site").agg(F.count(F.lit(1)).alias("n_pipes"), F.count_distinct("u").alias("n_heads"))
+
+
+@variant("weak_components")
+def weak_components_spread(v: Views) -> DataFrame:
+    return connected_components(v("edge_frag")).select("node", "component")
+
+
+@variant("scc_members")
+def scc_members_spread(v: Views) -> DataFrame:
+    return graph.strong_components(v("edge_cyc"), small_edges=0)
+
+
 # distance joins and snapping
 
 _D = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))"
@@ -131,11 +168,6 @@ def snap_pairs(v: Views) -> DataFrame:
     return rounded(spatial.self_pairs(v("pt"), 10.0), "dist")
 
 
-@query(f"SELECT a.id AS a_id, b.id AS b_id, {r(_D)} AS dist FROM pt a JOIN pt b ON a.id < b.id AND {_D} <= 25 AND {_D} > 10")
-def snap_gap_band(v: Views) -> DataFrame:
-    return rounded(spatial.self_pairs(v("pt"), 25.0, above=10.0), "dist")
-
-
 _EP = """ep AS (SELECT 2*pidx AS ep, pidx, fid, sx AS x, sy AS y, true AS s FROM pipe UNION ALL SELECT 2*pidx+1, pidx, fid, ex, ey, false FROM pipe),
 l1 AS (SELECT a.ep AS u, b.ep AS v FROM ep a JOIN ep b ON a.ep <> b.ep AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 1),
 r1 AS (SELECT ep AS node, ep AS other FROM ep UNION SELECT r1.node, l1.v FROM r1 JOIN l1 ON l1.u = r1.other),
@@ -147,9 +179,9 @@ p2 AS (SELECT node AS f, min(other) AS final FROM r2 GROUP BY node),
 nodes AS (SELECT ep, dense_rank() OVER (ORDER BY final) - 1 AS node_id FROM p1 JOIN p2 ON p2.f = p1.f)"""
 
 
-def _snapped(v: Views) -> tuple[DataFrame, DataFrame]:
+def _snapped(v: Views, small_edges: int = graph.SMALL_EDGES) -> tuple[DataFrame, DataFrame]:
     ep = snap.endpoints(v("pipe"))
-    return ep, snap.snap_endpoints(ep, 1.0, 20.0)
+    return ep, snap.snap_endpoints(ep, 1.0, 20.0, small_edges=small_edges)
 
 
 @query(f"WITH {_EP} SELECT ep AS ep_idx, CAST(node_id AS BIGINT) AS node_id FROM nodes")
@@ -157,6 +189,21 @@ def snap_clusters(v: Views) -> DataFrame:
     return _snapped(v)[1]
 
 
+@variant("snap_clusters")
+def snap_clusters_spread(v: Views) -> DataFrame:
+    return _snapped(v, 0)[1]
+
+
+_LAYER = "lay AS (SELECT node_id, avg(x) AS x, avg(y) AS y, bool_or(s) AND bool_or(NOT s) AS joined FROM ep JOIN nodes ON nodes.ep = ep.ep GROUP BY node_id)"
+
+
+@query(f"""WITH {_EP}, {_LAYER}, e AS (SELECT node_id AS id, round_even(x, 2) AS x, round_even(y, 2) AS y FROM lay WHERE NOT joined)
+SELECT CAST(a.id AS BIGINT) AS a_id, CAST(b.id AS BIGINT) AS b_id, {r(_D)} AS dist FROM e a JOIN e b ON a.id < b.id AND {_D} <= 45 AND {_D} > 1""")
+def snap_gap_band(v: Views) -> DataFrame:
+    """Gaps left between ends of the node layer, on its rounded coordinates."""
+    return rounded(snap.gap_band(snap.node_layer(*_snapped(v)), 1.0, 45.0), "dist")
+
+
 @query(f"""WITH {_EP} SELECT CAST(node_id AS BIGINT) AS node_id, {r("avg(x)")} AS x, {r("avg(y)")} AS y, count(DISTINCT pidx) AS n_pipes,
 string_agg(DISTINCT fid, ',' ORDER BY fid) AS fids, CASE WHEN bool_or(s) AND bool_or(NOT s) THEN 'junction' WHEN bool_or(s) THEN 'start' ELSE 'end' END AS role
 FROM ep JOIN nodes ON nodes.ep = ep.ep GROUP BY node_id""")
@@ -182,16 +229,40 @@ def nearest_node_bounded(v: Views) -> DataFrame:
     return rounded(spatial.nearest(v("spt"), v("pt"), 60.0), "dist")
 
 
-@query(f"""WITH d AS (SELECT a.id AS a_id, b.id AS node, {_D} AS dist, coalesce(k.n, 0) > 0 AS fed FROM spt a JOIN pt b ON {_D} <= 60
-  LEFT JOIN (SELECT v, count(*) AS n FROM edge GROUP BY v) k ON k.v = b.id)
-SELECT a_id, coalesce(arg_min(node, (dist, node)) FILTER (fed), arg_min(node, (dist, node))) AS node FROM d GROUP BY a_id""")
+@query(f"""WITH d AS (SELECT a.id AS site, b.id AS node, {_D} AS dist, EXISTS (SELECT 1 FROM edge WHERE v = b.id) AS fed FROM spt a CROSS JOIN pt b),
+n AS (SELECT site, coalesce(arg_min(node, (dist, node)) FILTER (fed AND dist <= 40), arg_min(node, (dist, node)) FILTER (dist <= 40)) AS node, min(dist) AS far FROM d GROUP BY site)
+SELECT n.site, n.node, {r("coalesce(d.dist, far)")} AS snap_ft, CASE WHEN n.node IS NULL THEN 'off_network' ELSE 'ok' END AS status FROM n LEFT JOIN d ON d.site = n.site AND d.node = n.node""")
 def false_headwater_guard(v: Views) -> DataFrame:
-    """The nearest node in tolerance that something drains to; the plain nearest if none does."""
-    near = spatial.within(v("spt"), v("pt"), 60.0)
-    fed = v("edge").select(F.col("v").alias("b_id"), F.lit(True).alias("fed")).distinct()
-    d = near.join(fed, "b_id", "left")
-    best = F.coalesce(F.min(F.when(F.col("fed"), F.struct("dist", "b_id"))), F.min(F.struct("dist", "b_id")))
-    return d.groupBy("a_id").agg(best.alias("m")).select("a_id", F.col("m.b_id").alias("node"))
+    """The nearest node in tolerance that something drains to; the plain nearest if none does; how far it is if none is in tolerance."""
+    d = delineate.resolve_targets(v("pt").withColumnRenamed("id", "node_id"), v("edge"), v("spt").withColumnRenamed("id", "site"), 40.0)
+    return rounded(d, "snap_ft")
+
+
+@query(f"""SELECT a.id AS a_id, arg_min(b.id, ({_D}, b.id)) AS b_id, {r(f"min({_D})")} AS dist FROM spt a CROSS JOIN pt b GROUP BY a.id""")
+def nearest_any(v: Views) -> DataFrame:
+    return rounded(spatial.nearest_any(v("spt"), v("pt"), 4.0), "dist")
+
+
+@query("""WITH w AS (SELECT c_custkey AS site, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE concat(repeat('0', CAST(c_custkey % 3 AS INTEGER)), CAST(c_custkey % 90 AS VARCHAR(20))) END AS id FROM customer),
+k AS (SELECT concat(repeat('0', CAST(s_suppkey % 2 AS INTEGER)), CAST(s_suppkey % 70 AS VARCHAR(20))) AS fid, s_suppkey AS x FROM supplier),
+c AS (SELECT site, id, (SELECT count(*) FROM k WHERE fid = id) AS e, (SELECT count(*) FROM k WHERE CAST(fid AS BIGINT) = CAST(id AS BIGINT)) AS n,
+  (SELECT min(x) FROM k WHERE fid = id) AS ex, (SELECT min(x) FROM k WHERE CAST(fid AS BIGINT) = CAST(id AS BIGINT)) AS nx FROM w)
+SELECT site, CASE WHEN id IS NULL THEN CASE WHEN site % 2 = 0 THEN 'no_target' END WHEN e = 0 AND n = 0 THEN 'not_found' WHEN CASE WHEN e > 0 THEN e ELSE n END > 1 THEN 'ambiguous' END AS status,
+CASE WHEN id IS NULL THEN CASE WHEN site % 2 = 1 THEN 1e0 END WHEN e = 1 THEN ex*1e0 WHEN e = 0 AND n = 1 THEN nx*1e0 END AS x, CASE WHEN id IS NULL THEN 50e0 ELSE 5e0 END AS radius FROM c""")
+def targets_by_id(v: Views) -> DataFrame:
+    """Targets named by an id, as text or as a number, or by a place."""
+    t = v("customer").selectExpr("c_custkey AS site", "CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE concat(repeat('0', CAST(c_custkey % 3 AS INT)), CAST(c_custkey % 90 AS STRING)) END AS facilityid", "CASE WHEN c_custkey % 2 = 1 THEN 1e0 END AS x", "2e0 AS y")
+    k = v("supplier").selectExpr("concat(repeat('0', CAST(s_suppkey % 2 AS INT)), CAST(s_suppkey % 70 AS STRING)) AS fid", "s_suppkey * 1e0 AS x", "0e0 AS y")
+    return delineate.locate_targets(t, k, 5.0, 50.0).select("site", "status", "x", "radius")
+
+
+@query(f"""WITH n AS (SELECT s.id AS site, arg_min(p.id, (d, p.id)) AS node, min(d) AS d FROM (SELECT a.id, b.id AS pid, {_D} AS d FROM spt a CROSS JOIN pt b) s JOIN pt p ON p.id = pid GROUP BY s.id),
+t AS (SELECT site, node FROM n UNION SELECT t.site, e.u FROM t JOIN edge e ON e.v = t.node)
+SELECT n.site, CAST(count(e.pidx) AS BIGINT) AS n_pipes, {r("max(n.d)")} AS snap_ft, max(n.d) > 10 AS far FROM n JOIN t ON t.site = n.site LEFT JOIN edge e ON e.v = t.node GROUP BY n.site""")
+def scoring_traces(v: Views) -> DataFrame:
+    """Every sampling point's trace from the nearest node, however far and whether or not anything drains to it."""
+    d = delineate.trace_sites(v("pt").withColumnRenamed("id", "node_id"), v("edge"), v("spt").withColumnRenamed("id", "site"), 10.0)
+    return rounded(d.select("site", F.size("pidx_list").cast("long").alias("n_pipes"), "snap_ft", "far"), "snap_ft")
 
 
 _T = "greatest(0e0, least(1e0, ((p.x-s.sx)*(s.ex-s.sx)+(p.y-s.sy)*(s.ey-s.sy))/nullif((s.ex-s.sx)*(s.ex-s.sx)+(s.ey-s.sy)*(s.ey-s.sy),0e0)))"
@@ -209,6 +280,68 @@ def midspan_candidates(v: Views) -> DataFrame:
     return rounded(p.join(length, "s_id").where("along > 10 AND len - along > 10").drop("len"), "dist", "along")
 
 
+_CUTS = f"""cd AS (SELECT 0 AS rule, 2*pidx AS n, pidx AS own, sx AS x, sy AS y FROM pipe UNION ALL SELECT 0, 2*pidx+1, pidx, ex, ey FROM pipe UNION ALL SELECT 1, ord, NULL, x, y FROM hole),
+pj AS (SELECT p.rule, p.n, s.pidx, p.x, p.y, s.sx, s.sy, s.ex, s.ey, {_T} AS t, sqrt((s.ex-s.sx)*(s.ex-s.sx)+(s.ey-s.sy)*(s.ey-s.sy)) AS len FROM cd p JOIN pipe s ON p.own IS NULL OR p.own <> s.pidx),
+ca AS (SELECT *, t*len AS along, row_number() OVER (PARTITION BY pidx ORDER BY rule, n) AS k FROM pj
+  WHERE sqrt((x-sx-t*(ex-sx))*(x-sx-t*(ex-sx))+(y-sy-t*(ey-sy))*(y-sy-t*(ey-sy))) < 2 AND sqrt((x-sx)*(x-sx)+(y-sy)*(y-sy)) > 10 AND sqrt((x-ex)*(x-ex)+(y-ey)*(y-ey)) > 10),
+mg AS (SELECT pidx, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS ds, CAST(0 AS BIGINT) AS slot FROM ca WHERE k = 1
+  UNION ALL SELECT mg.pidx, ca.k, CASE WHEN coalesce(list_position(list_transform(ds, lambda d: abs(d - ca.along) < 2), true), 0) > 0 THEN ds ELSE list_append(ds, ca.along) END,
+    CASE WHEN coalesce(list_position(list_transform(ds, lambda d: abs(d - ca.along) < 2), true), 0) > 0 THEN list_position(list_transform(ds, lambda d: abs(d - ca.along) < 2), true) ELSE len(ds) + 1 END FROM mg JOIN ca ON ca.pidx = mg.pidx AND ca.k = mg.k + 1),
+ct AS (SELECT ca.pidx, arg_min(along, ca.k) AS along, arg_min(t, ca.k) AS t, count(*) AS n_sources, CASE WHEN min(rule) < max(rule) THEN 'endpoint+manhole' WHEN max(rule) = 0 THEN 'endpoint' ELSE 'manhole' END AS trigger
+  FROM ca JOIN mg ON mg.pidx = ca.pidx AND mg.k = ca.k GROUP BY ca.pidx, slot),
+cu AS (SELECT ct.*, sx + t*(ex-sx) AS x, sy + t*(ey-sy) AS y, row_number() OVER (ORDER BY ct.pidx, along) - 1 AS ord, (SELECT max(pidx) + 1 FROM pipe) AS top FROM ct JOIN pipe p ON p.pidx = ct.pidx)"""
+
+
+def _drawn(v: Views, name: str = "pipe") -> DataFrame:
+    """Lines of two vertices."""
+    at = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return v(name).select("pidx", "fid", F.array(at("sx", "sy"), at("ex", "ey")).alias("coords"))
+
+
+@query(f"WITH {_CUTS} SELECT ord, pidx, {r('along')} AS along, {r('x')} AS x, {r('y')} AS y, trigger, n_sources, top + ord AS new_pidx FROM cu")
+def midspan_splits(v: Views) -> DataFrame:
+    """Where lines are cut: ends of others and manholes on their inside, merged in order of arrival."""
+    log = network.split_midspan(_drawn(v), v("hole"))[1]
+    return rounded(log.select("ord", "pidx", "along", "x", "y", "trigger", F.size(F.split("sources", "; ")).cast("long").alias("n_sources"), "new_pidx"), "along", "x", "y")
+
+
+@query(f"""WITH {_CUTS}, br AS (SELECT pidx, 0e0 AS t, CAST(NULL AS BIGINT) AS ord FROM pipe UNION ALL SELECT pidx, t, ord FROM cu),
+pc AS (SELECT p.pidx AS parent, coalesce(top + b.ord, p.pidx) AS pidx, p.sx + b.t*(p.ex-p.sx) AS sx, p.sy + b.t*(p.ey-p.sy) AS sy, p.sx + b.t2*(p.ex-p.sx) AS ex, p.sy + b.t2*(p.ey-p.sy) AS ey
+  FROM (SELECT *, coalesce(lead(t) OVER (PARTITION BY pidx ORDER BY t), 1e0) AS t2 FROM br) b JOIN pipe p ON p.pidx = b.pidx LEFT JOIN (SELECT max(pidx) + 1 AS top FROM pipe) m ON true),
+en AS (SELECT pidx, 0 AS side, sx AS x, sy AS y FROM pc UNION ALL SELECT pidx, 1, ex, ey FROM pc),
+mv AS (SELECT en.pidx, side, arg_max(cu.x, cu.ord) AS x, arg_max(cu.y, cu.ord) AS y FROM en JOIN cu ON (en.x-cu.x)*(en.x-cu.x)+(en.y-cu.y)*(en.y-cu.y) <= 4 GROUP BY en.pidx, side)
+SELECT en.pidx, CAST(en.side AS BIGINT) AS side, {r('coalesce(mv.x, en.x)', 3)} AS x, {r('coalesce(mv.y, en.y)', 3)} AS y FROM en LEFT JOIN mv ON mv.pidx = en.pidx AND mv.side = en.side""")
+def welded_ends(v: Views) -> DataFrame:
+    """Both ends of every piece after the cuts, moved onto cuts near them."""
+    ends = snap.endpoints(network.line_ends(network.split_midspan(_drawn(v), v("hole"))[0]))
+    return rounded(ends.select("pidx", F.when(F.col("is_start"), 0).otherwise(1).cast("long").alias("side"), "x", "y"), "x", "y", digits=3)
+
+
+_LOCATED = f"""nm AS (SELECT w.ord, count(p.pidx) AS n, max(p.pidx) AS one FROM wanted w LEFT JOIN pipe p ON p.fid = w.pipe_id GROUP BY w.ord),
+pd AS (SELECT p.ord, s.pidx, p.x, p.y, s.sx, s.sy, s.ex, s.ey, {_T} AS t FROM wanted p JOIN nm ON nm.ord = p.ord AND nm.n <> 1 CROSS JOIN pipe s),
+nr AS (SELECT ord, arg_min(pidx, (sqrt((x-sx-t*(ex-sx))*(x-sx-t*(ex-sx))+(y-sy-t*(ey-sy))*(y-sy-t*(ey-sy))), -pidx)) AS pidx FROM pd GROUP BY ord),
+lo AS (SELECT w.ord, decision, CASE WHEN n = 1 THEN one ELSE nr.pidx END AS pidx, CASE WHEN decision = 'extend' THEN CASE WHEN contains(target, ',') THEN CAST(split_part(target, ',', 1) AS DOUBLE) ELSE h.x END END AS tx,
+  CASE WHEN decision = 'extend' THEN CASE WHEN contains(target, ',') THEN CAST(trim(split_part(target, ',', 2)) AS DOUBLE) ELSE h.y END END AS ty
+  FROM wanted w JOIN nm ON nm.ord = w.ord LEFT JOIN nr ON nr.ord = w.ord LEFT JOIN hole h ON h.fid = w.target)"""
+
+
+@query(f"WITH {_LOCATED} SELECT ord, decision, pidx, {r('tx')} AS tx, {r('ty')} AS ty FROM lo")
+def located_edits(v: Views) -> DataFrame:
+    """The pipe each edit means, by id or by place, and where an extension leads."""
+    return rounded(network.locate_edits(_drawn(v), v("wanted"), v("hole"), 600.0).select("ord", "decision", "pidx", "tx", "ty"), "tx", "ty")
+
+
+@query(f"""WITH {_LOCATED}, os AS (SELECT *, row_number() OVER (PARTITION BY pidx ORDER BY ord) AS k FROM lo),
+ed AS (SELECT pidx, CAST(0 AS BIGINT) AS k, sx, sy, ex, ey, true AS live FROM pipe
+  UNION ALL SELECT ed.pidx, os.k, CASE WHEN decision = 'flip' THEN ed.ex WHEN decision = 'extend' AND near THEN tx ELSE ed.sx END, CASE WHEN decision = 'flip' THEN ed.ey WHEN decision = 'extend' AND near THEN ty ELSE ed.sy END,
+    CASE WHEN decision = 'flip' THEN ed.sx WHEN decision = 'extend' AND NOT near THEN tx ELSE ed.ex END, CASE WHEN decision = 'flip' THEN ed.sy WHEN decision = 'extend' AND NOT near THEN ty ELSE ed.ey END, live AND decision <> 'delete'
+  FROM ed JOIN os ON os.pidx = ed.pidx AND os.k = ed.k + 1 CROSS JOIN LATERAL (SELECT (ed.sx-tx)*(ed.sx-tx)+(ed.sy-ty)*(ed.sy-ty) <= (ed.ex-tx)*(ed.ex-tx)+(ed.ey-ty)*(ed.ey-ty) AS near) q)
+SELECT pidx, {r("arg_max(sx, k)")} AS sx, {r("arg_max(sy, k)")} AS sy, {r("arg_max(ex, k)")} AS ex, {r("arg_max(ey, k)")} AS ey FROM ed GROUP BY pidx HAVING arg_max(live, k)""")
+def edited_lines(v: Views) -> DataFrame:
+    """All lines after the edits, in order; deleted ones are left out."""
+    return rounded(network.line_ends(network.edit_pipes(_drawn(v), v("wanted"), v("hole"), 600.0)[0]).drop("fid"), "sx", "sy", "ex", "ey")
+
+
 # quality flags
 
 _CONFLICT = "up_inv > 0 AND dn_inv > 0 AND up_inv < dn_inv"
@@ -283,6 +416,48 @@ def facility_roles(v: Views) -> DataFrame:
     return v("part").groupBy(quality.facility_role("p_type", _PATTERNS).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_QA = f"""WITH {_EP}, {_LAYER}, pp AS (SELECT DISTINCT p1.f, ep.pidx FROM ep JOIN p1 ON p1.ep = ep.ep),
+np AS (SELECT DISTINCT nodes.node_id, ep.pidx FROM ep JOIN nodes ON nodes.ep = ep.ep),
+g1 AS (SELECT a.f AS u, b.f AS v FROM c1 a JOIN c1 b ON a.f < b.f AND a.hs <> a.he AND b.hs <> b.he AND {_D} <= 20 AND {_D} > 1 WHERE NOT EXISTS (SELECT 1 FROM pp x JOIN pp y ON x.f = a.f AND y.f = b.f AND x.pidx = y.pidx)),
+g2 AS (SELECT a.node_id AS u, b.node_id AS v FROM lay a JOIN lay b ON a.node_id < b.node_id AND NOT (a.joined AND b.joined) AND {_D} <= 40 AND {_D} > 1 WHERE NOT EXISTS (SELECT 1 FROM np x JOIN np y ON x.node_id = a.node_id AND y.node_id = b.node_id AND x.pidx = y.pidx)),
+ge AS (SELECT a.node_id AS u, b.node_id AS v FROM nodes a JOIN nodes b ON a.ep % 2 = 0 AND b.ep = a.ep + 1),
+r3 AS (SELECT u AS a, v AS b FROM ge UNION SELECT r3.a, ge.v FROM r3 JOIN ge ON ge.u = r3.b),
+sc AS (SELECT x.a AS node, min(x.b) AS scc FROM r3 x JOIN r3 y ON y.a = x.b AND y.b = x.a GROUP BY x.a), sn AS (SELECT scc, count(*) AS n FROM sc GROUP BY scc HAVING count(*) > 1),
+bo AS (SELECT u, v FROM ge UNION SELECT v, u FROM ge), r4 AS (SELECT u AS node, u AS o FROM bo UNION SELECT r4.node, bo.v FROM r4 JOIN bo ON bo.u = r4.o),
+co AS (SELECT node, min(o) AS c FROM r4 GROUP BY node), cs AS (SELECT c, count(*) AS n FROM co GROUP BY c),
+lone AS (SELECT fid, x, y FROM hole WHERE NOT EXISTS (SELECT 1 FROM qpipe WHERE frommh = hole.fid OR tomh = hole.fid))"""
+_UP = "up_inv > 0 AND dn_inv > 0 AND up_inv < dn_inv"
+
+
+def _qa(v: Views) -> dict[str, DataFrame]:
+    return network_qa.run_qa(v("qpipe"), v("hole").select("fid", "x", "y"), network_qa.Settings(1.0, 20.0, 5.0, 3, 12))
+
+
+@query(f"""{_QA} SELECT flag_type, severity, n FROM (SELECT 'missing_direction' AS flag_type, 'warning' AS severity, count(*) AS n FROM qpipe WHERE frommh IS NULL OR tomh IS NULL
+UNION ALL SELECT 'invert_conflict', 'warning', count(*) FROM qpipe WHERE {_UP} UNION ALL SELECT 'attribute_slope_error', 'warning', count(*) FROM qpipe WHERE slope < 0 AND NOT ({_UP})
+UNION ALL SELECT 'snap_gap', 'warning', count(*) FROM g1 UNION ALL SELECT 'snap_gap', 'review_required', count(*) FROM g2
+UNION ALL SELECT 'directed_cycle', 'review_required', count(*) FROM sn WHERE n <= 3 UNION ALL SELECT 'large_cycle', 'review_required', count(*) FROM sn WHERE n > 3
+UNION ALL SELECT 'disconnected_component', 'warning', count(*) FROM cs WHERE n <= 12 AND (SELECT count(*) FROM cs) > 1 UNION ALL SELECT 'isolated_manhole', 'warning', count(*) FROM lone) x WHERE n > 0""")
+def qa_flag_counts(v: Views) -> DataFrame:
+    """All checks of a network at once, by type and severity."""
+    return _qa(v)["flags"].groupBy("flag_type", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{_QA} SELECT concat('isolated_', fid) AS flag, {r("min(sqrt((lone.x-lay.x)*(lone.x-lay.x)+(lone.y-lay.y)*(lone.y-lay.y)))")} AS dist FROM lone CROSS JOIN lay GROUP BY fid""")
+def qa_isolated(v: Views) -> DataFrame:
+    """Manholes that no pipe names, and how far the nearest node is."""
+    return rounded(_qa(v)["flags"].where("flag_type = 'isolated_manhole'").select("flag", "dist"), "dist")
+
+
+@query(f"""{_QA}, me AS (SELECT pidx, 'missing_direction' AS t FROM qpipe WHERE frommh IS NULL OR tomh IS NULL UNION SELECT pidx, 'invert_conflict' FROM qpipe WHERE {_UP} UNION SELECT pidx, 'attribute_slope_error' FROM qpipe WHERE slope < 0 AND NOT ({_UP})
+  UNION SELECT pidx, 'snap_gap' FROM g1 JOIN pp ON pp.f = u OR pp.f = v UNION SELECT pidx, 'snap_gap' FROM g2 JOIN np ON np.node_id = u OR np.node_id = v
+  UNION SELECT pidx, CASE WHEN n > 3 THEN 'large_cycle' ELSE 'directed_cycle' END FROM np JOIN sc ON sc.node = np.node_id JOIN sn ON sn.scc = sc.scc
+  UNION SELECT pidx, 'disconnected_component' FROM np JOIN co ON co.node = np.node_id JOIN cs ON cs.c = co.c WHERE cs.n <= 12 AND (SELECT count(*) FROM cs) > 1)
+SELECT q.pidx, coalesce(string_agg(DISTINCT t, ', ' ORDER BY t), '') AS qa_flags, CASE WHEN frommh IS NULL OR tomh IS NULL THEN 'direction_inferrable' WHEN count(t) > 0 THEN 'flagged' ELSE 'original' END AS qa_status FROM qpipe q LEFT JOIN me ON me.pidx = q.pidx GROUP BY q.pidx, frommh, tomh""")
+def qa_pipe_states(v: Views) -> DataFrame:
+    return _qa(v)["pipes"].select("pidx", "qa_flags", "qa_status")
+
+
 # membership
 
 _TO = "greatest(u.x0-{0}.sx, {0}.sx-u.x1, 0e0)"
@@ -579,21 +754,74 @@ def basin_capture(v: Views) -> DataFrame:
 
 @query("SELECT basin, node_id, inv FROM (SELECT *, row_number() OVER (PARTITION BY basin ORDER BY inv, node_id) AS rn FROM net WHERE inv > 0) x WHERE rn <= 12")
 def deepest_k(v: Views) -> DataFrame:
-    w = W.Window.partitionBy("basin").orderBy("inv", "node_id")
-    return v("net").where("inv > 0").withColumn("rn", F.row_number().over(w)).where("rn <= 12").select("basin", "node_id", "inv")
+    """The twelve deepest candidates of each basin: a report."""
+    return reports.deepest(v("net"), "basin", "inv", "node_id", 12).select("basin", "node_id", "inv")
 
 
 @query(f"""WITH d AS (SELECT {_D} AS dist FROM pt a JOIN pt b ON a.id < b.id AND {_D} <= 25)
 SELECT {r("quantile_cont(dist, 0.5)")} AS p50, {r("quantile_cont(dist, 0.9)")} AS p90, {r("quantile_cont(dist, 0.99)")} AS p99 FROM d""")
 def gap_percentiles(v: Views) -> DataFrame:
-    d = spatial.self_pairs(v("pt"), 25.0)
-    return rounded(d.agg(*[F.percentile("dist", q).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.99)]), "p50", "p90", "p99")
+    return rounded(reports.percentiles(spatial.self_pairs(v("pt"), 25.0), "dist"), "p50", "p90", "p99")
 
 
-@query("""SELECT l_orderkey AS base_id, concat(CAST(l_orderkey AS VARCHAR(20)), '#', CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS VARCHAR(20))) AS partid FROM lineitem""")
+@query("""WITH c AS (SELECT DISTINCT seg, CAST(x0/50 AS BIGINT)*100 + CAST(y0/50 AS BIGINT) AS k FROM unit),
+e AS (SELECT a.seg, a.k AS u, b.k AS v FROM c a JOIN c b ON a.seg = b.seg AND (abs(a.k-b.k) = 100 OR (abs(a.k-b.k) = 1 AND a.k // 100 = b.k // 100))),
+q AS (SELECT seg, k, k AS o FROM c UNION SELECT q.seg, q.k, e.v FROM q JOIN e ON e.seg = q.seg AND e.u = q.o),
+p AS (SELECT seg, k, min(o) AS part FROM q GROUP BY seg, k), s AS (SELECT seg, part, count(*)*2500e0 AS area FROM p GROUP BY seg, part)
+SELECT seg AS base_id, count(*) OVER (PARTITION BY seg) AS n_parts, area FROM s""")
 def exploded_parts(v: Views) -> DataFrame:
-    n = F.row_number().over(W.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1
-    return v("lineitem").select(F.col("l_orderkey").alias("base_id"), F.concat(F.col("l_orderkey").cast("string"), F.lit("#"), n.cast("string")).alias("partid"))
+    """Each segment's merged units as single parts, numbered from 0 behind the segment's name."""
+    d = polygons.explode_parts(polygons.dissolve(_shapes(v, "unit", "seg", "site"), "site"), "site")
+    n = F.count_distinct("partid")
+    d = d.join(d.groupBy("base_id").agg(n.alias("n_parts")), "base_id")
+    return d.select("base_id", "n_parts", shapes.measure("area", "geom").alias("area"))
+
+
+@query(f"""WITH {_SCC}, {_COMP.replace("edge_frag", "edge_cyc")}, {_ROLES}, z AS (SELECT count(*) AS n FROM scc GROUP BY scc), m AS (SELECT count(*) AS n FROM edge_cyc GROUP BY u, v)
+SELECT (SELECT count(*) FROM net) AS n_nodes, count(*) FILTER (role = 'source') AS n_sources, count(*) FILTER (role = 'sink') AS n_sinks, (SELECT count(*) FROM net) - count(*) AS n_isolated,
+(SELECT CAST(sum(n) AS BIGINT) FROM m) AS n_edges, (SELECT count(*) FROM edge_cyc WHERE u = v) AS n_self_loops, (SELECT CAST(sum(n-1) AS BIGINT) FROM m) AS n_parallel, (SELECT count(*) FROM z) AS n_sccs, (SELECT max(n) FROM z) AS largest_scc,
+(SELECT count(DISTINCT component) FROM comp) + (SELECT count(*) FROM net) - count(*) AS weak_components FROM role""")
+def graph_summary(v: Views) -> DataFrame:
+    return reports.summarize_graph(v("edge_cyc"), v("net").select("node_id"))
+
+
+@query(f"SELECT pidx, {r('dn_inv - up_inv', 2)} AS rise FROM edge WHERE {_CONFLICT} ORDER BY dn_inv - up_inv DESC, pidx LIMIT 5")
+def worst_conflicts(v: Views) -> DataFrame:
+    """The five worst conflicts: a report."""
+    return rounded(reports.worst_conflicts(quality.invert_conflicts(v("edge"))).select("pidx", "rise"), "rise", digits=2)
+
+
+@query(f"""WITH {_COMP}, z AS (SELECT component, count(*) AS n_nodes FROM comp GROUP BY component)
+SELECT component, n_nodes, row_number() OVER (ORDER BY n_nodes DESC, component) - 1 AS rank FROM z ORDER BY n_nodes DESC, component LIMIT 10""")
+def largest_components(v: Views) -> DataFrame:
+    """The ten largest parts of the network: a report."""
+    return reports.largest_components(graph.component_edges(v("edge_frag")).select("component", "n_nodes")).select("component", "n_nodes", F.col("rank").cast("long"))
+
+
+_QFLAGS = "SELECT o_orderkey AS flag, o_orderpriority AS flag_type, CASE WHEN o_custkey % 3 = 0 THEN 'warning' ELSE 'review_required' END AS severity, CASE o_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'resolved' ELSE 'keep' END AS status FROM orders"
+
+
+@query(f"SELECT flag_type, severity, coalesce(status, 'open') AS status, count(*) AS n FROM ({_QFLAGS}) f GROUP BY 1, 2, 3")
+def flag_report(v: Views) -> DataFrame:
+    v("orders").createOrReplaceTempView("orders")
+    return reports.flag_counts(v.spark.sql(_QFLAGS))
+
+
+@query(f"""WITH f AS ({_QFLAGS}), t AS (SELECT *, row_number() OVER (PARTITION BY flag_type ORDER BY flag) AS turn, min(flag) OVER (PARTITION BY flag_type) AS first FROM f)
+SELECT flag, flag_type FROM t ORDER BY turn, first LIMIT 23""")
+def sampled_flags(v: Views) -> DataFrame:
+    """Twenty-three flags, the types in turn: a sampling operator."""
+    v("orders").createOrReplaceTempView("orders")
+    return reports.sample_across_types(v.spark.sql(_QFLAGS), 23, "flag").select("flag", "flag_type")
+
+
+@query(f"""WITH {_SCC}, {_COMP.replace("edge_frag", "edge_cyc")}, z AS (SELECT node, count(*) OVER (PARTITION BY component) AS n FROM comp),
+n AS (SELECT a.id AS site, arg_min(b.id, ({_D}, b.id)) AS node, min({_D}) AS dist FROM spt a CROSS JOIN pt b GROUP BY a.id),
+k AS (SELECT n.*, coalesce(z.n, 1) AS comp_size, (SELECT count(*) FROM edge_cyc WHERE v = n.node) AS in_deg, (SELECT count(*) FROM edge_cyc WHERE u = n.node) AS out_deg, EXISTS (SELECT 1 FROM scc WHERE scc.node = n.node) AS cyc FROM n LEFT JOIN z ON z.node = n.node)
+SELECT site, node, round_even(dist, 1) AS snap_ft, in_deg, out_deg, comp_size, coalesce(nullif(concat_ws(';', CASE WHEN cyc THEN 'IN_NONTRIVIAL_SCC' END, CASE WHEN comp_size < 60 THEN concat('SMALL_COMPONENT(', CAST(comp_size AS VARCHAR(20)), ')') END,
+CASE WHEN dist > 10 THEN concat('FAR_SNAP(', CAST(CAST(round_even(dist, 0) AS BIGINT) AS VARCHAR(20)), 'ft)') END, CASE WHEN in_deg = 0 THEN 'NO_UPSTREAM' END), ''), 'OK') AS flags FROM k""")
+def sample_site_checks(v: Views) -> DataFrame:
+    return reports.check_sites(v("spt").withColumnRenamed("id", "site"), v("pt").withColumnRenamed("id", "node_id"), v("edge_cyc"), 10.0, 60)
 
 
 # force mains
@@ -714,12 +942,49 @@ def review_queue(v: Views) -> DataFrame:
     return pressure.review_queue(_classified(v))
 
 
-@query(f"""WITH d AS (SELECT a.id AS a_id, b.id AS b_id, {_D} AS dist FROM spt a JOIN pt b ON {_D} <= a.tol)
-SELECT a_id, arg_min(b_id, (dist, b_id)) AS b_id FROM d GROUP BY a_id""")
+@query(f"""WITH d AS (SELECT a.id AS fac, a.tol, b.id AS node, {_D} AS dist FROM spt a CROSS JOIN pt b), m AS (SELECT fac, tol, arg_min(node, (dist, node)) AS node, min(dist) AS dist FROM d GROUP BY fac, tol)
+SELECT fac, CASE WHEN tol > 25 THEN 'plant' ELSE 'station' END AS role, CASE WHEN dist <= tol THEN node END AS node, {r('dist')} AS dist, CASE WHEN dist <= tol THEN 'matched' ELSE 'no_force_main' END AS status FROM (SELECT fac, CASE WHEN tol > 100 THEN 60e0 ELSE 25e0 END AS tol, node, dist FROM m) x""")
 def facility_match(v: Views) -> DataFrame:
-    """Nearest terminus of each facility, with a tolerance by its role."""
-    near = spatial.within(v("spt"), v("pt"), 200.0).join(v("spt").selectExpr("id AS a_id", "tol"), "a_id").where("dist <= tol")
-    return near.groupBy("a_id").agg(F.min(F.struct("dist", "b_id")).alias("m")).select("a_id", F.col("m.b_id").alias("b_id"))
+    """Nearest terminus of each facility within a tolerance by its role, and how far it is in any case."""
+    fac = v("spt").select(F.col("id").alias("fac"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"), F.when(F.col("tol") > 100, "plant").otherwise("station").alias("role"), "x", "y")
+    return rounded(facilities.match(fac, v("pt").withColumnRenamed("id", "node"), 60.0, 25.0).drop("name"), "dist")
+
+
+_ENDS = f"""tm AS (SELECT id AS node, id % 9 AS comp, x, y, CASE WHEN id % 4 = 0 THEN 'discharge' WHEN id % 4 = 1 THEN 'wetwell' ELSE 'no_gravity_contact' END AS classification, CASE WHEN id % 4 < 2 THEN 'connected' ELSE 'none' END AS contact FROM pt),
+md AS (SELECT a.id AS fac, CASE WHEN a.tol > 100 THEN 'plant' ELSE 'station' END AS role, arg_min(b.id, ({_D}, b.id)) AS node, min({_D}) AS dist, CASE WHEN a.tol > 100 THEN 60e0 ELSE 25e0 END AS tol FROM spt a CROSS JOIN pt b GROUP BY a.id, a.tol),
+la AS (SELECT node, arg_max(fac, fac) AS fac, arg_max(role, fac) AS role FROM md WHERE dist <= tol GROUP BY node),
+sp AS (SELECT tm.*, coalesce(role, '') AS facility_role, coalesce(role = 'station' AND starts_with(classification, 'discharge'), false) AS facility_conflict FROM tm LEFT JOIN la ON la.node = tm.node),
+st AS (SELECT node, facility_role, facility_conflict, CASE WHEN facility_role <> '' AND NOT facility_conflict THEN 'facility' ELSE contact END AS contact,
+  CASE WHEN facility_role <> '' AND NOT facility_conflict THEN CASE WHEN facility_role = 'plant' THEN 'terminal' ELSE 'wetwell' END ELSE classification END AS classification FROM sp)"""
+
+
+@query(f"WITH {_ENDS} SELECT node, facility_role, facility_conflict, contact, classification FROM st")
+def stamped_termini(v: Views) -> DataFrame:
+    """What facilities say about the ends of mains."""
+    return _stamped(v)[1].select("node", "facility_role", "facility_conflict", "contact", "classification")
+
+
+def _stamped(v: Views) -> tuple[DataFrame, DataFrame]:
+    fac = v("spt").select(F.col("id").alias("fac"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"), F.when(F.col("tol") > 100, "plant").otherwise("station").alias("role"), "x", "y")
+    kind = F.when(F.col("node") % 4 == 0, "discharge").when(F.col("node") % 4 == 1, "wetwell").otherwise("no_gravity_contact")
+    term = v("pt").select(F.col("id").alias("node"), (F.col("id") % 9).alias("comp"), "x", "y").withColumns({"classification": kind, "contact": F.when(F.col("node") % 4 < 2, "connected").otherwise("none")})
+    m = facilities.match(fac, term, 60.0, 25.0)
+    return m, facilities.stamp(term, m)
+
+
+@query(f"WITH {_ENDS} SELECT 'facility_no_force_main' AS flag_type, role, count(*) AS n FROM md WHERE dist > tol GROUP BY role UNION ALL SELECT 'facility_direction_conflict', 'station', count(*) FROM st WHERE facility_conflict HAVING count(*) > 0")
+def facility_flags(v: Views) -> DataFrame:
+    return facilities.flags(*_stamped(v)).groupBy("flag_type", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH n AS (SELECT a.id, arg_min(b.id, ({_D}, b.id)) AS node, min({_D}) AS d FROM spt a CROSS JOIN pt b GROUP BY a.id), l AS (SELECT node, max(id) AS id FROM n WHERE d <= 30 GROUP BY node)
+SELECT p.id AS node, CASE WHEN l.id IS NULL THEN 'discharge' WHEN l.id % 2 = 0 THEN 'wetwell' ELSE 'terminal' END AS classification, CASE WHEN l.id IS NULL THEN 'connected' ELSE 'facility' END AS contact FROM pt p LEFT JOIN l ON l.node = p.id""")
+def ruled_termini(v: Views) -> DataFrame:
+    """Reviewers' rulings on the nearest end each; the last of one end counts."""
+    term = v("pt").select(F.col("id").alias("node"), "x", "y", F.lit("discharge").alias("classification"), F.lit("connected").alias("contact"))
+    near = spatial.nearest(v("spt"), v("pt"), 30.0).select(F.col("a_id").alias("id"))
+    rule = v("spt").join(near, "id").select(F.col("id").alias("ord"), "x", "y", F.when(F.col("id") % 2 == 0, "wetwell").otherwise("terminal").alias("classification"))
+    return facilities.overrule(term, rule, 30.0).select("node", "classification", "contact")
 
 
 # polygons

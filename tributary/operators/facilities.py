@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tributary.operators.components import connected_components
 from tributary.operators.graph import SMALL_EDGES, strong_components
-from tributary.operators.spatial import nearest, within
+from tributary.operators.spatial import nearest, nearest_any, within
+from tributary.session import materialize
 
 PLANT, STATION = "plant", "station"
 
@@ -20,15 +21,19 @@ PLANT, STATION = "plant", "station"
 def match(facilities: DataFrame, termini: DataFrame, plant_tol: float = 1000.0, station_tol: float = 200.0) -> DataFrame:
     """(fac, name, role, node, dist, status): the nearest terminus of each plant and station within its role's tolerance.
 
-    status is matched, or no_force_main (node and dist NULL). Other roles are left
-    out; ties go to the smallest node.
+    status is matched, or no_force_main without a node; dist is then that of the
+    nearest terminus beyond the tolerance. Other roles are left out; ties go to the
+    smallest node.
     """
     live = facilities.where(F.col("role").isin(PLANT, STATION))
     tol = F.when(F.col("role") == PLANT, plant_tol).otherwise(station_tol)
     near = within(live, termini, max(plant_tol, station_tol), "fac", "node").withColumnsRenamed({"a_id": "fac", "b_id": "node"})
     near = near.join(live.select("fac", tol.alias("tol")), "fac").where("dist <= tol")
     best = near.groupBy("fac").agg(F.min(F.struct("dist", "node")).alias("m")).select("fac", F.col("m.node").alias("node"), F.col("m.dist").alias("dist"))
-    return live.select("fac", "name", "role").join(best, "fac", "left").withColumn("status", F.when(F.col("node").isNull(), "no_force_main").otherwise("matched"))
+    best = materialize(best, "matched")
+    far = nearest_any(live.join(best, "fac", "left_anti"), termini, max(plant_tol, station_tol), "fac", "node").select(F.col("a_id").alias("fac"), F.col("dist").alias("far"))
+    d = live.select("fac", "name", "role").join(best, "fac", "left").join(far, "fac", "left")
+    return d.select("fac", "name", "role", "node", F.coalesce("dist", "far").alias("dist"), F.when(F.col("node").isNull(), "no_force_main").otherwise("matched").alias("status"))
 
 
 def stamp(termini: DataFrame, matches: DataFrame) -> DataFrame:

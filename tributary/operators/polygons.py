@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from tributary.functions import shapes
 from tributary.operators.components import connected_components
@@ -36,6 +37,18 @@ def dissolve(df: DataFrame, by: str, cell: float = 1000.0, salts: int = 8) -> Da
     return d.groupBy(by).agg(gather)
 
 
+def explode_parts(units: DataFrame, key: str) -> DataFrame:
+    """units with one row for each part of their geometry: base_id (the old key as text), partid (key#0, key#1, ... over all rows of a key) and geom.
+
+    Parts are numbered in the order of the key's rows by their bounds, then as stored.
+    """
+    shapes.register(units.sparkSession)
+    d = units.where("geom IS NOT NULL").withColumn("_at", shapes.bounds("geom"))
+    d = d.select(F.col(key).cast("string").alias("base_id"), *[c for c in units.columns if c not in (key, "geom")], "_at", F.posexplode(shapes.parts("geom")).alias("_n", "geom"))
+    n = F.row_number().over(W.Window.partitionBy("base_id").orderBy("_at", "_n")) - 1
+    return d.withColumn("partid", F.concat_ws("#", "base_id", n.cast("string"))).drop("_at", "_n")
+
+
 def overlaps(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float, grow: float = 0.0) -> DataFrame:
     """(a_id, b_id, a_geom, b_geom) of shapes whose bounds meet when a's grow by ``grow``; the ids must differ in name."""
     shapes.register(a.sparkSession)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions import geo
 from tributary.operators import graph, quality, snap
 from tributary.operators.components import connected_components
-from tributary.operators.spatial import self_pairs
+from tributary.operators.spatial import nearest_any, self_pairs
 from tributary.session import materialize
 
 
@@ -21,6 +21,7 @@ class Settings:
 
     snap_tol: float = 1.0
     gap_radius: float = 10.0
+    manhole_snap: float = 5.0
     cycle_nodes: int = 10
     fragment_nodes: int = 50
 
@@ -42,14 +43,17 @@ def _gap_rows(pairs: DataFrame, at: DataFrame, pipes_of: DataFrame, key: str, ti
     return rows, ends.join(pipes_of, key).select("flag", "pidx").distinct()
 
 
-def run_qa(pipes: DataFrame, manholes: DataFrame, settings: Settings = Settings(), manual: DataFrame | None = None) -> dict[str, DataFrame]:
+def run_qa(
+    pipes: DataFrame, manholes: DataFrame, settings: Settings = Settings(), manual: DataFrame | None = None, split_log: DataFrame | None = None, edit_log: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """flags, members and pipes.
 
     pipes: (pidx, fid, frommh, tomh, slope, up_inv, dn_inv, sx, sy, ex, ey), with
     coords where lines bend; manholes: (fid, x, y). flags: (flag, flag_type,
-    severity, x, y, dist), dist the gap or the reach of an isolated manhole;
-    members: (flag, flag_type, pidx); pipes: qa_flags and qa_status. A pipe without
-    one of its manholes is direction_inferrable, flagged or not.
+    severity, x, y, dist, description), dist the gap or how far an isolated manhole
+    is from the nearest node; members: (flag, flag_type, pidx); pipes: qa_flags and
+    qa_status. A pipe without one of its manholes is direction_inferrable, flagged or
+    not. The logs of plans.network add a flag for each cut and each edit.
     """
     s = settings
     ep = materialize(snap.endpoints(pipes), "endpoints")
@@ -101,10 +105,19 @@ def run_qa(pipes: DataFrame, manholes: DataFrame, settings: Settings = Settings(
     fragments = edges.select(F.col("u").alias("node"), "pidx").join(comp, "node").join(small, "component", "left_semi")
     fragments = fragments.select(F.format_string("component_%d", "component").alias("flag"), F.lit("disconnected_component").alias("flag_type"), "pidx")
 
-    lone = quality.isolated(manholes, pipes, "fid").select(F.concat(F.lit("isolated_"), "fid").alias("flag"), F.lit("isolated_manhole").alias("flag_type"), F.lit("warning").alias("severity"), "x", "y", none.alias("dist"))
+    alone = materialize(quality.isolated(manholes, pipes, "fid").where("x IS NOT NULL AND y IS NOT NULL").select(F.struct("fid", "x", "y").alias("k"), "fid", "x", "y"), "isolated")
+    reach = nearest_any(alone, layer, s.manhole_snap, "k", "node_id").select(F.col("a_id").alias("k"), "dist")
+    lone = alone.join(reach, "k", "left").select(F.concat(F.lit("isolated_"), "fid").alias("flag"), F.lit("isolated_manhole").alias("flag_type"), F.lit("warning").alias("severity"), "x", "y", "dist")
+    logged, log_members = [], []
+    for log, kind, key in ((split_log, "midspan_junction", "pidx"), (edit_log, "manual_edit", "pidx")):
+        if log is not None:
+            named = log.withColumn("flag", F.format_string(f"{kind}_%d", "ord")).withColumn("flag_type", F.lit(kind))
+            logged.append(named.select("flag", "flag_type", F.lit("warning").alias("severity"), "x", "y", none.alias("dist")))
+            log_members.append(named.select("flag", "flag_type", key))
     gaps = [rows.select("flag", "flag_type", "severity", "x", "y", "dist") for rows, _ in (repaired, open_)]
-    flags = reduce(DataFrame.union, [located(single, "warning"), *gaps, located(cycles, "review_required"), located(fragments, "warning"), lone])
-    members = reduce(DataFrame.union, [single, *[m.select("flag", F.lit("snap_gap").alias("flag_type"), "pidx") for _, m in (repaired, open_)], cycles, fragments])
+    flags = reduce(DataFrame.union, [*logged, located(single, "warning"), *gaps, located(cycles, "review_required"), located(fragments, "warning"), lone])
+    flags = flags.withColumn("description", describe(s))
+    members = reduce(DataFrame.union, [*log_members, single, *[m.select("flag", F.lit("snap_gap").alias("flag_type"), "pidx") for _, m in (repaired, open_)], cycles, fragments])
     members = materialize(members, "members")
     state = pipes.join(quality.rollup(members.drop("flag")), "pidx", "left")
     inferrable = F.col("frommh").isNull() | F.col("tomh").isNull()
@@ -113,7 +126,30 @@ def run_qa(pipes: DataFrame, manholes: DataFrame, settings: Settings = Settings(
 
 
 def suspects(members: DataFrame, pipes: DataFrame) -> DataFrame:
-    """(flag, pidx, fid, reasons) of the pipes of large cycles; reasons uphill_invert (any sign of the inverts) and negative_slope, suspects first by a non-empty list."""
+    """(flag, pidx, fid, reasons, ord) of the pipes of large cycles; reasons uphill_invert (any sign of the inverts) and negative_slope. ord numbers them by flag, those with a reason first, then by pipe."""
     up = F.when(F.coalesce(F.col("up_inv") < F.col("dn_inv"), F.lit(False)), "uphill_invert")
     neg = F.when(F.coalesce(F.col("slope") < 0, F.lit(False)), "negative_slope")
-    return members.where("flag_type = 'large_cycle'").join(pipes, "pidx").select("flag", "pidx", "fid", F.array_compact(F.array(up, neg)).alias("reasons"))
+    d = members.where("flag_type = 'large_cycle'").join(pipes, "pidx").select("flag", "pidx", "fid", F.array_compact(F.array(up, neg)).alias("reasons"))
+    d = materialize(d.withColumn("k", F.struct("flag", (F.size("reasons") == 0).alias("clean"), "pidx")), "suspects")
+    return d.join(snap.dense_ids(d.select("k"), "k"), "k").drop("k").withColumnRenamed("node_id", "ord")
+
+
+def describe(s: Settings) -> Column:
+    """What a flag says, in words, from its type, severity and distance."""
+    far = F.format_string("%.1f", "dist")
+    words = {
+        "midspan_junction": F.lit("a line or manhole ties in between this pipe's ends; it was cut there for the trace, and should be in the source"),
+        "manual_edit": F.lit("a reviewer's edit was applied for the trace; make it in the source too"),
+        "missing_direction": F.lit("an end's manhole isn't named; the drawn direction counts"),
+        "invert_conflict": F.lit("the upstream invert lies below the downstream one"),
+        "attribute_slope_error": F.lit("the slope is negative though the inverts aren't"),
+        "snap_gap": F.concat(F.lit("pipe ends "), F.format_string("%.2f", "dist"), F.when(F.col("severity") == "warning", f" ft apart, joined for the trace as they lie within {s.gap_radius:g} ft").otherwise(" ft apart and not joined")),
+        "directed_cycle": F.lit("pipes drawn so that flow returns to where it came from"),
+        "large_cycle": F.lit("a cycle too large to show as one; see its suspects"),
+        "disconnected_component": F.lit(f"a part of at most {s.fragment_nodes} nodes without connection to the rest"),
+        "isolated_manhole": F.when(F.col("dist") <= s.manhole_snap, F.concat(F.lit("no pipe names it, but one ends "), far, F.lit(" ft away: the ids may differ"))).otherwise(F.concat(F.lit("no pipe names it, and the nearest pipe end is "), far, F.lit(" ft away"))),
+    }
+    out = F.lit("")
+    for kind, text in words.items():
+        out = F.when(F.col("flag_type") == kind, text).otherwise(out)
+    return out

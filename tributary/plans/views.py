@@ -30,6 +30,13 @@ VIEWS: dict[str, str] = {
       lead(x) OVER (PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal/1000) ORDER BY id) AS ex,
       lead(y) OVER (PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal/1000) ORDER BY id) AS ey
       FROM pt JOIN customer ON c_custkey = id) chained WHERE ex IS NOT NULL""",
+    "qpipe": """SELECT pidx, fid, CASE WHEN pidx % 11 = 0 THEN NULL ELSE concat('H', CAST(pidx AS VARCHAR(20))) END AS frommh, CASE WHEN pidx % 13 = 0 THEN NULL ELSE concat('H', CAST(pidx+1 AS VARCHAR(20))) END AS tomh,
+      (pidx%7)*1e0-1 AS slope, (pidx*37)%50*1e0-5 AS up_inv, (pidx*53)%50*1e0-5 AS dn_inv, sx, sy, ex, ey FROM pipe""",
+    "hole": """SELECT CAST(s_suppkey AS BIGINT) AS ord, concat('H', CAST(s_suppkey*7 AS VARCHAR(20))) AS fid, (s_acctbal+1000)/5.5e0 AS x, ((s_suppkey*7919)%2003)*1e0 AS y FROM supplier""",
+    # reviewers' edits of pipes, some named, some only by a place
+    "wanted": """SELECT CAST(s_suppkey AS BIGINT) AS ord, CASE s_suppkey % 3 WHEN 0 THEN 'flip' WHEN 1 THEN 'extend' ELSE 'delete' END AS decision,
+      CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE concat('P', CAST((s_suppkey*13) % 150 AS VARCHAR(20))) END AS pipe_id, (c_acctbal+1000)/5.5e0+3 AS x, ((c_custkey*7919)%2003)*1e0+4 AS y,
+      CASE WHEN s_suppkey % 3 <> 1 THEN NULL WHEN s_suppkey % 2 = 0 THEN concat(CAST(s_suppkey*3 AS VARCHAR(20)), ', ', CAST(s_suppkey*5 AS VARCHAR(20))) ELSE concat('H', CAST(s_suppkey*7 AS VARCHAR(20))) END AS target FROM supplier JOIN customer ON c_custkey = s_suppkey*10""",
     "unit": """SELECT c_custkey AS uid, c_mktsegment AS seg, greatest(c_acctbal,0) AS cnt, (c_custkey%40)*50e0 AS x0,
       (CAST(floor(c_custkey/40e0) AS BIGINT)%40)*50e0 AS y0, (c_custkey%40)*50e0+50 AS x1, (CAST(floor(c_custkey/40e0) AS BIGINT)%40)*50e0+50 AS y1 FROM customer""",
     "block": """SELECT DISTINCT CAST(floor(x0/100e0) AS BIGINT)*1000 + CAST(floor(y0/100e0) AS BIGINT) AS block, floor(x0/100e0)*100e0 AS x0,
