@@ -28,6 +28,8 @@ _P1, _P2, _P0 = (math.radians(x) for x in (LAT1, LAT2, LAT0))
 _N = (math.log(_m(_P1)) - math.log(_m(_P2))) / (math.log(_t(_P1)) - math.log(_t(_P2)))
 _F = _m(_P1) / (_N * _t(_P1) ** _N)
 _RHO0 = A * _F * _t(_P0) ** _N
+#: The projection's constants as the shape kernels take them.
+CONIC = (A * _F, _N, _RHO0, _E, LON0, FALSE_EASTING_M, FOOT_M)
 
 
 def lcc_sql(lat: str, lon: str) -> tuple[str, str]:

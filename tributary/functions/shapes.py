@@ -15,6 +15,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tributary.functions import geo
 from tributary.session import scratch_path
 
 _UDFS = {
@@ -26,6 +27,9 @@ _UDFS = {
     "tributary_fold": ("Fold", T.ArrayType(T.BinaryType())),
     "tributary_bounds": ("Bounds", T.ArrayType(T.DoubleType())),
     "tributary_parse": ("Parse", T.BinaryType()),
+    "tributary_kind": ("Kind", T.StringType()),
+    "tributary_vertices": ("Vertices", T.ArrayType(T.DoubleType())),
+    "tributary_move": ("Move", T.BinaryType()),
     "tributary_parts": ("Parts", T.ArrayType(T.BinaryType())),
 }
 
@@ -60,7 +64,7 @@ def _c(x: str | Column) -> Column:
 
 
 def one(op: str, g: str | Column, x: float = 0.0) -> Column:
-    """buffer, ring (the band of width x around), close, solid (no holes), concave (ratio x), triangles (edges up to x), join_parts (gaps up to x), inner_point, fix."""
+    """buffer, ring (the band of width x around), close, solid (no holes), concave (ratio x), triangles (edges up to x), join_parts (gaps up to x), inner_point, centre, fix."""
     return F.call_udf("tributary_one", F.lit(op), _c(g), F.lit(float(x)))
 
 
@@ -70,7 +74,7 @@ def two(op: str, a: str | Column, b: str | Column, x: float = 0.0) -> Column:
 
 
 def measure(op: str, a: str | Column, b: str | Column | None = None) -> Column:
-    """area, length, parts; of two: distance, intersects (1 or 0), shared (area), seam (length of common boundary)."""
+    """area, length, parts, x and y of the centre; of two: distance, intersects (1 or 0), shared (area), seam (length of common boundary)."""
     return F.call_udf("tributary_measure", F.lit(op), _c(a), F.lit(None).cast("binary") if b is None else _c(b))
 
 
@@ -94,6 +98,23 @@ def parts(g: str | Column) -> Column:
     return F.call_udf("tributary_parts", _c(g))
 
 
+def project(g: str | Column, forwards: bool = True) -> Column:
+    """Geometry in degrees (longitude, latitude) in the working projection, or back."""
+    return F.call_udf("tributary_move", _c(g), F.array(*[F.lit(float(x)) for x in geo.CONIC]), F.lit(forwards))
+
+
+def coords(g: str | Column) -> Column:
+    """The vertices of a line as array of struct<x,y>; of several lines those of the first; NULL for anything else."""
+    flat = F.call_udf("tributary_vertices", _c(g))
+    pair = lambda i: F.struct(F.get(flat, 2 * i).alias("x"), F.get(flat, 2 * i + 1).alias("y"))
+    return F.when(flat.isNotNull(), F.transform(F.sequence(F.lit(0), (F.size(flat) / 2 - 1).cast("int")), pair))
+
+
+def kind(g: str | Column) -> Column:
+    """Point, LineString, Polygon and so on."""
+    return F.call_udf("tributary_kind", _c(g))
+
+
 def parse(text: str | Column) -> Column:
     return F.call_udf("tributary_parse", _c(text))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import sqlite3
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tributary.functions import shapes
 
 _ENVELOPE = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
 _KINDS = {"INTEGER": "long", "INT": "long", "MEDIUMINT": "long", "SMALLINT": "long", "TINYINT": "long", "BOOLEAN": "long", "REAL": "double", "DOUBLE": "double", "FLOAT": "double", "BLOB": "binary"}
@@ -100,3 +104,31 @@ def write_layer(rows: DataFrame, path: str, layer: str, srs_id: int = 2264) -> i
     db.commit()
     db.close()
     return n
+
+
+def clear_layers(path: str, prefix: str) -> list[str]:
+    """Drop the layers of a local file whose name begins with prefix, so that results of an earlier run don't stay; returns their names. No file is fine."""
+    if not os.path.exists(path):
+        return []
+    db = sqlite3.connect(path)
+    gone = [r[0] for r in db.execute("SELECT table_name FROM gpkg_contents ORDER BY table_name") if r[0].startswith(prefix)]
+    for name in gone:
+        db.execute(f'DROP TABLE IF EXISTS "{name}"')
+        db.execute("DELETE FROM gpkg_contents WHERE table_name = ?", (name,))
+        db.execute("DELETE FROM gpkg_geometry_columns WHERE table_name = ?", (name,))
+    db.commit()
+    db.close()
+    return gone
+
+
+def write_flags(flags: DataFrame, path: str, srs_id: int = 2264) -> list[str]:
+    """Write normalised flags (operators.reports.normalise) as a layer for each source and type, split by kind of geometry where a type has several; returns the layers."""
+    d = flags.withColumn("_kind", F.lower(shapes.kind("geom")))
+    several = d.groupBy("layer").agg(F.collect_set("_kind").alias("kinds")).orderBy("layer").collect()  # a row for each layer
+    out = []
+    for r in several:
+        for k in sorted(r.kinds):
+            name = f"{r.layer}_{k}" if len(r.kinds) > 1 else r.layer
+            write_layer(d.where((F.col("layer") == r.layer) & (F.col("_kind") == k)).drop("layer", "_kind"), path, name, srs_id)
+            out.append(name)
+    return out
