@@ -1,54 +1,100 @@
 from collections import Counter
 
-from tributary.plans import network_qa as qa
+import pytest
+
+from tributary.plans import network, network_qa as qa
 
 PIPE = "pidx long, fid string, frommh string, tomh string, slope double, up_inv double, dn_inv double, sx double, sy double, ex double, ey double"
-# one planted defect for each check
-ROWS = [
-    ("P01", "MH1", "MH2", 1.0, 10.0, 9.0, 0, 0, 100, 0), ("P02", "MH2", "MH3", 1.0, 9.0, 8.0, 100, 0, 200, 0), ("P03", "MH3", "MH4", 1.0, 8.0, 7.0, 200, 0, 300, 0),
-    ("P04", "MH4", "MH3", 1.0, 7.0, 8.0, 300, 0, 200, 0), ("P05", "MH5", "MH6", 1.0, 10.0, 9.0, 0, 200, 100, 200), ("P06", "MH6", "MH7", 1.0, 9.0, 8.0, 105, 200, 200, 200),
-    ("P07", "MH8", "MH9", 1.0, 10.0, 9.0, 400, -100, 500, 0), ("P08", "MH9", "MH10", 1.0, 9.0, 8.0, 500, 0, 600, 0), ("P09", "MH11", "MH9", 1.0, 10.0, 9.5, 500, 100, 500, 3),
-    ("P10", "MH12", "MH13", 1.0, 5.0, 6.0, 0, 300, 100, 300), ("P11", None, None, 1.0, 10.0, 9.0, 0, 400, 100, 400), ("P12", "MH14", "MH15", -0.5, 10.0, 9.0, 0, 500, 100, 500),
-]
-HOLES = [("MH1", 0.0, 0.0), ("MH2", 100.0, 0.0), ("MH3", 200.0, 0.0), ("MH_ISO", 9999.0, 9999.0)]
 
 
-def frames(spark, rows):
-    pipes = spark.createDataFrame([(i, *r[:6], *map(float, r[6:])) for i, r in enumerate(rows)], PIPE)
-    return pipes, spark.createDataFrame(HOLES, "fid string, x double, y double")
+class Net:
+    """Lines laid one by one; each names its manholes after its own id unless told otherwise."""
 
+    def __init__(self):
+        self.rows = []
 
-def test_planted_defects_are_found_and_nothing_else(spark):
-    pipes, holes = frames(spark, ROWS)
-    out = qa.run_qa(pipes, holes)
-    flags = out["flags"].collect()
-    fid = {i: r[0] for i, r in enumerate(ROWS)}
+    def lay(self, fid, start, end, up=20.0, down=19.0, slope=0.4, named=True):
+        self.rows.append((len(self.rows), fid, f"{fid}.a" if named else None, f"{fid}.b", slope, up, down, *map(float, (*start, *end))))
+        return self
+
+    def pipes(self, spark):
+        return spark.createDataFrame(self.rows, PIPE)
+
+    def fid(self, pidx):
+        return self.rows[pidx][1]
+
+
+def holes(spark, *rows):
+    return spark.createDataFrame([(f, float(x), float(y)) for f, x, y in rows], "fid string, x double, y double")
+
+
+def members(out, net):
     of = {}
     for m in out["members"].collect():
-        of.setdefault((m.flag_type, m.flag), set()).add(fid[m.pidx])
-    by = lambda kind: sorted(tuple(sorted(v)) for (t, _), v in of.items() if t == kind)
+        of.setdefault((m.flag_type, m.flag), set()).add(net.fid(m.pidx))
+    return lambda kind: sorted(tuple(sorted(v)) for (t, _), v in of.items() if t == kind)
+
+
+def test_each_check_finds_what_was_built_wrong(spark):
+    net = Net()
+    # a loop of three with a way in
+    net.lay("in", (-70, 40), (0, 0)).lay("l1", (0, 0), (60, 10)).lay("l2", (60, 10), (30, 70)).lay("l3", (30, 70), (0, 0))
+    # ends four feet apart, which the snap joins
+    net.lay("g1", (1000, 0), (1000, 80)).lay("g2", (1000, 84), (1000, 160))
+    # an end seven feet from where two lines pass into each other, which it doesn't join
+    net.lay("j1", (2000, 0), (2000, 50)).lay("j2", (2000, 50), (2000, 120)).lay("stray", (2090, 50), (2007, 50))
+    # inverts that rise, a fall against the slope's sign, and a rise that also has a negative slope
+    net.lay("rise", (3000, 0), (3050, 0), up=7.5, down=8.25).lay("sign", (3050, 0), (3100, 0), slope=-0.2).lay("both", (3100, 0), (3150, 0), up=3.0, down=3.5, slope=-1.0)
+    # inverts of zero say nothing
+    net.lay("zero", (3150, 0), (3200, 0), up=0.0, down=4.0).lay("nameless", (3200, 0), (3250, 0), named=False)
+    h = holes(spark, ("in.a", -70, 40), ("lost", 3203, 4), ("gone", 3250, 30))
+    out = qa.run_qa(net.pipes(spark), h)
+    flags = out["flags"].collect()
+    by = members(out, net)
     assert Counter(f.flag_type for f in flags) == {
-        "directed_cycle": 1, "snap_gap": 2, "invert_conflict": 2, "missing_direction": 1, "attribute_slope_error": 1, "isolated_manhole": 1, "disconnected_component": 7,
+        "directed_cycle": 1, "snap_gap": 2, "invert_conflict": 2, "attribute_slope_error": 1, "missing_direction": 1, "isolated_manhole": 2, "disconnected_component": 5,
     }
-    assert by("directed_cycle") == [("P02", "P03", "P04")]
-    assert {(f.severity, f.x, f.y) for f in flags if f.flag_type == "snap_gap"} == {("warning", 102.5, 200.0), ("review_required", 500.0, 1.5)}
-    assert by("snap_gap") == [("P05", "P06"), ("P07", "P08", "P09")]
-    assert by("invert_conflict") == [("P04",), ("P10",)] and by("missing_direction") == [("P11",)] and by("attribute_slope_error") == [("P12",)]
-    assert [f.flag for f in flags if f.flag_type == "isolated_manhole"] == ["isolated_MH_ISO"]
+    # lines that touch the loop's nodes ride along
+    assert by("directed_cycle") == [("in", "l1", "l2", "l3")]
+    gaps = {f.severity: (f.x, f.y, f.dist) for f in flags if f.flag_type == "snap_gap"}
+    assert gaps == {"warning": (1000.0, (80 + 84) / 2, 4.0), "review_required": ((2000 + 2007) / 2, 50.0, 7.0)}
+    assert by("snap_gap") == [("g1", "g2"), ("j1", "j2", "stray")]
+    assert by("invert_conflict") == [("both",), ("rise",)] and by("attribute_slope_error") == [("sign",)] and by("missing_direction") == [("nameless",)]
+    reach = {f.flag: (f.dist, f.description) for f in flags if f.flag_type == "isolated_manhole"}
+    assert reach["isolated_lost"][0] == 5.0 and "ids may differ" in reach["isolated_lost"][1]
+    assert reach["isolated_gone"][0] == 30.0 and "30.0 ft" in reach["isolated_gone"][1]
+    assert all(f.description for f in flags)
     state = {r.fid: (r.qa_status, r.qa_flags) for r in out["pipes"].collect()}
-    assert state["P11"][0] == "direction_inferrable" and state["P04"][0] == "flagged" and "invert_conflict" in state["P04"][1]
+    assert state["nameless"][0] == "direction_inferrable" and state["rise"][0] == "flagged" and state["both"][1] == "disconnected_component, invert_conflict"
+
+
+def test_suspects_of_a_large_loop_come_first(spark):
+    net = Net()
+    corners = [(0, 0), (40, -30), (90, -20), (130, 20), (120, 80), (70, 110), (10, 70)]
+    for i, (a, b) in enumerate(zip(corners, corners[1:] + corners[:1])):
+        net.lay(f"r{i}", a, b, up=-3.0 if i == 2 else 5.0, down=-1.0 if i == 2 else 4.0, slope=-0.1 if i == 5 else 0.3)
+    out = qa.run_qa(net.pipes(spark), holes(spark), qa.Settings(cycle_nodes=6))
+    assert sorted(f.flag_type for f in out["flags"].collect()) == ["attribute_slope_error", "large_cycle"]
+    rows = qa.suspects(out["members"], net.pipes(spark)).orderBy("ord").collect()
+    # an invert below zero counts here
+    assert [(r.fid, r.reasons) for r in rows[:2]] == [("r2", ["uphill_invert"]), ("r5", ["negative_slope"])] and len(rows) == 7
 
 
-def test_large_cycle_lists_suspects(spark):
-    ring = [(f"R{i}", "a", "b", -1.0 if i == 3 else 1.0, -1.0, 0.0 if i == 5 else -2.0, x, y, X, Y) for i, (x, y, X, Y) in enumerate([(0, 0, 100, 0), (100, 0, 200, 0), (200, 0, 200, 100), (200, 100, 200, 200), (200, 200, 100, 200), (100, 200, 0, 200), (0, 200, 0, 100), (0, 100, 0, 0)])]
-    pipes, holes = frames(spark, ring)
-    out = qa.run_qa(pipes, holes, qa.Settings(cycle_nodes=5))
-    assert Counter(f.flag_type for f in out["flags"].where("flag_type LIKE '%cycle'").collect()) == {"large_cycle": 1}
-    assert {r.fid: r.reasons for r in qa.suspects(out["members"], pipes).collect() if r.reasons} == {"R3": ["negative_slope"], "R5": ["uphill_invert"]}
-    assert out["flags"].where("flag_type = 'disconnected_component'").count() == 0
+def test_logs_become_flags(spark):
+    net = Net().lay("main", (0, 0), (200, 0)).lay("lateral", (90, 75), (90, 1))
+    p = net.pipes(spark)
+    drawn = p.selectExpr("pidx", "fid", "array(named_struct('x', sx, 'y', sy), named_struct('x', ex, 'y', ey)) AS coords")
+    lines, cuts = network.split_midspan(drawn, holes(spark))
+    wanted = spark.createDataFrame([(0, "flip", "lateral", None, None, None)], "ord long, decision string, pipe_id string, x double, y double, target string")
+    lines, log = network.edit_pipes(lines, wanted, holes(spark))
+    drawn = network.line_ends(lines).join(p.drop("fid", "sx", "sy", "ex", "ey"), "pidx", "left")
+    out = qa.run_qa(drawn, holes(spark), split_log=cuts, edit_log=log)
+    got = {f.flag_type: (f.severity, f.x, f.y) for f in out["flags"].collect() if f.flag_type in ("midspan_junction", "manual_edit")}
+    assert got == {"midspan_junction": ("warning", 90.0, 0.0), "manual_edit": ("warning", 90.0, pytest.approx(37.5))}
+    assert {(m.flag_type, m.pidx) for m in out["members"].where("flag_type IN ('midspan_junction', 'manual_edit')").collect()} == {("midspan_junction", 0), ("manual_edit", 1)}
 
 
 def test_empty_network(spark):
-    pipes, holes = frames(spark, ROWS)
-    out = qa.run_qa(pipes.where("false"), holes)
-    assert {f.flag_type for f in out["flags"].collect()} == {"isolated_manhole"} and out["members"].count() == 0
+    net = Net().lay("only", (0, 0), (9, 0))
+    out = qa.run_qa(net.pipes(spark).where("false"), holes(spark, ("h", 1, 1)))
+    assert {(f.flag_type, f.dist) for f in out["flags"].collect()} == {("isolated_manhole", None)} and out["members"].count() == 0

@@ -84,34 +84,64 @@ def _trace_small(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"site {targets.schema['site'].dataType.simpleString()}, u long, v long, pidx long, depth int")
 
 
+def _trace_levels(edges: DataFrame, seen: DataFrame, level: int) -> DataFrame:
+    """Go on from what is seen (site, node, level), complete up to a level, one level a round."""
+    up = edges.select("u", F.col("v").alias("node"))
+    parts = [seen]
+    frontier = seen.where(F.col("level") == level)
+    while True:
+        level += 1
+        reached = frontier.join(up, "node").select("site", F.col("u").alias("node")).distinct()
+        known = reduce(DataFrame.union, parts).select("site", "node")
+        frontier = materialize(reached.join(known, ["site", "node"], "left_anti").withColumn("level", F.lit(level)), "front")
+        if frontier.limit(1).count() == 0:
+            return reduce(DataFrame.union, parts)
+        parts.append(frontier)
+        if len(parts) % 16 == 0:  # keeps the union short on deep networks
+            parts = [materialize(reduce(DataFrame.union, parts), "front")]
+
+
+def _reach(edges: DataFrame, targets: DataFrame, growth: int = 4) -> DataFrame:
+    """(site, node, level): every node from which a target can be reached, with the fewest steps.
+
+    What is known within n steps and all walks of exactly n steps give what is known
+    within 2n, so the rounds grow with the logarithm of the depth. Where nearly all
+    nodes have one way on, walks are no more than edges; once there are ``growth``
+    times as many, the search goes on level by level.
+    """
+    hop = materialize(edges.select("v", "u").distinct(), "hop")
+    seen = materialize(targets.select("site", "node").distinct().withColumn("level", F.lit(0)), "seen")
+    most, n, step = growth * max(hop.count(), 1), seen.count(), 1
+    while True:
+        more = seen.join(hop, F.col("node") == F.col("v")).select("site", F.col("u").alias("node"), (F.col("level") + step).alias("level"))
+        grown = materialize(seen.union(more).groupBy("site", "node").agg(F.min("level").alias("level")), "seen")
+        discard(seen)
+        seen, before = grown, n
+        n = seen.count()
+        if n == before:
+            return seen
+        step *= 2
+        ways = hop.groupBy("u").agg(F.count(F.lit(1)).alias("n")).join(hop.groupBy(F.col("v").alias("u")).agg(F.count(F.lit(1)).alias("m")), "u")
+        if (ways.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0) > most:
+            return _trace_levels(edges, seen, step - 1)
+        # a walk's ends are enough, whatever lies between
+        longer = materialize(hop.join(hop.select(F.col("v").alias("u"), F.col("u").alias("w")), "u").select("v", F.col("w").alias("u")).distinct(), "hop")
+        discard(hop)
+        hop = longer
+
+
 def trace_upstream(edges: DataFrame, targets: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     """(site, u, v, pidx, depth): every edge that drains to each target (site, node), for all sites at once.
 
-    A breadth-first search against the edges; a node is expanded once a site, so
-    cycles end. An edge's depth is one more than its head's level. At most
-    ``small_edges`` edges are broadcast, if each site has one target.
+    An edge's depth is one more than the fewest steps from its head to the target;
+    cycles end. At most ``small_edges`` edges are broadcast, if each site has one
+    target, and searched by a task for each of its sites.
     """
     edges = materialize(edges.select(*[F.col(c).cast("long") for c in ("u", "v", "pidx")]), "edges")
     one_each = targets.groupBy("site").agg(F.count_distinct("node").alias("n")).where("n > 1").limit(1).count() == 0
     if one_each and edges.limit(small_edges + 1).count() <= small_edges:
         return _trace_small(edges, targets)
-    frontier = materialize(targets.select("site", "node").distinct().withColumn("level", F.lit(0)), "front")
-    seen = [frontier]
-    up = edges.select("u", F.col("v").alias("node"))
-    level = 0
-    while True:
-        level += 1
-        reached = frontier.join(up, "node").select("site", F.col("u").alias("node")).distinct()
-        known = reduce(DataFrame.union, seen).select("site", "node")
-        frontier = materialize(reached.join(known, ["site", "node"], "left_anti").withColumn("level", F.lit(level)), "front")
-        if frontier.limit(1).count() == 0:
-            break
-        seen.append(frontier)
-        if len(seen) % 16 == 0:  # keeps the union short on deep networks
-            merged = materialize(reduce(DataFrame.union, seen), "front")
-            seen = [merged]
-    visited = reduce(DataFrame.union, seen)
-    heads = visited.select("site", F.col("node").alias("v"), (F.col("level") + 1).alias("depth"))
+    heads = _reach(edges, targets).select("site", F.col("node").alias("v"), (F.col("level") + 1).alias("depth"))
     return heads.join(edges, "v").select("site", "u", "v", "pidx", "depth")
 
 
@@ -130,18 +160,42 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _trim(edges: DataFrame) -> DataFrame:
-    """Drop edges at nodes that lack an entering or a leaving edge, until none is left."""
-    n = edges.count()
-    while True:
-        core = edges.select(F.col("u").alias("node")).intersect(edges.select("v"))
-        cut = edges.join(core.withColumnRenamed("node", "u"), "u", "left_semi").join(core.withColumnRenamed("node", "v"), "v", "left_semi")
-        cut = materialize(cut.select("u", "v"), "trim")
-        discard(edges)
-        left = cut.count()
-        edges = cut
-        if left == n or left == 0:
-            return edges
-        n = left
+    """Drop edges at nodes that lack an entering or a leaving edge, one layer of them."""
+    core = edges.select(F.col("u").alias("node")).intersect(edges.select("v"))
+    return edges.join(core.withColumnRenamed("node", "u"), "u", "left_semi").join(core.withColumnRenamed("node", "v"), "v", "left_semi").select("u", "v")
+
+
+def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, inner, rings): each way through nodes with one edge in and one out becomes one edge.
+
+    inner: (node, a, b), the ends of the way that a node taken out lies on; rings:
+    (node, ring) of closed ways, which are taken out whole, by their smallest node.
+    Pointers along the ways are doubled, so the rounds grow with the logarithm of
+    their length.
+    """
+    deg = degrees(edges)
+    mid = materialize(deg.where("in_degree = 1 AND out_degree = 1").select("node"), "mid")
+    if mid.limit(1).count() == 0:
+        none = edges.sparkSession.createDataFrame([], "node long, a long, b long")
+        return edges, none, none.select("node", F.col("a").alias("ring"))
+    inside = mid.withColumnRenamed("node", "p").withColumn("on", F.lit(True))
+    ways = {}
+    for name, here, there in (("a", "v", "u"), ("b", "u", "v")):
+        step = edges.select(F.col(here).alias("node"), F.col(there).alias("p")).join(mid, "node", "left_semi")
+        step = materialize(step.join(inside, "p", "left").select("node", "p", F.coalesce("on", F.lit(False)).alias("on"), F.least("node", "p").alias("low")), "way")
+        size, done = mid.count(), 1
+        while done < size and step.where("on").limit(1).count():
+            nxt = step.select(F.col("node").alias("p"), F.col("p").alias("q"), F.col("on").alias("q_on"), F.col("low").alias("q_low"))
+            d = step.join(nxt, "p", "left")
+            grown = materialize(d.select("node", F.when(F.col("on"), F.col("q")).otherwise(F.col("p")).alias("p"), (F.col("on") & F.coalesce("q_on", F.lit(False))).alias("on"), F.least("low", F.when(F.col("on"), F.col("q_low"))).alias("low")), "way")
+            discard(step)
+            step, done = grown, 2 * done
+        ways[name] = step
+    # a pointer that is still on a way after as many steps as there are nodes runs in a ring
+    rings = materialize(ways["a"].where("on").select("node", F.col("low").alias("ring")), "rings")
+    inner = materialize(ways["a"].where("NOT on").select("node", F.col("p").alias("a")).join(ways["b"].where("NOT on").select("node", F.col("p").alias("b")), "node"), "inner")
+    out = edges.join(mid.withColumnRenamed("node", "u"), "u", "left_anti").join(mid.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v")
+    return materialize(out.union(inner.select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct(), "core"), inner, rings
 
 
 def _scc_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,19 +243,47 @@ def _scc_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def strong_components(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     """(node, scc): members of strongly connected components of two nodes or more; scc is the smallest member.
 
-    Trimming removes all trees; what remains is coloured forwards by the largest
-    node that reaches each node, and each colour's root collects, backwards
-    within its colour, its component. The rest goes on. At most ``small_edges``
-    edges are solved in one task instead.
+    Trimming a layer and replacing unbranched ways by one edge, in turn, removes trees
+    in logarithmically many rounds and takes plain rings out; what remains is coloured
+    forwards by the largest node that reaches each node, and each colour's root
+    collects, backwards within its colour, its component. The rest goes on. At most
+    ``small_edges`` edges are solved in one task instead.
     """
     live = materialize(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), "live")
     if live.limit(small_edges + 1).count() <= small_edges:
         return live.coalesce(1).mapInArrow(_scc_one_task, "node long, scc long")
-    found = []
+    taken: list[DataFrame] = []  # nodes on ways, by the round that took them out
+    loops: list[DataFrame] = []
     while True:
-        live = _trim(live)
-        if live.limit(1).count() == 0:
+        n = live.count()
+        cut = materialize(_trim(live), "trim")
+        live, inner, rings = _compress(cut)
+        taken.append(inner)
+        loops.append(rings)
+        live = materialize(live.where("u <> v"), "live")
+        if live.count() == n or live.limit(1).count() == 0:
             break
+    found = _coloured(live)
+    member = reduce(DataFrame.union, [found, *loops]) if loops else found
+    member = materialize(member.toDF("node", "scc"), "scc")
+    # backwards: a node on a way belongs to its ends' component, if they have one, and ends that are one node with it
+    for inner in reversed(taken):
+        ends = inner.join(member.select(F.col("node").alias("a"), F.col("scc").alias("sa")), "a", "left").join(member.select(F.col("node").alias("b"), F.col("scc").alias("sb")), "b", "left")
+        own = ends.where("a = b OR (sa IS NOT NULL AND sa = sb)").select("node", "a", F.coalesce("sa", "a").alias("scc"))
+        alone = own.select(F.col("a").alias("node"), "scc").distinct().join(member.select("node"), "node", "left_anti")
+        member = materialize(member.union(own.select("node", "scc")).union(alone.select("node", "scc")), "scc")
+    least = member.groupBy("scc").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return member.join(least, "scc").select("node", F.col("least").alias("scc"))
+
+
+def _coloured(live: DataFrame) -> DataFrame:
+    """(node, scc) of strong components of two nodes or more; scc is one of their nodes."""
+    found = []
+    while live.limit(1).count():
+        n = live.count()
+        live = materialize(_trim(live), "trim")
+        if live.count() < n:
+            continue
         nodes = live.select(F.col("u").alias("node")).union(live.select("v")).distinct()
         colour = _spread(materialize(nodes.withColumn("label", F.col("node")), "colour"), live)
         a, b = (colour.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "uv")
@@ -220,10 +302,9 @@ def strong_components(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataF
         rest = live.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti")
         live = materialize(rest.select("u", "v"), "live")
     if not found:
-        return edges.sparkSession.createDataFrame([], "node long, scc long")
+        return live.sparkSession.createDataFrame([], "node long, scc long")
     every = reduce(DataFrame.union, found)
-    names = every.groupBy("root").agg(F.min("node").alias("scc"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return every.join(names, "root").select("node", "scc")
+    return every.join(every.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "root").select("node", F.col("root").alias("scc"))
 
 
 def cycle_flags(edges: DataFrame, large: int) -> DataFrame:
