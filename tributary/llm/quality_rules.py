@@ -42,6 +42,8 @@ METRICS: dict[str, tuple[float, ...]] = {
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Strata up to this many are broadcast; more of them are joined by key.
 BROADCAST_STRATA = 10_000
+#: Ids of good documents up to this many (some 70 bytes each as a hash table) are broadcast; more of them are joined by key.
+BROADCAST_IDS = 250_000
 
 
 def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -117,14 +119,18 @@ def binomial_cdf(k: str, n: str, p: float) -> Column:
     return F.expr(f"CASE WHEN {k} >= {n} * {p!r}e0 THEN 1e0 ELSE least(1e0, {top} * {tail}) END")
 
 
-def certified_cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+def good_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the documents that are labelled good, and nothing else."""
+    good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.count_if(F.col("quality").isNull()).alias("unknown"))
+    return good.where("q = 1 AND unknown = 0").select("doc_id")
+
+
+def certified_cutoffs(features: DataFrame, good: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """One row per stratum with good holdouts: stratum and cut_<metric> (null: none certified).
 
-    labels has doc_id and quality (1: good). Only good holdouts that pass the base
+    good has the doc_id of good documents (good_ids). Only those that pass the base
     rules count: they are what a cutoff can falsely reject.
     """
-    good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.count_if(F.col("quality").isNull()).alias("unknown"))
-    good = good.where("q = 1 AND unknown = 0").select("doc_id")
     f = features.where("NOT base_failed").select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), *METRICS)
     hits = [F.count_if(F.col(m) >= c).alias(f"k_{m}_{i}") for m, grid in METRICS.items() for i, c in enumerate(grid)]
     counts = materialize(f.join(good, "doc_id").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *hits), "holdouts")
@@ -153,19 +159,22 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float
     """One narrow row per document: doc_id, lang, the base counts, metrics, base_failed, kept."""
     f = base_features(docs.select("doc_id", "text", "lang"))
     f = materialize(f.select("doc_id", "lang", *COUNTS, *METRICS, "base_failed"), "quality")
-    cuts = materialize(certified_cutoffs(f, labels, alpha=alpha, delta=delta), "cutoffs")
+    cuts = materialize(certified_cutoffs(f, good_ids(labels), alpha=alpha, delta=delta), "cutoffs")
     return verdicts(f, cuts)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The rows of docs that are kept, with docs' columns.
 
-    Cutoffs come from one pass over the narrow counts; the verdict is taken in a
-    second pass beside the text, so that texts are never shuffled.
+    Cutoffs come from one pass over the documents that are labelled good; the
+    verdict is taken in a second pass beside the text. Texts are shuffled only for
+    the first pass, and only with more than BROADCAST_IDS good documents.
     """
     own = docs.columns
-    f = base_features(docs.select("doc_id", "text", "lang"))
-    f = materialize(f.select("doc_id", "lang", *METRICS, "base_failed"), "quality")
-    cuts = materialize(certified_cutoffs(f, labels, alpha=alpha, delta=delta), "cutoffs")
+    good = materialize(good_ids(labels), "good")
+    few = good.count() <= BROADCAST_IDS
+    held = docs.select("doc_id", "text", "lang").join(F.broadcast(good) if few else good, "doc_id", "left_semi")
+    f = materialize(base_features(held).select("doc_id", "lang", *METRICS, "base_failed"), "quality")
+    cuts = materialize(certified_cutoffs(f, good, alpha=alpha, delta=delta), "cutoffs")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("text"), F.col("lang"))
     return verdicts(base_features(packed), cuts).where("kept").select("row.*")
