@@ -15,7 +15,7 @@ from tributary.operators import demographics as demo
 from tributary.operators import facilities, graph, membership, polygons, pressure, quality, scoring, snap, spatial
 from tributary.operators.components import connected_components
 from tributary.operators import reports
-from tributary.plans import delineate, network, network_qa
+from tributary.plans import delineate, network, network_qa, validation
 from tributary.plans.views import Views, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -741,6 +741,29 @@ def loo_report(v: Views) -> DataFrame:
     return rounded(d.agg(F.count(F.lit(1)).alias("wins"), F.median("iou").alias("median_iou")), "median_iou")
 
 
+@query(f"""WITH {_LOO}, a AS (SELECT max(m) AS m FROM (SELECT median(iou) AS m FROM sweep GROUP BY method, sel_r) x), h AS (SELECT median(iou) AS m, count(*) AS n FROM w)
+SELECT {r('a.m')} AS in_sample, {r('h.m')} AS held_out, h.n AS folds, {r('a.m - h.m')} AS optimism FROM a, h""".replace("WITH h AS (SELECT DISTINCT", "WITH h0 AS (SELECT DISTINCT").replace("FROM h JOIN sweep", "FROM h0 JOIN sweep"))
+def loo_optimism(v: Views) -> DataFrame:
+    """How much better the best combination looks on the sites it is chosen by."""
+    d = validation.leave_one_out(v("sweep").select("site", "method", "sel_r", F.lit(None).cast("double").alias("param2"), "iou"))[2]
+    return rounded(d, "in_sample", "held_out", "optimism")
+
+
+_RADII = (10.0, 30.0, 60.0)
+
+
+@query("WITH " + f"""tr AS (SELECT pidx AS site, sx-60 AS x0, sx+60 AS x1, 100e0 AS y0, 1200e0 AS y1, sx FROM vline WHERE in_trace), ra(sel_r) AS (VALUES {", ".join(f"({x!r}e0)" for x in _RADII)}),
+se AS (SELECT DISTINCT site, sel_r, u.x0, u.y0, greatest(0e0, least(u.x1, t.x1) - greatest(u.x0, t.x0)) * greatest(0e0, least(u.y1, t.y1) - greatest(u.y0, t.y0)) AS inter FROM tr t CROSS JOIN ra JOIN unit u ON greatest(u.x0-t.sx, t.sx-u.x1, 0e0) <= sel_r),
+ag AS (SELECT site, sel_r, sum(inter) AS i, count(*)*2500e0 AS a FROM se GROUP BY site, sel_r)
+SELECT t.site, ra.sel_r, {r('coalesce(i/(a + 120e0*1100 - i), 0e0)')} AS iou FROM tr t CROSS JOIN ra LEFT JOIN ag ON ag.site = t.site AND ag.sel_r = ra.sel_r""")
+def sweep_scores(v: Views) -> DataFrame:
+    """Merged served units against drawn strips, for each radius."""
+    traced = _lines(v).join(v("vline").where("in_trace").select("pidx"), "pidx").withColumn("site", F.col("pidx"))
+    strip = v("vline").where("in_trace").selectExpr("pidx AS site", "sx - 60 AS x0", "sx + 60 AS x1", "100e0 AS y0", "1200e0 AS y1").select("site", shapes.box().alias("geom"))
+    d = validation.sweep(_shapes(v, "unit", "uid", "uid"), traced, strip, ("blocks_dissolve",), _RADII, {}, cell=200.0)
+    return rounded(d.select("site", "sel_r", "iou"), "iou")
+
+
 _REACHED = "c_nationkey % 5 AS site, c_custkey % 4 AS expected, CAST(floor(c_acctbal) AS BIGINT) % 4 AS basin"
 
 
@@ -863,6 +886,17 @@ def cycle_rank(v: Views) -> DataFrame:
     return pressure.cycle_rank(pressure.components(v("main")))
 
 
+@query(f"""WITH ep AS (SELECT 2*pidx AS ep, pidx, sx AS x, sy AS y FROM pipe UNION ALL SELECT 2*pidx+1, pidx, ex, ey FROM pipe),
+l AS (SELECT a.ep AS u, b.ep AS v FROM ep a JOIN ep b ON a.ep <> b.ep AND {_D} <= 12), q AS (SELECT ep AS node, ep AS o FROM ep UNION SELECT q.node, l.v FROM q JOIN l ON l.u = q.o),
+c AS (SELECT node AS ep, min(o) AS f FROM q GROUP BY node), m AS (SELECT ep.pidx, min(f) FILTER (ep.ep % 2 = 0) AS a, min(f) FILTER (ep.ep % 2 = 1) AS b FROM ep JOIN c ON c.ep = ep.ep GROUP BY ep.pidx),
+t AS (SELECT a AS u, b AS v FROM m UNION SELECT b, a FROM m), z AS (SELECT u AS node, u AS o FROM t UNION SELECT z.node, t.v FROM z JOIN t ON t.u = z.o), p AS (SELECT node, min(o) AS comp FROM z GROUP BY node),
+n AS (SELECT u AS node, count(DISTINCT v) FILTER (u <> v) AS n_nbr FROM t GROUP BY u)
+SELECT p.node, comp, n_nbr, {r('x')} AS x, {r('y')} AS y FROM p JOIN n ON n.node = p.node JOIN ep ON ep.ep = p.node""")
+def main_topology(v: Views) -> DataFrame:
+    """Clusters of main ends by place: their first end's place, neighbours and system."""
+    return rounded(pressure.topology(v("pipe"), 12.0)[1].select("node", "comp", "n_nbr", "x", "y"), "x", "y")
+
+
 _VCOLS = "comp, n_pipes, n_clusters, n_termini, n_discharge, n_wetwell, n_candidate, n_cycles, length_ft, verdict"
 
 
