@@ -110,6 +110,13 @@ def coords(g: str | Column) -> Column:
     return F.when(flat.isNotNull(), F.transform(F.sequence(F.lit(0), (F.size(flat) / 2 - 1).cast("int")), pair))
 
 
+def line(coords_: str | Column) -> Column:
+    """A line through an array of struct<x,y>; NULL for fewer than two points."""
+    c = _c(coords_)
+    text = F.concat(F.lit("LINESTRING("), F.array_join(F.transform(c, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ","), F.lit(")"))
+    return F.when(F.size(c) > 1, parse(text))
+
+
 def kind(g: str | Column) -> Column:
     """Point, LineString, Polygon and so on."""
     return F.call_udf("tributary_kind", _c(g))

@@ -124,8 +124,8 @@ def with_counts(blocks: DataFrame, decennial: DataFrame, acs: DataFrame) -> tupl
     """
     b = blocks.select(F.lpad(F.col("geoid").cast("string"), 15, "0").alias("geoid"), "geom")
     groups = block_groups(b, "geoid").withColumnRenamed("group_id", "geoid")
-    dec = decennial.withColumn("geoid", F.lpad(F.col("GEOID20").cast("string"), 15, "0")).drop("GEOID20", "NAME")
-    est = acs.withColumn("geoid", F.lpad(F.col("GEOID").cast("string"), 12, "0")).drop("GEOID", "NAME") if "GEOID" in acs.columns and "geoid" not in acs.columns else acs
+    keyed = lambda d, key, n: d.select(F.lpad(F.col(key).cast("string"), n, "0").alias("geoid"), *[c for c in d.columns if c not in (key, "NAME")])
+    dec, est = keyed(decennial, "GEOID20", 15), keyed(acs, "GEOID", 12)
     return b.join(dec, "geoid", "left"), groups.join(est, "geoid", "left")
 
 

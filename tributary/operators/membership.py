@@ -17,12 +17,12 @@ def nicked(share: float, floor_area: float) -> Column:
     return F.coalesce((F.col("cp_pos") == "border") & (F.col("cp_cover") < share) & (F.col("cp_covar") < floor_area), F.lit(False))
 
 
-def site_flags(sites: DataFrame) -> DataFrame:
-    """(site, flag_type) of sites (site, n_pipes, n_units, coverage, acres): early returns in the order given."""
+def site_flags(sites: DataFrame, most_acres: float = 500.0, least_coverage: float = 0.5) -> DataFrame:
+    """(site, flag_type) of sites (site, n_pipes, n_units, coverage, acres): early returns in the order given; an unknown coverage is no flag."""
     flag = (
         F.when(F.col("n_pipes") == 0, F.array(F.lit("no_upstream_found")))
         .when(F.col("n_units") == 0, F.array(F.lit("low_population_match")))
-        .otherwise(F.array_compact(F.array(F.when(F.col("acres") > 500, "large_catchment"), F.when(F.col("coverage") < 0.5, "low_population_match"))))
+        .otherwise(F.array_compact(F.array(F.when(F.col("acres") > most_acres, "large_catchment"), F.when(F.col("coverage") < least_coverage, "low_population_match"))))
     )
     return sites.select("site", F.explode(flag).alias("flag_type"))
 

@@ -39,6 +39,9 @@ class Settings:
     bridge_gap: float = 800.0
     split_overlaps: bool = False
     cell: float = 500.0
+    ribbon: float = 50.0
+    most_acres: float = 500.0
+    least_coverage: float = 0.5
 
 
 def locate_targets(targets: DataFrame, manholes: DataFrame, id_radius: float, radius: float) -> DataFrame:
@@ -144,10 +147,12 @@ def annotate(units: DataFrame, lines: DataFrame, served: DataFrame, trace: DataF
     )
 
 
-def delineate(pipes: DataFrame, targets: DataFrame, units: DataFrame, blocks: DataFrame | None = None, settings: Settings = Settings(), manual: DataFrame | None = None) -> dict[str, DataFrame]:
-    """sites, trace, units, boundaries and flags of targets (site, x, y).
+def delineate(pipes: DataFrame, targets: DataFrame, units: DataFrame, blocks: DataFrame | None = None, settings: Settings = Settings(), manual: DataFrame | None = None, network: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """sites, trace, units, boundaries and flags of targets (site, x, y), or of what locate_targets makes of them.
 
-    pipes: (pidx, fid, sx, sy, ex, ey, geom), drawn downstream; units: (uid, geom);
+    pipes: (pidx, fid, sx, sy, ex, ey, geom), drawn downstream, or with network (the
+    nodes and edges of plans.network, made of these pipes) just (pidx, fid, geom);
+    units: (uid, geom);
     blocks (block, geom) only for the methods that need them. sites has a row for
     each target, off the network or without upstream pipes as well; boundaries has
     the others: units that belong to other lines go, contested ones are cut, the
@@ -156,10 +161,11 @@ def delineate(pipes: DataFrame, targets: DataFrame, units: DataFrame, blocks: Da
     """
     s = settings
     shapes.register(pipes.sparkSession)
-    ep = snap.endpoints(pipes)
-    node_of = snap.snap_endpoints(ep, s.snap_tol, s.end_radius, manual)
-    nodes = snap.node_layer(ep, node_of)
-    edges = materialize(snap.build_edges(pipes, node_of), "edges")
+    if network is None:
+        ep = snap.endpoints(pipes)
+        node_of = snap.snap_endpoints(ep, s.snap_tol, s.end_radius, manual)
+        network = {"nodes": snap.node_layer(ep, node_of), "edges": materialize(snap.build_edges(pipes, node_of), "edges")}
+    nodes, edges = network["nodes"], network["edges"]
     sites = materialize(resolve_targets(nodes, edges, targets, s.target_radius), "targets")
     trace = materialize(graph.trace_upstream(edges, sites.where("status = 'ok'").select("site", "node")), "trace")
     lines = pipes.select("pidx", "geom")
@@ -180,9 +186,9 @@ def delineate(pipes: DataFrame, targets: DataFrame, units: DataFrame, blocks: Da
 def _flags(sites: DataFrame, trace: DataFrame, marked: DataFrame, traced: DataFrame, s: Settings) -> DataFrame:
     """Flags of sites on the network; coverage is the share of the pipes' buffer in served units."""
     whole = polygons.dissolve(marked.select("site", "geom"), "site")
-    strip = polygons.dissolve(traced.select("site", shapes.one("buffer", "geom", s.selection_radius).alias("geom")), "site").withColumnRenamed("geom", "strip")
+    strip = polygons.dissolve(traced.select("site", shapes.one("buffer", "geom", s.ribbon).alias("geom")), "site").withColumnRenamed("geom", "strip")
     d = sites.where("status = 'ok'").select("site")
     d = d.join(trace.groupBy("site").agg(F.count(F.lit(1)).alias("n_pipes")), "site", "left")
     d = d.join(marked.groupBy("site").agg(F.count(F.lit(1)).alias("n_units")), "site", "left").join(whole, "site", "left").join(strip, "site", "left")
     d = d.withColumns({"acres": shapes.measure("area", "geom") / ACRE, "coverage": F.coalesce(shapes.measure("shared", "geom", "strip"), F.lit(0.0)) / F.nullif(shapes.measure("area", "strip"), F.lit(0.0))})
-    return membership.site_flags(d.fillna(0, ["n_pipes", "n_units"]))
+    return membership.site_flags(d.fillna(0, ["n_pipes", "n_units"]), s.most_acres, s.least_coverage)

@@ -15,6 +15,8 @@ from tributary.sources import gpkg, shapefile
 from tributary.sources.decisions import decode
 
 WORKING, DEGREES = "working", "degrees"
+#: Codes that settings may name them by.
+CODES = {"EPSG:2264": WORKING, "EPSG:4269": DEGREES, "EPSG:4326": DEGREES}
 #: The columns that name a land unit, the first that a layer has; the first one is of a unit's part.
 UNIT_IDS = ("PARTID", "ALTPARNO", "GEOID20")
 
@@ -34,6 +36,7 @@ def read_layer(spark: SparkSession, path: str, layer: str | None = None, declare
     both. where is SQL on the columns, which a .gpkg file applies itself.
     """
     shapes.register(spark)
+    declared = CODES.get(str(declared).upper(), declared)
     if path.endswith(".shp"):
         prj = _text(spark, path.removesuffix(".shp") + ".prj")
         crs = declared if prj is None else DEGREES if prj.lstrip().upper().startswith("GEOGCS") else WORKING
