@@ -1050,6 +1050,49 @@ def shared_seams(v: Views) -> DataFrame:
     return polygons.seams(_shapes(v, "site", "sid", "site"), 0.0, 500.0)
 
 
+_SEAMS = """p{0} AS (SELECT a.sid AS a, b.sid AS b, least(a.x1,b.x1)-greatest(a.x0,b.x0) AS ow, least(a.y1,b.y1)-greatest(a.y0,b.y0) AS oh,
+  CAST(a.y0=b.y0 AS INTEGER)+CAST(a.y1=b.y1 AS INTEGER) AS ny, CAST(a.x0=b.x0 AS INTEGER)+CAST(a.x1=b.x1 AS INTEGER) AS nx FROM {1} a JOIN {1} b ON a.sid < b.sid),
+q{0} AS (SELECT a, b, ny*ow + nx*oh AS seam, ow*oh AS overlap FROM p{0} WHERE ow >= 0 AND oh >= 0)"""
+_SHRUNK = "sid, x0, y0, CASE WHEN sid % 2 = 0 THEN x1 - 30 ELSE x1 END AS x1, CASE WHEN sid % 3 = 0 THEN y1 - 40 ELSE y1 END AS y1"
+
+
+@query(f"""WITH shrunk AS (SELECT {_SHRUNK} FROM site), {_SEAMS.format(1, "site")}, {_SEAMS.format(2, "shrunk")}
+SELECT coalesce(q1.a, q2.a) AS a, coalesce(q1.b, q2.b) AS b, coalesce(q1.seam, 0e0) AS seam_before, coalesce(q2.seam, 0e0) AS seam_after, coalesce(q1.overlap, 0e0) AS overlap_before, coalesce(q2.overlap, 0e0) AS overlap_after
+FROM q1 FULL JOIN q2 ON q1.a = q2.a AND q1.b = q2.b""")
+def seam_changes(v: Views) -> DataFrame:
+    """Common boundary and area of sites before and after a change of their shapes."""
+    shapes.register(v.spark)
+    after = v("site").selectExpr("sid AS site", "x0", "y0", "CASE WHEN sid % 2 = 0 THEN x1 - 30 ELSE x1 END AS x1", "CASE WHEN sid % 3 = 0 THEN y1 - 40 ELSE y1 END AS y1").select("site", shapes.box().alias("geom"))
+    return polygons.seam_changes(_shapes(v, "site", "sid", "site"), after, 0.0, 500.0)
+
+
+@query(f"SELECT count(*) AS n, {r('sum(' + _INTER + ')')} AS overlap FROM site a JOIN site b ON a.sid < b.sid AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
+def total_overlap(v: Views) -> DataFrame:
+    return rounded(polygons.total_overlap(_shapes(v, "site", "sid", "site"), 500.0), "overlap")
+
+
+@query(f"""WITH c AS (SELECT s.sid, u.x0, u.y0, max(CASE WHEN uid % 3 = 0 THEN 2500e0 ELSE 0e0 END) AS own, max((least(u.x1,s.x1)-greatest(u.x0,s.x0))*(least(u.y1,s.y1)-greatest(u.y0,s.y0))) AS inside
+  FROM site s JOIN unit u ON u.x0 <= s.x1 AND s.x0 <= u.x1 AND u.y0 <= s.y1 AND s.y0 <= u.y1 GROUP BY s.sid, u.x0, u.y0)
+SELECT s.sid AS site, {r("max(430e0*430) - coalesce(sum(inside), 0e0) + coalesce(sum(own), 0e0)")} AS area FROM site s LEFT JOIN c ON c.sid = s.sid GROUP BY s.sid""")
+def trimmed_shapes(v: Views) -> DataFrame:
+    """Sites without the units they touch, joined with those that count as served."""
+    units, sites = _shapes(v, "unit", "uid", "uid"), _shapes(v, "site", "sid", "site")
+    near = polygons.overlaps(units.where("uid % 3 = 0"), sites, "uid", "site", 200.0).where(shapes.measure("intersects", "a_geom", "b_geom") == 1)
+    d = polygons.trim_to_units(sites, units, near.select("site", F.col("a_geom").alias("geom")), 200.0)
+    return rounded(d.select("site", F.coalesce(shapes.measure("area", "geom"), F.lit(0.0)).alias("area")), "area")
+
+
+@query("SELECT uid FROM unit WHERE x0 <= 1210 AND x1 >= 400 AND y0 <= 777 AND y1 >= 300")
+def map_window(v: Views) -> DataFrame:
+    """Units that a map's window meets."""
+    return polygons.in_window(_shapes(v, "unit", "uid", "uid"), 400, 300, 1210, 777).select("uid")
+
+
+@query(f"WITH {_SCC}, z AS (SELECT scc, count(*) AS n FROM scc GROUP BY scc) SELECT scc, n AS n_nodes, row_number() OVER (ORDER BY n DESC, scc) - 1 AS scc_id FROM z")
+def ranked_cycles(v: Views) -> DataFrame:
+    return graph.ranked_components(graph.strong_components(v("edge_cyc")))
+
+
 @query("""SELECT uid, pidx AS site FROM unit u JOIN vline p
 ON sqrt(pow(greatest(u.x0-p.sx, p.sx-u.x1, 0e0), 2) + pow(greatest(u.y0-greatest(p.sy,p.ey), least(p.sy,p.ey)-u.y1, 0e0), 2)) <= 30""")
 def units_in_buffers(v: Views) -> DataFrame:

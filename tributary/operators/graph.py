@@ -315,3 +315,11 @@ def cycle_flags(edges: DataFrame, large: int) -> DataFrame:
     size = member.groupBy("scc").agg(F.count(F.lit(1)).alias("n_nodes"))
     pipes = touch.groupBy("scc").agg(F.count(F.lit(1)).alias("n_pipes"))
     return size.join(pipes, "scc").withColumn("flag", F.when(F.col("n_nodes") > large, "large_cycle").otherwise("directed_cycle"))
+
+
+def ranked_components(member: DataFrame) -> DataFrame:
+    """(scc, n_nodes, scc_id): components (node, scc) numbered from 0 by size, the largest first; equal ones by their smallest node."""
+    size = materialize(member.groupBy("scc").agg(F.count(F.lit(1)).alias("n_nodes")).withColumn("k", F.struct((-F.col("n_nodes")).alias("neg"), "scc")), "sizes")
+    from tributary.operators.snap import dense_ids
+
+    return size.join(dense_ids(size.select("k"), "k"), "k").select("scc", "n_nodes", F.col("node_id").alias("scc_id"))

@@ -198,3 +198,34 @@ def iou(a: DataFrame, b: DataFrame) -> DataFrame:
     both = F.coalesce(shapes.measure("shared", "g", "h"), F.lit(0.0))
     all_ = F.coalesce(shapes.measure("area", "g"), F.lit(0.0)) + F.coalesce(shapes.measure("area", "h"), F.lit(0.0)) - both
     return d.select("site", F.coalesce(both / F.nullif(all_, F.lit(0.0)), F.lit(0.0)).alias("iou"))
+
+
+def seam_changes(before: DataFrame, after: DataFrame, reach: float, cell: float = 5000.0) -> DataFrame:
+    """(a, b, seam_before, seam_after, overlap_before, overlap_after) of all site pairs within reach before or after; 0 where they aren't."""
+    side = lambda d, when: seams(d, reach, cell).select("a", "b", F.col("seam_ft").alias(f"seam_{when}"), F.col("overlap").alias(f"overlap_{when}"))
+    d = side(before, "before").join(side(after, "after"), ["a", "b"], "full")
+    return d.fillna(0.0).select("a", "b", "seam_before", "seam_after", "overlap_before", "overlap_after")
+
+
+def total_overlap(sites: DataFrame, cell: float = 5000.0) -> DataFrame:
+    """One row: pairs of sites that overlap, and the sum of their overlaps."""
+    p = seams(sites, 0.0, cell).where("overlap > 0")
+    return p.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("overlap"), F.lit(0.0)).alias("overlap"))
+
+
+def trim_to_units(sites: DataFrame, units: DataFrame, served: DataFrame, cell: float = 500.0) -> DataFrame:
+    """(site, geom): each shape without the units (uid, geom) it touches, joined with its served ones (site, geom)."""
+    p = overlaps(units.select("uid", "geom"), sites.select("site", "geom"), "uid", "site", cell).where(shapes.measure("intersects", "a_geom", "b_geom") == 1)
+    out = dissolve(p.select("site", F.col("a_geom").alias("geom")), "site").withColumnRenamed("geom", "out")
+    own = dissolve(served.select("site", "geom"), "site").withColumnRenamed("geom", "own")
+    d = sites.select("site", "geom").join(out, "site", "left").join(own, "site", "left")
+    return d.select("site", shapes.two("union", shapes.two("difference", "geom", "out"), "own").alias("geom"))
+
+
+def in_window(layer: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """Features that a box meets, for a map's window: by their bounds first, then by their shape."""
+    shapes.register(layer.sparkSession)
+    box = shapes.parse(F.lit(f"POLYGON(({x0} {y0},{x1} {y0},{x1} {y1},{x0} {y1},{x0} {y0}))"))
+    b = shapes.bounds("geom")
+    near = (b[0] <= x1) & (b[2] >= x0) & (b[1] <= y1) & (b[3] >= y0)
+    return layer.where(near).where(shapes.measure("intersects", "geom", box) == 1)
