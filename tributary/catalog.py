@@ -1052,7 +1052,7 @@ def shared_seams(v: Views) -> DataFrame:
 
 _SEAMS = """p{0} AS (SELECT a.sid AS a, b.sid AS b, least(a.x1,b.x1)-greatest(a.x0,b.x0) AS ow, least(a.y1,b.y1)-greatest(a.y0,b.y0) AS oh,
   CAST(a.y0=b.y0 AS INTEGER)+CAST(a.y1=b.y1 AS INTEGER) AS ny, CAST(a.x0=b.x0 AS INTEGER)+CAST(a.x1=b.x1 AS INTEGER) AS nx FROM {1} a JOIN {1} b ON a.sid < b.sid),
-q{0} AS (SELECT a, b, ny*ow + nx*oh AS seam, ow*oh AS overlap FROM p{0} WHERE ow >= 0 AND oh >= 0)"""
+q{0} AS (SELECT a, b, ny*ow + nx*oh + CASE WHEN ow = 0 THEN oh ELSE 0e0 END + CASE WHEN oh = 0 THEN ow ELSE 0e0 END AS seam, ow*oh AS overlap FROM p{0} WHERE ow >= 0 AND oh >= 0)"""
 _SHRUNK = "sid, x0, y0, CASE WHEN sid % 2 = 0 THEN x1 - 30 ELSE x1 END AS x1, CASE WHEN sid % 3 = 0 THEN y1 - 40 ELSE y1 END AS y1"
 
 
