@@ -14,6 +14,7 @@ from pyspark.sql import window as W
 
 from tributary.functions import shapes
 from tributary.operators.components import connected_components
+from tributary.operators.graph import SMALL_EDGES
 from tributary.operators.spatial import box_pairs
 
 METHODS = ("morph_close", "hybrid", "concave", "blocks_dissolve", "block_fill", "delaunay")
@@ -164,7 +165,7 @@ def _in_turn(op: str, sites: DataFrame, x: float, reach: float, cell: float) ->
     b = _boxed(sites, "site")
     # hashes as nodes: two sites of one hash would share a chain, which changes nothing
     pairs = box_pairs(b, b, "site", "site", cell, grow=reach).where("a_id < b_id").selectExpr("xxhash64(a_id) AS u", "xxhash64(b_id) AS v")
-    chain = connected_components(pairs).toDF("h", "chain")
+    chain = connected_components(pairs, small_edges=SMALL_EDGES).toDF("h", "chain")
     d = sites.select("site", "geom", F.xxhash64("site").alias("h")).join(chain, "h", "left")
     d = d.withColumn("chain", F.coalesce("chain", "h"))
     d = d.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("site", "geom"))).alias("s"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.operators.components import connected_components
+from tributary.operators.graph import SMALL_EDGES
 from tributary.operators.spatial import within
 
 
@@ -27,7 +28,7 @@ def apply_review(flags: DataFrame, decisions: DataFrame, radius: float) -> DataF
     near = within(loose, points, radius, "flag_id", "ord").withColumnsRenamed({"a_id": "flag_id", "b_id": "ord"})
     near = near.join(loose.select("flag_id", "flag_type"), "flag_id").join(points.select("ord", "flag_type"), ["ord", "flag_type"])
     # flags are even, decisions odd
-    group = connected_components(near.select((F.col("flag_id") * 2).alias("u"), (F.col("ord") * 2 + 1).alias("v"))).toDF("u", "g")
+    group = connected_components(near.select((F.col("flag_id") * 2).alias("u"), (F.col("ord") * 2 + 1).alias("v")), small_edges=SMALL_EDGES).toDF("u", "g")
     near = near.withColumn("u", F.col("flag_id") * 2).join(group, "u").select("g", "flag_id", "ord", "dist")
 
     def greedy(pairs: pd.DataFrame) -> pd.DataFrame:
