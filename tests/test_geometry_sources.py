@@ -16,6 +16,7 @@ def coords(df):
     return {r.pidx: [(p.x, p.y) for p in r.coords] for r in df.collect()}
 
 
+# fixed value: a published anchor of the projection
 def test_projection_anchor(spark):
     x, y = geo.lcc("35.999688e0", "-78.903643e0")
     r = spark.range(1).select(x.alias("x"), y.alias("y")).first()

@@ -1,5 +1,4 @@
 import json
-import struct
 
 import pytest
 from pyspark.sql import functions as F

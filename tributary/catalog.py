@@ -8,7 +8,6 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from tributary.functions import geo, shapes
 from tributary.operators import demographics as demo

@@ -10,7 +10,6 @@ import zipfile
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tributary.functions import geo
 from tributary.operators.quality import facility_role
