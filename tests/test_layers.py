@@ -40,6 +40,7 @@ def test_shapefiles_that_cannot_be(spark, tmp_path):
         layers.read_layer(spark, str(tmp_path / "d.shp"))
 
 
+# fixed value: the published anchor of the projection
 def test_projection_of_shapes_there_and_back(spark):
     d = wkt(spark, (0, "a", "POINT(-78.903643 35.999688)"), (1, "b", "LINESTRING(-79 36,-78.5 35.5)"))
     p = d.withColumn("geom", shapes.project("geom"))
