@@ -60,7 +60,7 @@ def plain_mask(text):
 
 
 def test_run_against_brute_force(spark):
-    """Every stage's decisions on sf0.001, taken again without the operators."""
+    """Every stage's decisions on sf0.001, taken again without seeds, bands, fields or batches; alignment and base patterns are the operators' own, which have tests of their own."""
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.collect()
