@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.geo import line_length, substring
-from tributary.operators.snap import dense_ids
+from tributary.operators.snap import sums_before
+from tributary.session import materialize
 
 
 def merge_cuts(cuts: DataFrame, tol: float) -> DataFrame:
@@ -23,14 +24,16 @@ def split_pipes(pipes: DataFrame, cuts: DataFrame, tol: float) -> DataFrame:
     merged = merge_cuts(cuts, tol)
     d = pipes.join(merged, "pidx", "left").withColumn("_len", line_length("coords"))
     d = d.withColumn("_cuts", F.expr("filter(coalesce(cuts, CAST(array() AS array<double>)), c -> c > 0 AND c < _len)"))
+    # pieces are numbered by their line's place among all lines: only lines are ranked, not pieces
+    d = materialize(d.drop("cuts"), "cutlines")
+    before = sums_before(d.select("pidx", F.size("_cuts").alias("n")).where("n > 0"), "pidx", "n")
+    d = d.join(before.withColumnRenamed("before", "_before"), "pidx", "left")
     ends = d.withColumn("_piece", F.expr("explode(transform(sequence(0, size(_cuts)), i -> named_struct('i', i, 'a', coalesce(get(_cuts, i - 1), 0e0), 'b', coalesce(get(_cuts, i), _len))))"))
     whole = F.size("_cuts") == 0
     ends = ends.withColumn("coords", F.when(whole, F.col("coords")).otherwise(substring("coords", "_piece.a", "_piece.b")))
     top = pipes.agg((F.max("pidx") + 1).alias("n")).first()["n"] or 0
-    added = ends.where("_piece.i > 0").select(F.struct(F.col("pidx").alias("parent"), F.col("_piece.i").alias("piece")).alias("at"))
-    ids = dense_ids(added, "at").select("at.parent", "at.piece", (F.col("node_id") + F.lit(top)).alias("new"))
-    out = ends.withColumn("parent", F.col("pidx")).withColumn("piece", F.col("_piece.i")).drop("cuts", "_len", "_cuts", "_piece")
-    out = out.join(ids, ["parent", "piece"], "left").withColumn("pidx", F.coalesce("new", "pidx").cast("long")).drop("new")
+    out = ends.withColumn("parent", F.col("pidx")).withColumn("piece", F.col("_piece.i"))
+    out = out.withColumn("pidx", F.when(F.col("piece") > 0, F.col("_before") + F.col("piece") - 1 + F.lit(top)).otherwise(F.col("pidx")).cast("long"))
     return out.select(*pipes.columns, "parent", "piece")
 
 

@@ -77,6 +77,15 @@ def dense_ids(df: DataFrame, key: str) -> DataFrame:
     return parts.withColumn("local", local).join(F.broadcast(base), "part").select(key, (F.col("base") + F.col("local")).cast("long").alias("node_id"))
 
 
+def sums_before(df: DataFrame, key: str, n: str) -> DataFrame:
+    """(key, before): the sum of n over all smaller keys, without gathering the keys in one task; keys are distinct."""
+    parts = materialize(df.select(key, n).repartitionByRange(key).withColumn("part", F.spark_partition_id()), "sums")
+    base = parts.groupBy("part").agg(F.sum(n).alias("all"), F.min(key).alias("low"))
+    base = base.withColumn("base", F.sum("all").over(W.Window.orderBy("low").rowsBetween(W.Window.unboundedPreceding, -1))).select("part", F.coalesce("base", F.lit(0)).alias("base"))
+    local = F.coalesce(F.sum(n).over(W.Window.partitionBy("part").orderBy(key).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("local", local).join(F.broadcast(base), "part").select(key, (F.col("base") + F.col("local")).cast("long").alias("before"))
+
+
 def node_layer(ep: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node_id, x, y, n_pipes, fids, role): centroid of raw endpoints, distinct pipe ids as first seen."""
     d = ep.join(nodes, "ep_idx")

@@ -15,16 +15,21 @@ def _cell(c: str | Column, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(float(size)))
 
 
-def within(a: DataFrame, b: DataFrame, radius: float, a_id: str = "id", b_id: str = "id", a_xy: tuple[str, str] = ("x", "y"), b_xy: tuple[str, str] = ("x", "y")) -> DataFrame:
+def within(a: DataFrame, b: DataFrame, radius: float, a_id: str = "id", b_id: str = "id", a_xy: tuple[str, str] = ("x", "y"), b_xy: tuple[str, str] = ("x", "y"), cell: float | None = None) -> DataFrame:
     """(a_id, b_id, dist) of all pairs with distance <= radius; points without coordinates match nothing.
 
-    b is copied to the nine cells around each of its points, a stays in its own.
+    b is copied to the nine cells around each of its points, a stays in its own. With
+    a ``cell`` wider than the radius b is copied only to the cells that it reaches.
     """
     left = a.select(F.col(a_id).alias("a_id"), F.col(a_xy[0]).alias("ax"), F.col(a_xy[1]).alias("ay")).where("ax IS NOT NULL AND ay IS NOT NULL")
     right = b.select(F.col(b_id).alias("b_id"), F.col(b_xy[0]).alias("bx"), F.col(b_xy[1]).alias("by")).where("bx IS NOT NULL AND by IS NOT NULL")
-    left = left.withColumns({"cx": _cell("ax", radius), "cy": _cell("ay", radius)})
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    right = right.withColumn("n", F.explode(near)).withColumns({"cx": _cell("bx", radius) + F.col("n.i"), "cy": _cell("by", radius) + F.col("n.j")}).drop("n")
+    left = left.withColumns({"cx": _cell("ax", cell or radius), "cy": _cell("ay", cell or radius)})
+    if cell:
+        far = radius * (1 + 1e-9)  # a hair more, for rounding
+        right = _explode_cells(right, F.col("bx") - far, F.col("by") - far, F.col("bx") + far, F.col("by") + far, cell)
+    else:
+        near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        right = right.withColumn("n", F.explode(near)).withColumns({"cx": _cell("bx", radius) + F.col("n.i"), "cy": _cell("by", radius) + F.col("n.j")}).drop("n")
     d2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
     return left.join(right, ["cx", "cy"]).where(d2 <= radius * radius).select("a_id", "b_id", F.sqrt(d2).alias("dist"))
 
@@ -98,10 +103,13 @@ def _explode_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column
     return d.withColumn("cy", F.explode(F.sequence(_cell(y0, size), _cell(y1, size))))
 
 
-def points_near_segments(points: DataFrame, segments: DataFrame, radius: float, p_id: str = "id", s_id: str = "pidx", cell: float | None = None) -> DataFrame:
-    """(p_id, s_id, dist, along) of points within radius of segments (sx, sy, ex, ey)."""
-    size = cell or max(radius * 4, 1.0)
-    s = segments.select(F.col(s_id).alias("s_id"), "sx", "sy", "ex", "ey")
+def points_near_segments(points: DataFrame, segments: DataFrame, radius: float, p_id: str = "id", s_id: str = "pidx", cell: float | None = None, p_more: tuple[str, ...] = (), s_more: tuple[str, ...] = ()) -> DataFrame:
+    """(p_id, s_id, dist, along) of points within radius of segments (sx, sy, ex, ey), with the columns p_more of the points and s_more of the segments.
+
+    A long segment has a row for each cell it runs through, so cells are some times the radius wide.
+    """
+    size = cell or max(radius * 12, 1.0)
+    s = segments.select(F.col(s_id).alias("s_id"), "sx", "sy", "ex", "ey", *s_more)
     s = s.withColumn("cx", F.explode(F.sequence(_cell(F.least("sx", "ex") - radius, size), _cell(F.greatest("sx", "ex") + radius, size))))
     # in a column of cells only the heights that the segment has there
     run = F.nullif(F.col("ex") - F.col("sx"), F.lit(0.0))
@@ -110,9 +118,18 @@ def points_near_segments(points: DataFrame, segments: DataFrame, radius: float,
     ya, yb = y(at(F.col("cx") * size - radius), "sy"), y(at((F.col("cx") + 1) * size + radius), "ey")
     # a hair more than the radius, for rounding
     s = s.withColumn("cy", F.explode(F.sequence(_cell(F.least(ya, yb) - radius * (1 + 1e-9), size), _cell(F.greatest(ya, yb) + radius * (1 + 1e-9), size))))
-    p = points.select(F.col(p_id).alias("p_id"), F.col("x").alias("px"), F.col("y").alias("py")).withColumns({"cx": _cell("px", size), "cy": _cell("py", size)})
-    dist, along = segment_projection(*(F.col(c) for c in ("px", "py", "sx", "sy", "ex", "ey")))
-    return p.join(s, ["cx", "cy"]).select("p_id", "s_id", dist.alias("dist"), along.alias("along")).where(F.col("dist") <= radius)
+    # what depends on the segment alone comes before the join: the expressions after it stay small enough to be compiled
+    dx, dy = F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy")
+    s = s.withColumns({"dx": dx, "dy": dy, "ll": F.nullif(dx * dx + dy * dy, F.lit(0.0)), "run": F.sqrt(dx * dx + dy * dy)})
+    # no nearer to the line than to the segment; with more than rounding to spare
+    s = s.withColumn("strip", radius * F.col("run") * (1 + 1e-6) + F.col("run") * F.col("run") * 1e-12)
+    s = s.select("s_id", "cx", "cy", *dict.fromkeys(["sx", "sy", *s_more]), "dx", "dy", "ll", "run", "strip")
+    p = points.select(F.col(p_id).alias("p_id"), F.col("x").alias("px"), F.col("y").alias("py"), *p_more).withColumns({"cx": _cell("px", size), "cy": _cell("py", size)})
+    x, y = F.col("px") - F.col("sx"), F.col("py") - F.col("sy")
+    near = p.join(s, ["cx", "cy"]).where(F.abs(x * F.col("dy") - y * F.col("dx")) <= F.col("strip"))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((x * F.col("dx") + y * F.col("dy")) / F.col("ll"), F.lit(0.0))))
+    gx, gy = F.col("px") - (F.col("sx") + t * F.col("dx")), F.col("py") - (F.col("sy") + t * F.col("dy"))
+    return near.select("p_id", "s_id", F.sqrt(gx * gx + gy * gy).alias("dist"), (t * F.col("run")).alias("along"), *p_more, *s_more).where(F.col("dist") <= radius)
 
 
 def box_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float, grow: float = 0.0) -> DataFrame:
