@@ -57,7 +57,7 @@ def weld(endpoints: DataFrame, cuts: DataFrame, tol: float) -> DataFrame:
     """Endpoints within tol of a cut (ord, x, y) move onto it; of several the last in order wins."""
     from tributary.operators.spatial import within
 
-    hit = within(endpoints, cuts, tol, "ep_idx", "ord").groupBy("a_id").agg(F.max("b_id").alias("ord"))
+    hit = within(endpoints, cuts, tol, "ep_idx", "ord", cell=4 * tol).groupBy("a_id").agg(F.max("b_id").alias("ord"))
     to = hit.join(cuts.select("ord", F.col("x").alias("cx"), F.col("y").alias("cy")), "ord").select(F.col("a_id").alias("ep_idx"), "cx", "cy")
     d = endpoints.join(to, "ep_idx", "left")
     return d.withColumns({"x": F.coalesce("cx", "x"), "y": F.coalesce("cy", "y")}).select(*endpoints.columns)
