@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from tributary.operators import demographics as demo
 from tributary.operators import snap, spatial
 from tributary.plans import network
 
@@ -56,3 +57,17 @@ def test_within_by_wider_cells_finds_the_same_pairs(spark):
     pts = spark.createDataFrame([(i, float(rnd.randrange(-30, 30)), float(rnd.randrange(-30, 30))) for i in range(300)], "id long, x double, y double")
     rows = lambda d: sorted(map(tuple, d.collect()))
     assert rows(spatial.within(pts, pts, 2.0, cell=8.0)) == rows(spatial.within(pts, pts, 2.0))
+
+
+def test_weights_measure_equal_boxes_once(spark, monkeypatch):
+    seen = []
+    pairs = demo.box_pairs
+    monkeypatch.setattr(demo, "box_pairs", lambda a, b, *rest: seen.append((a.count(), b.count())) or pairs(a, b, *rest))
+    box = "x0 double, y0 double, x1 double, y1 double"
+    units = spark.createDataFrame([(i, 0.0, 0.0, 10.0, 10.0) for i in range(60)] + [(99, 10.0, 0.0, 20.0, 10.0), (100, 40.0, 0.0, 50.0, 10.0)], f"uid long, {box}")
+    parcels = spark.createDataFrame([(i, 0.0, 0.0, 4.0, 5.0) for i in range(30)] + [(50, 4.0, 0.0, 12.0, 5.0)], f"pid long, {box}")
+    sites = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 10.0), (2, 5.0, 0.0, 45.0, 10.0)], f"sid long, {box}")
+    got = {(r.sid, r.uid): r.weight for r in demo.dasymetric_weights(units, parcels, sites, "uid", "pid", "sid", 5.0).collect()}
+    whole = 30 * 20 + 30
+    assert got == {(1, u): pytest.approx(300 / whole) for u in range(60)} | {(2, u): pytest.approx(25 / whole) for u in range(60)} | {(2, 99): 1.0, (2, 100): 0.0}
+    assert max(a * b for a, b in seen) <= 3 * 2

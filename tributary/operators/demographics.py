@@ -43,19 +43,26 @@ def dasymetric_weights(units: DataFrame, parcels: DataFrame, sites: DataFrame, u
     Areas are sums over parcels, so overlapping parcels count twice in both. The
     weight is at most 1, and 0 if the unit has no residential area.
     """
-    pu = box_pairs(parcels, units, parcel_id, unit_id, cell).where("ow > 0 AND oh > 0")
-    total = pu.groupBy(F.col("b_id").alias(unit_id)).agg(F.sum(F.col("ow") * F.col("oh")).alias("denom"))
-    us = box_pairs(units, sites, unit_id, site_id, cell).where("ow > 0 AND oh > 0").select(F.col("a_id").alias(unit_id), F.col("b_id").alias(site_id))
     c = ("x0", "y0", "x1", "y1")
-    both = us.join(pu.select(F.col("a_id").alias(parcel_id), F.col("b_id").alias(unit_id)), unit_id)
-    for df, key, tag in ((units, unit_id, "u"), (parcels, parcel_id, "p"), (sites, site_id, "s")):
-        both = both.join(df.select(key, *[F.col(x).alias(tag + x) for x in c]), key)
+    # equal boxes have equal overlaps: each is measured once, a parcel's as often as it occurs
+    def spread(df: DataFrame) -> DataFrame:
+        d = df.select(*c).where("x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL").groupBy(*c).agg(F.count(F.lit(1)).alias("times"))
+        return materialize(d.withColumn("box", F.monotonically_increasing_id()), "boxes")
+
+    lots, places = spread(parcels), spread(units)
+    pu = materialize(box_pairs(lots, places, "box", "box", cell).where("ow > 0 AND oh > 0").join(lots.select(F.col("box").alias("a_id"), "times"), "a_id"), "lots")
+    total = pu.groupBy(F.col("b_id").alias("box")).agg(F.sum(F.col("ow") * F.col("oh") * F.col("times")).alias("denom"))
+    us = materialize(box_pairs(places, sites, "box", site_id, cell).where("ow > 0 AND oh > 0").select(F.col("a_id").alias("box"), F.col("b_id").alias(site_id)), "sites")
+    both = us.join(pu.select(F.col("a_id").alias("lot"), F.col("b_id").alias("box"), "times"), "box")
+    for df, key, of, tag in ((places, "box", "box", "u"), (lots, "box", "lot", "p"), (sites, site_id, site_id, "s")):
+        both = both.join(df.select(F.col(key).alias(of), *[F.col(x).alias(tag + x) for x in c]), of)
     w = F.least("ux1", "px1", "sx1") - F.greatest("ux0", "px0", "sx0")
     h = F.least("uy1", "py1", "sy1") - F.greatest("uy0", "py0", "sy0")
-    inside = both.groupBy(site_id, unit_id).agg(F.sum(F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))).alias("numer"))
-    d = us.join(inside, [site_id, unit_id], "left").join(total, unit_id, "left")
+    inside = both.groupBy(site_id, "box").agg(F.sum(F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0)) * F.col("times")).alias("numer"))
+    d = us.join(inside, [site_id, "box"], "left").join(total, "box", "left")
     weight = F.when(F.coalesce(F.col("denom"), F.lit(0.0)) <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("numer"), F.lit(0.0)) / F.nullif(F.col("denom"), F.lit(0.0))))
-    return d.select(site_id, unit_id, weight.alias("weight"))
+    d = d.select(site_id, "box", weight.alias("weight")).join(places.drop("times"), "box")
+    return d.join(units.select(unit_id, *c), [*c]).select(site_id, unit_id, "weight")
 
 
 def apportion(weight: str, *codes: str) -> Column:
