@@ -3,12 +3,13 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tributary.functions import shapes
 from tributary.operators import demographics as demo
-from tributary.operators import polygons, snap, spatial
+from tributary.operators import graph, polygons, snap, spatial
 from tributary.plans import delineate, network
 
 
@@ -103,3 +104,14 @@ def test_edits_by_place_meet_few_lines(spark, monkeypatch):
     found = {r.ord: r.pidx for r in network.locate_edits(pipes, wanted, holes, 600.0).collect()}
     assert found == {i: i + 1 if i % 4 == 0 else i for i in range(20)}
     assert max(widest) <= 4
+
+
+def test_a_large_strong_component_is_named_once(monkeypatch):
+    """The least member of a component was sought again for each of its members."""
+    seen = []
+    monkeypatch.setattr(graph, "min", lambda *a: (seen.append(len(a[0]) if len(a) == 1 else 0), min(*a))[1], raising=False)
+    n = 2000
+    ring = pa.RecordBatch.from_arrays([pa.array(range(5, n + 5)), pa.array([*range(6, n + 5), 5])], ["u", "v"])
+    (found,) = graph._scc_one_task(iter([ring]))
+    assert sorted(zip(*(c.to_pylist() for c in found.columns))) == [(i, 5) for i in range(5, n + 5)]
+    assert sum(seen) <= n

@@ -235,7 +235,8 @@ def _scc_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                         group.append(stack.pop())
                         on.discard(group[-1])
                     if len(group) > 1:
-                        found += [(n, min(group)) for n in group]
+                        least = min(group)
+                        found += [(n, least) for n in group]
     cols = list(zip(*found)) or [(), ()]
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "scc"])
 
