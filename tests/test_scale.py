@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tributary.functions import shapes
 from tributary.operators import demographics as demo
 from tributary.operators import graph, polygons, snap, spatial
-from tributary.plans import delineate, network
+from tributary.plans import delineate, network, network_qa
 
 
 def test_sums_before_add_what_smaller_keys_have(spark):
@@ -115,3 +115,21 @@ def test_a_large_strong_component_is_named_once(monkeypatch):
     (found,) = graph._scc_one_task(iter([ring]))
     assert sorted(zip(*(c.to_pylist() for c in found.columns))) == [(i, 5) for i in range(5, n + 5)]
     assert sum(seen) <= n
+
+
+def test_only_ends_look_for_open_gaps(spark, monkeypatch):
+    """Pairs of junctions, nearly all there are on a dense network, were made and then dropped."""
+    seen = []
+    near = network_qa.within
+    monkeypatch.setattr(network_qa, "within", lambda a, b, *rest: seen.append(a.count()) or near(a, b, *rest))
+    rnd = random.Random(11)
+    rows = [(i, rnd.uniform(0, 60), rnd.uniform(0, 60), ("start", "end")[i % 2] if i % 20 < 2 else "junction") for i in range(400)]
+    got = network_qa._open_pairs(spark.createDataFrame(rows, "node_id long, x double, y double, role string"), 20.0, 1.0)
+    want = {}
+    for a, ax, ay, ra in rows:
+        for b, bx, by, rb in rows:
+            if a < b and (ra != "junction" or rb != "junction") and 1 < (d := math.hypot(ax - bx, ay - by)) <= 20:
+                want[a, b] = pytest.approx(d)
+    found = [(r.a_id, r.b_id, r.dist) for r in got.collect()]
+    assert len(found) == len(want) and {(a, b): d for a, b, d in found} == want
+    assert seen == [40]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tributary.functions import geo
 from tributary.operators import graph, quality, snap
 from tributary.operators.components import connected_components
-from tributary.operators.spatial import nearest_any, self_pairs
+from tributary.operators.spatial import nearest_any, self_pairs, within
 from tributary.session import materialize
 
 
@@ -34,6 +34,18 @@ def _apart(pairs: DataFrame, pipes_of: DataFrame, key: str) -> DataFrame:
     return pairs.join(shared, ["a_id", "b_id"], "left_anti")
 
 
+def _open_pairs(layer: DataFrame, radius: float, above: float) -> DataFrame:
+    """Pairs (a_id < b_id, dist) of nodes further apart than ``above`` and at most radius, of which one or both are no junction.
+
+    Only the ends look for others: two junctions near each other are never joined.
+    """
+    ends = materialize(layer.where("role <> 'junction'"), "ends")
+    p = within(ends, layer, radius, "node_id", "node_id").where((F.col("a_id") != F.col("b_id")) & (F.col("dist") > above))
+    both = ends.select(F.col("node_id").alias("b_id"), F.lit(True).alias("both"))
+    p = p.join(both, "b_id", "left").where("both IS NULL OR a_id < b_id")
+    return p.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), "dist")
+
+
 def _gap_rows(pairs: DataFrame, at: DataFrame, pipes_of: DataFrame, key: str, tier: str, severity: str) -> tuple[DataFrame, DataFrame]:
     p = pairs.withColumn("flag", F.format_string(f"{tier}_%d_%d", "a_id", "b_id"))
     side = at.select(key, "x", "y")
@@ -87,10 +99,7 @@ def run_qa(
     repaired = _gap_rows(_apart(self_pairs(ends, s.gap_radius, "first", above=s.snap_tol), near, "first"), ends, near, "first", "repaired_gap", "warning")
     layer = materialize(snap.node_layer(ep, node_of).select("node_id", "x", "y", "role"), "layer")
     at_node = edges.select(F.col("u").alias("node_id"), "pidx").union(edges.select("v", "pidx")).distinct()
-    pairs = self_pairs(layer, 2 * s.gap_radius, "node_id", above=s.snap_tol)
-    for side in ("a_id", "b_id"):
-        pairs = pairs.join(layer.select(F.col("node_id").alias(side), (F.col("role") != "junction").alias(f"end_{side}")), side)
-    open_ = _gap_rows(_apart(pairs.where("end_a_id OR end_b_id").select("a_id", "b_id", "dist"), at_node, "node_id"), layer, at_node, "node_id", "open_gap", "review_required")
+    open_ = _gap_rows(_apart(_open_pairs(layer, 2 * s.gap_radius, s.snap_tol), at_node, "node_id"), layer, at_node, "node_id", "open_gap", "review_required")
 
     scc = materialize(graph.strong_components(edges), "scc")
     size = scc.groupBy("scc").agg(F.count(F.lit(1)).alias("n"))
