@@ -133,3 +133,18 @@ def test_only_ends_look_for_open_gaps(spark, monkeypatch):
     found = [(r.a_id, r.b_id, r.dist) for r in got.collect()]
     assert len(found) == len(want) and {(a, b): d for a, b, d in found} == want
     assert seen == [40]
+
+
+def test_the_checks_link_ends_at_one_place_once(spark, monkeypatch):
+    """Two hundred pipes start at one place: the first pass of the gap checks paired all their ends."""
+    from tributary.operators import components
+
+    seen = []
+    join = components.connected_components
+    monkeypatch.setattr(snap, "connected_components", lambda edges, **more: seen.append(edges.count()) or join(edges, **more))
+    rows = [(i, f"P{i}", "A", f"B{i}", 1.0, 5.0, 4.0, 0.0, 0.0, 100.0 * (i + 1), 50.0) for i in range(200)]
+    pipes = spark.createDataFrame(rows, "pidx long, fid string, frommh string, tomh string, slope double, up_inv double, dn_inv double, sx double, sy double, ex double, ey double")
+    holes = spark.createDataFrame([], "fid string, x double, y double")
+    out = network_qa.run_qa(pipes, holes)
+    assert out["flags"].count() == 0 and out["pipes"].where("qa_status = 'original'").count() == 200
+    assert len(seen) == 3 and max(seen) == 199

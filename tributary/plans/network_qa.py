@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tributary.functions import geo
 from tributary.operators import graph, quality, snap
 from tributary.operators.components import connected_components
-from tributary.operators.spatial import nearest_any, self_pairs, within
+from tributary.operators.spatial import close_pairs, nearest_any, self_pairs, within
 from tributary.session import materialize
 
 
@@ -47,7 +47,7 @@ def _open_pairs(layer: DataFrame, radius: float, above: float) -> DataFrame:
 
 
 def _gap_rows(pairs: DataFrame, at: DataFrame, pipes_of: DataFrame, key: str, tier: str, severity: str) -> tuple[DataFrame, DataFrame]:
-    p = pairs.withColumn("flag", F.format_string(f"{tier}_%d_%d", "a_id", "b_id"))
+    p = materialize(pairs.withColumn("flag", F.format_string(f"{tier}_%d_%d", "a_id", "b_id")), "gaps")
     side = at.select(key, "x", "y")
     d = p.join(side.toDF("a_id", "ax", "ay"), "a_id").join(side.toDF("b_id", "bx", "by"), "b_id")
     rows = d.select("flag", F.lit("snap_gap").alias("flag_type"), F.lit(severity).alias("severity"), ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"), "dist")
@@ -80,11 +80,12 @@ def run_qa(
         length = F.sqrt(F.pow(F.col("ex") - F.col("sx"), 2) + F.pow(F.col("ey") - F.col("sy"), 2))
     middle = pipes.select("pidx", F.coalesce(cx, "sx").alias("cx"), F.coalesce(cy, "sy").alias("cy"), length.alias("len"))
 
-    def located(members: DataFrame, severity: str) -> DataFrame:
+    def located(members: DataFrame) -> DataFrame:
         """One row for each flag of members, at the length-weighted middle of its pipes."""
+        severity = F.when(F.col("flag_type").isin("directed_cycle", "large_cycle"), "review_required").otherwise("warning")
         d = members.join(middle, "pidx").groupBy("flag", "flag_type")
         mean = lambda c: F.coalesce(F.sum(F.col(c) * F.col("len")) / F.nullif(F.sum("len"), F.lit(0.0)), F.avg(c))
-        return d.agg(mean("cx").alias("x"), mean("cy").alias("y")).select("flag", "flag_type", F.lit(severity).alias("severity"), "x", "y", none.alias("dist"))
+        return d.agg(mean("cx").alias("x"), mean("cy").alias("y")).select("flag", "flag_type", severity.alias("severity"), "x", "y", none.alias("dist"))
 
     def of_pipe(rows: DataFrame, kind: str) -> DataFrame:
         return rows.select(F.format_string(f"{kind}_%d", "pidx").alias("flag"), F.lit(kind).alias("flag_type"), "pidx")
@@ -92,7 +93,7 @@ def run_qa(
     single = of_pipe(quality.missing_direction(pipes), "missing_direction").union(of_pipe(quality.invert_conflicts(pipes), "invert_conflict")).union(of_pipe(quality.slope_errors(pipes), "attribute_slope_error"))
 
     # gaps that the snap repaired, between clusters of its first pass, and gaps that are left
-    first = snap._clusters(ep, self_pairs(ep, s.snap_tol, "ep_idx"), "ep_idx")
+    first = snap._clusters(ep, close_pairs(ep, s.snap_tol, "ep_idx"), "ep_idx")
     tagged = materialize(ep.join(first, "ep_idx"), "pass1")
     ends = snap.pure_ends(snap._summary(tagged, "first"))
     near = tagged.select("first", "pidx").distinct()
@@ -124,10 +125,11 @@ def run_qa(
             logged.append(named.select("flag", "flag_type", F.lit("warning").alias("severity"), "x", "y", none.alias("dist")))
             log_members.append(named.select("flag", "flag_type", key))
     gaps = [rows.select("flag", "flag_type", "severity", "x", "y", "dist") for rows, _ in (repaired, open_)]
-    flags = reduce(DataFrame.union, [*logged, located(single, "warning"), *gaps, located(cycles, "review_required"), located(fragments, "warning"), lone])
-    flags = flags.withColumn("description", describe(s))
     members = reduce(DataFrame.union, [*log_members, single, *[m.select("flag", F.lit("snap_gap").alias("flag_type"), "pidx") for _, m in (repaired, open_)], cycles, fragments])
     members = materialize(members, "members")
+    placed = members.where(~F.col("flag_type").isin("snap_gap", "midspan_junction", "manual_edit"))
+    flags = reduce(DataFrame.union, [*logged, *gaps, located(placed), lone])
+    flags = flags.withColumn("description", describe(s))
     state = pipes.join(quality.rollup(members.drop("flag")), "pidx", "left")
     inferrable = F.col("frommh").isNull() | F.col("tomh").isNull()
     status = F.when(inferrable, "direction_inferrable").otherwise(F.coalesce("qa_status", F.lit("original")))
