@@ -94,7 +94,8 @@ def segment_projection(px: Column, py: Column, sx: Column, sy: Column, ex: Colum
     ll = dx * dx + dy * dy
     t = F.when(ll > 0, ((px - sx) * dx + (py - sy) * dy) / F.nullif(ll, F.lit(0.0))).otherwise(F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    gx, gy = px - (sx + t * dx), py - (sy + t * dy)
+    # from the start, as the SQL of the queries has it: of lines through one point rounding decides
+    gx, gy = (px - sx) - t * dx, (py - sy) - t * dy
     return F.sqrt(gx * gx + gy * gy), t * F.sqrt(ll)
 
 
@@ -128,7 +129,8 @@ def points_near_segments(points: DataFrame, segments: DataFrame, radius: float,
     x, y = F.col("px") - F.col("sx"), F.col("py") - F.col("sy")
     near = p.join(s, ["cx", "cy"]).where(F.abs(x * F.col("dy") - y * F.col("dx")) <= F.col("strip"))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((x * F.col("dx") + y * F.col("dy")) / F.col("ll"), F.lit(0.0))))
-    gx, gy = F.col("px") - (F.col("sx") + t * F.col("dx")), F.col("py") - (F.col("sy") + t * F.col("dy"))
+    # as in segment_projection()
+    gx, gy = x - t * F.col("dx"), y - t * F.col("dy")
     return near.select("p_id", "s_id", F.sqrt(gx * gx + gy * gy).alias("dist"), (t * F.col("run")).alias("along"), *p_more, *s_more).where(F.col("dist") <= radius)
 
 
