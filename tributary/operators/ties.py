@@ -205,3 +205,109 @@ def pairs(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[p], pidx[s], dist, t * run, run)], ["p_id", "s_id", "dist", "along", "len"])
 
     return dealt.mapInArrow(by_group(use, radius), schema)
+
+
+def _first_come(c: np.ndarray, start: np.ndarray, count: np.ndarray, b: np.ndarray, buckets: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distances c of each line (from start on, in order of arrival) that become places: none before lies nearer than tol. By bucket: the distance and the arrival."""
+    at, of = np.full(buckets, np.inf), np.full(buckets, len(c))
+    around = np.arange(-2, 3)[:, None]
+    longest = np.argsort(-count, kind="stable")
+    start, count = start[longest], count[longest]
+    j = 0
+    # one arrival of every line at a time, as long as there are some lines
+    for active in np.searchsorted(-count, -np.arange(1, (count[0] if len(count) else 0) + 1), "right"):
+        if active < 8:
+            break
+        h = start[:active] + j
+        new = h[np.abs(at[b[h] + around] - c[h]).min(axis=0) >= tol]
+        at[b[new]], of[b[new]] = c[new], new
+        j += 1
+    for s, n in zip(start.tolist(), count.tolist()):
+        if n <= j:
+            break
+        for h, k, x in zip(range(s + j, s + n), b[s + j : s + n].tolist(), c[s + j : s + n].tolist()):
+            if not (np.abs(at[k - 2 : k + 3] - x) < tol).any():
+                at[k], of[k] = x, h
+    return at, of
+
+
+def _cut_lines(lines: Lines, places: Places, tol: float, exclusion: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(line, point, segment, t, along, place, assigned) of some lines at a time: what ties in, by line and in order of arrival; the arrivals that make places, by distance; each arrival's place."""
+
+    def merge(s, p, dist, t):
+        line, along = lines.line[s], lines.base[s] + t * lines.run[s]
+        key = line * np.int64(len(places.x)) + p
+        o = np.lexsort((along, dist, key)) if lines.several else np.argsort(key)
+        if lines.several:  # another segment of the line, further away
+            o = o[np.concatenate([[True], key[o][1:] != key[o][:-1]])]
+        s, p, t, line, along = s[o], p[o], t[o], line[o], along[o]
+        start = np.nonzero(np.concatenate([[True], line[1:] != line[:-1]]))[0]
+        count = np.diff(np.append(start, len(line)))
+        # narrower than tol, so that no two places share a bucket
+        width = tol * (1 - 1e-9)
+        room = np.floor(lines.length[line[start]] / width).astype(np.int64) + 6
+        b = np.repeat(np.cumsum(room) - room + 2, count) + np.floor(along / width).astype(np.int64)
+        at, of = _first_come(along, start, count, b, int(room.sum()), tol)
+        made = of[of < len(along)]
+        number = np.empty(len(along) + 1, np.int64)
+        number[made] = np.arange(len(made))
+        assigned, around = np.empty(len(along), np.int64), np.arange(-2, 3)[:, None]
+        for i in range(0, len(along), RANGES):
+            k = b[i : i + RANGES] + around
+            # the first such place to have been found
+            assigned[i : i + RANGES] = number[np.where(np.abs(at[k] - along[i : i + RANGES]) < tol, of[k], len(along)).min(axis=0)]
+        return line, p, s, t, along, made, assigned
+
+    held: list[tuple] = []
+    hits = 0
+    for s, p, dist, t in places.near(lines.sx, lines.sy, lines.ex, lines.ey):
+        k = lines.line[s]
+        apart = lambda a, b: np.sqrt((places.x[p] - a[k]) * (places.x[p] - a[k]) + (places.y[p] - b[k]) * (places.y[p] - b[k])) > exclusion
+        some = (dist < tol) & apart(lines.x0, lines.y0) & apart(lines.x1, lines.y1)
+        if not some.any():
+            continue
+        held.append((s[some], p[some], dist[some], t[some]))
+        hits += int(some.sum())
+        if hits > HITS:
+            rows = [np.concatenate(c) for c in zip(*held)]
+            line = lines.line[rows[0]]
+            done = line < line.max()  # the last line may go on
+            if done.any():
+                yield merge(*(c[done] for c in rows))
+            held = [tuple(c[~done] for c in rows)]
+            hits = int((~done).sum())
+    if hits:
+        yield merge(*(np.concatenate(c) for c in zip(*held)))
+
+
+def cut_counts(dealt: DataFrame, tol: float, exclusion: float) -> DataFrame:
+    """(pidx, n): how many places each line of dealt rows is to be cut at, where it is any."""
+
+    def use(points, lines, places):
+        pidx = lines.batch.column("n").to_numpy()
+        for line, _, _, _, _, made, _ in _cut_lines(lines, places, tol, exclusion):
+            k, n = np.unique(line[made], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pidx[k]), pa.array(n)], ["pidx", "n"])
+
+    return dealt.mapInArrow(by_group(use, tol), "pidx long, n long")
+
+
+def cuts(dealt: DataFrame, tol: float, exclusion: float) -> DataFrame:
+    """(pidx, ord, along, x, y, ends, holes): the places that lines of dealt rows are to be cut at, numbered from the line's ``before`` on, with the arrivals of each rule that meet there.
+
+    Points have the columns ends and holes: how many arrivals of each rule they are.
+    """
+
+    def use(points, lines, places):
+        pidx, before = (lines.batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "before"))
+        weight = [points.column(c).to_numpy().astype(np.float64) for c in ("ends", "holes")]
+        for line, p, s, t, along, made, assigned in _cut_lines(lines, places, tol, exclusion):
+            k, g, u = line[made], s[made], t[made]
+            first = np.concatenate([[True], k[1:] != k[:-1]])
+            n = np.arange(len(k)) - np.nonzero(first)[0][np.cumsum(first) - 1]
+            x, y = lines.sx[g] + u * (lines.ex[g] - lines.sx[g]), lines.sy[g] + u * (lines.ey[g] - lines.sy[g])
+            ends, holes = (np.bincount(assigned, w[p], len(made)).astype(np.int64) for w in weight)
+            for i in range(0, len(k), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in (pidx[k], before[k] + n, along[made], x, y, ends, holes)], ["pidx", "ord", "along", "x", "y", "ends", "holes"])
+
+    return dealt.mapInArrow(by_group(use, tol), "pidx long, ord long, along double, x double, y double, ends long, holes long")
