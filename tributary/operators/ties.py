@@ -311,3 +311,116 @@ def cuts(dealt: DataFrame, tol: float, exclusion: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in (pidx[k], before[k] + n, along[made], x, y, ends, holes)], ["pidx", "ord", "along", "x", "y", "ends", "holes"])
 
     return dealt.mapInArrow(by_group(use, tol), "pidx long, ord long, along double, x double, y double, ends long, holes long")
+
+
+#: Cuts of a tile, about.
+TILE_CUTS = 150_000
+
+
+def _tile(x, y, low: tuple[float, float], size: float):
+    """A tile's number; of columns or of arrays."""
+    floor = F.floor if isinstance(x, Column) else lambda v: np.floor(v).astype(np.int64)
+    a, b = floor((x - low[0]) / size), floor((y - low[1]) / size)
+    return (a.cast("long") if isinstance(x, Column) else a) * (1 << 31) + b
+
+
+def welded(dealt: DataFrame, ends: DataFrame, tol: float, exclusion: float, top: int, low: tuple[float, float], size: float) -> DataFrame:
+    """(pidx, side, x, y) of both ends of each piece: ``ends`` (pidx, side, x, y) of the lines as drawn and those at the cuts of dealt rows, moved onto the last cut within tol.
+
+    A cut ends one piece and starts the next, whose pidx is ``top`` and the cut's
+    number. Cuts go to the tiles that they reach, in runs along a segment: the
+    segment and how far along it each cut lies.
+    """
+    far = tol * (1 + 1e-9) + 1e-6
+
+    def deal_cuts(points, lines, places):
+        pidx, before = (lines.batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "before"))
+        for line, _, s, t, _, made, _ in _cut_lines(lines, places, tol, exclusion):
+            k, g, u = line[made], s[made], t[made]
+            first = np.concatenate([[True], k[1:] != k[:-1]])
+            n = before[k] + np.arange(len(k)) - np.nonzero(first)[0][np.cumsum(first) - 1]
+            x, y = lines.sx[g] + u * (lines.ex[g] - lines.sx[g]), lines.sy[g] + u * (lines.ey[g] - lines.sy[g])
+            corner = np.sort(np.stack([_tile(x + i * far, y + j * far, low, size) for i in (-1, 1) for j in (-1, 1)]), axis=0)
+            new = np.concatenate([np.ones((1, len(x)), bool), corner[1:] != corner[:-1]])
+            tile, cut = corner[new], np.broadcast_to(np.arange(len(x)), corner.shape)[new]
+            o = np.lexsort((cut, tile, g[cut]))
+            tile, cut = tile[o], cut[o]
+            begin = np.nonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (cut[1:] != cut[:-1] + 1) | (g[cut[1:]] != g[cut[:-1]])]))[0]
+            head, upto = cut[begin], np.append(begin, len(cut))
+            h, seg = k[head], g[head]
+            for i in range(0, len(begin), 5000):
+                to = min(i + 5000, len(begin))
+                part = slice(i, to)
+                lists = pa.ListArray.from_arrays(pa.array((upto[i : to + 1] - upto[i]).astype(np.int32)), pa.array(u[cut[upto[i] : upto[to]]]))
+                one = [pa.array(c) for c in (tile[begin[part]], pidx[h[part]], before[h[part]], n[head[part]], lines.sx[seg[part]], lines.sy[seg[part]], lines.ex[seg[part]], lines.ey[seg[part]])]
+                yield pa.RecordBatch.from_arrays([*one, lists], ["tile", "pidx", "before", "ord", "x", "y", "ex", "ey", "t"])
+
+    runs = dealt.mapInArrow(by_group(deal_cuts, tol), "tile long, pidx long, before long, ord long, x double, y double, ex double, ey double, t array<double>")
+    e = ends.select(F.coalesce(_tile(F.col("x"), F.col("y"), low, size), F.lit(0)).alias("tile"), "pidx", F.col("side").cast("long").alias("before"), "x", "y")
+    both = runs.unionByName(e, allowMissingColumns=True).repartition("tile").sortWithinPartitions("tile")
+
+    def weld(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        tile = rows.column("tile")[0].as_py()
+        is_run = pc.is_valid(rows.column("t"))
+        r, e = rows.filter(is_run), rows.filter(pc.invert(is_run))
+        take = lambda d, *names: (d.column(c).to_numpy() for c in names)
+        size_ = pc.list_value_length(r.column("t")).to_numpy().astype(np.int64)
+        t = pc.list_flatten(r.column("t")).to_numpy()
+        of = np.repeat(np.arange(len(size_)), size_)
+        pidx, before, ord_, sx, sy, ex, ey = take(r, "pidx", "before", "ord", "x", "y", "ex", "ey")
+        cut = ord_[of] + np.arange(len(of)) - np.repeat(np.cumsum(size_) - size_, size_)
+        x, y = sx[of] + t * (ex - sx)[of], sy[of] + t * (ey - sy)[of]
+        back = np.argsort(-cut)  # the last cut first
+        x, y, cut, of = x[back], y[back], cut[back], of[back]
+        own = np.nonzero(_tile(x, y, low, size) == tile)[0]
+        line, side, qx, qy = take(e, "pidx", "before", "x", "y")
+        ax, ay = np.concatenate([x[own], qx.astype(np.float64)]), np.concatenate([y[own], qy.astype(np.float64)])
+        to = np.full(len(ax), -1)
+        if len(x):
+            # each cell, as wide as the tolerance, has the cuts around it, the last one first
+            x0, y0 = x.min() - far, y.min() - far
+            cx, cy = np.floor((x - x0) / far).astype(np.int64), np.floor((y - y0) / far).astype(np.int64)
+            wide = int(cy.max()) + 3
+            cells = (int(cx.max()) + 3) * wide
+            cell = np.concatenate([(cx + i) * wide + cy + j for i in (0, 1, 2) for j in (0, 1, 2)])
+            which = np.tile(np.arange(len(x)), 9)
+            o = np.lexsort((which, cell))
+            which, begin = which[o], np.searchsorted(cell[o], np.arange(cells + 1))
+            a, b = np.floor((ax - x0) / far) + 1, np.floor((ay - y0) / far) + 1
+            left = np.nonzero((a >= 0) & (b >= 0) & (a < cells // wide) & (b < wide))[0]
+            place = (a[left] * wide + b[left]).astype(np.int64)
+            k, end = begin[place], begin[place + 1]
+            while len(left):
+                some = k < end
+                left, k, end = left[some], k[some], end[some]
+                c = which[k]
+                dx, dy = ax[left] - x[c], ay[left] - y[c]
+                hit = dx * dx + dy * dy <= tol * tol
+                to[left[hit]] = c[hit]
+                left, k, end = left[~hit], k[~hit] + 1, end[~hit]
+        moved = to >= 0
+        ax[moved], ay[moved] = x[to[moved]], y[to[moved]]
+        n, c = len(own), cut[own]
+        piece = np.where(c == before[of[own]], pidx[of[own]], top + c - 1)
+        for ids, s, i in ((piece, np.ones(n, np.int64), slice(0, n)), (top + c, np.zeros(n, np.int64), slice(0, n)), (line, side, slice(n, None))):
+            u, v = ax[i], ay[i]
+            for j in range(0, len(ids), 50_000):
+                p = slice(j, j + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(s[p]), pa.array(u[p], from_pandas=True), pa.array(v[p], from_pandas=True)], ["pidx", "side", "x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        for batch in batches:
+            tile = batch.column("tile").to_numpy()
+            cut = np.nonzero(tile[1:] != tile[:-1])[0] + 1
+            for a, b in zip([0, *cut], [*cut, len(tile)]):
+                if a < b:
+                    if parts and parts[0].column("tile")[0].as_py() != tile[a]:
+                        yield from weld(parts)
+                        parts = []
+                    parts.append(batch.slice(a, b - a))
+        if parts:
+            yield from weld(parts)
+
+    return both.mapInArrow(run, "pidx long, side long, x double, y double")
